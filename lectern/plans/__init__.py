@@ -1,6 +1,6 @@
 """Registered queries over the driver tables (import side effect: registration)."""
 
-from lectern.plans import chat, evaluation, html, index, nested, retrieval, synthesis, text  # noqa: F401
+from lectern.plans import chat, evaluation, html, index, io, nested, retrieval, synthesis, text  # noqa: F401
 from lectern.plans.registry import ORACLE, QUERIES
 
 __all__ = ["QUERIES", "ORACLE"]
