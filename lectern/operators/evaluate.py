@@ -47,14 +47,22 @@ def percent_text(correct: Column, total: Column) -> Column:
     return F.format_string("%d.%02d%%", (bp / 100).cast("long"), bp % 100)
 
 
-def dataset_summary(scored: DataFrame, dataset: str = "dataset", score: str = "model_score") -> DataFrame:
-    """Total / correct / incorrect / unknown / accuracy per dataset."""
+def dataset_summary(scored: DataFrame, dataset: str = "dataset", score: str = "model_score",
+                    datasets: DataFrame | None = None) -> DataFrame:
+    """Total / correct / incorrect / unknown / accuracy per dataset.
+
+    ``datasets`` (the small list of dataset labels) keeps datasets with no rows,
+    reported with zero counts and accuracy 0.0."""
     s = F.col(score)
     agg = scored.groupBy(dataset).agg(
         F.count(F.lit(1)).alias("total"),
         F.count_if(s == "CORRECT").alias("correct"),
         F.count_if(s == "INCORRECT").alias("incorrect"),
         F.count_if(s == "UNKNOWN").alias("unknown"))
+    if datasets is not None:
+        agg = F.broadcast(datasets.select(dataset).distinct()).join(agg, dataset, "left")
+        agg = agg.select(dataset, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
+                                    for c in ("total", "correct", "incorrect", "unknown")])
     return agg.withColumn("accuracy", accuracy(F.col("correct"), F.col("total")))
 
 

@@ -45,7 +45,9 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
     """
     if threshold != NEAR_DUP_RATIO:
         raise ValueError("threshold is fixed by the ratio bounds used for blocking")
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.col("text").isNotNull())
+    # an empty text has no ratio (0/0) and is never a near duplicate, not even of another empty text
+    rows = (df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+            .where(F.col("text").isNotNull() & (F.length("text") > 0)))
     # collapse identical texts: one representative per distinct text
     texts = (rows.groupBy("text").agg(F.min("id").alias("tid"))
              .withColumn("low", F.lower("text"))
@@ -142,7 +144,7 @@ def greedy_first_wins(df: DataFrame, *, id_col: str = "id", text_col: str = "tex
                          .otherwise(F.lit("undecided")).alias("st")))
         state = cut_lineage(state)
     dropped_reps = state.where(F.col("st") == "dropped").select(F.col("id").alias("_rep"))
-    first = (df.where(F.col(text_col).isNotNull()).groupBy(text_col)
+    first = (df.where(F.col(text_col).isNotNull() & (F.length(text_col) > 0)).groupBy(text_col)
              .agg(F.min(id_col).alias("_rep")))
     tagged = df.join(first, text_col, "left")
     tagged = tagged.join(dropped_reps.withColumn("_rep_dropped", F.lit(True)), "_rep", "left")
