@@ -71,10 +71,10 @@ def grading_prompts(rows: DataFrame, *, query: str = "question", answer: str = "
         template, {"query": F.col(query), "answer": F.col(answer), "result": F.col(result)}))
 
 
-def generation_prompts(sections: DataFrame, question_types: DataFrame, *, text: str = "section_text",
+def generation_prompts(sections: DataFrame, question_types: list[str], *, text: str = "section_text",
                        template: str = TPL.GENERATION_TEMPLATE) -> DataFrame:
-    """C4: one prompt per (section, question type); the type list is a small fixed table."""
-    return (sections.crossJoin(F.broadcast(question_types))
+    """C4: one prompt per (section, question type); the type list is a short fixed list."""
+    return (sections.withColumn("question_type", F.explode(F.array(*[F.lit(x) for x in question_types])))
             .withColumn("prompt", fill_template(template, {"text": F.col(text),
                                                            "question_type": F.col("question_type")})))
 

@@ -113,17 +113,71 @@ def attach_metadata(neighbors: DataFrame, docs: DataFrame, *, neighbor_id: str =
     return neighbors.join(docs.withColumnRenamed(doc_id, neighbor_id), neighbor_id, "inner")
 
 
-def embed_batches(df: DataFrame, batch_size: int = 100, *, order_col: str = "doc_id") -> DataFrame:
-    """Batch plan for an embedding provider: batches of ``batch_size`` consecutive rows.
+def embed_batches(df: DataFrame, batch_size: int = 100, *, order_col: str = "doc_id",
+                  bucket_width: int = 1 << 16) -> DataFrame:
+    """Batch plan for an embedding provider, batches of ``batch_size`` consecutive rows.
 
-    The batch id is ``floor(rank / batch_size)`` where rank is computed per Spark
-    partition after range-partitioning on ``order_col`` (so no single-task
-    window), prefixed by the partition id.
+    ``batch_no = floor(rank / batch_size)`` with the global rank in ``order_col``
+    order from a distributed running count (no single-partition window).
     """
-    parts = df.repartitionByRange(order_col).withColumn("_part", F.spark_partition_id())
-    w = Window.partitionBy("_part").orderBy(order_col)
-    return (parts.withColumn("_rn", F.row_number().over(w) - 1)
-                 .withColumn("batch_no", F.floor(F.col("_rn") / batch_size).cast("long"))
-                 .withColumn("batch_id", F.concat_ws("-", F.col("_part").cast("string"),
-                                                     F.col("batch_no").cast("string")))
-                 .drop("_rn"))
+    from lectern.operators.quota import running_sum
+    ranked = running_sum(df.withColumn("_one", F.lit(1)), order=order_col, value="_one", out="_rank",
+                         bucket_width=bucket_width)
+    return ranked.withColumn("batch_no", F.floor(F.col("_rank") / batch_size).cast("long")).drop("_one", "_rank")
+
+
+def tfidf_embedder(docs: DataFrame, *, text: str = "text", dims: int = 256):
+    """Offline text -> vector model (tokenise, hash to ``dims``, IDF, L2-normalise).
+
+    Fitting is one aggregation of a ``dims``-sized document-frequency vector.
+    Returns a function mapping a DataFrame with ``text`` to one with ``embedding``
+    (ARRAY<FLOAT>), usable for documents and questions alike.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import IDF, HashingTF, Normalizer, RegexTokenizer
+    from pyspark.ml.functions import vector_to_array
+    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=r"\W+", toLowercase=True),
+              HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=dims),
+              IDF(inputCol="_tf", outputCol="_tfidf"),
+              Normalizer(inputCol="_tfidf", outputCol="_vec", p=2.0)]
+    model = Pipeline(stages=stages).fit(docs.select(text))
+
+    def embed(df: DataFrame) -> DataFrame:
+        out = model.transform(df)
+        return (out.withColumn("embedding", vector_to_array("_vec", "float32"))
+                .drop("_tok", "_tf", "_tfidf", "_vec"))
+    return embed
+
+
+def knn_lsh(queries: DataFrame, index: DataFrame, k: int = 6, *, query_id: str = "query_id",
+            index_id: str = "doc_id", vector: str = "embedding", exclude_self: bool = False,
+            bucket_length: float = 0.25, num_tables: int = 4, salt: int = 4, seed: int = 7) -> DataFrame:
+    """Approximate k nearest neighbours with random-projection LSH.
+
+    Candidates share a bucket in at least one hash table; each (table, bucket,
+    salt) group is scored exactly with the same matrix kernel as ``knn_join``
+    (salting splits a hot bucket into ``salt`` groups), then the best k
+    distinct neighbours per query are kept.  Recall < 1 by design.
+    """
+    from pyspark.ml.feature import BucketedRandomProjectionLSH
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    x = index.select(F.col(index_id).cast("long").alias("xid"), F.col(vector).alias("xv"))
+    q = queries.select(F.col(query_id).cast("long").alias("qid"), F.col(vector).alias("qv"))
+    lsh = BucketedRandomProjectionLSH(inputCol="_f", outputCol="_h", bucketLength=bucket_length,
+                                      numHashTables=num_tables, seed=seed)
+    model = lsh.fit(x.select(array_to_vector("xv").alias("_f")))
+
+    def hashed(df, vcol):
+        h = model.transform(df.withColumn("_f", array_to_vector(vcol)))
+        h = h.select("*", F.posexplode("_h").alias("tbl", "_hv"))
+        return h.withColumn("bucket", vector_to_array("_hv")[0]).drop("_f", "_h", "_hv")
+    xh = hashed(x, "xv").withColumn("s", F.pmod(F.xxhash64("xid"), F.lit(salt)).cast("int"))
+    qh = hashed(q, "qv").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    keys = ["tbl", "bucket", "s"]
+    cand = (qh.groupBy(*keys).cogroup(xh.groupBy(*keys))
+            .applyInPandas(_local_topk(k, exclude_self), schema=_CAND_SCHEMA)
+            .dropDuplicates(["qid", "xid"]))
+    w = Window.partitionBy("qid").orderBy("distance", "xid")
+    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select(F.col("qid").alias(query_id), F.col("rank").cast("long").alias("rank"),
+                    F.col("xid").alias("neighbor_id"), "distance"))

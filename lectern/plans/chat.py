@@ -46,3 +46,52 @@ FROM {HISTORY_SQL} WHERE n_pairs > 0
 def condense_prompts(spark, sf):
     h = C.history_window(Tables(spark, sf).conversations)
     return P.condense_prompts(h).select("conv_id", "turn", "condense_prompt")
+
+
+def _conversation_sources(spark, sf):
+    """Numbered sources per conversation: top-6 documents for the conversation's vector."""
+    from lectern.operators.vectors import attach_metadata, knn_join
+    from lectern.plans.retrieval import K
+    from lectern.sources.corpus import index_vectors, lecture_view
+    t = Tables(spark, sf)
+    qv = (t.embeddings.select(F.col("vec_id").alias("conv_id"), "embedding")
+          .join(t.conversations.select("conv_id").distinct(), "conv_id", "left_semi"))
+    nn = knn_join(qv, index_vectors(t.embeddings, t.documents), K, query_id="conv_id", index_id="doc_id")
+    meta = lecture_view(t.documents).select("doc_id", "url", "path")
+    r = attach_metadata(nn, meta)
+    return P.source_list(r, key="conv_id")
+
+
+def _history_context_sql() -> str:
+    from lectern.plans.retrieval import K
+    from lectern.plans.sqlparts import LECTURES, sqdist
+    return f"""
+WITH qv AS (SELECT e.vec_id AS conv_id, e.embedding FROM embeddings e
+            WHERE e.vec_id IN (SELECT conv_id FROM conversations)),
+     xv AS (SELECT vec_id AS doc_id, embedding FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
+     nn AS (SELECT qv.conv_id, xv.doc_id,
+                   row_number() OVER (PARTITION BY qv.conv_id ORDER BY {sqdist('qv.embedding', 'xv.embedding')}, xv.doc_id) AS rank
+            FROM qv JOIN xv ON TRUE QUALIFY rank <= {K}),
+     src AS (SELECT nn.conv_id, string_agg(printf('[%d] %s (Path=%s)', nn.rank, l.url, l.path), chr(10) ORDER BY nn.rank) AS sources
+             FROM nn JOIN {LECTURES} l ON l.doc_id = nn.doc_id GROUP BY nn.conv_id),
+     t AS (SELECT u.conv_id, u.turn, u.question, u.answer, src.sources FROM {USER_TURNS_SQL} u
+           LEFT JOIN src ON src.conv_id = u.conv_id WHERE u.role = 'user'),
+     e AS (SELECT conv_id, turn,
+                  CASE WHEN answer IS NOT NULL THEN concat_ws(chr(10), 'User: ' || question || chr(10) || 'Bot: ' || answer,
+                       CASE WHEN sources IS NOT NULL THEN 'User: Context' || chr(10) || 'Bot: ' || sources END) END AS entry,
+                  (answer IS NOT NULL)::BIGINT + (answer IS NOT NULL AND sources IS NOT NULL)::BIGINT AS n_entry
+           FROM t)
+SELECT conv_id, turn, coalesce(sum(n_entry) OVER w, 0) AS n_entries,
+       coalesce(string_agg(entry, chr(10) ORDER BY turn) OVER w, '') AS history_text
+FROM e WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+"""
+
+
+@register("history_with_context", _history_context_sql())
+def history_with_context(spark, sf):
+    """History where each answer is followed by a ("Context", numbered sources) pair."""
+    t = Tables(spark, sf)
+    src = _conversation_sources(spark, sf)
+    per_turn = (C.user_turns(t.conversations).select("conv_id", "turn").join(src, "conv_id", "inner"))
+    h = C.history_with_context(t.conversations, per_turn)
+    return h.select("conv_id", "turn", F.col("n_entries").cast("long").alias("n_entries"), "history_text")

@@ -9,11 +9,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lectern.functions import templates as TPL
 from lectern.functions.text import REFUSAL_SENTENCE, token_estimate
 from lectern.operators import chat as C
 from lectern.operators import evaluate as E
+from lectern.operators import prompts as P
 from lectern.operators import text as X
 from lectern.plans.registry import Tables, register
+from lectern.plans.retrieval import _fill_sql
 from lectern.plans.sqlparts import q, strip
 from lectern.sources.corpus import lecture_view
 
@@ -178,3 +181,22 @@ def refusal_autolabel(spark, sf):
     p = p.withColumn("model_answer", m)
     return p.select("conv_id", "turn", F.coalesce(X.refusal_label(F.col("model_answer"), F.col("answer")),
                                                    F.lit("TO_GRADE")).alias("auto_label"))
+
+
+GRADING_FILL = _fill_sql(TPL.GRADING_TEMPLATE, {"query": "question", "answer": "answer", "result": "model_answer"})
+
+
+@register("grading_prompts", f"""
+SELECT conv_id, turn, length(p) AS n_chars, md5(p) AS prompt_md5 FROM (
+  SELECT conv_id, turn, {GRADING_FILL} AS p FROM (
+    SELECT *, CASE WHEN length(question) % 4 = 0 THEN {q(REFUSAL_SENTENCE)} || ' ' || answer ELSE answer END AS model_answer
+    FROM {PAIRS_SQL}))
+""")
+def grading_prompts(spark, sf):
+    """Grading prompt per (question, reference answer, model answer)."""
+    p = C.chat_pairs(Tables(spark, sf).conversations)
+    m = F.when(F.length("question") % 4 == 0, F.concat(F.lit(REFUSAL_SENTENCE + " "), F.col("answer"))) \
+        .otherwise(F.col("answer"))
+    g = P.grading_prompts(p.withColumn("model_answer", m))
+    return g.select("conv_id", "turn", F.length("grading_prompt").alias("n_chars"),
+                    F.md5("grading_prompt").alias("prompt_md5"))

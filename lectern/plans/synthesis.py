@@ -147,9 +147,7 @@ FROM {SECTION_SQL}
 """)
 def generation_prompts(spark, sf):
     """C4: section text x question type -> generation prompt."""
-    s = section_frame(spark, sf).withColumn("question_type", F.explode(F.array(*[F.lit(x) for x in QUESTION_TYPES])))
-    p = s.withColumn("prompt", fill_template(TPL.GENERATION_TEMPLATE, {"text": F.col("section_text"),
-                                                                        "question_type": F.col("question_type")}))
+    p = P.generation_prompts(section_frame(spark, sf), QUESTION_TYPES)
     return p.select("category", F.col("section"), F.col("list_no").cast("long").alias("list_no"),
                     "question_type", F.md5("prompt").alias("prompt_md5"))
 
