@@ -50,7 +50,7 @@ def running_sum(df: DataFrame, *, order: str, value: str, out: str, bucket_width
     offsets = totals.withColumn("_boff", F.coalesce(F.sum("_btotal").over(wb), F.lit(0))).drop("_btotal")
     wi = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     inner = b.withColumn("_in", F.coalesce(F.sum(value).over(wi), F.lit(0)))
-    return (inner.join(F.broadcast(offsets), "_bucket")
+    return (inner.join(offsets, "_bucket")
             .withColumn(out, (F.col("_boff") + F.col("_in")).cast("long"))
             .drop("_bucket", "_boff", "_in"))
 
