@@ -14,17 +14,21 @@ Candidate generation is exact (no pair with ratio > threshold is missed):
 * strings too short for that bound (``|G| <= q*tau``) are paired by length
   bucket with every string of compatible length.
 
-Candidates are verified with the thresholded built-in ``levenshtein`` and the
-exact ratio expression.  Identical texts are collapsed first, so a text that
+Candidates are screened with a character-count lower bound (each edit removes
+at most one surplus character on each side) and verified with the thresholded
+built-in ``levenshtein`` and the exact ratio expression.  Identical texts are collapsed first, so a text that
 appears many times costs one group, and expanded back at the end.
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import NEAR_DUP_RATIO
+from lectern.session import cut_lineage
 
 Q = 3
 
@@ -35,6 +39,42 @@ def _tau_max(n):
     return F.ceil(F.lit(t) * n / F.lit(NEAR_DUP_RATIO)).cast("int")
 
 
+HIST_BINS = 64
+
+
+def _histogram_batch(texts: pd.Series) -> pd.Series:
+    out = []
+    for t in texts:
+        cps = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) if t else np.zeros(0, np.uint32)
+        out.append(np.bincount(cps % HIST_BINS, minlength=HIST_BINS).astype(np.int32))
+    return pd.Series(out)
+
+
+_histogram_udf = None
+
+
+def _char_histogram(low):
+    """Character counts binned by code point mod HIST_BINS (Arrow-batched numpy)."""
+    global _histogram_udf
+    if _histogram_udf is None:
+        _histogram_udf = F.pandas_udf(_histogram_batch, "array<int>")
+    return _histogram_udf(low)
+
+
+def _histogram_lower_bound(ha, hb):
+    """Edit-distance lower bound from character counts: every edit removes at most
+    one surplus character on each side, so lev >= max(surplus of a, surplus of b)."""
+    pos = F.aggregate(F.zip_with(ha, hb, lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    neg = F.aggregate(F.zip_with(ha, hb, lambda x, y: F.greatest(y - x, F.lit(0))), F.lit(0), lambda s, x: s + x)
+    return F.greatest(pos, neg)
+
+
+def _len_bucket(nl):
+    """Log-length bucket of width ln(1/ratio)."""
+    import math
+    return F.floor(F.log(F.greatest(nl, F.lit(1)).cast("double")) / F.lit(math.log(1.0 / NEAR_DUP_RATIO))).cast("int")
+
+
 def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "text",
                          threshold: float = NEAR_DUP_RATIO, q: int = Q, expand: bool = True) -> DataFrame:
     """All pairs (id_a < id_b) with similarity ratio > threshold.
@@ -55,7 +95,9 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
              .withColumn("nl", F.length("low"))
              .withColumn("tau", _tau_max(F.greatest(F.col("n"), F.col("nl"))))
              .withColumn("ng", F.greatest(F.col("nl") - F.lit(q - 1), F.lit(0)))
-             .withColumn("short", F.col("ng") <= F.col("tau") * q))
+             .withColumn("short", F.col("ng") <= F.col("tau") * q)
+             .withColumn("hist", _char_histogram(F.col("low"))))
+    texts = cut_lineage(texts)     # read by six branches below: materialise once
     # --- q-gram bag tokens (gram, k-th occurrence)
     grams = (texts.where(~F.col("short"))
              .select("tid", F.explode(F.transform(F.sequence(F.lit(1), F.col("ng")),
@@ -64,16 +106,23 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
              .select("tid", "g", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("k")))
     freq = grams.groupBy("g", "k").agg(F.count(F.lit(1)).alias("df"))
     toks = grams.join(freq, ["g", "k"])
-    plen = texts.where(~F.col("short")).select("tid", (F.col("tau") * q + 1).alias("plen"))
+    plen = texts.where(~F.col("short")).select("tid", "nl", "n", (F.col("tau") * q + 1).alias("plen"))
     w = Window.partitionBy("tid").orderBy("df", "g", "k")
     prefix = (toks.join(plen, "tid")
               .withColumn("r", F.row_number().over(w))
               .where(F.col("r") <= F.col("plen"))
-              .select("tid", "g", "k"))
-    a, b = prefix.alias("a"), prefix.alias("b")
-    cand_long = (a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.k") == F.col("b.k"))
-                        & (F.col("a.tid") < F.col("b.tid")))
-                 .select(F.col("a.tid").alias("ta"), F.col("b.tid").alias("tb")).distinct())
+              .select("tid", "g", "k", "nl", "n", _len_bucket(F.col("nl")).alias("lb")))
+    prefix = cut_lineage(prefix)   # both sides of the posting-list join
+    # partners differ in lower-cased length by less than 15 % of the longer one, so their
+    # log-length buckets are equal or adjacent: the bucket joins the posting-list key
+    a = prefix.select(F.col("tid").alias("ta"), "g", "k", F.col("nl").alias("nla"), F.col("n").alias("na"),
+                      F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1)).alias("lb"))
+    b = prefix.select(F.col("tid").alias("tb"), "g", "k", F.col("nl").alias("nlb"), F.col("n").alias("nb"), "lb")
+    cand_long = (a.join(b, ["g", "k", "lb"])
+                 .where((F.col("ta") < F.col("tb")) &
+                        (F.abs(F.col("nla") - F.col("nlb")) <
+                         F.lit(1.0 - threshold) * F.greatest("na", "nb", "nla", "nlb")))
+                 .select("ta", "tb").distinct())
     # --- short strings: pair with every string of a compatible length (equi-join on length)
     lens = texts.select("tid", "nl", "short", "tau")
     sa = (lens.where(F.col("short"))
@@ -85,13 +134,17 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
     cand = cand_long.unionByName(cand_short).distinct()
     # --- verify
     ta = texts.select(F.col("tid").alias("ta"), F.col("low").alias("la"), F.col("n").alias("na"),
-                      F.col("nl").alias("nla"))
+                      F.col("nl").alias("nla"), F.col("hist").alias("ha"))
     tb = texts.select(F.col("tid").alias("tb"), F.col("low").alias("lb"), F.col("n").alias("nb"),
-                      F.col("nl").alias("nlb"))
-    v = cand.join(ta, "ta").join(tb, "tb")
+                      F.col("nl").alias("nlb"), F.col("hist").alias("hb"))
+    # verification is CPU-bound and its rows are small: spread it over every core explicitly
+    # (size-based coalescing would pack it into a few tasks)
+    n_parts = max(8, 4 * df.sparkSession.sparkContext.defaultParallelism)
+    v = cand.repartition(n_parts).join(ta, "ta").join(tb, "tb")
     m = F.greatest("na", "nb")
     bound = F.greatest(F.ceil(F.lit(1.0 - threshold) * m).cast("int"), F.lit(0))
     v = (v.withColumn("bound", bound).where(F.abs(F.col("nla") - F.col("nlb")) <= F.col("bound"))
+          .where(_histogram_lower_bound(F.col("ha"), F.col("hb")) <= F.col("bound"))
           .withColumn("distance", F.expr("levenshtein(la, lb, bound)"))
           .where(F.col("distance") >= 0)
           .withColumn("ratio", F.lit(1.0) - F.col("distance") / m)
@@ -122,7 +175,6 @@ def greedy_first_wins(df: DataFrame, *, id_col: str = "id", text_col: str = "tex
     are dropped; repeat (equal to the sequential rule).  Returns ``df`` with a
     boolean ``kept``.
     """
-    from lectern.session import cut_lineage
     pairs = near_duplicate_pairs(df, id_col=id_col, text_col=text_col, expand=False)
     e = cut_lineage(pairs.select(F.col("id_a").alias("early"), F.col("id_b").alias("late")))
     involved = e.select(F.col("early").alias("id")).union(e.select(F.col("late").alias("id"))).distinct()

@@ -39,6 +39,7 @@ def build_session(master: str | None = None, app: str = "lectern",
     spark = b.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -54,6 +55,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``lectern`` importable on executors (UDF helpers are pickled by reference).
+
+    Zips the package once per SparkContext into the shared checkpoint folder and
+    registers it with ``addPyFile``; Spark distributes it to every executor.
+    """
+    import zipfile
+    sc = spark.sparkContext
+    key = sc.applicationId
+    if key in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    target = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), f"lectern-{key}.zip")
+    if not os.path.exists(target):
+        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+            for root, _dirs, files in os.walk(pkg):
+                for f in files:
+                    if f.endswith(".py"):
+                        full = os.path.join(root, f)
+                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(target)
+    _SHIPPED.add(key)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint (written to the shared folder); survives executor loss."""
     ensure_checkpoint_dir(df.sparkSession)
