@@ -75,13 +75,25 @@ def _len_bucket(nl):
     return F.floor(F.log(F.greatest(nl, F.lit(1)).cast("double")) / F.lit(math.log(1.0 / NEAR_DUP_RATIO))).cast("int")
 
 
+def exact_copies(df: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
+    """Every non-empty text row mapped to its representative (smallest id with the same text).
+
+    Together with ``near_duplicate_pairs`` (pairs between representatives) this is
+    the full near-duplicate relation in linear size: copies of a text are
+    duplicates of each other (ratio 1) without listing their pairs."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(F.length("text") > 0)
+    reps = rows.groupBy("text").agg(F.min("id").alias("rep_id"))
+    return rows.join(reps, "text").select("id", "rep_id")
+
+
 def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "text",
-                         threshold: float = NEAR_DUP_RATIO, q: int = Q, expand: bool = True) -> DataFrame:
-    """All pairs (id_a < id_b) with similarity ratio > threshold.
+                         threshold: float = NEAR_DUP_RATIO, q: int = Q, expand: bool = False) -> DataFrame:
+    """Pairs (id_a < id_b) of distinct texts with similarity ratio > threshold.
 
-    Returns (id_a, id_b, distance, ratio).  With ``expand=False`` only pairs of
-    distinct texts are returned, each text represented by its smallest id
-    (copies of one text are not paired: their number is quadratic in the copies).
+    Returns (id_a, id_b, distance, ratio) with each text represented by its
+    smallest id (see ``exact_copies``).  ``expand=True`` lists every id pair
+    instead, including the pairs among copies of one text; that output grows
+    quadratically with the number of copies, so use it on small inputs only.
     """
     if threshold != NEAR_DUP_RATIO:
         raise ValueError("threshold is fixed by the ratio bounds used for blocking")

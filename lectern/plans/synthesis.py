@@ -74,7 +74,9 @@ def token_budget_tight(spark, sf):
     return _budget_query(spark, sf, TIGHT_BUDGET)
 
 
-QUESTIONS_SQL = "(SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user')"
+QUESTIONS_ALL_SQL = "(SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user')"
+# one row per distinct non-empty text, represented by its smallest id
+QUESTIONS_SQL = f"(SELECT min(id) AS id, text FROM {QUESTIONS_ALL_SQL} WHERE length(text) > 0 GROUP BY text)"
 ENCODED_SQL = f"""
 chars AS (SELECT id, unnest(range(1, len(cs) + 1)) AS pos, unnest(cs) AS c
           FROM (SELECT id, regexp_extract_all(lower(text), '(?s).') AS cs FROM {QUESTIONS_SQL})),
@@ -105,13 +107,21 @@ def near_dup_pairs(spark, sf):
                     F.round("ratio", 6).alias("ratio"))
 
 
+@register("exact_copies", f"""
+SELECT q.id, r.id AS rep_id FROM {QUESTIONS_ALL_SQL} q JOIN {QUESTIONS_SQL} r ON r.text = q.text
+""")
+def exact_copies(spark, sf):
+    return ND.exact_copies(_questions(Tables(spark, sf))).select("id", "rep_id")
+
+
 @register("near_dup_greedy", f"""
 WITH RECURSIVE {ENCODED_SQL},
-ord AS (SELECT id, row_number() OVER (ORDER BY id) AS i FROM {QUESTIONS_SQL}),
+ord AS (SELECT a.id, row_number() OVER (ORDER BY a.id) AS i, (length(a.text) > 0 AND a.id <> r.id) AS is_copy
+        FROM {QUESTIONS_ALL_SQL} a LEFT JOIN {QUESTIONS_SQL} r ON r.text = a.text),
 g(i, kept) AS (
   SELECT 0::BIGINT, []::BIGINT[]
   UNION ALL
-  SELECT o.i, CASE WHEN EXISTS (SELECT 1 FROM pairs p WHERE p.id_b = o.id AND list_contains(g.kept, p.id_a))
+  SELECT o.i, CASE WHEN o.is_copy OR EXISTS (SELECT 1 FROM pairs p WHERE p.id_b = o.id AND list_contains(g.kept, p.id_a))
                    THEN g.kept ELSE list_append(g.kept, o.id) END
   FROM g JOIN ord o ON o.i = g.i + 1)
 SELECT o.id, list_contains((SELECT kept FROM g ORDER BY i DESC LIMIT 1), o.id) AS kept FROM ord o

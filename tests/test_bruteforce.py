@@ -52,7 +52,7 @@ def _questions(seed=7, n=120):
 def test_near_duplicate_pairs_equal_brute_force(spark):
     qs = _questions()
     df = spark.createDataFrame(list(enumerate(qs)), "id long, text string")
-    got = {(r.id_a, r.id_b) for r in ND.near_duplicate_pairs(df).collect()}
+    got = {(r.id_a, r.id_b) for r in ND.near_duplicate_pairs(df, expand=True).collect()}
     want = {(i, j) for i in range(len(qs)) for j in range(i + 1, len(qs))
             if (r := ratio(qs[i], qs[j])) is not None and r > 0.85}
     assert len(want) > 20
@@ -118,3 +118,15 @@ def test_knn_multi_block_equals_numpy(spark):
     for i in range(len(X)):
         order = sorted(range(len(X)), key=lambda j: (D[i, j], j))[:5]
         assert [got[(i, r + 1)] for r in range(5)] == order
+
+
+def test_exact_copies_and_expanded_pairs(spark):
+    qs = ["same text here", "same text here", "other words", "same text here", "", ""]
+    df = spark.createDataFrame(list(enumerate(qs)), "id long, text string")
+    copies = {r.id: r.rep_id for r in ND.exact_copies(df).collect()}
+    assert copies == {0: 0, 1: 0, 2: 2, 3: 0}
+    assert ND.near_duplicate_pairs(df).count() == 0          # one representative per text
+    expanded = {(r.id_a, r.id_b) for r in ND.near_duplicate_pairs(df, expand=True).collect()}
+    assert expanded == {(0, 1), (0, 3), (1, 3)}
+    kept = {r.id: r.kept for r in ND.greedy_first_wins(df).collect()}
+    assert kept == {0: True, 1: False, 2: True, 3: False, 4: True, 5: True}
