@@ -201,3 +201,78 @@ def section_merge(docs: DataFrame, *, category: str = "category", path: str = "p
     last = F.element_at(F.split(F.col(path), " > "), -1)
     return (docs.withColumn("section", last).groupBy(category, "section")
             .agg(F.count(F.lit(1)).alias("n_lectures"), F.count_distinct(path).alias("n_paths")))
+
+
+# --------------------------------------------------------------------------- B1 ordered mode
+ORDERED_SCHEMA = ("item_no long, walk_path string, title string, url string, path string, "
+                  "content string, status string")
+
+
+def _as_text(v):
+    if v is None or isinstance(v, str):
+        return v
+    import json
+    return json.dumps(v, ensure_ascii=False)
+
+
+def _walk_line(obj, root: str):
+    """Lectures of one parsed line in document order (iterative, insertion order kept)."""
+    out = []
+    stack = [(False, obj, root)]
+    while stack:
+        is_lecture, node, path = stack.pop()
+        if is_lecture:
+            out.append((path, node))
+            continue
+        children = []
+        if isinstance(node, dict):
+            children = [(False, v, f"{path} > {k}") for k, v in node.items()]
+        elif isinstance(node, list):
+            children = [("content" in item and "lecture_url" in item, item, path)
+                        for item in node if isinstance(item, dict)]
+        stack.extend(reversed(children))
+    return out
+
+
+def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list[str] | None = None,
+                             root: str = "ROOT") -> DataFrame:
+    """B1, ordered mode: one pass per line with the standard JSON parser.
+
+    Keeps dict insertion order and last-wins duplicate keys, and numbers the
+    lectures of a line in walk order (``item_no``).  ``status`` is ``ok``,
+    ``quarantine`` (content not a string) or ``invalid`` (line not JSON; one row,
+    other fields null).  Blank lines produce no rows.
+    """
+    import json
+
+    import pandas as pd
+    from pyspark.sql import types as T
+
+    keys = keys or []
+    src = lines.select(*keys, F.col(line).alias("_line"))
+    key_fields = [f for f in src.schema.fields if f.name != "_line"]
+    schema = T.StructType(key_fields + list(T._parse_datatype_string(ORDERED_SCHEMA).fields))
+    names = [f.name for f in schema.fields]
+
+    def run(batches):
+        for pdf in batches:
+            rows = []
+            for rec in pdf.itertuples(index=False):
+                kv, text = list(rec[:-1]), rec[-1]
+                if text is None or not text.strip():
+                    continue
+                try:
+                    obj = json.loads(text.strip())
+                except ValueError:
+                    rows.append(kv + [None, None, None, None, None, None, "invalid"])
+                    continue
+                for i, (wpath, item) in enumerate(_walk_line(obj, root)):
+                    content = item.get("content")
+                    rows.append(kv + [i, wpath, _as_text(item.get("title", NO_TITLE)),
+                                      _as_text(item.get("lecture_url", NO_URL)),
+                                      _as_text(item.get("path", wpath)),
+                                      content if isinstance(content, str) else None,
+                                      "ok" if isinstance(content, str) else "quarantine"])
+            yield pd.DataFrame(rows, columns=names)
+
+    return src.mapInPandas(run, schema=schema)

@@ -200,3 +200,20 @@ def grading_prompts(spark, sf):
     g = P.grading_prompts(p.withColumn("model_answer", m))
     return g.select("conv_id", "turn", F.length("grading_prompt").alias("n_chars"),
                     F.md5("grading_prompt").alias("prompt_md5"))
+
+
+@register("provider_grades", f"""
+SELECT conv_id, turn, CASE WHEN regexp_replace(trim(model_answer), '\\s+', ' ', 'g') = regexp_replace(trim(answer), '\\s+', ' ', 'g')
+                           THEN 'CORRECT' ELSE 'INCORRECT' END AS model_score
+FROM (SELECT *, CASE WHEN length(question) % 4 = 0 THEN {q(REFUSAL_SENTENCE)} || ' ' || answer ELSE answer END AS model_answer
+      FROM {PAIRS_SQL})
+""")
+def provider_grades(spark, sf):
+    """Provider plug point (batches of 100, bounded retry) with the offline grader, then Q10 labels."""
+    from lectern.operators.provider import call_provider, exact_match_grader
+    p = C.chat_pairs(Tables(spark, sf).conversations)
+    m = F.when(F.length("question") % 4 == 0, F.concat(F.lit(REFUSAL_SENTENCE + " "), F.col("answer"))) \
+        .otherwise(F.col("answer"))
+    rows = p.withColumn("model_answer", m).select("conv_id", "turn", "answer", "model_answer")
+    graded = call_provider(rows, exact_match_grader, "conv_id long, turn long, grader_reply string")
+    return E.with_score(graded).select("conv_id", "turn", "model_score")

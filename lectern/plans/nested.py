@@ -160,3 +160,15 @@ def section_merge(spark, sf):
     sub = F.when(F.col("doc_id") % 2 == 0, F.col("section")).otherwise(F.concat(F.lit("deep > "), "section"))
     lec = lec.withColumn("path", F.concat_ws(" > ", "category", sub))
     return N.section_merge(lec)
+
+
+@register("flatten_ordered", f"""
+SELECT title, url, category || ' > ' || section AS path, md5(content) AS content_md5,
+       row_number() OVER (PARTITION BY category, section, doc_id // {LINES_PER_LIST} ORDER BY doc_id) - 1 AS item_no
+FROM {LECTURES}
+""")
+def flatten_ordered(spark, sf):
+    """K3 then B1 ordered mode: lectures come back with their position in the line."""
+    lines = nested_lines(Tables(spark, sf))
+    docs = N.flatten_lectures_ordered(lines).where(F.col("status") == "ok")
+    return docs.select("title", "url", "path", F.md5("content").alias("content_md5"), "item_no")

@@ -16,7 +16,7 @@ from lectern.plans.html import NONBLANK_LINKS_SQL, pages_clean
 from lectern.plans.nested import LINES_PER_LIST, SECTION_SQL, section_frame
 from lectern.plans.registry import Tables, register
 from lectern.plans.retrieval import _fill_sql
-from lectern.plans.sqlparts import q
+from lectern.plans.sqlparts import q, strip
 
 QUESTION_TYPES = ["General"]            # fixed: the reference generates one question type
 PLAN_TYPES = ["General", "Factual", "Reasoning"]  # wider list used to exercise the shuffle order
@@ -213,3 +213,34 @@ def dedup_urls(spark, sf):
                                   F.count(F.lit(1)).alias("n_seen"))
     return g.select("href", F.col("first.page_id").alias("page_id"), F.col("first.link_no").alias("link_no"),
                     "n_seen")
+
+
+@register("synthesis_plan", f"""
+WITH s AS (SELECT category, section, list_no, min_doc, section_text FROM (
+             SELECT *, (SELECT min(doc_id) FROM documents d WHERE d.lang = x.category AND d.source = x.section
+                        AND d.doc_id // {LINES_PER_LIST} = x.list_no) AS min_doc FROM {SECTION_SQL} x)),
+c AS (SELECT category, section, list_no, min_doc, unnest([{", ".join(q(x) for x in QUESTION_TYPES)}]) AS question_type
+      FROM s WHERE {strip('section_text')} <> ''),
+s1 AS (SELECT *, row_number() OVER (PARTITION BY category, section, list_no ORDER BY min_doc, question_type) AS list_rank
+       FROM c QUALIFY list_rank <= 2),
+s2 AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY min_doc, question_type) AS category_rank
+       FROM s1 QUALIFY category_rank <= 20)
+SELECT category, section, list_no, question_type, list_rank, category_rank FROM s2
+ORDER BY min_doc, question_type LIMIT 100
+""")
+def synthesis_plan(spark, sf):
+    """Reference synthesis flow without the model call: lists (G1) x question types,
+    in list order, capped per list / category / total (one type -> one Q&A per list)."""
+    from lectern.functions.text import is_blank
+    t = Tables(spark, sf)
+    first = (t.documents.groupBy(F.col("lang").alias("category"), F.col("source").alias("section"),
+                                 F.floor(F.col("doc_id") / LINES_PER_LIST).alias("list_no"))
+             .agg(F.min("doc_id").alias("min_doc")))
+    s = section_frame(spark, sf).join(first, ["category", "section", "list_no"])
+    cands = (s.where(~is_blank("section_text"))
+             .withColumn("question_type", F.explode(F.array(*[F.lit(x) for x in QUESTION_TYPES])))
+             .withColumn("ord", F.struct("min_doc", "question_type")))
+    acc = QU.apply_quotas(cands, list_keys=["category", "section", "list_no"], category="category", order="ord")
+    return acc.select("category", "section", F.col("list_no").cast("long").alias("list_no"), "question_type",
+                      F.col("list_rank").cast("long").alias("list_rank"),
+                      F.col("category_rank").cast("long").alias("category_rank"))

@@ -162,3 +162,28 @@ def test_html_entities_and_script(spark):
     p = H.clean_pages(spark.createDataFrame([(1, "http://h/x", html)], "page_id long, url string, html string"))
     r = H.paragraphs(p).first()
     assert r.paragraphs == "a &lt; b\nc"
+
+
+EDGE_LINES = ['{"A":{"lecture_url":"u","content":"c"}}', '{"A":[{"lecture_url":"u1","content":"c"}]}',
+              '{"A":[{"lecture_url":"u2","content":null}]}', '{"A":[[{"lecture_url":"u3","content":"c"}],1,"x"]}',
+              '{"A":[{"B":[{"lecture_url":"u4","content":"c"}]}]}', '[{"lecture_url":"u5","content":"c"}]',
+              '{"A":{"S":[{"lecture_url":"u6","content":"d","path":"A > S2","title":"t"}]}}', "", "not json"]
+
+
+def test_ordered_mode_equals_variant_mode_on_edges(spark):
+    df = spark.createDataFrame([(i, l) for i, l in enumerate(EDGE_LINES)], "line_no long, line string")
+    c = N.classify_lines(df)
+    docs, quarantine = N.flatten_lectures(c.where("status = 'valid'"), keys=["line_no"])
+    ordered = N.flatten_lectures_ordered(df, keys=["line_no"]).collect()
+    got = {(r.line_no, r.title, r.url, r.path, r.content) for r in ordered if r.status == "ok"}
+    want = {(r.line_no, r.title, r.url, r.path, r.content) for r in docs.collect()}
+    assert got == want
+    assert [r.line_no for r in ordered if r.status == "quarantine"] == [r.line_no for r in quarantine.collect()]
+    assert [r.line_no for r in ordered if r.status == "invalid"] == [8]
+
+
+def test_ordered_mode_keeps_insertion_order_and_last_duplicate(spark):
+    line = '{"Z":[{"lecture_url":"z","content":"1"}],"A":[{"lecture_url":"a","content":"2"},{"lecture_url":"b","content":"3"}],"Z":[{"lecture_url":"z2","content":"4"}]}'
+    df = spark.createDataFrame([(0, line)], "line_no long, line string")
+    r = N.flatten_lectures_ordered(df, keys=["line_no"]).orderBy("item_no").collect()
+    assert [(x.item_no, x.url) for x in r] == [(0, "z2"), (1, "a"), (2, "b")]
