@@ -91,8 +91,9 @@ def _is_array(v: Column) -> Column:
 
 
 def index_gate(v: Column) -> Column:
-    """B2: lecture for indexing = object with ``content`` and ``lecture_url``."""
-    return _is_object(v) & has_key(v, "content") & has_key(v, "lecture_url")
+    """B2: lecture for indexing = object with ``content`` and ``lecture_url`` keys
+    (a path lookup on a non-object is null, so no type test is needed)."""
+    return has_key(v, "content") & has_key(v, "lecture_url")
 
 
 def synth_gate(v: Column) -> Column:
@@ -120,32 +121,33 @@ def flatten_lectures(lines: DataFrame, *, value: str = "value", keys: list[str]
 
     ``keys`` are carried through (e.g. line ordinal).  Documents have
     ``keys + (walk_path, title, url, path, content)``.
+
+    Each round explodes every frontier node once: object members come back with
+    a ``key`` (child path ``path > key``), array elements without one, and
+    scalars yield nothing, so no per-node type test is needed.  An element of a
+    list is a lecture (gate) or is descended into with the list's path; when
+    such an element is itself a list (``key`` null again) it is skipped.
     """
     keys = keys or []
-    frontier = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("node"))
-    found: list[DataFrame] = []
-    for _depth in range(max_depth):
-        kind = (F.when(_is_object(F.col("node")), "object")
-                .when(_is_array(F.col("node")), "array"))
-        frontier = frontier.withColumn("kind", kind).where(F.col("kind").isNotNull())
-        frontier = cut_lineage(frontier)
+    frontier = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("node"),
+                            F.lit(False).alias("in_list"))
+    lect = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("lecture")).limit(0)
+    for depth in range(max_depth):
+        if depth > 0:
+            frontier = cut_lineage(frontier)      # round 0 is the parsed input itself
         if frontier.isEmpty():
             break
-        # object node: every member becomes a child with path > key
-        obj_children = (_explode(frontier.where(F.col("kind") == "object"))
-                        .select(*keys, F.concat_ws(" > ", "walk_path", "key").alias("walk_path"),
-                                F.col("value").alias("node")))
-        # array node: objects are lectures or are descended into (same path); others skipped
-        items = (_explode(frontier.where(F.col("kind") == "array"))
-                 .select(*keys, "walk_path", F.col("value").alias("item"))
-                 .where(_is_object(F.col("item"))))
-        is_lec = gate(F.col("item"))
-        found.append(items.where(is_lec).select(*keys, "walk_path", F.col("item").alias("lecture")))
-        arr_children = items.where(~is_lec).select(*keys, "walk_path", F.col("item").alias("node"))
-        frontier = obj_children.unionByName(arr_children)
-    lect = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("lecture")).limit(0)
-    for f in found:
-        lect = lect.unionByName(f)
+        parts = _explode(frontier)
+        members = parts.where(F.col("key").isNotNull())
+        elements = parts.where(F.col("key").isNull() & ~F.col("in_list"))
+        is_lec = gate(F.col("value"))
+        lect = lect.unionByName(elements.where(is_lec)
+                                .select(*keys, "walk_path", F.col("value").alias("lecture")))
+        frontier = (members.select(*keys, F.concat_ws(" > ", "walk_path", "key").alias("walk_path"),
+                                   F.col("value").alias("node"), F.lit(False).alias("in_list"))
+                    .unionByName(elements.where(~is_lec)
+                                 .select(*keys, "walk_path", F.col("value").alias("node"),
+                                         F.lit(True).alias("in_list"))))
     v = F.col("lecture")
     content_ok = F.schema_of_variant(F.variant_get(v, "$.content", "variant")) == "STRING"
     docs = lect.select(
