@@ -19,8 +19,12 @@ lineage with a reliable checkpoint.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lectern.functions.text import is_blank, py_strip
 from lectern.session import cut_lineage
@@ -82,14 +86,6 @@ def has_key(v: Column, key: str) -> Column:
     return F.variant_get(v, f"$.{key}", "variant").isNotNull()
 
 
-def _is_object(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("OBJECT")
-
-
-def _is_array(v: Column) -> Column:
-    return F.schema_of_variant(v).startswith("ARRAY")
-
-
 def index_gate(v: Column) -> Column:
     """B2: lecture for indexing = object with ``content`` and ``lecture_url`` keys
     (a path lookup on a non-object is null, so no type test is needed)."""
@@ -213,7 +209,6 @@ ORDERED_SCHEMA = ("item_no long, walk_path string, title string, url string, pat
 def _as_text(v):
     if v is None or isinstance(v, str):
         return v
-    import json
     return json.dumps(v, ensure_ascii=False)
 
 
@@ -245,11 +240,6 @@ def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list
     ``quarantine`` (content not a string) or ``invalid`` (line not JSON; one row,
     other fields null).  Blank lines produce no rows.
     """
-    import json
-
-    import pandas as pd
-    from pyspark.sql import types as T
-
     keys = keys or []
     src = lines.select(*keys, F.col(line).alias("_line"))
     key_fields = [f for f in src.schema.fields if f.name != "_line"]

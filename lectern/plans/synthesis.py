@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import templates as TPL
-from lectern.functions.text import fill_template, token_estimate
+from lectern.functions.text import token_estimate
 from lectern.operators import chat as C
 from lectern.operators import neardup as ND
 from lectern.operators import prompts as P

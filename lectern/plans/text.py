@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lectern.functions.text import (ANSWER_MARKER, ANSWER_MARKER_ALT, FENCE_CHARS, py_strip,
+from lectern.functions.text import (ANSWER_MARKER, ANSWER_MARKER_ALT, FENCE_CHARS,
                                     strip_diacritics, token_estimate, word_count)
 from lectern.operators import chat as C
 from lectern.operators import text as X

@@ -36,3 +36,12 @@ def test_pushdown_reaches_scan(spark):
     from lectern.session import read_table
     df = read_table(spark, SF, "conversations").where("role = 'user'").select("conv_id")
     assert "PushedFilters: [IsNotNull(role), EqualTo(role,user)]" in plan(df)
+
+
+def test_library_uses_no_local_checkpoint_or_cross_join():
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[1] / "lectern"
+    for f in root.rglob("*.py"):
+        src = f.read_text()
+        for banned in ("localCheckpoint", "crossJoin(", ".collect()", "toPandas("):
+            assert banned not in src, (f, banned)
