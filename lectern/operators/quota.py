@@ -20,6 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.ordered import running_sum
 from lectern.session import cut_lineage
 
 MAX_PER_LIST, MAX_PER_CATEGORY, MAX_TOTAL = 2, 20, 100
@@ -37,24 +38,6 @@ def apply_quotas(cands: DataFrame, *, list_keys: list[str], category: str, order
     return s2.orderBy(order).limit(total)
 
 
-def running_sum(df: DataFrame, *, order: str, value: str, out: str, bucket_width: int) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order`` without a single-partition window.
-
-    Rows are bucketed by ``order // bucket_width``; bucket totals (one row per
-    bucket, small) get an exclusive prefix, which is added to a running sum
-    inside each bucket (bounded partitions when ``order`` is unique).
-    """
-    b = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width))
-    totals = b.groupBy("_bucket").agg(F.sum(value).alias("_btotal"))
-    wb = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.withColumn("_boff", F.coalesce(F.sum("_btotal").over(wb), F.lit(0))).drop("_btotal")
-    wi = Window.partitionBy("_bucket").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    inner = b.withColumn("_in", F.coalesce(F.sum(value).over(wi), F.lit(0)))
-    return (inner.join(offsets, "_bucket")
-            .withColumn(out, (F.col("_boff") + F.col("_in")).cast("long"))
-            .drop("_bucket", "_boff", "_in"))
-
-
 def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget: int = TOKEN_BUDGET,
                  bucket_width: int = 1 << 16, max_rounds: int = 10_000) -> DataFrame:
     """Rows accepted by the greedy budget rule, with ``usage_after``.

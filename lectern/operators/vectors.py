@@ -120,7 +120,7 @@ def embed_batches(df: DataFrame, batch_size: int = 100, *, order_col: str = "doc
     ``batch_no = floor(rank / batch_size)`` with the global rank in ``order_col``
     order from a distributed running count (no single-partition window).
     """
-    from lectern.operators.quota import running_sum
+    from lectern.operators.ordered import running_sum
     ranked = running_sum(df.withColumn("_one", F.lit(1)), order=order_col, value="_one", out="_rank",
                          bucket_width=bucket_width)
     return ranked.withColumn("batch_no", F.floor(F.col("_rank") / batch_size).cast("long")).drop("_one", "_rank")

@@ -3,12 +3,12 @@ paragraphs, fallback, pagination walk and harvest yield."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lectern.functions.html import CONTENT_NOT_FOUND, LINK_RE, PARAGRAPH_RE
 from lectern.functions.text import is_blank
 from lectern.operators import html as H
+from lectern.operators.ordered import lead_columns
 from lectern.plans.registry import Tables, register
 from lectern.plans.sqlparts import denoise, q, strip, text_nodes
 
@@ -114,8 +114,7 @@ def section_fallback(spark, sf):
 def _page_chain(t: Tables):
     """Pagination graph of the archive: a page's ``next`` is the following page of its host."""
     p = t.pages.select("page_id", H.host_of(F.col("url")).alias("host"))
-    w = Window.partitionBy("host").orderBy("page_id")
-    return p.withColumn("next", F.lead("page_id").over(w))
+    return lead_columns(p, keys=["host"], order="page_id", cols=[]).withColumnRenamed("next_page_id", "next")
 
 
 @register("pagination_walk", f"""

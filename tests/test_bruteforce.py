@@ -130,3 +130,21 @@ def test_exact_copies_and_expanded_pairs(spark):
     assert expanded == {(0, 1), (0, 3), (1, 3)}
     kept = {r.id: r.kept for r in ND.greedy_first_wins(df).collect()}
     assert kept == {0: True, 1: False, 2: True, 3: False, 4: True, 5: True}
+
+
+def test_two_level_lead_and_running_sum_equal_windows(spark):
+    from pyspark.sql import Window
+    from lectern.operators.ordered import lead_columns, running_sum
+    rnd = random.Random(9)
+    rows = []
+    for key in range(4):
+        turns = sorted(rnd.sample(range(0, 400), 60 if key else 150))   # gaps and one hot key
+        rows += [(key, t, rnd.randint(0, 50), f"v{key}-{t}") for t in turns]
+    df = spark.createDataFrame(rows, "k long, o long, x long, s string")
+    got = lead_columns(df, keys=["k"], order="o", cols=["s"], bucket_width=7)
+    got = running_sum(got, keys=["k"], order="o", value="x", out="acc", bucket_width=7)
+    w = Window.partitionBy("k").orderBy("o")
+    want = (df.withColumn("next_o", F.lead("o").over(w)).withColumn("next_s", F.lead("s").over(w))
+            .withColumn("acc", F.coalesce(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
+    cols = ["k", "o", "next_o", "next_s", "acc"]
+    assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
