@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lectern.functions.text import is_blank, py_strip
+from lectern.functions.text import py_strip
 from lectern.session import cut_lineage
 
 NO_TITLE, NO_URL = "NoTitle", "NoURL"
@@ -39,11 +39,11 @@ def classify_lines(df: DataFrame, line: str = "line") -> DataFrame:
 
     Lines are stripped of Unicode whitespace first, as the reference does.
     """
-    stripped = py_strip(F.col(line))
-    v = F.try_parse_json(stripped)
-    status = (F.when(is_blank(F.col(line)), F.lit("blank"))
-              .when(v.isNull(), F.lit("invalid")).otherwise(F.lit("valid")))
-    return df.withColumn("status", status).withColumn("value", F.when(status == "valid", v))
+    s = df.withColumn("_stripped", py_strip(F.col(line)))          # strip once, reuse
+    blank = F.col("_stripped").isNull() | (F.col("_stripped") == F.lit(""))
+    v = F.try_parse_json(F.col("_stripped"))
+    return (s.withColumn("value", F.when(~blank, v)).withColumn("status", F.when(blank, F.lit("blank"))
+            .when(F.col("value").isNull(), F.lit("invalid")).otherwise(F.lit("valid"))).drop("_stripped"))
 
 
 def scan_jsonl(spark, path: str) -> tuple[DataFrame, DataFrame]:
