@@ -69,3 +69,22 @@ def test_lsh_recall_and_tfidf_norms(spark):
     assert r.n_exact == 3000 and r.recall >= 0.8
     norms = queries()["embed_documents"](spark, "/root/testdata/sf0.001").agg(F.min("norm"), F.max("norm")).first()
     assert norms[0] >= 0.999999 and norms[1] <= 1.000001
+
+
+def test_provider_retries_then_succeeds_and_error_modes(spark, tmp_path):
+    import os
+
+    from lectern.operators import _testing
+    from lectern.operators.provider import call_provider
+    df = spark.createDataFrame([(i, f"t{i}", str(tmp_path)) for i in range(250)],
+                               "id long, text string, marker_dir string").coalesce(1)
+    out = call_provider(df, _testing.flaky_upper, "id long, out string", batch_size=100, backoff_seconds=0.01)
+    rows = out.collect()
+    assert len(rows) == 250 and {r.out for r in rows} == {f"T{i}" for i in range(250)}
+    assert sorted(os.listdir(tmp_path)) == ["fail-0", "fail-1"]      # two failed calls were retried
+    nulls = call_provider(df, _testing.always_fails, "id long, out string", max_retries=1,
+                          backoff_seconds=0.0, on_error="null").collect()
+    assert len(nulls) == 250 and all(r.out is None for r in nulls)
+    with pytest.raises(Exception):
+        call_provider(df, _testing.always_fails, "id long, out string", max_retries=1,
+                      backoff_seconds=0.0).collect()
