@@ -70,3 +70,81 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
     for a in accepted[1:]:
         out = out.unionByName(a)
     return out.drop("_prefix").withColumn("usage_after", F.col("usage_after").cast("long"))
+
+
+def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category: str, est_in: str,
+                cost: str, budget: int = TOKEN_BUDGET, per_list: int = MAX_PER_LIST,
+                per_category: int = MAX_PER_CATEGORY, total: int = MAX_TOTAL,
+                dup_pairs: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+    """Strict synthesis fold: caps, token budget and near duplicates interleaved as in
+    the sequential loop.  ``cands`` are *valid* candidates (invalid ones consume
+    nothing); ``order`` is a unique long and also the id used by ``dup_pairs``
+    (``id_a < id_b`` in order).  Returns accepted rows with ``usage_after``.
+
+    A candidate is accepted iff its list, category and total counts are below the
+    caps, ``usage < budget``, ``usage + est_in <= budget`` and it is not a near
+    duplicate of an accepted candidate; acceptance adds ``cost`` to usage.  Each
+    round ranks the remaining candidates with the current counts as offsets
+    (nested ranks, exact because caps only saturate) and takes a running sum of
+    cost.  The round is exact up to its first conflict: a budget failure, or a
+    near duplicate of an earlier candidate of the same round.  Rows before it are
+    accepted or rejected for good, the conflict row is rejected (or ends the fold
+    on ``usage >= budget``), and the next round starts after it.
+    """
+    base = cands.select(order, *list_keys, category, est_in, cost)
+    rest = cut_lineage(base.where(F.col(est_in) <= budget))
+    accepted = None
+    used, n_acc = 0, 0
+    for _round in range(max_rounds):
+        if n_acc >= total or used >= budget:
+            break
+        r = rest
+        if accepted is not None:
+            lc = accepted.groupBy(*list_keys).agg(F.count(F.lit(1)).alias("_lc"))
+            cc = accepted.groupBy(category).agg(F.count(F.lit(1)).alias("_cc"))
+            r = r.join(lc, list_keys, "left").join(cc, category, "left")
+            if dup_pairs is not None:
+                dups_of_acc = (dup_pairs.join(accepted.select(F.col(order).alias("id_a")), "id_a")
+                               .select(F.col("id_b").alias(order)))
+                r = r.join(dups_of_acc, order, "left_anti")
+        else:
+            r = r.withColumn("_lc", F.lit(None).cast("long")).withColumn("_cc", F.lit(None).cast("long"))
+        r = (r.withColumn("_lc", F.coalesce("_lc", F.lit(0)))
+              .withColumn("_cc", F.coalesce("_cc", F.lit(0))))
+        w_list = Window.partitionBy(*list_keys).orderBy(order)
+        s1 = r.withColumn("_lr", F.row_number().over(w_list)).where(F.col("_lr") + F.col("_lc") <= per_list)
+        w_cat = Window.partitionBy(category).orderBy(order)
+        s2 = s1.withColumn("_cr", F.row_number().over(w_cat)).where(F.col("_cr") + F.col("_cc") <= per_category)
+        q = cut_lineage(s2.orderBy(order).limit(total - n_acc).drop("_lr", "_cr", "_lc", "_cc"))
+        rs = running_sum(q, order=order, value=cost, out="_prefix")
+        fails = ((F.col("_prefix") + F.lit(used) >= F.lit(budget)) |
+                 (F.col("_prefix") + F.col(est_in) > F.lit(budget - used)))
+        first_budget = rs.where(fails).agg(F.min(order).alias("f"), F.min_by("_prefix", order).alias("p")).first()
+        f_dup = None
+        if dup_pairs is not None:
+            qa = q.select(F.col(order).alias("id_a"))
+            qb = q.select(F.col(order).alias("id_b"))
+            f_dup = dup_pairs.join(qa, "id_a").join(qb, "id_b").agg(F.min("id_b")).first()[0]
+        fb = first_budget["f"]
+        stops = [x for x in (fb, f_dup) if x is not None]
+        f = min(stops) if stops else None
+        take = rs if f is None else rs.where(F.col(order) < f)
+        take = take.withColumn("usage_after", (F.col("_prefix") + F.col(cost) + F.lit(used)).cast("long")) \
+                   .drop("_prefix")
+        take = cut_lineage(take)
+        accepted = take if accepted is None else cut_lineage(accepted.unionByName(take))
+        n_acc = accepted.count()
+        if f is None:
+            break
+        if fb is not None and fb == f:
+            used += int(first_budget["p"])
+            if used >= budget:
+                break
+        else:
+            used = int(accepted.agg(F.max("usage_after")).first()[0] or used)
+        rest = cut_lineage(rest.where((F.col(order) > f) & (F.col(est_in) <= budget - used)))
+        if rest.isEmpty():
+            break
+    if accepted is None:
+        return base.limit(0).withColumn("usage_after", F.lit(0).cast("long"))
+    return accepted

@@ -244,3 +244,42 @@ def synthesis_plan(spark, sf):
     return acc.select("category", "section", F.col("list_no").cast("long").alias("list_no"), "question_type",
                       F.col("list_rank").cast("long").alias("list_rank"),
                       F.col("category_rank").cast("long").alias("category_rank"))
+
+
+def _strict_sql(budget: int) -> str:
+    ok = (f"(g.n < {QU.MAX_TOTAL} AND g.usage < {budget} AND coalesce(g.lists[c.lst], 0) < {QU.MAX_PER_LIST} "
+          f"AND coalesce(g.cats[c.cat], 0) < {QU.MAX_PER_CATEGORY} AND g.usage + c.est <= {budget})")
+    return f"""
+WITH RECURSIVE c AS (
+  SELECT row_number() OVER (ORDER BY doc_id) AS i, doc_id, lang AS cat,
+         lang || '|' || source || '|' || (doc_id // {LINES_PER_LIST}) AS lst,
+         ceil(length(text) / 4)::BIGINT AS est,
+         (ceil(length(text) / 4) + ceil(length(text) / 40))::BIGINT AS cost
+  FROM documents WHERE length(text) >= 40),
+g(i, usage, n, lists, cats, acc) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, MAP {{}}::MAP(VARCHAR, BIGINT), MAP {{}}::MAP(VARCHAR, BIGINT), false
+  UNION ALL
+  SELECT c.i,
+         CASE WHEN {ok} THEN g.usage + c.cost ELSE g.usage END,
+         CASE WHEN {ok} THEN g.n + 1 ELSE g.n END,
+         CASE WHEN {ok} THEN map_concat(g.lists, MAP {{c.lst: coalesce(g.lists[c.lst], 0) + 1}}) ELSE g.lists END,
+         CASE WHEN {ok} THEN map_concat(g.cats, MAP {{c.cat: coalesce(g.cats[c.cat], 0) + 1}}) ELSE g.cats END,
+         {ok}
+  FROM g JOIN c ON c.i = g.i + 1
+  WHERE g.n < {QU.MAX_TOTAL} AND g.usage < {budget})
+SELECT c.doc_id, g.usage AS usage_after FROM g JOIN c ON c.i = g.i WHERE g.acc
+"""
+
+
+@register("synthesis_strict", _strict_sql(TIGHT_BUDGET))
+def synthesis_strict(spark, sf):
+    """Strict fold: caps 2 / 20 / 100 and the token budget interleaved exactly as the
+    sequential loop (candidates = documents in order, lists = (category, section, block))."""
+    d = Tables(spark, sf).documents.where(F.length("text") >= 40)
+    cands = d.select("doc_id", F.col("lang").alias("category"), F.col("source").alias("section"),
+                     F.floor(F.col("doc_id") / LINES_PER_LIST).alias("list_no"),
+                     token_estimate("text").alias("est_in"),
+                     (token_estimate("text") + F.ceil(F.length("text") / 40)).cast("long").alias("cost"))
+    acc = QU.strict_fold(cands, order="doc_id", list_keys=["category", "section", "list_no"], category="category",
+                         est_in="est_in", cost="cost", budget=TIGHT_BUDGET)
+    return acc.select("doc_id", "usage_after")

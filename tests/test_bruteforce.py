@@ -148,3 +148,40 @@ def test_two_level_lead_and_running_sum_equal_windows(spark):
             .withColumn("acc", F.coalesce(F.sum("x").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))))
     cols = ["k", "o", "next_o", "next_s", "acc"]
     assert sorted(tuple(r) for r in got.select(cols).collect()) == sorted(tuple(r) for r in want.select(cols).collect())
+
+
+def _sequential_fold(rows, dups, budget, per_list, per_cat, total):
+    usage, lists, cats, acc = 0, {}, {}, []
+    dupset = set(dups)
+    for o, lst, cat, est, cost in rows:
+        if len(acc) >= total or usage >= budget:
+            break
+        if lists.get(lst, 0) >= per_list or cats.get(cat, 0) >= per_cat:
+            continue
+        if usage + est > budget:
+            continue
+        if any((a, o) in dupset for a, _u in acc):
+            continue
+        usage += cost
+        lists[lst] = lists.get(lst, 0) + 1
+        cats[cat] = cats.get(cat, 0) + 1
+        acc.append((o, usage))
+    return acc
+
+
+def test_strict_fold_equals_sequential_loop(spark):
+    rnd = random.Random(21)
+    rows = [(i * 2 + 1, f"L{rnd.randrange(30)}", f"C{rnd.randrange(4)}", rnd.randint(1, 300), 0)
+            for i in range(300)]
+    rows = [(o, lst, cat, est, est + rnd.randint(0, 100)) for o, lst, cat, est, _ in rows]
+    orders = [r[0] for r in rows]
+    dups = sorted({tuple(sorted(rnd.sample(orders, 2))) for _ in range(120)})
+    df = spark.createDataFrame(rows, "o long, lst string, cat string, est long, cost long")
+    dp = spark.createDataFrame(dups, "id_a long, id_b long")
+    for budget, caps, use_dups in [(10_000, (2, 20, 100), True), (3_000, (1, 5, 12), True),
+                                   (10 ** 9, (2, 20, 100), False), (8_000, (3, 40, 60), False)]:
+        want = _sequential_fold(rows, dups if use_dups else [], budget, *caps)
+        got = QU.strict_fold(df, order="o", list_keys=["lst"], category="cat", est_in="est", cost="cost",
+                             budget=budget, per_list=caps[0], per_category=caps[1], total=caps[2],
+                             dup_pairs=dp if use_dups else None)
+        assert sorted((r.o, r.usage_after) for r in got.collect()) == want, (budget, caps, use_dups)
