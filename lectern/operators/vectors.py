@@ -35,7 +35,10 @@ _CAND_SCHEMA = T.StructType([
 ])
 
 
-def _local_topk(k: int, exclude_self: bool, tile: int = 1024):
+TILE_CELLS = 8_000_000   # distances held at once per task (64 MB of float64)
+
+
+def _local_topk(k: int, exclude_self: bool):
     def fn(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
         if len(qpdf) == 0 or len(xpdf) == 0:
             return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
@@ -46,6 +49,7 @@ def _local_topk(k: int, exclude_self: bool, tile: int = 1024):
         Q = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
         X = np.stack(xpdf["xv"].to_numpy()).astype(np.float64)
         xn = (X * X).sum(axis=1)
+        tile = max(1, TILE_CELLS // max(1, len(X)))
         out_q, out_x, out_d = [], [], []
         for s in range(0, len(Q), tile):
             Qt = Q[s:s + tile]
