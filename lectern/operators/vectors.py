@@ -155,13 +155,15 @@ def tfidf_embedder(docs: DataFrame, *, text: str = "text", dims: int = 256):
 
 def knn_lsh(queries: DataFrame, index: DataFrame, k: int = 6, *, query_id: str = "query_id",
             index_id: str = "doc_id", vector: str = "embedding", exclude_self: bool = False,
-            bucket_length: float = 0.25, num_tables: int = 4, salt: int = 4, seed: int = 7) -> DataFrame:
+            bucket_length: float = 0.25, num_tables: int = 4, seed: int = 7,
+            q_block: int = 4096, x_block: int = 65536) -> DataFrame:
     """Approximate k nearest neighbours with random-projection LSH.
 
-    Candidates share a bucket in at least one hash table; each (table, bucket,
-    salt) group is scored exactly with the same matrix kernel as ``knn_join``
-    (salting splits a hot bucket into ``salt`` groups), then the best k
-    distinct neighbours per query are kept.  Recall < 1 by design.
+    Candidates share a bucket in at least one hash table.  Each bucket is split
+    into query blocks and index blocks sized from its own counts (a hot bucket
+    becomes several bounded groups, like ``knn_join``'s blocks), every group is
+    scored exactly with the same matrix kernel, and the best k distinct
+    neighbours per query are kept.  Recall < 1 by design.
     """
     from pyspark.ml.feature import BucketedRandomProjectionLSH
     from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -175,10 +177,21 @@ def knn_lsh(queries: DataFrame, index: DataFrame, k: int = 6, *, query_id: str =
         h = model.transform(df.withColumn("_f", array_to_vector(vcol)))
         h = h.select("*", F.posexplode("_h").alias("tbl", "_hv"))
         return h.withColumn("bucket", vector_to_array("_hv")[0]).drop("_f", "_h", "_hv")
-    xh = hashed(x, "xv").withColumn("s", F.pmod(F.xxhash64("xid"), F.lit(salt)).cast("int"))
-    qh = hashed(q, "qv").withColumn("s", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    keys = ["tbl", "bucket", "s"]
-    cand = (qh.groupBy(*keys).cogroup(xh.groupBy(*keys))
+    keys = ["tbl", "bucket"]
+    xh, qh = hashed(x, "xv"), hashed(q, "qv")
+    sizes = (xh.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nx"))
+             .join(qh.groupBy(*keys).agg(F.count(F.lit(1)).alias("_nq")), keys, "inner")
+             .withColumn("_xs", F.ceil(F.col("_nx") / x_block).cast("int"))
+             .withColumn("_qs", F.ceil(F.col("_nq") / q_block).cast("int"))
+             .select(*keys, "_xs", "_qs"))
+    xh = (xh.join(sizes, keys)
+          .withColumn("xb", F.pmod(F.xxhash64("xid"), F.col("_xs")).cast("int"))
+          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("_qs") - 1))))
+    qh = (qh.join(sizes, keys)
+          .withColumn("qb", F.pmod(F.xxhash64("qid"), F.col("_qs")).cast("int"))
+          .withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("_xs") - 1))))
+    gk = [*keys, "qb", "xb"]
+    cand = (qh.select(*gk, "qid", "qv").groupBy(*gk).cogroup(xh.select(*gk, "xid", "xv").groupBy(*gk))
             .applyInPandas(_local_topk(k, exclude_self), schema=_CAND_SCHEMA)
             .dropDuplicates(["qid", "xid"]))
     w = Window.partitionBy("qid").orderBy("distance", "xid")
