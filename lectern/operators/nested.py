@@ -202,7 +202,7 @@ def section_merge(docs: DataFrame, *, category: str = "category", path: str = "p
 
 
 # --------------------------------------------------------------------------- B1 ordered mode
-ORDERED_SCHEMA = ("item_no long, walk_path string, title string, url string, path string, "
+ORDERED_SCHEMA = ("item_no long, list_ord long, walk_path string, title string, url string, path string, "
                   "content string, status string")
 
 
@@ -212,39 +212,60 @@ def _as_text(v):
     return json.dumps(v, ensure_ascii=False)
 
 
-def _walk_line(obj, root: str):
-    """Lectures of one parsed line in document order (iterative, insertion order kept)."""
-    out = []
-    stack = [(False, obj, root)]
+def _walk_line(obj, root: str | None, need_title: bool = False):
+    """Lectures of one parsed line in document order (iterative, insertion order kept).
+
+    Returns ``(walk_path, lecture, list_ord)`` where ``list_ord`` is the post-order
+    position of the list holding the lecture: a list is finished after every list
+    nested inside it, which is the order in which the synthesis step consumes lists.
+    """
+    out, post, next_list = [], {}, 0
+    stack = [("node", obj, root, None)]
     while stack:
-        is_lecture, node, path = stack.pop()
-        if is_lecture:
-            out.append((path, node))
+        kind, node, path, list_id = stack.pop()
+        if kind == "lec":
+            out.append((path, node, list_id))
+            continue
+        if kind == "exit":
+            post[node] = len(post)
             continue
-        children = []
         if isinstance(node, dict):
-            children = [(False, v, f"{path} > {k}") for k, v in node.items()]
+            stack.extend(reversed([("node", v, f"{path} > {k}" if path else str(k), list_id)
+                                   for k, v in node.items()]))
         elif isinstance(node, list):
-            children = [("content" in item and "lecture_url" in item, item, path)
-                        for item in node if isinstance(item, dict)]
-        stack.extend(reversed(children))
-    return out
+            lid, next_list = next_list, next_list + 1
+            children = []
+            for item in node:
+                if isinstance(item, dict):
+                    is_lec = "content" in item and "lecture_url" in item and (not need_title or "title" in item)
+                    children.append(("lec" if is_lec else "node", item, path, lid))
+            stack.append(("exit", lid, None, None))
+            stack.extend(reversed(children))
+    return [(p, item, post[lid]) for p, item, lid in out]
 
 
 def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list[str] | None = None,
-                             root: str = "ROOT") -> DataFrame:
+                             root: str = "ROOT", mode: str = "index") -> DataFrame:
     """B1, ordered mode: one pass per line with the standard JSON parser.
 
     Keeps dict insertion order and last-wins duplicate keys, and numbers the
-    lectures of a line in walk order (``item_no``).  ``status`` is ``ok``,
-    ``quarantine`` (content not a string) or ``invalid`` (line not JSON; one row,
-    other fields null).  Blank lines produce no rows.
+    lectures of a line in walk order (``item_no``) and their lists in processing
+    order (``list_ord``, post-order).  ``mode="index"`` walks the whole line from
+    ``root``; ``mode="synthesis"`` walks only the first top-level key with paths
+    starting at that category, needs ``title`` on lectures, and quarantines a
+    line that is not an object.  ``status`` is ``ok``, ``quarantine`` (content
+    not a string, or a non-object line in synthesis mode) or ``invalid`` (not
+    JSON; one row, other fields null).  Blank lines produce no rows.
     """
+    if mode not in ("index", "synthesis"):
+        raise ValueError("mode must be 'index' or 'synthesis'")
     keys = keys or []
     src = lines.select(*keys, F.col(line).alias("_line"))
     key_fields = [f for f in src.schema.fields if f.name != "_line"]
     schema = T.StructType(key_fields + list(T._parse_datatype_string(ORDERED_SCHEMA).fields))
     names = [f.name for f in schema.fields]
+    synth = mode == "synthesis"
+    empty = [None] * 7
 
     def run(batches):
         for pdf in batches:
@@ -256,11 +277,21 @@ def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list
                 try:
                     obj = json.loads(text.strip())
                 except ValueError:
-                    rows.append(kv + [None, None, None, None, None, None, "invalid"])
+                    rows.append(kv + empty + ["invalid"])
                     continue
-                for i, (wpath, item) in enumerate(_walk_line(obj, root)):
+                if synth:
+                    if not isinstance(obj, dict):
+                        rows.append(kv + empty + ["quarantine"])
+                        continue
+                    if not obj:
+                        continue
+                    first = next(iter(obj))
+                    walked = _walk_line(obj[first], str(first), need_title=True)
+                else:
+                    walked = _walk_line(obj, root)
+                for i, (wpath, item, list_ord) in enumerate(walked):
                     content = item.get("content")
-                    rows.append(kv + [i, wpath, _as_text(item.get("title", NO_TITLE)),
+                    rows.append(kv + [i, list_ord, wpath, _as_text(item.get("title", NO_TITLE)),
                                       _as_text(item.get("lecture_url", NO_URL)),
                                       _as_text(item.get("path", wpath)),
                                       content if isinstance(content, str) else None,

@@ -172,3 +172,17 @@ def flatten_ordered(spark, sf):
     lines = nested_lines(Tables(spark, sf))
     docs = N.flatten_lectures_ordered(lines).where(F.col("status") == "ok")
     return docs.select("title", "url", "path", F.md5("content").alias("content_md5"), "item_no")
+
+
+@register("synthesis_sections", f"""
+SELECT category, section, list_no, 0::BIGINT AS list_ord, n_lectures, md5(section_text) AS text_md5 FROM {SECTION_SQL}
+""")
+def synthesis_sections(spark, sf):
+    """Synthesis walk of the nested lines (first key, category paths, title gate), then G1
+    text per list in walk order."""
+    lines = nested_lines(Tables(spark, sf))
+    lec = (N.flatten_lectures_ordered(lines, keys=["category", "section", "block"], mode="synthesis")
+           .where(F.col("status") == "ok"))
+    s = N.section_text(lec, list_keys=["category", "section", "block", "list_ord"], order="item_no")
+    return s.select("category", "section", F.col("block").cast("long").alias("list_no"), "list_ord",
+                    "n_lectures", F.md5("section_text").alias("text_md5"))

@@ -187,3 +187,17 @@ def test_ordered_mode_keeps_insertion_order_and_last_duplicate(spark):
     df = spark.createDataFrame([(0, line)], "line_no long, line string")
     r = N.flatten_lectures_ordered(df, keys=["line_no"]).orderBy("item_no").collect()
     assert [(x.item_no, x.url) for x in r] == [(0, "z2"), (1, "a"), (2, "b")]
+
+
+def test_q4_q5_q16_synthesis_mode(spark):
+    line = ('{"Cat":{"S1":[{"lecture_url":"a","content":"1","title":"t"},'
+            '{"Sub":[{"lecture_url":"b","content":"2","title":"t"}]},'
+            '{"lecture_url":"c","content":"3"}],'
+            '"S2":[{"lecture_url":"d","content":"4","title":"t"}]},"Other":[{"lecture_url":"e","content":"5","title":"t"}]}')
+    df = spark.createDataFrame([(0, line), (1, "[1, 2]")], "line_no long, line string")
+    r = N.flatten_lectures_ordered(df, keys=["line_no"], mode="synthesis").orderBy("line_no", "item_no").collect()
+    ok = [(x.url, x.walk_path, x.list_ord) for x in r if x.status == "ok"]
+    # only the first key; paths start at the category; "c" lacks a title; the nested list
+    # (S1 > Sub) is finished before its parent list S1
+    assert ok == [("a", "Cat > S1", 1), ("b", "Cat > S1 > Sub", 0), ("d", "Cat > S2", 2)]
+    assert [x.line_no for x in r if x.status == "quarantine"] == [1]
