@@ -53,9 +53,9 @@ def qa_records(df: DataFrame, *, category: Column, source: Column, question_type
 def parse_completion(df: DataFrame, raw: str = "raw") -> DataFrame:
     """B18 + B19: fence cleanup (character-set strip), JSON parse, answer length gate.
 
-    Adds ``payload`` (cleaned text), ``parsed`` (VARIANT or null), ``question``,
-    ``answer``, ``confidence`` (string), ``status`` in {ok, invalid_json,
-    not_object, short_answer}.  Rows are kept; callers filter on status.
+    Adds ``payload`` (cleaned text), ``question``, ``answer``, ``confidence``
+    (string, "N/A" when absent) and ``status`` in {ok, invalid_json, not_object,
+    short_answer}.  Rows are kept; callers filter on status.
     """
     cleaned = strip_charset(strip_charset(F.col(raw), FENCE_CHARS), "`")
     v = F.try_parse_json(cleaned)

@@ -44,36 +44,52 @@ HISTORY_SCHEMA = "conv_id long, turn long, n_pairs long, history_chars long"
 HISTORY_STATE = "n_pairs long, chars long, last_role string, last_text string"
 
 
-def _history_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    n_pairs, chars, last_role, last_text = state.get if state.exists else (0, 0, None, None)
-    rows = pd.concat(list(pdfs)).sort_values("turn")
-    out_turn, out_n, out_c = [], [], []
-    for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
-        if role == "user":
-            out_turn.append(int(turn))
-            out_n.append(int(n_pairs))
-            out_c.append(int(chars))
-        elif role == "assistant" and last_role == "user":
-            n_pairs += 1
-            chars += len(f"User: {last_text}\nBot: {text}")
-        last_role, last_text = role, text
-    state.update((int(n_pairs), int(chars), last_role, last_text))
-    yield pd.DataFrame({"conv_id": [int(key[0])] * len(out_turn), "turn": out_turn,
-                        "n_pairs": out_n, "history_chars": out_c})
-
-
-def start_history(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, schema: str):
+def _history_fn_factory(idle_ms: int | None):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:              # conversation idle: drop its state, emit nothing
+            state.remove()
+            return
+        n_pairs, chars, last_role, last_text = state.get if state.exists else (0, 0, None, None)
+        rows = pd.concat(list(pdfs)).sort_values("turn")
+        out_turn, out_n, out_c = [], [], []
+        for turn, role, text in zip(rows["turn"], rows["role"], rows["text"]):
+            if role == "user":
+                out_turn.append(int(turn))
+                out_n.append(int(n_pairs))
+                out_c.append(int(chars))
+            elif role == "assistant" and last_role == "user":
+                n_pairs += 1
+                chars += len(f"User: {last_text}\nBot: {text}")
+            last_role, last_text = role, text
+        state.update((int(n_pairs), int(chars), last_role, last_text))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
+        yield pd.DataFrame({"conv_id": [int(key[0])] * len(out_turn), "turn": out_turn,
+                            "n_pairs": out_n, "history_chars": out_c})
+    return fn
+
+
+def start_history(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, schema: str,
+                  idle_timeout_ms: int | None = None, trigger_interval: str = "30 seconds"):
     """Per-conversation state (pairs so far, history size), one output row per user turn.
 
     Turns of a conversation must arrive in order across micro-batches (append-only log);
-    within a batch they are sorted by turn.  State per conversation is four fields."""
+    within a batch they are sorted by turn.  State per conversation is four fields.
+
+    Without ``idle_timeout_ms`` the query processes what is available and stops
+    (``availableNow``).  With it, the query runs as a service on a processing-time
+    trigger and removes the state of a conversation idle for that long, which
+    bounds state by the active conversations (timeouts need the engine to keep
+    scheduling batches, so they cannot be combined with ``availableNow``)."""
     conv = spark.readStream.schema(schema).json(source_dir)
+    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_timeout_ms else GroupStateTimeout.NoTimeout
     out = conv.groupBy("conv_id").applyInPandasWithState(
-        _history_fn, outputStructType=HISTORY_SCHEMA, stateStructType=HISTORY_STATE,
-        outputMode="append", timeoutConf=GroupStateTimeout.NoTimeout)
-    return (out.writeStream.format("parquet").option("path", sink_dir)
-            .option("checkpointLocation", checkpoint).outputMode("append")
-            .trigger(availableNow=True).start())
+        _history_fn_factory(idle_timeout_ms), outputStructType=HISTORY_SCHEMA, stateStructType=HISTORY_STATE,
+        outputMode="append", timeoutConf=timeout)
+    w = (out.writeStream.format("parquet").option("path", sink_dir)
+         .option("checkpointLocation", checkpoint).outputMode("append"))
+    w = w.trigger(processingTime=trigger_interval) if idle_timeout_ms else w.trigger(availableNow=True)
+    return w.start()
 
 
 def start_url_dedup(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, schema: str,

@@ -88,3 +88,31 @@ def test_provider_retries_then_succeeds_and_error_modes(spark, tmp_path):
     with pytest.raises(Exception):
         call_provider(df, _testing.always_fails, "id long, out string", max_retries=1,
                       backoff_seconds=0.0).collect()
+
+
+def test_history_state_with_idle_timeout_as_service(spark):
+    import time
+
+    from lectern.operators import chat as C
+    from lectern.session import read_table
+    base = _dir(spark, "hist")
+    conv = read_table(spark, "/root/testdata/sf0.001", "conversations")
+    conv.write.json(base + "/src")
+    want = {(r.conv_id, r.turn, r.n_pairs, r.history_chars) for r in C.history_window(conv).collect()}
+    q = S.start_history(spark, base + "/src", base + "/out", base + "/ckpt",
+                        "conv_id long, turn long, role string, text string",
+                        idle_timeout_ms=1000, trigger_interval="1 second")
+    try:
+        got = set()
+        for _ in range(60):
+            time.sleep(1)
+            try:
+                got = {tuple(r) for r in spark.read.parquet(base + "/out")
+                       .select("conv_id", "turn", "n_pairs", "history_chars").collect()}
+            except Exception:  # noqa: BLE001 - sink folder not written yet
+                continue
+            if len(got) >= len(want):
+                break
+        assert got == want
+    finally:
+        q.stop()
