@@ -13,8 +13,8 @@ one process.  Rules (see README, "nested lectures"):
   (default ``NoURL``), ``path`` = stored ``path`` key, else the walk path;
 * a lecture whose ``content`` is not a string (e.g. JSON null) is quarantined.
 
-The number of rounds is the tree depth; each round's frontier is cut from the
-lineage with a reliable checkpoint.
+The number of rounds is the tree depth; each round's exploded level is cut from
+the lineage with a reliable checkpoint, so every level is parsed and exploded once.
 """
 
 from __future__ import annotations
@@ -128,12 +128,12 @@ def flatten_lectures(lines: DataFrame, *, value: str = "value", keys: list[str]
     frontier = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("node"),
                             F.lit(False).alias("in_list"))
     lect = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("lecture")).limit(0)
-    for depth in range(max_depth):
-        if depth > 0:
-            frontier = cut_lineage(frontier)      # round 0 is the parsed input itself
-        if frontier.isEmpty():
+    for _depth in range(max_depth):
+        # one level of the tree, materialised once: both the lectures found at this
+        # level and the next frontier are read from it (no second explode)
+        parts = cut_lineage(_explode(frontier).drop("node"))
+        if parts.isEmpty():
             break
-        parts = _explode(frontier)
         members = parts.where(F.col("key").isNotNull())
         elements = parts.where(F.col("key").isNull() & ~F.col("in_list"))
         is_lec = gate(F.col("value"))
