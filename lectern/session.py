@@ -61,25 +61,35 @@ _SHIPPED: set[str] = set()
 def ship_package(spark: SparkSession) -> None:
     """Make ``lectern`` importable on executors (UDF helpers are pickled by reference).
 
-    Zips the package once per SparkContext into the shared checkpoint folder and
-    registers it with ``addPyFile``; Spark distributes it to every executor.
+    Zips the package once per SparkContext and registers it with ``addPyFile``,
+    which distributes it to every executor (as ``--py-files`` would).  The zip is
+    written into the checkpoint folder when that is a local path, otherwise to a
+    driver-side file; executors always receive it from Spark.  Failing to ship
+    never fails a query (executors may have the package installed).
     """
     import zipfile
     sc = spark.sparkContext
     key = sc.applicationId
     if key in _SHIPPED:
         return
-    pkg = os.path.dirname(os.path.abspath(__file__))
-    target = os.path.join(ensure_checkpoint_dir(spark).replace("file:", ""), f"lectern-{key}.zip")
-    if not os.path.exists(target):
-        with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-            for root, _dirs, files in os.walk(pkg):
-                for f in files:
-                    if f.endswith(".py"):
-                        full = os.path.join(root, f)
-                        z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
-    sc.addPyFile(target)
-    _SHIPPED.add(key)
+    try:
+        pkg = os.path.dirname(os.path.abspath(__file__))
+        ckpt = ensure_checkpoint_dir(spark)
+        local = ckpt[len("file:"):] if ckpt.startswith("file:") else ckpt
+        folder = local if "://" not in ckpt and os.path.isdir(local) else tempfile.mkdtemp(prefix="lectern-pkg-")
+        target = os.path.join(folder, f"lectern-{key}.zip")
+        if not os.path.exists(target):
+            with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+                for root, _dirs, files in os.walk(pkg):
+                    for f in files:
+                        if f.endswith(".py"):
+                            full = os.path.join(root, f)
+                            z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+        sc.addPyFile(target)
+        _SHIPPED.add(key)
+    except Exception as exc:  # noqa: BLE001
+        import warnings
+        warnings.warn(f"lectern: package not shipped to executors ({exc})", stacklevel=2)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
