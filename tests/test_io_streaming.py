@@ -116,3 +116,14 @@ def test_history_state_with_idle_timeout_as_service(spark):
         assert got == want
     finally:
         q.stop()
+
+
+def test_eval_csv_keeps_arrays_as_json(spark):
+    out = _dir(spark, "csv") + "/results.csv"
+    df = spark.createDataFrame([("Generated QAs", 'q, "quoted"\nline', ["doc/1", "doc/2"])],
+                               "dataset string, question string, source_lectures array<string>")
+    K.write_eval_csv(df, out)
+    r = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(out).first()
+    assert r.eval_results == "Generated_QAs" and r.question == 'q, "quoted"\nline'
+    parsed = spark.range(1).select(F.from_json(F.lit(r.source_lectures), "array<string>")).first()[0]
+    assert parsed == ["doc/1", "doc/2"]

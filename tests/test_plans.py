@@ -45,3 +45,9 @@ def test_library_uses_no_local_checkpoint_or_cross_join():
         src = f.read_text()
         for banned in ("localCheckpoint", "crossJoin(", ".collect()", "toPandas("):
             assert banned not in src, (f, banned)
+
+
+def test_conversation_windows_are_bucketed(spark):
+    p = plan(queries()["chat_pairs"](spark, SF))
+    windows = [line for line in p.splitlines() if "Window [" in line]
+    assert windows and all("_bucket" in w for w in windows)
