@@ -13,6 +13,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions.text import py_strip
+from lectern.functions.fixed import CONTENT_NOT_FOUND
 
 NOISE_RE = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG_RE = r"<[^>]*>"
@@ -24,9 +25,6 @@ PARAGRAPH_RE = r"(?s)<p[^>]*>(.*?)</p>"
 ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
             ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&")]
 
-# Fixed value: text emitted when a lecture page has no content block.
-CONTENT_NOT_FOUND = "Lecture content not found."
-
 
 def remove_noise(html: Column) -> Column:
     return F.regexp_replace(html, NOISE_RE, "")

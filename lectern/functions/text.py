@@ -14,26 +14,9 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# ---------------------------------------------------------------------------
-# Fixed values (must equal the reference's behaviour for identical results)
-# ---------------------------------------------------------------------------
-# Arabic diacritics removed from indexed body text: U+0617..U+061A, U+064B..U+0652.
-DIACRITICS_RE = r"[\x{0617}-\x{061A}\x{064B}-\x{0652}]+"
-# Characters removed by Python's str.strip(): str.isspace() code points.
-PY_SPACE_CLASS = (r"[\t\n\x{0b}\x{0c}\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}"
-                  r"\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]")
-# Refusal sentence the answering prompt asks the model to use.
-REFUSAL_SENTENCE = "أنا آسف، ليس لدي المعلومات لذلك. يرجى استشارة عالم مؤهل."
-# Question/answer markers on archived fatwa pages, tried in this order.
-ANSWER_MARKER = "الجواب"
-ANSWER_MARKER_ALT = "أما بعد"
-# Characters stripped (as a set) from both ends of a model completion, then backticks.
-FENCE_CHARS = "`json"
-# Minimum answer length (code points) for a generated Q&A.
-MIN_ANSWER_LENGTH = 40
-# Near-duplicate threshold on the similarity ratio (strictly greater).
-NEAR_DUP_RATIO = 0.85
-# ---------------------------------------------------------------------------
+from lectern.functions.fixed import (ANSWER_MARKER, ANSWER_MARKER_ALT, DIACRITICS_RE,  # noqa: F401
+                                     FENCE_CHARS, MIN_ANSWER_LENGTH, NEAR_DUP_RATIO, PY_SPACE_CLASS,
+                                     REFUSAL_SENTENCE)
 
 STRIP_RE = rf"\A{PY_SPACE_CLASS}+|{PY_SPACE_CLASS}+\z"
 

@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import PY_SPACE_CLASS, is_blank
+from lectern.functions.fixed import CHUNK_OVERLAP, CHUNK_SIZE
+
 
-CHUNK_SIZE, CHUNK_OVERLAP = 8096, 200
 SEPARATORS = [r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", r" "]
 _SEPS = [re.compile(s) for s in SEPARATORS]
 # Python's str.strip() whitespace, used to trim chunk offsets

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import grade_label
+from lectern.functions.fixed import EXAMPLES_PER_LABEL
 
 SCORES = ("CORRECT", "INCORRECT", "UNKNOWN")
-EXAMPLES_PER_LABEL = 3
 # Closing advice lines of each dataset report (our own wording).
 SUGGESTIONS = [
     "Suggestions:",

@@ -28,8 +28,8 @@ from pyspark.sql import types as T
 
 from lectern.functions.text import py_strip
 from lectern.session import cut_lineage
+from lectern.functions.fixed import NO_TITLE, NO_URL
 
-NO_TITLE, NO_URL = "NoTitle", "NoURL"
 LECTURE_FIELDS = ["lecture_title", "lecture_url", "content", "path", "title"]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions import templates as TPL
+from lectern.functions.fixed import SOURCE_NO_PATH, SOURCE_NO_URL
 from lectern.functions.text import fill_template
 
 CONTEXT_SEPARATOR = "\n\n"
@@ -39,8 +40,8 @@ def source_lines(retrieved: DataFrame, *, rank: str = "rank", url: str = "url",
     return retrieved.withColumn(
         "source_line",
         F.format_string("[%d] %s (Path=%s)", F.col(rank),
-                        F.coalesce(F.col(url), F.lit("No URL")),
-                        F.coalesce(F.col(path), F.lit("NoPath"))))
+                        F.coalesce(F.col(url), F.lit(SOURCE_NO_URL)),
+                        F.coalesce(F.col(path), F.lit(SOURCE_NO_PATH))))
 
 
 def source_list(retrieved: DataFrame, *, key: str = "item_id", rank: str = "rank") -> DataFrame:

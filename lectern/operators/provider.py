@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lectern.functions.fixed import EMBED_BATCH
+
 Provider = Callable[[pd.DataFrame], pd.DataFrame]
 
 
-def call_provider(df: DataFrame, provider: Provider, schema: T.StructType | str, *, batch_size: int = 100,
+def call_provider(df: DataFrame, provider: Provider, schema: T.StructType | str, *, batch_size: int = EMBED_BATCH,
                   max_retries: int = 5, backoff_seconds: float = 1.0, on_error: str = "raise") -> DataFrame:
     if on_error not in ("raise", "null"):
         raise ValueError("on_error must be 'raise' or 'null'")

@@ -22,9 +22,7 @@ from pyspark.sql import functions as F
 
 from lectern.operators.ordered import running_sum
 from lectern.session import cut_lineage
-
-MAX_PER_LIST, MAX_PER_CATEGORY, MAX_TOTAL = 2, 20, 100
-TOKEN_BUDGET = 1_000_000
+from lectern.functions.fixed import MAX_PER_CATEGORY, MAX_PER_LIST, MAX_TOTAL, TOKEN_BUDGET
 
 
 def apply_quotas(cands: DataFrame, *, list_keys: list[str], category: str, order: str,

@@ -28,6 +28,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lectern.functions.fixed import EMBED_BATCH
+
 _CAND_SCHEMA = T.StructType([
     T.StructField("qid", T.LongType()),
     T.StructField("xid", T.LongType()),
@@ -117,7 +119,7 @@ def attach_metadata(neighbors: DataFrame, docs: DataFrame, *, neighbor_id: str =
     return neighbors.join(docs.withColumnRenamed(doc_id, neighbor_id), neighbor_id, "inner")
 
 
-def embed_batches(df: DataFrame, batch_size: int = 100, *, order_col: str = "doc_id",
+def embed_batches(df: DataFrame, batch_size: int = EMBED_BATCH, *, order_col: str = "doc_id",
                   bucket_width: int = 1 << 16) -> DataFrame:
     """Batch plan for an embedding provider, batches of ``batch_size`` consecutive rows.
 

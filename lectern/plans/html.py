@@ -11,9 +11,9 @@ from lectern.operators import html as H
 from lectern.operators.ordered import lead_columns
 from lectern.plans.registry import Tables, register
 from lectern.plans.sqlparts import denoise, q, strip, text_nodes
+from lectern.functions.fixed import LINKS_PER_CATEGORY
 
 LINK_PREFIX = "/t"      # B10 prefix used by the registered query
-LINKS_PER_CATEGORY = 5  # W1 cap (one harvester uses 5, the other 10)
 
 CLEAN_SQL = f"(SELECT page_id, url, regexp_extract(url, {q(H.HOST_RE)}, 1) AS host, {denoise('html')} AS clean FROM pages)"
 LINKS_SQL = f"""

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import templates as TPL
+from lectern.functions.fixed import NEIGHBOURS
 from lectern.operators import prompts as P
 from lectern.operators.vectors import attach_metadata, knn_graph, knn_join
 from lectern.plans.registry import Tables, register
 from lectern.plans.sqlparts import LECTURES, q, sqdist
 from lectern.sources.corpus import index_vectors, lecture_view, question_vectors
 
-K = 6  # neighbours per query
+K = NEIGHBOURS  # neighbours per query
 
 
 @register("knn_topk", f"""

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions import templates as TPL
+from lectern.functions.fixed import QUESTION_TYPES
 from lectern.functions.text import token_estimate
 from lectern.operators import chat as C
 from lectern.operators import neardup as ND
@@ -18,7 +19,6 @@ from lectern.plans.registry import Tables, register
 from lectern.plans.retrieval import _fill_sql
 from lectern.plans.sqlparts import q, strip
 
-QUESTION_TYPES = ["General"]            # fixed: the reference generates one question type
 PLAN_TYPES = ["General", "Factual", "Reasoning"]  # wider list used to exercise the shuffle order
 TIGHT_BUDGET = 100_000                  # a budget that binds on small scale factors
 
