@@ -16,7 +16,7 @@ from lectern.plans.evaluation import PAIRS_SQL
 from lectern.plans.registry import Tables, register
 from lectern.plans.sqlparts import diacritics, q, strip
 
-ARABIC_SAMPLE = "كتابُ الطَّهارةِ"  # a category name written with diacritics
+ARABIC_SAMPLE = "العِلْمُ نُورٌ"  # a short phrase written with diacritics (fatha, kasra, damma, sukun, tanween)
 
 USER_TURNS_SQL = """
 (SELECT conv_id, turn, text AS question,
