@@ -201,3 +201,29 @@ def test_q4_q5_q16_synthesis_mode(spark):
     # (S1 > Sub) is finished before its parent list S1
     assert ok == [("a", "Cat > S1", 1), ("b", "Cat > S1 > Sub", 0), ("d", "Cat > S2", 2)]
     assert [x.line_no for x in r if x.status == "quarantine"] == [1]
+
+
+def test_q19_completion_not_object_or_missing_fields(spark):
+    rows = [('["q", "a"]',), ('{"answer": "' + "a" * 50 + '"}',), ('{"question": "q", "answer": 7}',)]
+    r = X.parse_completion(spark.createDataFrame(rows, "raw string")).collect()
+    assert r[0].status == "not_object"
+    assert r[1].status == "ok" and r[1].question is None          # missing question stays null
+    assert r[2].status == "short_answer" and r[2].answer == "7"
+
+
+def test_b23_sources_absent_and_repeated(spark):
+    rows = [("plain answer",), ("body SOURCES: doc/1, https://x.org/a SOURCES: doc/2",)]
+    r = X.cited_sources(spark.createDataFrame(rows, "model_answer string")).collect()
+    assert r[0].answer_body == "plain answer" and r[0].cited == []
+    assert r[1].answer_body == "body" and r[1].cited == ["doc/1", "https://x.org/a", "doc/2"]
+
+
+def test_w8_pairs_need_adjacent_turns(spark):
+    from lectern.operators import chat as C
+    rows = [(1, 0, "system", "s"), (1, 1, "user", "q1"), (1, 2, "assistant", "a1"),
+            (1, 3, "user", "q2"), (1, 4, "system", "x"), (1, 5, "assistant", "a2"), (1, 6, "user", "q3")]
+    conv = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pairs = [(r.turn, r.question, r.answer) for r in C.chat_pairs(conv).orderBy("turn").collect()]
+    assert pairs == [(1, "q1", "a1")]
+    hist = {r.turn: (r.n_pairs, r.history_text) for r in C.history_window(conv).collect()}
+    assert hist[1] == (0, "") and hist[3] == (1, "User: q1\nBot: a1") and hist[6][0] == 1
