@@ -47,8 +47,11 @@ def classify_lines(df: DataFrame, line: str = "line") -> DataFrame:
 
 
 def scan_jsonl(spark, path: str) -> tuple[DataFrame, DataFrame]:
-    """A1 on files: (valid rows, quarantine rows).  ``line_key`` orders lines:
-    (file, split start, position in split)."""
+    """A1 on files: (valid rows, quarantine rows).
+
+    Lines are ordered by ``(file_path, block_start, pos)``: the file, the start of
+    its split and the row's position within the split (``pos`` is increasing
+    within a split), so quarantined lines can be traced back to their file."""
     raw = (spark.read.text(path)
            .select(F.col("value").alias("line"),
                    F.col("_metadata.file_path").alias("file_path"),
