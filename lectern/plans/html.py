@@ -155,3 +155,13 @@ def harvest_yield(spark, sf):
     ok = ~is_blank("section_text")
     return j.groupBy("category").agg(F.count(F.lit(1)).alias("links_found"),
                                      F.count_if(ok).alias("records_written"))
+
+
+H1_SQL = f"{text_nodes(_inner_sql('<h1[^>]*>', 'h1'), '')}"
+TITLES_ALL_SQL = f"(SELECT page_id AS id, {H1_SQL} AS text FROM {CLEAN_SQL})"
+
+
+def page_titles(t: Tables):
+    """Harvested page headings (text of ``<h1>``): the question titles of an archive."""
+    p = H.section_text(pages_clean(t), "<h1[^>]*>", "h1", "", fallback=None, out="text")
+    return p.select(F.col("page_id").alias("id"), "text")

@@ -75,16 +75,25 @@ def token_budget_tight(spark, sf):
 
 
 QUESTIONS_ALL_SQL = "(SELECT conv_id * 100000 + turn AS id, text FROM conversations WHERE role = 'user')"
-# one row per distinct non-empty text, represented by its smallest id
-QUESTIONS_SQL = f"(SELECT min(id) AS id, text FROM {QUESTIONS_ALL_SQL} WHERE length(text) > 0 GROUP BY text)"
-ENCODED_SQL = f"""
+
+
+def _distinct_sql(all_sql: str) -> str:
+    """One row per distinct non-empty text, represented by its smallest id."""
+    return f"(SELECT min(id) AS id, text FROM {all_sql} WHERE length(text) > 0 GROUP BY text)"
+
+
+def _encoded_sql(all_sql: str) -> str:
+    """Pairs of distinct texts with ratio > 0.85.  DuckDB's levenshtein counts bytes, so
+    every distinct lower-cased character is first mapped to its own single-byte code."""
+    reps = _distinct_sql(all_sql)
+    return f"""
 chars AS (SELECT id, unnest(range(1, len(cs) + 1)) AS pos, unnest(cs) AS c
-          FROM (SELECT id, regexp_extract_all(lower(text), '(?s).') AS cs FROM {QUESTIONS_SQL})),
+          FROM (SELECT id, regexp_extract_all(lower(text), '(?s).') AS cs FROM {reps})),
 dict AS (SELECT c, row_number() OVER (ORDER BY c) AS code FROM (SELECT DISTINCT c FROM chars)),
 enc AS (SELECT q.id, length(q.text) AS n, length(lower(q.text)) AS nl,
                coalesce((SELECT string_agg(chr(d.code::INTEGER), '' ORDER BY ch.pos)
                          FROM chars ch JOIN dict d ON d.c = ch.c WHERE ch.id = q.id), '') AS e
-        FROM {QUESTIONS_SQL} q),
+        FROM {reps} q),
 pairs AS (SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.e, b.e) AS distance,
                  1.0 - levenshtein(a.e, b.e) / greatest(a.n, b.n) AS ratio
           FROM enc a JOIN enc b ON a.id < b.id AND abs(a.nl - b.nl) <= ceil(0.15 * greatest(a.n, b.n))
@@ -92,6 +101,25 @@ pairs AS (SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.e, b.e) AS distance,
 """
 
 
+def _greedy_sql(all_sql: str) -> str:
+    return f"""
+WITH RECURSIVE {_encoded_sql(all_sql)},
+ord AS (SELECT a.id, row_number() OVER (ORDER BY a.id) AS i, (length(a.text) > 0 AND a.id <> r.id) AS is_copy
+        FROM {all_sql} a LEFT JOIN {_distinct_sql(all_sql)} r ON r.text = a.text),
+g(i, kept) AS (
+  SELECT 0::BIGINT, []::BIGINT[]
+  UNION ALL
+  SELECT o.i, CASE WHEN o.is_copy OR EXISTS (SELECT 1 FROM pairs p WHERE p.id_b = o.id AND list_contains(g.kept, p.id_a))
+                   THEN g.kept ELSE list_append(g.kept, o.id) END
+  FROM g JOIN ord o ON o.i = g.i + 1)
+SELECT o.id, list_contains((SELECT kept FROM g ORDER BY i DESC LIMIT 1), o.id) AS kept FROM ord o
+"""
+
+
+QUESTIONS_SQL = _distinct_sql(QUESTIONS_ALL_SQL)
+ENCODED_SQL = _encoded_sql(QUESTIONS_ALL_SQL)
+
+
 def _questions(t: Tables):
     c = t.conversations.where(F.col("role") == "user")
     return c.select((F.col("conv_id") * 100000 + F.col("turn")).alias("id"), "text")
@@ -114,18 +142,7 @@ def exact_copies(spark, sf):
     return ND.exact_copies(_questions(Tables(spark, sf))).select("id", "rep_id")
 
 
-@register("near_dup_greedy", f"""
-WITH RECURSIVE {ENCODED_SQL},
-ord AS (SELECT a.id, row_number() OVER (ORDER BY a.id) AS i, (length(a.text) > 0 AND a.id <> r.id) AS is_copy
-        FROM {QUESTIONS_ALL_SQL} a LEFT JOIN {QUESTIONS_SQL} r ON r.text = a.text),
-g(i, kept) AS (
-  SELECT 0::BIGINT, []::BIGINT[]
-  UNION ALL
-  SELECT o.i, CASE WHEN o.is_copy OR EXISTS (SELECT 1 FROM pairs p WHERE p.id_b = o.id AND list_contains(g.kept, p.id_a))
-                   THEN g.kept ELSE list_append(g.kept, o.id) END
-  FROM g JOIN ord o ON o.i = g.i + 1)
-SELECT o.id, list_contains((SELECT kept FROM g ORDER BY i DESC LIMIT 1), o.id) AS kept FROM ord o
-""")
+@register("near_dup_greedy", _greedy_sql(QUESTIONS_ALL_SQL))
 def near_dup_greedy(spark, sf):
     r = ND.greedy_first_wins(_questions(Tables(spark, sf)))
     return r.select("id", "kept")
@@ -283,3 +300,30 @@ def synthesis_strict(spark, sf):
     acc = QU.strict_fold(cands, order="doc_id", list_keys=["category", "section", "list_no"], category="category",
                          est_in="est_in", cost="cost", budget=TIGHT_BUDGET)
     return acc.select("doc_id", "usage_after")
+
+
+from lectern.plans.html import TITLES_ALL_SQL, page_titles  # noqa: E402
+
+
+@register("near_dup_titles", f"""
+WITH {_encoded_sql(TITLES_ALL_SQL)}
+SELECT id_a, id_b, distance, round(ratio, 6) AS ratio FROM pairs
+""")
+def near_dup_titles(spark, sf):
+    """J4 on harvested page headings (whole titles): pairs of distinct titles with ratio > 0.85."""
+    p = ND.near_duplicate_pairs(page_titles(Tables(spark, sf)))
+    return p.select("id_a", "id_b", F.col("distance").cast("long").alias("distance"),
+                    F.round("ratio", 6).alias("ratio"))
+
+
+@register("title_copies", f"""
+SELECT q.id, r.id AS rep_id FROM {TITLES_ALL_SQL} q JOIN {_distinct_sql(TITLES_ALL_SQL)} r ON r.text = q.text
+""")
+def title_copies(spark, sf):
+    return ND.exact_copies(page_titles(Tables(spark, sf))).select("id", "rep_id")
+
+
+@register("near_dup_titles_greedy", _greedy_sql(TITLES_ALL_SQL))
+def near_dup_titles_greedy(spark, sf):
+    """W6 on page headings: first-wins removal of near-duplicate titles."""
+    return ND.greedy_first_wins(page_titles(Tables(spark, sf))).select("id", "kept")
