@@ -73,24 +73,36 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
 def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category: str, est_in: str,
                 cost: str, budget: int = TOKEN_BUDGET, per_list: int = MAX_PER_LIST,
                 per_category: int = MAX_PER_CATEGORY, total: int = MAX_TOTAL,
-                dup_pairs: DataFrame | None = None, max_rounds: int = 100_000) -> DataFrame:
+                dup_pairs: DataFrame | None = None, dup_key: str | None = None,
+                max_rounds: int = 100_000) -> DataFrame:
     """Strict synthesis fold: caps, token budget and near duplicates interleaved as in
     the sequential loop.  ``cands`` are *valid* candidates (invalid ones consume
-    nothing); ``order`` is a unique long and also the id used by ``dup_pairs``
-    (``id_a < id_b`` in order).  Returns accepted rows with ``usage_after``.
+    nothing) and ``order`` is a unique long.  Returns accepted rows with ``usage_after``.
 
     A candidate is accepted iff its list, category and total counts are below the
-    caps, ``usage < budget``, ``usage + est_in <= budget`` and it is not a near
-    duplicate of an accepted candidate; acceptance adds ``cost`` to usage.  Each
-    round ranks the remaining candidates with the current counts as offsets
+    caps, ``usage < budget``, ``usage + est_in <= budget`` and it is not a
+    duplicate of an accepted candidate; acceptance adds ``cost`` to usage.
+    Duplicates: two candidates with the same ``dup_key`` (default: none share one),
+    or whose keys form a pair in ``dup_pairs`` (``id_a``, ``id_b``, either
+    orientation; keys default to ``order``).
+
+    Each round ranks the remaining candidates with the current counts as offsets
     (nested ranks, exact because caps only saturate) and takes a running sum of
     cost.  The round is exact up to its first conflict: a budget failure, or a
-    near duplicate of an earlier candidate of the same round.  Rows before it are
+    duplicate of an earlier candidate of the same round.  Rows before it are
     accepted or rejected for good, the conflict row is rejected (or ends the fold
-    on ``usage >= budget``), and the next round starts after it.
+    on ``usage >= budget``), and the next round starts after it.  A round holds at
+    most ``total`` candidates, so duplicate checks touch small tables only.
     """
-    base = cands.select(order, *list_keys, category, est_in, cost)
+    key = dup_key or order
+    base = cands.select(order, *list_keys, category, est_in, cost,
+                        *([dup_key] if dup_key and dup_key not in (order, category, *list_keys) else []))
     rest = cut_lineage(base.where(F.col(est_in) <= budget))
+    sym = None
+    if dup_pairs is not None:
+        sym = cut_lineage(dup_pairs.select(F.col("id_a").alias("k1"), F.col("id_b").alias("k2"))
+                          .unionByName(dup_pairs.select(F.col("id_b").alias("k1"), F.col("id_a").alias("k2"))))
+    check_dups = sym is not None or dup_key is not None
     accepted = None
     used, n_acc = 0, 0
     for _round in range(max_rounds):
@@ -101,10 +113,13 @@ def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category:
             lc = accepted.groupBy(*list_keys).agg(F.count(F.lit(1)).alias("_lc"))
             cc = accepted.groupBy(category).agg(F.count(F.lit(1)).alias("_cc"))
             r = r.join(lc, list_keys, "left").join(cc, category, "left")
-            if dup_pairs is not None:
-                dups_of_acc = (dup_pairs.join(accepted.select(F.col(order).alias("id_a")), "id_a")
-                               .select(F.col("id_b").alias(order)))
-                r = r.join(dups_of_acc, order, "left_anti")
+            if check_dups:
+                acc_keys = accepted.select(F.col(key).alias("_k")).distinct()
+                blocked = acc_keys
+                if sym is not None:
+                    blocked = blocked.unionByName(sym.join(acc_keys.withColumnRenamed("_k", "k1"), "k1")
+                                                  .select(F.col("k2").alias("_k")))
+                r = r.join(blocked.withColumnRenamed("_k", key), key, "left_anti")
         else:
             r = r.withColumn("_lc", F.lit(None).cast("long")).withColumn("_cc", F.lit(None).cast("long"))
         r = (r.withColumn("_lc", F.coalesce("_lc", F.lit(0)))
@@ -119,12 +134,18 @@ def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category:
                  (F.col("_prefix") + F.col(est_in) > F.lit(budget - used)))
         first_budget = rs.where(fails).agg(F.min(order).alias("f"), F.min_by("_prefix", order).alias("p")).first()
         f_dup = None
-        if dup_pairs is not None:
-            qa = q.select(F.col(order).alias("id_a"))
-            qb = q.select(F.col(order).alias("id_b"))
-            f_dup = dup_pairs.join(qa, "id_a").join(qb, "id_b").agg(F.min("id_b")).first()[0]
+        if check_dups:
+            e = q.select(F.col(order).alias("_oe"), F.col(key).alias("_ke"))
+            x = q.select(F.col(order).alias("_ox"), F.col(key).alias("_kx"))
+            same = e.join(x, (F.col("_ke") == F.col("_kx")) & (F.col("_oe") < F.col("_ox")))
+            conflicts = same.select("_ox")
+            if sym is not None:
+                near = (e.join(sym, F.col("_ke") == F.col("k1"))
+                        .join(x, (F.col("k2") == F.col("_kx")) & (F.col("_oe") < F.col("_ox"))))
+                conflicts = conflicts.unionByName(near.select("_ox"))
+            f_dup = conflicts.agg(F.min("_ox")).first()[0]
         fb = first_budget["f"]
-        stops = [x for x in (fb, f_dup) if x is not None]
+        stops = [v for v in (fb, f_dup) if v is not None]
         f = min(stops) if stops else None
         take = rs if f is None else rs.where(F.col(order) < f)
         take = take.withColumn("usage_after", (F.col("_prefix") + F.col(cost) + F.lit(used)).cast("long")) \

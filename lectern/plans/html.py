@@ -165,3 +165,13 @@ def page_titles(t: Tables):
     """Harvested page headings (text of ``<h1>``): the question titles of an archive."""
     p = H.section_text(pages_clean(t), "<h1[^>]*>", "h1", "", fallback=None, out="text")
     return p.select(F.col("page_id").alias("id"), "text")
+
+
+ARTICLE_LINES_SQL = (f"(SELECT page_id, url, host, {text_nodes(_inner_sql('<article[^>]*>', 'article'), chr(10))} AS s "
+                     f"FROM {CLEAN_SQL})")
+
+
+def page_articles(t: Tables):
+    """(page_id, url, host, article): article text joined by newline."""
+    p = H.section_text(pages_clean(t), "<article[^>]*>", "article", "\n", fallback=None, out="article")
+    return p.select("page_id", "url", "host", "article")

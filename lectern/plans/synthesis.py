@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import templates as TPL
 from lectern.functions.fixed import QUESTION_TYPES
+from lectern.functions.text import is_blank
 from lectern.functions.text import token_estimate
 from lectern.operators import chat as C
 from lectern.operators import neardup as ND
@@ -327,3 +328,60 @@ def title_copies(spark, sf):
 def near_dup_titles_greedy(spark, sf):
     """W6 on page headings: first-wins removal of near-duplicate titles."""
     return ND.greedy_first_wins(page_titles(Tables(spark, sf))).select("id", "kept")
+
+
+from lectern.plans.html import ARTICLE_LINES_SQL, page_articles  # noqa: E402
+
+LANG_RE = r"^[a-zA-Z]+://[^/]+/([a-z][a-z])/"
+
+
+def _harvest_strict_sql(budget: int) -> str:
+    dup = ("(list_contains(g.reps, c.rep) OR EXISTS (SELECT 1 FROM pairs p WHERE "
+           "(p.id_a = c.rep AND list_contains(g.reps, p.id_b)) OR (p.id_b = c.rep AND list_contains(g.reps, p.id_a))))")
+    ok = (f"(g.n < {QU.MAX_TOTAL} AND g.usage < {budget} AND coalesce(g.lists[c.lst], 0) < {QU.MAX_PER_LIST} "
+          f"AND coalesce(g.cats[c.cat], 0) < {QU.MAX_PER_CATEGORY} AND g.usage + c.est <= {budget} AND NOT {dup})")
+    return f"""
+WITH RECURSIVE {_encoded_sql(TITLES_ALL_SQL)},
+reps AS (SELECT q.id, r.id AS rep FROM {TITLES_ALL_SQL} q JOIN {_distinct_sql(TITLES_ALL_SQL)} r ON r.text = q.text),
+c AS (SELECT row_number() OVER (ORDER BY a.page_id) AS i, a.page_id, a.host AS cat,
+             a.host || '|' || regexp_extract(a.url, {q(LANG_RE)}, 1) AS lst, reps.rep,
+             ceil(length(a.s) / 4)::BIGINT AS est,
+             (ceil(length(a.s) / 4) + ceil(length(t.text) / 4))::BIGINT AS cost
+      FROM {ARTICLE_LINES_SQL} a JOIN {TITLES_ALL_SQL} t ON t.id = a.page_id JOIN reps ON reps.id = a.page_id
+      WHERE length(a.s) >= 40 AND {strip('t.text')} <> ''),
+g(i, usage, n, lists, cats, reps, acc) AS (
+  SELECT 0::BIGINT, 0::BIGINT, 0::BIGINT, MAP {{}}::MAP(VARCHAR, BIGINT), MAP {{}}::MAP(VARCHAR, BIGINT),
+         []::BIGINT[], false
+  UNION ALL
+  SELECT c.i,
+         CASE WHEN {ok} THEN g.usage + c.cost ELSE g.usage END,
+         CASE WHEN {ok} THEN g.n + 1 ELSE g.n END,
+         CASE WHEN {ok} THEN map_concat(g.lists, MAP {{c.lst: coalesce(g.lists[c.lst], 0) + 1}}) ELSE g.lists END,
+         CASE WHEN {ok} THEN map_concat(g.cats, MAP {{c.cat: coalesce(g.cats[c.cat], 0) + 1}}) ELSE g.cats END,
+         CASE WHEN {ok} THEN list_append(g.reps, c.rep) ELSE g.reps END,
+         {ok}
+  FROM g JOIN c ON c.i = g.i + 1
+  WHERE g.n < {QU.MAX_TOTAL} AND g.usage < {budget})
+SELECT c.page_id, g.usage AS usage_after FROM g JOIN c ON c.i = g.i WHERE g.acc
+"""
+
+
+@register("harvest_strict", _harvest_strict_sql(TIGHT_BUDGET))
+def harvest_strict(spark, sf):
+    """Strict fold over harvested pages: caps per (host, language) list / host / total,
+    a binding token budget, and duplicates by title (identical or ratio > 0.85)."""
+    t = Tables(spark, sf)
+    titles = page_titles(t)
+    copies = ND.exact_copies(titles).withColumnRenamed("id", "page_id").withColumnRenamed("rep_id", "rep")
+    pairs = ND.near_duplicate_pairs(titles).select("id_a", "id_b")
+    art = page_articles(t)
+    cands = (art.join(titles.withColumnRenamed("id", "page_id").withColumnRenamed("text", "title"), "page_id")
+             .join(copies, "page_id")
+             .where((F.length("article") >= 40) & ~is_blank("title"))
+             .select("page_id", F.col("host").alias("category"),
+                     F.concat_ws("|", "host", F.regexp_extract("url", LANG_RE, 1)).alias("lst"), "rep",
+                     token_estimate("article").alias("est_in"),
+                     (token_estimate("article") + token_estimate("title")).cast("long").alias("cost")))
+    acc = QU.strict_fold(cands, order="page_id", list_keys=["lst"], category="category", est_in="est_in",
+                         cost="cost", budget=TIGHT_BUDGET, dup_pairs=pairs, dup_key="rep")
+    return acc.select("page_id", "usage_after")
