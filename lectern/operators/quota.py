@@ -151,19 +151,19 @@ def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category:
         take = take.withColumn("usage_after", (F.col("_prefix") + F.col(cost) + F.lit(used)).cast("long")) \
                    .drop("_prefix")
         take = cut_lineage(take)
-        accepted = take if accepted is None else cut_lineage(accepted.unionByName(take))
-        n_acc = accepted.count()
+        # rounds are already materialised: their union needs no further checkpoint
+        accepted = take if accepted is None else accepted.unionByName(take)
+        n_take = take.count()
+        n_acc += n_take
         if f is None:
             break
         if fb is not None and fb == f:
             used += int(first_budget["p"])
             if used >= budget:
                 break
-        else:
-            used = int(accepted.agg(F.max("usage_after")).first()[0] or used)
+        elif n_take:
+            used = int(take.agg(F.max("usage_after")).first()[0])
         rest = cut_lineage(rest.where((F.col(order) > f) & (F.col(est_in) <= budget - used)))
-        if rest.isEmpty():
-            break
     if accepted is None:
         return base.limit(0).withColumn("usage_after", F.lit(0).cast("long"))
     return accepted
