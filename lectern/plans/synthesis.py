@@ -14,7 +14,8 @@ from lectern.operators import neardup as ND
 from lectern.operators import prompts as P
 from lectern.operators import quota as QU
 from lectern.operators.html import link_rows
-from lectern.plans.html import NONBLANK_LINKS_SQL, pages_clean
+from lectern.plans.html import (ARTICLE_LINES_SQL, NONBLANK_LINKS_SQL, TITLES_ALL_SQL, page_articles,
+                                page_titles, pages_clean)
 from lectern.plans.nested import LINES_PER_LIST, SECTION_SQL, section_frame
 from lectern.plans.registry import Tables, register
 from lectern.plans.retrieval import _fill_sql
@@ -303,9 +304,6 @@ def synthesis_strict(spark, sf):
     return acc.select("doc_id", "usage_after")
 
 
-from lectern.plans.html import TITLES_ALL_SQL, page_titles  # noqa: E402
-
-
 @register("near_dup_titles", f"""
 WITH {_encoded_sql(TITLES_ALL_SQL)}
 SELECT id_a, id_b, distance, round(ratio, 6) AS ratio FROM pairs
@@ -330,8 +328,6 @@ def near_dup_titles_greedy(spark, sf):
     return ND.greedy_first_wins(page_titles(Tables(spark, sf))).select("id", "kept")
 
 
-from lectern.plans.html import ARTICLE_LINES_SQL, page_articles  # noqa: E402
-
 LANG_RE = r"^[a-zA-Z]+://[^/]+/([a-z][a-z])/"
 
 
