@@ -61,9 +61,8 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
         if used >= budget:
             break
         left = budget - used
+        # an empty remainder ends the next round (no failing row, nothing to accept)
         rest = cut_lineage(rest.where((F.col(order) > f) & (F.col(est_in) <= left)))
-        if rest.isEmpty():
-            break
     out = accepted[0]
     for a in accepted[1:]:
         out = out.unionByName(a)
