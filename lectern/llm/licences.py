@@ -86,9 +86,12 @@ NOT_NOTICES = [
     "Licensed under the proprietary terms of the vendor agreement.",
     "This document is licensed under a custom license.",
 ]
-#: Function words: an n-gram of nothing else is no feature, and none of them alone opens a paragraph.
-COMMON = ("a an and any are as at be by for from has have in into is it its may no not of on or that the this to "
-          "under was were will with without you your v").split()
+#: Words of ordinary texts ("mit" is also German): an n-gram of nothing else is no feature, and none
+#: of them alone opens a paragraph.
+COMMON = ("a an and any are as at available be been binary by can charge clause code conditions copy distributed "
+          "files following for form forms free from general granted has have hereby in into is it its later library "
+          "may met mit modify no not of on only or person program project provided public released shared source "
+          "subject terms text that the this to under use v version was were will with without work you your").split()
 #: Paragraphs of the corpus read when fitting (lowest hashes of their document's id), and their largest length in words.
 FIT_PARAGRAPHS, FIT_WORDS = 2000, 60
 #: Copies of each phrase when fitting, with words around them taken from corpus paragraphs.
@@ -199,30 +202,33 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     forms = _constant([{"f": f, "t": sorted(_threes(_plain_words(t)))} for f, ts in TEMPLATES.items() for t in ts],
                       "array<struct<f:string,t:array<string>>>")
 
+    # each step's values are bound by a transform of its own, so that no lambda computes them again per feature
+    def bind(p: Column) -> Column:
+        threes = F.when(F.size(p["w"]) >= 3, _grams(p["w"], 3)).otherwise(F.array(F.array_join(p["w"], " ")))
+        return F.struct(p["at"].alias("paragraph"), threes.alias("threes"), ngrams(p["w"]).alias("grams"))
+
     def score(p: Column) -> Column:
-        grams = ngrams(p["w"])
-        z = F.aggregate(F.filter(weights, lambda x: F.array_contains(grams, x["g"])), bias,
+        z = F.aggregate(F.filter(weights, lambda x: F.array_contains(p["grams"], x["g"])), bias,
                         lambda acc, x: F.zip_with(acc, x["w"], lambda a, b: a + b))
-        return F.struct(p["at"].alias("paragraph"), p["w"].alias("w"), z.alias("z"))
+        return F.struct(p["paragraph"].alias("paragraph"), p["threes"].alias("threes"), z.alias("z"))
 
     def soft(s: Column) -> Column:
         e = F.transform(s["z"], lambda v: F.exp(v - F.array_max(s["z"])))
         total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
         prob = F.transform(e, lambda v: v / total)
-        return F.struct(s["paragraph"].alias("paragraph"), s["w"].alias("w"), prob.alias("prob"))
+        return F.struct(s["paragraph"].alias("paragraph"), s["threes"].alias("threes"), prob.alias("prob"))
 
     def judge(s: Column) -> Column:
         family = F.array_max(F.slice(s["prob"], 2, len(model.classes) - 1))
         name = F.element_at(names, F.array_position(F.slice(s["prob"], 2, len(model.classes) - 1), family).cast("int") + 1)
-        threes = F.when(F.size(s["w"]) >= 3, _grams(s["w"], 3)).otherwise(F.array(F.array_join(s["w"], " ")))
         like = F.array_max(F.transform(F.filter(forms, lambda t: t["f"] == name),
-                                       lambda t: F.size(F.array_intersect(t["t"], threes)) / F.size(t["t"])))
+                                       lambda t: F.size(F.array_intersect(t["t"], s["threes"])) / F.size(t["t"])))
         sure = family >= model.threshold
         return F.struct(s["paragraph"].alias("paragraph"), F.when(sure, name).otherwise(F.lit("unknown")).alias("family"),
                         family.alias("score"), like.alias("likeness"), (sure & (like >= CONFIRM)).alias("confirmed"))
     paras = F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("at"), tokens(p).alias("w")))
     d = id_text(docs).select("doc_id", F.when(F.arrays_overlap(words, content), F.filter(paras, lambda p: F.arrays_overlap(p["w"], content))).alias("paras"))
-    d = d.select("doc_id", F.when(F.size("paras") > 0, F.transform("paras", score)).alias("scored"))
+    d = d.select("doc_id", F.when(F.size("paras") > 0, F.transform(F.transform("paras", bind), score)).alias("scored"))
     d = d.select("doc_id", F.transform("scored", soft).alias("scored"))
     d = d.select("doc_id", F.filter("scored", lambda s: s["prob"][0] < 0.5).alias("scored"))
     return d.select("doc_id", F.coalesce(F.transform("scored", judge),
