@@ -42,29 +42,31 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        got = self[word] = xxhash.xxh3_64_intdigest(word)
+        return got
+
+
 class Shingler:
     """Distinct 64-bit hashes of the word shingles of a text (A-Z lower-cased, ASCII white space)."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.cache = words, {}
+        self.words, self.cache = words, _WordHashes()
 
     def __call__(self, text: str) -> np.ndarray:
         if len(self.cache) > 500_000:
             self.cache.clear()
-        get, tokens = self.cache.get, text.encode("utf-8", "surrogatepass").lower().split()
-        codes = list(map(get, tokens))
-        if None in codes:
-            for i, c in enumerate(codes):
-                if c is None:
-                    codes[i] = self.cache[tokens[i]] = xxhash.xxh3_64_intdigest(tokens[i])
-        h = np.array(codes, dtype=np.uint64)
+        tokens = text.encode("utf-8", "surrogatepass").lower().split()
+        h = np.fromiter(map(self.cache.__getitem__, tokens), np.uint64, len(tokens))
         k = min(self.words, len(h))
         if k == 0:
             return h
         acc = np.full(len(h) - k + 1, k, np.uint64)  # a short text's single shingle differs from any longer one
         for i in range(k):
-            acc = _mix(acc * _P + h[i:len(h) - k + 1 + i])
-        return np.unique(acc)
+            acc *= _P
+            acc += h[i:len(h) - k + 1 + i]
+        return np.unique(_mix(acc))
 
 
 def superminhash(sets: list[np.ndarray], m: int = PLACES) -> np.ndarray:
