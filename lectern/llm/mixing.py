@@ -19,7 +19,7 @@ from lectern.llm.common import WORD, saved
 GOLDEN = 2654435769
 WEIGHTS = (5.0, 2.0, 1.0)
 #: Documents of one source per window task, and slots per window task.
-BUCKET_DOCS = 20_000
+BUCKET_DOCS = 2_000
 CHUNK = 1 << 16
 
 
