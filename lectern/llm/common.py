@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -62,6 +63,17 @@ def wide_hash(*cols: Column | str) -> list[Column]:
     return [F.xxhash64(*cols), F.xxhash64(F.lit(0x5EED), *cols)]
 
 
+def lots(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 23) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and about ``size`` bytes of text (one row at least)."""
+    total = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        base = total[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(total, base + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def union_find(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(node, smallest node reachable) for the nodes of the edges u-v that are not their own root."""
     nodes, inv = np.unique(np.concatenate([u, v]), return_inverse=True)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, drop_saved, id_text, saved
+from lectern.llm.common import components, drop_saved, id_text, lots, saved
 
 WORDS = 5
 #: 36 bands of 5: a pair at similarity 0.75 meets with probability 1 - (1 - 0.75**5)**36 > 0.9999.
@@ -116,8 +116,7 @@ def _sign(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 2048):
-                sub = batch.slice(lo, 2048)
+            for sub in lots(batch, 1, 2048, 1 << 24):
                 sets = [shingle(t) for t in sub.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 sigs = [None] * len(sets)
@@ -161,8 +160,7 @@ def _verify(words: int):
         """Links: 100 * |intersection| >= 75 * |union| on the full shingle sets."""
         shingle = Shingler(words)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sub = batch.slice(lo, 256)
+            for sub in lots(batch, 2):
                 texts, memo, keep = (sub.column(2).to_pylist(), sub.column(3).to_pylist()), {}, []
 
                 def get(t: str) -> np.ndarray:

@@ -17,39 +17,51 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import id_text, in_id_order, saved
+from lectern.llm.common import id_text, in_id_order, lots, saved
 from lectern.llm.tokens import default_tokenizer, encoder
 
 _SCHEMA = ("doc_id long, doc_tokens long, start long, length long, ids binary, "
            "level int, part int, idx long")
 
 
-def piece_lengths(n: int, max_len: int) -> list[int]:
-    """Full pieces, then the binary parts of the rest, descending."""
-    rest = n % max_len
-    return [max_len] * (n // max_len) + [1 << b for b in range(rest.bit_length() - 1, -1, -1) if rest >> b & 1]
+def cut_lengths(sizes: np.ndarray, max_len: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document index, length) of the pieces of documents of ``sizes`` ids, in order."""
+    full, rest = sizes // max_len, sizes % max_len
+    docs, lengths = [np.repeat(np.arange(len(sizes)), full)], [np.full(int(full.sum()), max_len)]
+    for bit in range(max_len.bit_length() - 2, -1, -1):
+        own = np.flatnonzero(rest >> bit & 1)
+        docs.append(own)
+        lengths.append(np.full(len(own), 1 << bit))
+    docs, lengths = np.concatenate(docs), np.concatenate(lengths)
+    order = np.argsort(docs, kind="stable")  # lengths already descend within a document
+    return docs[order], lengths[order]
 
 
 def _cutter(path: str, max_len: int, end_id: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part = encoder(path), TaskContext.get().partitionId()
-        seen = [0] * max_len.bit_length()  # pieces so far per level
+        seen = np.zeros(max_len.bit_length(), np.int64)  # pieces so far per level
+        end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sub = batch.slice(lo, 256)
-                rows = []
-                for doc_id, ids in zip(sub.column(0).to_pylist(), enc.encode_many(sub.column(1).to_pylist())):
-                    ids = np.append(np.frombuffer(ids, enc.dtype).astype("<u4"), np.uint32(end_id))
-                    raw, start = ids.astype("<u4").tobytes(), 0
-                    for n in piece_lengths(len(ids), max_len):
-                        level = n.bit_length() - 1
-                        rows.append((doc_id, len(ids), start, n, raw[4 * start:4 * (start + n)], level, part, seen[level]))
-                        seen[level] += 1
-                        start += n
-                cols = zip(*rows)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.int64()]
+            for sub in lots(batch, 1):
+                ids = [x + end for x in enc.encode_many(sub.column(1).to_pylist())]
+                sizes = np.array([len(x) for x in ids]) // enc.dtype.itemsize
+                docs, lengths = cut_lengths(sizes, max_len)
+                ends = np.cumsum(lengths)
+                start = ends - lengths - (np.cumsum(sizes) - sizes)[docs]
+                level = np.log2(lengths).astype(np.int64)
+                idx = np.empty(len(lengths), np.int64)
+                for k in np.unique(level):
+                    own = np.flatnonzero(level == k)
+                    idx[own] = seen[k] + np.arange(len(own))
+                    seen[k] += len(own)
+                # a document's pieces lie one after the other, so all pieces share one buffer
+                flat = np.frombuffer(b"".join(ids), enc.dtype).astype("<u4")
+                offsets = np.concatenate([[0], ends * 4]).astype(np.int32)
+                raw = pa.Array.from_buffers(pa.binary(), len(lengths), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, t) for c, t in zip(cols, types)],
+                    [sub.column(0).take(pa.array(docs)), pa.array(sizes[docs]), pa.array(start), pa.array(lengths), raw,
+                     pa.array(level.astype(np.int32)), pa.array(np.full(len(docs), part, np.int32)), pa.array(idx)],
                     ["doc_id", "doc_tokens", "start", "length", "ids", "level", "part", "idx"])
     return cut
 

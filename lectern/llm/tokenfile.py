@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.llm.common import id_text, in_id_order
+from lectern.llm.common import id_text, in_id_order, lots
 from lectern.llm.tokens import default_tokenizer, encoder
 from lectern.session import ship_package
 
@@ -139,8 +139,7 @@ def _writer(path: str, end_id: int, block_ids: int):
                 pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("n_docs", pa.int64()), ("n_ids", pa.int64()),
                            ("payload", pa.binary())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                sub = batch.slice(lo, 256)
+            for sub in lots(batch, 1):
                 for doc_id, raw in zip(sub.column(0).to_pylist(), enc.encode_many(sub.column(1).to_pylist())):
                     if names and (held >= block_ids or (names[-1] is None) != (doc_id is None)
                                   or (doc_id is not None and doc_id - names[0] >= 1 << 62)):
