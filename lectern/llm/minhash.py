@@ -26,9 +26,9 @@ WORDS = 5
 #: 36 bands of 5: a pair at similarity 0.75 meets with probability 1 - (1 - 0.75**5)**36 > 0.9999.
 BANDS, ROWS = 36, 5
 PLACES = BANDS * ROWS
-#: A pair goes on to the full sets from this share of equal places on (more than 5 standard
-#: deviations below 0.75, so no link is lost to it in practice).
-SCREEN = 0.58
+#: A pair goes on to the full sets from this share of equal places on: four standard deviations
+#: of 180 independent places below 0.75 (and those of SuperMinHash deviate less).
+SCREEN = 0.62
 #: Members of a block of a bucket in the last step.
 BLOCK = 1024
 
@@ -176,39 +176,70 @@ def _verify(words: int):
     return verify
 
 
-def _links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int, screened: bool = False) -> DataFrame:
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the representatives in ``nodes``, from the rows whose id they are."""
+    d = id_text(docs)
+    return d.join(nodes, d["doc_id"] == nodes["node"]).select("node", "text").dropDuplicates(["node"])
+
+
+def _star_links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Confirmed links among candidate pairs (a, b): signature screen, then the full sets."""
-    if not screened:
-        s = sigs.select("node", "n", "sig")
-        one = pairs.join(s.toDF("a", "na", "sa"), "a")
-        two = one.join(s.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
-        pairs = two.mapInArrow(_screen, "a long, b long")
-    pairs = saved(pairs, "pairs")
+    s = sigs.select("node", "n", "sig")
+    one = pairs.join(s.toDF("a", "na", "sa"), "a")
+    two = one.join(s.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
+    pairs = saved(two.mapInArrow(_screen, "a long, b long"), "pairs")
     used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    # texts of the documents in pairs only
-    t = saved(texts.join(used, texts["doc_id"] == used["node"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    j = (pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb"))
+    t = saved(_texts(docs, used), "texts")
+    j = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     out = saved(j.mapInArrow(_verify(words), "src long, dst long"), "links")
     drop_saved(pairs)
     drop_saved(t)
     return out
 
 
-def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one (bucket, block, block) group that are in different components and pass the screen."""
-    left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-    if left.empty or right.empty:
-        return pd.DataFrame({"a": pd.Series(dtype="int64"), "b": pd.Series(dtype="int64")})
-    rs, rn, rc, rid = np.stack([np.frombuffer(x, "<u4") for x in right["sig"]]), right["n"].to_numpy(), right["comp"].to_numpy(), right["node"].to_numpy()
-    out = []
-    for node, n, comp, sig in zip(left["node"], left["n"], left["comp"], left["sig"]):
-        ok = (rc != comp) & (rid != node) & (4 * np.minimum(n, rn) >= 3 * np.maximum(n, rn))
-        if ok.any():
-            at = np.flatnonzero(ok)
-            at = at[(rs[at] == np.frombuffer(sig, "<u4")).mean(axis=1) >= SCREEN]
-            out.append(np.column_stack([np.minimum(node, rid[at]), np.maximum(node, rid[at])]))
-    found = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame(np.unique(found, axis=0), columns=["a", "b"])
+def _sets(words: int):
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingle = Shingler(words)
+        for batch in batches:
+            for sub in lots(batch, 1):
+                yield pa.RecordBatch.from_arrays([sub.column(0), pa.array([shingle(t).astype("<u8").tobytes() for t in sub.column(1).to_pylist()], pa.binary())],
+                                                 ["node", "shingles"])
+    return sets
+
+
+def _block_links(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Links of one (bucket, block, block) group that join different components: at most one per member.
+
+    A member is held against those members that are still in another
+    component, are of fitting size and pass the signature screen; the full sets decide.
+    """
+    pdf = pdf.sort_values(["side", "node"], ignore_index=True)
+    node, n, label = pdf["node"].to_numpy(), pdf["n"].to_numpy(), pdf["comp"].to_numpy().copy()
+    sig = np.stack([np.frombuffer(x, "<u4") for x in pdf["sig"]])
+    sets = [np.frombuffer(x, "<u8") for x in pdf["shingles"]]
+    left = int((pdf["side"] == 0).sum())
+    cross = left < len(pdf)  # two different blocks: left against right; else all of one block
+    src, dst = [], []
+    for k in range(left):
+        rest = np.arange(left if cross else k + 1, len(pdf))
+        rest = rest[(label[rest] != label[k]) & (4 * np.minimum(n[rest], n[k]) >= 3 * np.maximum(n[rest], n[k]))]
+        if not len(rest):
+            continue
+        rest = rest[(sig[rest] == sig[k]).mean(axis=1) >= SCREEN]
+        for lo in range(0, len(rest), 64):
+            some = rest[lo:lo + 64]
+            some = some[label[some] != label[k]]
+            if not len(some):
+                continue
+            flat = np.concatenate([sets[i] for i in some])
+            at = np.minimum(np.searchsorted(sets[k], flat), len(sets[k]) - 1)
+            both = np.add.reduceat(sets[k][at] == flat, np.cumsum([0, *n[some][:-1]]), dtype=np.int64)
+            for i in some[100 * both >= 75 * (n[some] + n[k] - both)]:
+                if label[i] != label[k]:
+                    src.append(node[k])
+                    dst.append(node[i])
+                    label[label == label[i]] = label[k]
+    return pd.DataFrame({"src": np.array(src, np.int64), "dst": np.array(dst, np.int64)})
 
 
 def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -224,9 +255,10 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
        bucket's smallest member: a linear number of pairs however large the bucket.
     3. Pairs that pass the signature screen are confirmed on the full sets.
     4. In buckets that still hold several components, members are compared
-       block by block (signatures only, 1,024 a side) across components, and
-       what passes is confirmed likewise.  So no two linked texts of a bucket stay apart,
-       and copies that already hang together cost nothing more.
+       block by block (1,024 a side) across components, by signature and then on the
+       full sets, and a group returns the links that join components, never its
+       pairs.  So no two linked texts of a bucket stay apart, and copies that
+       already hang together cost nothing more.
     5. Components: union-find in partitions, then star contraction.
     """
     sigs_all = saved(signatures(docs, words), "sigs")
@@ -240,23 +272,24 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = sigs.select("node", F.explode(band).alias("x")).select("node", F.xxhash64("x.band", "x.key").alias("bucket"))
     heads = (rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = saved(rows.join(heads, "bucket"), "buckets")
-    texts = id_text(docs)
     star = members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = _links(star, sigs, texts, words)
+    links = _star_links(star, sigs, docs, words)
     labels = components(links)
     # buckets of three and more whose members are not all in one component
     m = (members.where("members > 2").join(labels, "node", "left")
          .select("bucket", "node", "members", F.coalesce("component", "node").alias("comp")))
     open_ = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
-    # which buckets share the same members does not matter: a pair is screened once per bucket it shares
-    m = m.join(open_, "bucket").join(sigs, "node")
+    m = saved(m.join(open_, "bucket"), "open")
+    sets = saved(_texts(docs, m.select("node").distinct()).mapInArrow(_sets(words), "node long, shingles binary"), "sets")
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    m = m.select("bucket", "node", "n", "sig", "comp", own.alias("own"), blocks.alias("blocks"))
-    left = m.withColumn("other", F.explode(F.expr("sequence(own, blocks - 1)"))).select("bucket", F.col("own").alias("i"), F.col("other").alias("j"), F.lit(0).alias("side"), "node", "n", "sig", "comp")
-    right = m.withColumn("other", F.explode(F.expr("sequence(0, own)"))).select("bucket", F.col("other").alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), "node", "n", "sig", "comp")
-    more = (left.unionByName(right).groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocks(pdf), "a long, b long").distinct())
-    links2 = _links(more, sigs, texts, words, screened=True)
+    m = m.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
+    places = F.transform(F.expr("sequence(0, blocks - 1)"), lambda o: F.struct(
+        F.least("own", o).alias("i"), F.greatest("own", o).alias("j"), (F.col("own") > o).cast("int").alias("side")))
+    m = (m.select("bucket", "node", "comp", F.explode(places).alias("x")).select("bucket", "x.i", "x.j", "x.side", "node", "comp")
+         .join(sigs, "node").join(sets, "node"))
+    found = m.groupBy("bucket", "i", "j").applyInPandas(_block_links, "src long, dst long")
+    links2 = saved(found, "links")
+    drop_saved(sets)
     drop_saved(members)
     final = components(links.unionByName(links2))
     label = classes.join(final, classes["node"] == final["node"], "left").select(F.col("digest"), F.coalesce("component", classes["node"]).alias("component"))
