@@ -182,18 +182,15 @@ def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return d.join(nodes, d["doc_id"] == nodes["node"]).select("node", "text").dropDuplicates(["node"])
 
 
-def _star_links(pairs: DataFrame, sigs: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def _star_links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     """Confirmed links among candidate pairs (a, b): signature screen, then the full sets."""
     s = sigs.select("node", "n", "sig")
     one = pairs.join(s.toDF("a", "na", "sa"), "a")
     two = one.join(s.toDF("b", "nb", "sb"), "b").select("a", "b", "na", "nb", "sa", "sb")
     pairs = saved(two.mapInArrow(_screen, "a long, b long"), "pairs")
-    used = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    t = saved(_texts(docs, used), "texts")
-    j = pairs.join(t.toDF("a", "ta"), "a").join(t.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
+    j = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b").select("a", "b", "ta", "tb")
     out = saved(j.mapInArrow(_verify(words), "src long, dst long"), "links")
     drop_saved(pairs)
-    drop_saved(t)
     return out
 
 
@@ -273,14 +270,17 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     heads = (rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = saved(rows.join(heads, "bucket"), "buckets")
     star = members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    links = _star_links(star, sigs, docs, words)
+    texts = saved(_texts(docs, members.select("node").distinct()), "texts")  # the one shuffle of texts
+    links = _star_links(star, sigs, texts, words)
     labels = components(links)
     # buckets of three and more whose members are not all in one component
     m = (members.where("members > 2").join(labels, "node", "left")
          .select("bucket", "node", "members", F.coalesce("component", "node").alias("comp")))
     open_ = m.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("bucket")
     m = saved(m.join(open_, "bucket"), "open")
-    sets = saved(_texts(docs, m.select("node").distinct()).mapInArrow(_sets(words), "node long, shingles binary"), "sets")
+    sets = saved(texts.join(m.select("node").distinct(), "node", "left_semi")
+                 .mapInArrow(_sets(words), "node long, shingles binary"), "sets")
+    drop_saved(texts)
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     m = m.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("blocks", blocks)
     places = F.transform(F.expr("sequence(0, blocks - 1)"), lambda o: F.struct(
