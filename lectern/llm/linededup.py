@@ -76,11 +76,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     lines = _text_lines(F.col("__row.text"))
     drop = F.transform(F.filter(F.transform(_visible(lines), lambda x, i: F.struct(x["at"].alias("at"), i.alias("i"))),
                                 lambda x: F.array_contains("__gone", x["i"])), lambda x: x["at"])
-    j = j.withColumn("__drop", F.when(F.col("__gone").isNotNull(), drop))
-    kept = F.array_join(F.transform(F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))),
-                                             lambda s: ~F.array_contains("__drop", s["i"])), lambda s: s["x"]), "\n")
+    # bound by a transform of its own: a lambda would compute it again for every line
+    kept = F.transform(F.array(drop), lambda d: F.array_join(F.transform(
+        F.filter(F.transform(lines, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda s: ~F.array_contains(d, s["i"])),
+        lambda s: s["x"]), "\n"))[0]
     text = F.when(F.col("__gone").isNotNull(), kept).otherwise(F.col("__row.text"))
-    out = j.withColumn("__text", text)
+    out = j.withColumn("__text", text).withColumn("__n", F.when(F.col("__gone").isNotNull(), F.size(drop)).otherwise(F.lit(0)))
     cols = [F.col("__text").alias(c) if c == "text" else F.col("__row").getField(c).alias(c)
             for c in docs.columns if c != "n_removed"]
-    return out.select(*cols, F.coalesce(F.size(F.col("__drop")), F.lit(0)).cast("long").alias("n_removed"))
+    return out.select(*cols, F.col("__n").cast("long").alias("n_removed"))
