@@ -177,8 +177,7 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
     return cross.unionByName(same)
 
 
-def greedy_first_wins(df: DataFrame, *, id_col: str = "id", text_col: str = "text",
-                      max_rounds: int = 1000) -> DataFrame:
+def greedy_first_wins(df: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
     """Keep a row unless it is a near duplicate of an earlier *kept* row (order = id).
 
     Copies of one text share the fate of the earliest copy and every later copy
@@ -191,7 +190,7 @@ def greedy_first_wins(df: DataFrame, *, id_col: str = "id", text_col: str = "tex
     e = cut_lineage(pairs.select(F.col("id_a").alias("early"), F.col("id_b").alias("late")))
     involved = e.select(F.col("early").alias("id")).union(e.select(F.col("late").alias("id"))).distinct()
     state = cut_lineage(involved.withColumn("st", F.lit("undecided")))
-    for _r in range(max_rounds):
+    while True:  # every round decides the earliest undecided text of each chain
         und = state.where(F.col("st") == "undecided").select("id")
         if und.isEmpty():
             break

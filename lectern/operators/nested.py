@@ -115,7 +115,7 @@ def _explode(frontier: DataFrame) -> DataFrame:
 
 
 def flatten_lectures(lines: DataFrame, *, value: str = "value", keys: list[str] | None = None,
-                     root: str = "ROOT", gate=index_gate, max_depth: int = 64) -> tuple[DataFrame, DataFrame]:
+                     root: str = "ROOT", gate=index_gate) -> tuple[DataFrame, DataFrame]:
     """B1: walk parsed lines (VARIANT column ``value``) -> (documents, quarantine).
 
     ``keys`` are carried through (e.g. line ordinal).  Documents have
@@ -131,7 +131,7 @@ def flatten_lectures(lines: DataFrame, *, value: str = "value", keys: list[str]
     frontier = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("node"),
                             F.lit(False).alias("in_list"))
     lect = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("lecture")).limit(0)
-    for _depth in range(max_depth):
+    while True:  # one round per level, to whatever depth the lines reach
         # one level of the tree, materialised once: both the lectures found at this
         # level and the next frontier are read from it (no second explode)
         parts = cut_lineage(_explode(frontier).drop("node"))

@@ -37,7 +37,7 @@ def apply_quotas(cands: DataFrame, *, list_keys: list[str], category: str, order
 
 
 def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget: int = TOKEN_BUDGET,
-                 bucket_width: int = 1 << 16, max_rounds: int = 10_000) -> DataFrame:
+                 bucket_width: int = 1 << 16) -> DataFrame:
     """Rows accepted by the greedy budget rule, with ``usage_after``.
 
     ``order`` must be a unique long.  Output: accepted rows + ``usage_after``.
@@ -45,7 +45,7 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
     rest = cut_lineage(cands.where(F.col(est_in) <= budget))
     used = 0
     accepted: list[DataFrame] = []
-    for _round in range(max_rounds):
+    while True:
         left = budget - used
         rs = running_sum(rest, order=order, value=cost, out="_prefix", bucket_width=bucket_width)
         fails = (F.col("_prefix") + F.lit(used) >= F.lit(budget)) | \
@@ -73,7 +73,7 @@ def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category:
                 cost: str, budget: int = TOKEN_BUDGET, per_list: int = MAX_PER_LIST,
                 per_category: int = MAX_PER_CATEGORY, total: int = MAX_TOTAL,
                 dup_pairs: DataFrame | None = None, dup_key: str | None = None,
-                max_rounds: int = 100_000) -> DataFrame:
+                ) -> DataFrame:
     """Strict synthesis fold: caps, token budget and near duplicates interleaved as in
     the sequential loop.  ``cands`` are *valid* candidates (invalid ones consume
     nothing) and ``order`` is a unique long.  Returns accepted rows with ``usage_after``.
@@ -104,7 +104,7 @@ def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category:
     check_dups = sym is not None or dup_key is not None
     accepted = None
     used, n_acc = 0, 0
-    for _round in range(max_rounds):
+    while True:
         if n_acc >= total or used >= budget:
             break
         r = rest

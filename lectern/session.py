@@ -9,6 +9,7 @@ shared file system path set by the cluster).  Only when that setting is absent
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,6 +48,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, creating a scratch one only if unset."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.conf.get("spark.master", "local")
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors of {master} share")
         path = tempfile.mkdtemp(prefix="lectern-ckpt-", dir=os.environ.get("LECTERN_SCRATCH", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     sc = spark.sparkContext
