@@ -137,16 +137,15 @@ def flatten_lectures(lines: DataFrame, *, value: str = "value", keys: list[str]
         parts = cut_lineage(_explode(frontier).drop("node"))
         if parts.isEmpty():
             break
-        members = parts.where(F.col("key").isNotNull())
         elements = parts.where(F.col("key").isNull() & ~F.col("in_list"))
         is_lec = gate(F.col("value"))
         lect = lect.unionByName(elements.where(is_lec)
                                 .select(*keys, "walk_path", F.col("value").alias("lecture")))
-        frontier = (members.select(*keys, F.concat_ws(" > ", "walk_path", "key").alias("walk_path"),
-                                   F.col("value").alias("node"), F.lit(False).alias("in_list"))
-                    .unionByName(elements.where(~is_lec)
-                                 .select(*keys, "walk_path", F.col("value").alias("node"),
-                                         F.lit(True).alias("in_list"))))
+        # one projection over the level, so the number of partitions stays that of the input
+        member = F.col("key").isNotNull()
+        frontier = (parts.where(member | (~F.col("in_list") & ~is_lec))
+                    .select(*keys, F.when(member, F.concat_ws(" > ", "walk_path", "key")).otherwise(F.col("walk_path")).alias("walk_path"),
+                            F.col("value").alias("node"), (~member).alias("in_list")))
     v = F.col("lecture")
     content_ok = F.schema_of_variant(F.variant_get(v, "$.content", "variant")) == "STRING"
     docs = lect.select(
