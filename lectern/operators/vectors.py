@@ -7,8 +7,8 @@ DataFrame operators, with no cross join and no pair rows:
 2. every query row is replicated once per index block, and every index row once
    per query block, so each ``(qb, xb)`` group meets exactly once;
 3. ``cogroup(...).applyInPandas`` computes the distances of one group as a numpy
-   matrix product and emits only that group's local top-k candidates per query
-   (ties at the k-th distance included);
+   matrix product and emits only that group's k nearest per query, ties broken by id
+   (the product screens with a tolerance scaled by the norms; direct sums decide);
 4. a ``row_number() <= k`` window per query merges the candidates, which
    Catalyst plans as a ``WindowGroupLimit`` before the shuffle.
 
@@ -51,21 +51,31 @@ def _local_topk(k: int, exclude_self: bool):
         Q = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
         X = np.stack(xpdf["xv"].to_numpy()).astype(np.float64)
         xn = (X * X).sum(axis=1)
+        far = np.sqrt(xn.max())
+        unit = 8 * np.finfo(np.float64).eps * (X.shape[1] + 8)  # rounding of the product, in squared norms
         tile = max(1, TILE_CELLS // max(1, len(X)))
         out_q, out_x, out_d = [], [], []
         for s in range(0, len(Q), tile):
             Qt = Q[s:s + tile]
-            D = (Qt * Qt).sum(axis=1)[:, None] + xn[None, :] - 2.0 * (Qt @ X.T)
+            qn = (Qt * Qt).sum(axis=1)
+            D = qn[:, None] + xn[None, :] - 2.0 * (Qt @ X.T)
             if exclude_self:
                 D[qids[s:s + tile][:, None] == xids[None, :]] = np.inf
             kk = min(k, D.shape[1])
             kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
-            rows, cols = np.nonzero((D <= kth[:, None] + 1e-9) & np.isfinite(D))
-            # exact distance for the few survivors (same arithmetic as a direct sum)
-            diff = Qt[rows] - X[cols]
-            out_q.append(qids[s + rows])
-            out_x.append(xids[cols])
-            out_d.append((diff * diff).sum(axis=1))
+            slack = unit * (np.sqrt(qn) + far) ** 2
+            rows, cols = np.nonzero((D <= (kth + slack)[:, None]) & np.isfinite(D))
+            # exact distance of the survivors by a direct sum, in bounded lots; then exactly k a query
+            dist = np.empty(len(rows))
+            lot = max(1, TILE_CELLS // max(1, X.shape[1]))
+            for lo in range(0, len(rows), lot):
+                diff = Qt[rows[lo:lo + lot]] - X[cols[lo:lo + lot]]
+                dist[lo:lo + lot] = (diff * diff).sum(axis=1)
+            order = np.lexsort((xids[cols], dist, rows))  # ``rows`` is ascending and stays so
+            best = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
+            out_q.append(qids[s + rows[best]])
+            out_x.append(xids[cols[best]])
+            out_d.append(dist[best])
         return pd.DataFrame({"qid": np.concatenate(out_q), "xid": np.concatenate(out_x),
                              "distance": np.concatenate(out_d)})
     return fn

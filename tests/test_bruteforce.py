@@ -120,6 +120,31 @@ def test_knn_multi_block_equals_numpy(spark):
         assert [got[(i, r + 1)] for r in range(5)] == order
 
 
+def test_knn_large_norms_close_vectors_and_ties_equal_brute_force(spark):
+    rng = np.random.default_rng(1)
+    far = rng.normal(size=(120, 8)) * 1e4
+    close = 1e4 + rng.normal(size=(120, 8)) * 1e-3
+    X = np.concatenate([far, close, np.zeros((60, 8)), np.repeat(far[:1], 20, axis=0)])
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "vec_id long, embedding array<double>")
+    got = knn_join(df, df, 4, query_id="vec_id", index_id="vec_id", exclude_self=True, n_blocks=(2, 3))
+    got = {(r.vec_id, r.rank): r.neighbor_id for r in got.collect()}
+    assert len(got) == 4 * len(X)
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    for i in range(len(X)):
+        order = sorted(range(len(X)), key=lambda j: (D[i, j], j))[:4]
+        assert [got[(i, r + 1)] for r in range(4)] == order
+
+
+def test_knn_group_returns_exactly_k_rows_a_query():
+    import pandas as pd
+
+    from lectern.operators.vectors import _local_topk
+    side = pd.DataFrame({"id": range(500), "v": [np.zeros(4)] * 500})
+    out = _local_topk(6, True)(side.set_axis(["qid", "qv"], axis=1), side.set_axis(["xid", "xv"], axis=1))
+    assert len(out) == 500 * 6
+
+
 def test_exact_copies_and_expanded_pairs(spark):
     qs = ["same text here", "same text here", "other words", "same text here", "", ""]
     df = spark.createDataFrame(list(enumerate(qs)), "id long, text string")
