@@ -4,8 +4,9 @@
 Rows reach the provider in batches of at most ``batch_size`` (the reference
 embeds 100 texts per call).  A failing call is retried ``max_retries`` times
 with exponential backoff; after that the task fails (and Spark retries the task)
-or, with ``on_error="null"``, the batch's outputs are null.  The provider runs
-inside executor tasks; nothing is collected to the driver.
+or, with ``on_error="null"``, the batch's outputs are null, except that columns the
+input has (keys) are carried over.  A reply with another number of rows than the
+batch is a failed call, so rows are never lost.  The provider runs inside executor tasks; nothing is collected to the driver.
 """
 
 from __future__ import annotations
@@ -36,12 +37,14 @@ def call_provider(df: DataFrame, provider: Provider, schema: T.StructType | str,
                 for attempt in range(max_retries + 1):
                     try:
                         res = provider(part)
+                        if len(res) != len(part):
+                            raise ValueError(f"the provider returned {len(res)} rows for a batch of {len(part)}")
                         break
                     except Exception:  # noqa: BLE001 - provider errors are retried, then surfaced
                         if attempt == max_retries:
                             if on_error == "raise":
                                 raise
-                            res = pd.DataFrame({n: [None] * len(part) for n in names})
+                            res = pd.DataFrame({n: part[n] if n in part else [None] * len(part) for n in names})
                             break
                         time.sleep(backoff_seconds * (2 ** attempt))
                 yield res[names]

@@ -85,6 +85,9 @@ def test_provider_retries_then_succeeds_and_error_modes(spark, tmp_path):
     nulls = call_provider(df, _testing.always_fails, "id long, out string", max_retries=1,
                           backoff_seconds=0.0, on_error="null").collect()
     assert len(nulls) == 250 and all(r.out is None for r in nulls)
+    assert {r.id for r in nulls} == set(range(250))                  # keys stay with their rows
+    short = call_provider(df, lambda part: part.head(3), "id long", max_retries=0, on_error="null").collect()
+    assert sorted(r.id for r in short) == list(range(250))           # a short reply is a failed call
     with pytest.raises(Exception):
         call_provider(df, _testing.always_fails, "id long, out string", max_retries=1,
                       backoff_seconds=0.0).collect()
