@@ -17,7 +17,8 @@ from lectern.functions.fixed import CONTENT_NOT_FOUND
 
 NOISE_RE = r"(?s)<script[^>]*>.*?</script>|<style[^>]*>.*?</style>|<!--.*?-->"
 TAG_RE = r"<[^>]*>"
-LINK_RE = r"""<a\s[^>]*?href="([^"]*)"[^>]*>(.*?)</a>"""
+# Group 1 is the quoted address (either quote), group 2 the inner HTML; any case, across lines.
+LINK_RE = r"""(?is)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|'[^']*')[^>]*>(.*?)</a\s*>"""
 PARAGRAPH_RE = r"(?s)<p[^>]*>(.*?)</p>"
 
 # Named/numeric entities decoded in text nodes; "&amp;" is decoded last so that

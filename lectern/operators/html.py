@@ -39,7 +39,7 @@ def link_rows(pages: DataFrame) -> DataFrame:
     inner = F.regexp_extract_all("clean", F.lit(LINK_RE), 2)
     z = pages.select("page_id", "url", F.posexplode(F.arrays_zip(hrefs.alias("h"), inner.alias("t"))))
     out = z.select("page_id", "url", F.col("pos").cast("long").alias("link_no"),
-                   F.col("col.h").alias("href"), text_nodes(F.col("col.t"), "").alias("title"))
+                   F.substr("col.h", F.lit(2), F.length("col.h") - 2).alias("href"), text_nodes(F.col("col.t"), "").alias("title"))
     return out.where(~is_blank("href") & ~is_blank("title"))
 
 
@@ -88,7 +88,9 @@ def walk_chains(nodes: DataFrame, starts: DataFrame, *, max_steps: int | None =
     node): every node reached, once, with its first step number.  Uses pointer
     doubling: jump tables ``J_k(v) = next^(2^k)(v)`` built in ``K`` self-join
     rounds, then each chain's prefix of ``2^K`` steps is expanded by halving.
-    ``2^K`` covers the node count, so a cycle is cut at its first revisit.
+    ``2^K`` covers the node count, so a cycle is cut at its first revisit; each halving
+    round keeps the first step of a (chain, node), so a cycle never multiplies rows
+    (what follows a later visit also follows the first one, at lower steps).
     """
     nxt = nodes.select("node", F.when(F.col("next") != F.col("node"), F.col("next")).alias("j"))
     if max_steps is None:
@@ -106,8 +108,5 @@ def walk_chains(nodes: DataFrame, starts: DataFrame, *, max_steps: int | None =
         jk = jumps[k].withColumnRenamed("node", "_n")
         right = (seg.join(jk, seg["node"] == jk["_n"], "inner").where(F.col("j").isNotNull())
                  .select("chain", F.col("j").alias("node"), (F.col("step") + F.lit(2 ** k)).alias("step")))
-        seg = cut_lineage(seg.unionByName(right))
-    first = Window.partitionBy("chain", "node")
-    return (seg.where(F.col("step") < max_steps)
-               .withColumn("_first", F.min("step").over(first))
-               .where(F.col("step") == F.col("_first")).drop("_first"))
+        seg = cut_lineage(seg.unionByName(right).groupBy("chain", "node").agg(F.min("step").alias("step")))
+    return seg.where(F.col("step") < max_steps).select("chain", "node", "step")

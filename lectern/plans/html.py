@@ -17,7 +17,7 @@ LINK_PREFIX = "/t"      # B10 prefix used by the registered query
 
 CLEAN_SQL = f"(SELECT page_id, url, regexp_extract(url, {q(H.HOST_RE)}, 1) AS host, {denoise('html')} AS clean FROM pages)"
 LINKS_SQL = f"""
-(SELECT page_id, url, host, i - 1 AS link_no, h[i] AS href, {text_nodes('t[i]', '')} AS title
+(SELECT page_id, url, host, i - 1 AS link_no, substr(h[i], 2, length(h[i]) - 2) AS href, {text_nodes('t[i]', '')} AS title
  FROM (SELECT page_id, url, host, h, t, unnest(range(1, len(h) + 1)) AS i
        FROM (SELECT page_id, url, host, regexp_extract_all(clean, {q(LINK_RE)}, 1) AS h,
                     regexp_extract_all(clean, {q(LINK_RE)}, 2) AS t FROM {CLEAN_SQL})))
@@ -141,20 +141,22 @@ WITH top AS (SELECT host, page_id, link_no,
                     row_number() OVER (PARTITION BY host ORDER BY page_id, link_no) AS r
              FROM {NONBLANK_LINKS_SQL} WHERE starts_with(href, {q(LINK_PREFIX)}) QUALIFY r <= {LINKS_PER_CATEGORY}),
      txt AS (SELECT page_id, {text_nodes(_inner_sql('<article[^>]*>', 'article'), chr(10))} AS s FROM {CLEAN_SQL})
-SELECT host AS category, count(*) AS links_found,
-       count_if(txt.s IS NOT NULL AND {strip('txt.s')} <> '') AS records_written
-FROM top JOIN txt ON txt.page_id = top.page_id GROUP BY host
+SELECT h.host AS category, count(top.host) AS links_found,
+       count_if(top.host IS NOT NULL AND txt.s IS NOT NULL AND {strip('txt.s')} <> '') AS records_written
+FROM (SELECT DISTINCT host FROM {CLEAN_SQL}) h LEFT JOIN top ON top.host = h.host
+LEFT JOIN txt ON txt.page_id = top.page_id GROUP BY h.host
 """)
 def harvest_yield(spark, sf):
-    """Links collected per category vs records that would be written (nonblank text)."""
+    """Links collected per category vs records that would be written (nonblank text); hosts without links have zeros."""
     p = pages_clean(Tables(spark, sf))
     links = H.link_prefix(H.link_rows(p), LINK_PREFIX).withColumn("category", H.host_of(F.col("url")))
     top = H.first_links_per_category(links, LINKS_PER_CATEGORY, order=("page_id", "link_no"))
     txt = H.section_text(p, "<article[^>]*>", "article", "\n", fallback=None).select("page_id", "section_text")
     j = top.join(txt, "page_id")
     ok = ~is_blank("section_text")
-    return j.groupBy("category").agg(F.count(F.lit(1)).alias("links_found"),
-                                     F.count_if(ok).alias("records_written"))
+    found = j.groupBy("category").agg(F.count(F.lit(1)).alias("links_found"), F.count_if(ok).alias("records_written"))
+    hosts = p.select(F.col("host").alias("category")).distinct()
+    return hosts.join(found, "category", "left").na.fill(0, ["links_found", "records_written"])
 
 
 H1_SQL = f"{text_nodes(_inner_sql('<h1[^>]*>', 'h1'), '')}"
