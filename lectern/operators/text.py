@@ -55,15 +55,19 @@ def parse_completion(df: DataFrame, raw: str = "raw") -> DataFrame:
 
     Adds ``payload`` (cleaned text), ``question``, ``answer``, ``confidence``
     (string, "N/A" when absent) and ``status`` in {ok, invalid_json, not_object,
-    short_answer}.  Rows are kept; callers filter on status.
+    answer_not_text, short_answer, missing_question}; ``answer`` is null unless it is a JSON
+    string (Q19).  Rows are kept: ``ok`` ones become records, the others are the quarantine.
     """
     cleaned = strip_charset(strip_charset(F.col(raw), FENCE_CHARS), "`")
     v = F.try_parse_json(cleaned)
     is_obj = F.schema_of_variant(v).startswith("OBJECT")
-    ans = F.try_variant_get(v, "$.answer", "string")
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.answer", "variant"))
+    ans = F.when(kind == "STRING", F.try_variant_get(v, "$.answer", "string"))
     status = (F.when(v.isNull(), "invalid_json")
               .when(~is_obj, "not_object")
+              .when(kind != "STRING", "answer_not_text")
               .when(F.length(F.coalesce(ans, F.lit(""))) < MIN_ANSWER_LENGTH, "short_answer")
+              .when(F.try_variant_get(v, "$.question", "variant").isNull(), "missing_question")
               .otherwise("ok"))
     return (df.withColumn("payload", cleaned)
               .withColumn("question", F.try_variant_get(v, "$.question", "string"))

@@ -111,21 +111,28 @@ def qa_records(spark, sf):
 SELECT conv_id, turn, question, answer_len, confidence,
        CASE WHEN NOT json_valid(payload) THEN 'invalid_json'
             WHEN json_type(TRY_CAST(payload AS JSON)) <> 'OBJECT' THEN 'not_object'
-            WHEN answer_len < 40 THEN 'short_answer' ELSE 'ok' END AS status
+            WHEN json_type(TRY_CAST(payload AS JSON), '$.answer') <> 'VARCHAR' THEN 'answer_not_text'
+            WHEN answer_len < 40 THEN 'short_answer'
+            WHEN NOT json_exists(TRY_CAST(payload AS JSON), '$.question') THEN 'missing_question' ELSE 'ok' END AS status
 FROM (SELECT conv_id, turn, payload,
              CASE WHEN json_valid(payload) AND json_type(TRY_CAST(payload AS JSON)) = 'OBJECT' THEN TRY_CAST(payload AS JSON) ->> '$.question' END AS question,
-             length(coalesce(CASE WHEN json_valid(payload) AND json_type(TRY_CAST(payload AS JSON)) = 'OBJECT' THEN TRY_CAST(payload AS JSON) ->> '$.answer' END, '')) AS answer_len,
+             length(coalesce(CASE WHEN json_valid(payload) AND json_type(TRY_CAST(payload AS JSON)) = 'OBJECT' AND json_type(TRY_CAST(payload AS JSON), '$.answer') = 'VARCHAR' THEN TRY_CAST(payload AS JSON) ->> '$.answer' END, '')) AS answer_len,
              coalesce(CASE WHEN json_valid(payload) AND json_type(TRY_CAST(payload AS JSON)) = 'OBJECT' THEN TRY_CAST(payload AS JSON) ->> '$.confidence' END, 'N/A') AS confidence
       FROM (SELECT conv_id, turn, trim(trim(raw, {q(FENCE_CHARS)}), '`') AS payload
             FROM (SELECT conv_id, turn,
                          CASE turn % 3 WHEN 2 THEN 'json no ' || question
-                              WHEN 1 THEN '```json' || to_json({{'question': question, 'answer': answer, 'confidence': turn}})::VARCHAR || '```'
+                              WHEN 1 THEN CASE conv_id % 5
+                                WHEN 2 THEN to_json({{'answer': answer, 'confidence': turn}})::VARCHAR
+                                WHEN 3 THEN to_json({{'question': question, 'answer': [answer]}})::VARCHAR
+                                ELSE '```json' || to_json({{'question': question, 'answer': answer, 'confidence': turn}})::VARCHAR || '```' END
                               ELSE to_json([question, answer])::VARCHAR END AS raw
                   FROM {PAIRS_SQL})))
 """)
 def completion_parse(spark, sf):
     p = C.chat_pairs(Tables(spark, sf).conversations)
     raw = (F.when(F.col("turn") % 3 == 2, F.concat(F.lit("json no "), F.col("question")))
+           .when((F.col("turn") % 3 == 1) & (F.col("conv_id") % 5 == 2), F.to_json(F.struct("answer", F.col("turn").alias("confidence"))))
+           .when((F.col("turn") % 3 == 1) & (F.col("conv_id") % 5 == 3), F.to_json(F.struct("question", F.array("answer").alias("answer"))))
            .when(F.col("turn") % 3 == 1, F.concat(F.lit("```json"),
                  F.to_json(F.struct(F.col("question"), F.col("answer"), F.col("turn").alias("confidence"))),
                  F.lit("```")))

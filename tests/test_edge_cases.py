@@ -97,6 +97,29 @@ def test_q13_pagination_cycle_terminates(spark):
     assert [(x.chain, x.step, x.node) for x in r] == [("a", 0, 1), ("a", 1, 2), ("b", 0, 3), ("c", 0, 4)]
 
 
+def test_q13_cycle_entered_by_many_chains(spark):
+    n = 40                                                        # a tail 0..9 into a cycle 10..39
+    nodes = spark.createDataFrame([(i, i + 1 if i < n - 1 else 10) for i in range(n)], "node long, next long")
+    starts = spark.createDataFrame([(c, c) for c in range(0, n, 3)], "chain long, node long")
+    want = set()
+    for c in range(0, n, 3):
+        at, step, seen = c, 0, set()
+        while at not in seen:
+            seen.add(at)
+            want.add((c, step, at))
+            at, step = (at + 1 if at < n - 1 else 10), step + 1
+    r = H.walk_chains(nodes, starts).collect()
+    assert len(r) == len(want) and {(x.chain, x.step, x.node) for x in r} == want
+
+
+def test_b9_anchor_forms(spark):
+    html = ("<a\n class='x' href=\"/one\">first\nline</a><A HREF='/two'>second</A><a data-href=\"/no\" href = \"/three\">third</a >"
+            "<a name=\"plain\">no address</a><a href=\"/four\"><b>fourth</b></a>")
+    pages = H.clean_pages(spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string"))
+    r = H.link_rows(pages).orderBy("link_no").collect()
+    assert [(x.href, x.title) for x in r] == [("/one", "first\nline"), ("/two", "second"), ("/three", "third"), ("/four", "fourth")]
+
+
 def test_q14_q15_budget_greedy_with_skip(spark):
     c = spark.createDataFrame([(1, 60, 60), (2, 50, 50), (3, 30, 30)], "ord long, est long, cost long")
     r = QU.token_budget(c, order="ord", est_in="est", cost="cost", budget=100).orderBy("ord").collect()
@@ -204,11 +227,16 @@ def test_q4_q5_q16_synthesis_mode(spark):
 
 
 def test_q19_completion_not_object_or_missing_fields(spark):
-    rows = [('["q", "a"]',), ('{"answer": "' + "a" * 50 + '"}',), ('{"question": "q", "answer": 7}',)]
+    long = "a" * 50
+    rows = [('["q", "a"]',), (f'{{"answer": "{long}"}}',), ('{"question": "q", "answer": 7}',),
+            (f'{{"question": "q", "answer": ["{long}"]}}',), (f'{{"question": null, "answer": "{long}"}}',), ('{"question": "q"}',)]
     r = X.parse_completion(spark.createDataFrame(rows, "raw string")).collect()
     assert r[0].status == "not_object"
-    assert r[1].status == "ok" and r[1].question is None          # missing question stays null
-    assert r[2].status == "short_answer" and r[2].answer == "7"
+    assert r[1].status == "missing_question" and r[1].answer == long
+    assert r[2].status == "answer_not_text" and r[2].answer is None
+    assert r[3].status == "answer_not_text"
+    assert r[4].status == "ok" and r[4].question is None          # the key is there
+    assert r[5].status == "short_answer"
 
 
 def test_b23_sources_absent_and_repeated(spark):
