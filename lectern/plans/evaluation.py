@@ -142,16 +142,16 @@ PAIRS_SQL = """
 
 
 @register("grade_join", f"""
-SELECT p.conv_id, p.turn, CASE WHEN l.quality = 1 THEN 'CORRECT' ELSE 'INCORRECT' END AS model_score
-FROM {PAIRS_SQL} p JOIN labels l ON l.doc_id = p.conv_id
+SELECT p.conv_id, p.turn, CASE WHEN l.quality IS NULL THEN 'UNKNOWN' WHEN l.quality = 1 THEN 'CORRECT' ELSE 'INCORRECT' END AS model_score
+FROM {PAIRS_SQL} p LEFT JOIN labels l ON l.doc_id = p.conv_id
 """)
 def grade_join(spark, sf):
-    """Predictions paired with grades on the row key (never by position)."""
+    """Predictions paired with grades on the row key (never by position); ungraded ones stay, as UNKNOWN."""
     t = Tables(spark, sf)
     p = C.chat_pairs(t.conversations)
-    j = p.join(t.labels.withColumnRenamed("doc_id", "conv_id"), "conv_id", "inner")
-    return j.select("conv_id", "turn", F.when(F.col("quality") == 1, "CORRECT").otherwise("INCORRECT")
-                    .alias("model_score"))
+    j = p.join(t.labels.withColumnRenamed("doc_id", "conv_id"), "conv_id", "left")
+    score = F.when(F.col("quality").isNull(), "UNKNOWN").when(F.col("quality") == 1, "CORRECT").otherwise("INCORRECT")
+    return j.select("conv_id", "turn", score.alias("model_score"))
 
 
 @register("run_totals", f"""

@@ -96,10 +96,11 @@ enc AS (SELECT q.id, length(q.text) AS n, length(lower(q.text)) AS nl,
                coalesce((SELECT string_agg(chr(d.code::INTEGER), '' ORDER BY ch.pos)
                          FROM chars ch JOIN dict d ON d.c = ch.c WHERE ch.id = q.id), '') AS e
         FROM {reps} q),
-pairs AS (SELECT a.id AS id_a, b.id AS id_b, levenshtein(a.e, b.e) AS distance,
-                 1.0 - levenshtein(a.e, b.e) / greatest(a.n, b.n) AS ratio
-          FROM enc a JOIN enc b ON a.id < b.id AND abs(a.nl - b.nl) <= ceil(0.15 * greatest(a.n, b.n))
-          WHERE 1.0 - levenshtein(a.e, b.e) / greatest(a.n, b.n) > 0.85)
+near AS MATERIALIZED (SELECT a.id AS id_a, b.id AS id_b, a.e AS ea, b.e AS eb, greatest(a.n, b.n) AS longest
+          FROM enc a JOIN enc b ON a.id < b.id AND abs(a.nl - b.nl) <= ceil(0.15 * greatest(a.n, b.n))),
+dist AS MATERIALIZED (SELECT id_a, id_b, longest, levenshtein(ea, eb) AS distance FROM near),
+pairs AS MATERIALIZED (SELECT id_a, id_b, distance, 1.0 - distance / longest AS ratio FROM dist
+          WHERE 1.0 - distance / longest > 0.85)
 """
 
 
