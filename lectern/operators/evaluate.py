@@ -60,7 +60,7 @@ def dataset_summary(scored: DataFrame, dataset: str = "dataset", score: str = "m
         F.count_if(s == "INCORRECT").alias("incorrect"),
         F.count_if(s == "UNKNOWN").alias("unknown"))
     if datasets is not None:
-        agg = F.broadcast(datasets.select(dataset).distinct()).join(agg, dataset, "left")
+        agg = datasets.select(dataset).distinct().join(agg, dataset, "left")
         agg = agg.select(dataset, *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
                                     for c in ("total", "correct", "incorrect", "unknown")])
     return agg.withColumn("accuracy", accuracy(F.col("correct"), F.col("total")))
@@ -122,9 +122,9 @@ def score_rollup(scored: DataFrame, *cols: str, score: str = "model_score") -> D
 def counts_with_zeros(values: DataFrame, categories: DataFrame, key: str) -> DataFrame:
     """Count per listed category, zero for listed categories with no rows.
 
-    ``categories`` is a small, fixed list; counts are computed with a partial
-    aggregation and joined to it (the list side is broadcast by size).
+    Counts are computed with a partial aggregation and joined to the list; the
+    optimizer picks the join by size.
     """
     counts = values.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
-    return (F.broadcast(categories).join(counts, key, "left")
+    return (categories.join(counts, key, "left")
             .select(key, F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")))
