@@ -341,3 +341,18 @@ def test_pipeline_odd_rows(spark, clash, docs):
         for name, stage in corpus_pipeline.STAGES:
             d = stage(spark, d, SF)
             d.count()
+
+
+def test_driver_collects_are_the_bounded_ones():
+    """What reaches the driver: one row per source, language, (language, bucket) or vector
+    length, and bounded samples for fitting.  A new collect has to be added here with its bound."""
+    import pathlib
+    root = pathlib.Path(__file__).resolve().parents[2] / "lectern" / "llm"
+    found = {f.name: sum(f.read_text().count(x) for x in (".collect()", "toPandas()", ".toArrow()")) for f in root.glob("*.py")}
+    assert {k: n for k, n in found.items() if n} == {
+        "fingerprints.py": 1,  # greatest key of each range
+        "language.py": 2,      # documents per language; counts per (language, bucket), 65,536 a language at most
+        "licences.py": 1,      # FIT_PARAGRAPHS paragraphs of FIT_WORDS words
+        "mixing.py": 1,        # one row per source
+        "vectors.py": 3,       # vector lengths; FIT_PER_CELL vectors a centroid (twice, the second time one vector)
+    }
