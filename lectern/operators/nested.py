@@ -173,7 +173,7 @@ def top_category(df: DataFrame, line: str = "line") -> DataFrame:
 
 def category_filter(df: DataFrame, allowed: DataFrame, *, name: str = "name",
                     allowed_col: str = "category") -> DataFrame:
-    """Exact match of the stripped name against a allow-list (semi join; the optimizer broadcasts a list that is small)."""
+    """Exact match of the stripped name against an allow-list (semi join; the optimizer broadcasts a list that is small)."""
     return (df.withColumn("_key", py_strip(F.col(name)))
             .join(allowed.select(F.col(allowed_col).alias("_key")), "_key", "left_semi")
             .drop("_key"))

@@ -20,21 +20,31 @@ from lectern.operators import chunk as CH
 from lectern.operators import nested as N
 
 
-def index_batch(lines: DataFrame) -> DataFrame:
-    """Batch body of the index build: classify -> flatten -> chunk -> strip diacritics (after chunking)."""
-    valid = N.classify_lines(lines).where(F.col("status") == "valid")
-    docs, _quarantine = N.flatten_lectures(valid)
+def index_batch(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Batch body of the index build: classify -> flatten -> chunk -> strip diacritics (after chunking).
+
+    Returns (chunks, quarantine): quarantine holds (reason, raw) of lines that do not
+    parse and of lectures whose content is not text."""
+    lines = N.classify_lines(lines)
+    docs, bad = N.flatten_lectures(lines.where(F.col("status") == "valid"))
+    quarantine = (lines.where(F.col("status") == "invalid").select(F.lit("invalid line").alias("reason"), F.col("line").alias("raw"))
+                  .unionByName(bad.select(F.lit("content is not text").alias("reason"), "raw")))
     chunks = CH.chunk_documents(docs.select("title", "url", "path", F.col("content").alias("text")),
                                 keep=["title", "url", "path"])
-    return chunks.withColumn("page_content", strip_diacritics(F.col("chunk"))).drop("chunk")
+    return chunks.withColumn("page_content", strip_diacritics(F.col("chunk"))).drop("chunk"), quarantine
 
 
-def start_ingest(spark: SparkSession, source_dir: str, index_dir: str, checkpoint: str):
-    """JSONL files -> index table, one folder per micro-batch (idempotent on replay)."""
+def start_ingest(spark: SparkSession, source_dir: str, index_dir: str, checkpoint: str, quarantine_dir: str | None = None):
+    """JSONL files -> index table, one folder per micro-batch (idempotent on replay).
+
+    What cannot be indexed is written the same way to ``quarantine_dir`` (default: beside the index)."""
+    quarantine_dir = quarantine_dir or f"{index_dir.rstrip('/')}-quarantine"
     lines = spark.readStream.format("text").load(source_dir).withColumnRenamed("value", "line")
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        index_batch(batch).write.mode("overwrite").parquet(f"{index_dir}/batch={batch_id}")
+        chunks, quarantine = index_batch(batch)
+        quarantine.write.mode("overwrite").parquet(f"{quarantine_dir}/batch={batch_id}")
+        chunks.write.mode("overwrite").parquet(f"{index_dir}/batch={batch_id}")
 
     return (lines.writeStream.foreachBatch(write_batch)
             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())

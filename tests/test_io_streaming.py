@@ -56,11 +56,15 @@ def test_stream_ingest_restart_is_idempotent(spark):
     first = spark.read.parquet(base + "/index").count()
     S.start_ingest(spark, base + "/src", base + "/index", base + "/ckpt").awaitTermination()
     assert first == 2 and spark.read.parquet(base + "/index").count() == first
-    spark.createDataFrame([('{"B":[{"lecture_url":"u2","content":"y"}]}',)], "value string") \
+    rows = ['{"B":[{"lecture_url":"u2","content":"y"},{"lecture_url":"u3","content":null}]}', "not json {", "   "]
+    spark.createDataFrame([(r,) for r in rows], "value string").coalesce(1) \
         .write.mode("append").text(base + "/src")
     S.start_ingest(spark, base + "/src", base + "/index", base + "/ckpt").awaitTermination()
     urls = sorted({r.url for r in spark.read.parquet(base + "/index").collect()})
     assert urls == ["u1", "u2"]
+    bad = spark.read.parquet(base + "/index-quarantine").collect()
+    assert sorted(r.reason for r in bad) == ["content is not text", "invalid line"]
+    assert {r.raw for r in bad if r.reason == "invalid line"} == {"not json {"}
 
 
 def test_lsh_recall_and_tfidf_norms(spark):
