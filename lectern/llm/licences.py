@@ -11,7 +11,7 @@ import json
 import math
 
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -96,7 +96,6 @@ COMMON = ("a an and any are as at available be been binary by can charge clause
 FIT_PARAGRAPHS, FIT_WORDS = 2000, 60
 #: Copies of each phrase when fitting, with words around them taken from corpus paragraphs.
 FIT_COPIES = 6
-MAX_FEATURES = 600
 #: Share of a template's 3-grams that confirms a prediction.
 CONFIRM = 0.6
 
@@ -152,9 +151,10 @@ class LicenceModel:
         classes = [NONE, *TEMPLATES]
         frame = spark.createDataFrame([(classes.index(c), w, side) for c, w, side in rows], "label int, w array<string>, side int")
         frame = frame.select("label", "side", ngrams(F.col("w")).alias("grams")).checkpoint()
-        # features come from notices and look-alikes, so the corpus sample only adds negatives
-        counts = CountVectorizer(inputCol="grams", outputCol="x", vocabSize=MAX_FEATURES, minDF=2.0, binary=True).fit(
-            frame.where(F.col("label") > 0).unionByName(frame.where("label = 0").limit(0)))
+        # features are n-grams of the templates themselves: corpus words placed around a copy must not become
+        # features, or a frequent one ("en") would send most of a corpus through the classifier
+        counts = CountVectorizerModel.from_vocabulary(_vocabulary(own), inputCol="grams", outputCol="x")
+        counts.setBinary(True)
         x = counts.transform(frame)
         lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=60)
         weight = F.when(F.col("label") == 0, 1.0).otherwise(3.0)
@@ -171,6 +171,12 @@ def _plain_words(text: str) -> list[str]:
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
 
 
+def _vocabulary(own: dict[str, list[list[str]]]) -> list[str]:
+    """The n-grams of all templates that ``ngrams`` keeps, in order (a few hundred, whatever the corpus)."""
+    every = {tuple(t[i:i + n]) for ts in own.values() for t in ts for n in (1, 2, 3) for i in range(len(t) - n + 1)}
+    return sorted(" ".join(g) for g in every if not all(w in COMMON for w in g) and not all(w.isdigit() for w in g))
+
+
 def _threes(words: list[str]) -> set[str]:
     return {" ".join(words[i:i + 3]) for i in range(len(words) - 2)} or {" ".join(words)}
 
