@@ -203,6 +203,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     content = F.array(*[F.lit(w) for w in model.content])
     words = F.split(F.lower("text"), "[^a-z0-9]+")
     weights = _constant([{"g": g, "w": w} for g, w in model.features.items()], "array<struct<g:string,w:array<double>>>")
+    known = _constant(list(model.features), "array<string>")
     bias = _constant(model.bias, "array<double>")
     names = _constant(model.classes, "array<string>")
     forms = _constant([{"f": f, "t": sorted(_threes(_plain_words(t)))} for f, ts in TEMPLATES.items() for t in ts],
@@ -211,7 +212,8 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     # each step's values are bound by a transform of its own, so that no lambda computes them again per feature
     def bind(p: Column) -> Column:
         threes = F.when(F.size(p["w"]) >= 3, _grams(p["w"], 3)).otherwise(F.array(F.array_join(p["w"], " ")))
-        return F.struct(p["at"].alias("paragraph"), threes.alias("threes"), ngrams(p["w"]).alias("grams"))
+        grams = F.array_intersect(F.concat(p["w"], _grams(p["w"], 2), _grams(p["w"], 3)), known)  # what no feature names weighs nothing
+        return F.struct(p["at"].alias("paragraph"), threes.alias("threes"), grams.alias("grams"))
 
     def score(p: Column) -> Column:
         z = F.aggregate(F.filter(weights, lambda x: F.array_contains(p["grams"], x["g"])), bias,
