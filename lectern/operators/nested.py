@@ -1,8 +1,7 @@
 """Nested lecture JSON: line scan, nesting writer, tree flatten, gates, sections.
 
-Flattening walks the JSON tree one level per round on the Spark side
-(``variant_explode``), so work is spread over rows and tasks, not recursion in
-one process.  Rules (see README, "nested lectures"):
+Flattening parses each line once, in place (no shuffle, no checkpoint), with the
+rules of the standard JSON parser.  Rules (see README, "nested lectures"):
 
 * only objects *inside a list* can be lectures; a lecture is an object that has
   both ``content`` and ``lecture_url`` keys (key presence, a JSON null counts);
@@ -12,9 +11,6 @@ one process.  Rules (see README, "nested lectures"):
 * metadata: ``title`` (default ``NoTitle``), ``url`` from ``lecture_url``
   (default ``NoURL``), ``path`` = stored ``path`` key, else the walk path;
 * a lecture whose ``content`` is not a string (e.g. JSON null) is quarantined.
-
-The number of rounds is the tree depth; each round's exploded level is cut from
-the lineage with a reliable checkpoint, so every level is parsed and exploded once.
 """
 
 from __future__ import annotations
@@ -27,23 +23,41 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import py_strip
-from lectern.session import cut_lineage
 from lectern.functions.fixed import NO_TITLE, NO_URL
 
 LECTURE_FIELDS = ["lecture_title", "lecture_url", "content", "path", "title"]
 
 
 # --------------------------------------------------------------------------- A1
+@F.pandas_udf(T.BooleanType())
+def _loads(text: pd.Series) -> pd.Series:
+    return text.map(lambda t: t is not None and _parsed(t)[0])
+
+
+def _parsed(text: str):
+    """(whether the line is JSON, its value): last of duplicate keys wins, NaN and Infinity are numbers."""
+    try:
+        return True, json.loads(text)
+    except (ValueError, RecursionError):
+        return False, None
+
+
 def classify_lines(df: DataFrame, line: str = "line") -> DataFrame:
     """A1: status in {blank, invalid, valid}; ``value`` is the parsed VARIANT for valid lines.
 
-    Lines are stripped of Unicode whitespace first, as the reference does.
+    Lines are stripped of Unicode whitespace first.  A line that has no VARIANT
+    form (duplicate keys, NaN, a string beyond the VARIANT size) is shown to the
+    standard parser, and is valid with a null ``value`` where that accepts it;
+    only such lines reach Python.
     """
     s = df.withColumn("_stripped", py_strip(F.col(line)))          # strip once, reuse
     blank = F.col("_stripped").isNull() | (F.col("_stripped") == F.lit(""))
     v = F.try_parse_json(F.col("_stripped"))
-    return (s.withColumn("value", F.when(~blank, v)).withColumn("status", F.when(blank, F.lit("blank"))
-            .when(F.col("value").isNull(), F.lit("invalid")).otherwise(F.lit("valid"))).drop("_stripped"))
+    s = s.withColumn("value", F.when(~blank, v))
+    refused = F.when(~blank & F.col("value").isNull(), F.col("_stripped"))
+    return (s.withColumn("_ok", F.col("value").isNotNull() | F.coalesce(_loads(refused), F.lit(False)))
+            .withColumn("status", F.when(blank, F.lit("blank")).when(F.col("_ok"), F.lit("valid")).otherwise(F.lit("invalid")))
+            .drop("_stripped", "_ok"))
 
 
 def scan_jsonl(spark, path: str) -> tuple[DataFrame, DataFrame]:
@@ -100,63 +114,21 @@ def synth_gate(v: Column) -> Column:
     return index_gate(v) & has_key(v, "title")
 
 
-def _get_str(v: Column, key: str) -> Column:
-    return F.try_variant_get(v, f"$.{key}", "string")
-
-
-def _with_default(v: Column, key: str, default: Column) -> Column:
-    return F.when(has_key(v, key), _get_str(v, key)).otherwise(default)
-
-
 # --------------------------------------------------------------------------- B1
-def _explode(frontier: DataFrame) -> DataFrame:
-    """One level of the tree: (pos, key, value) per member/element (LATERAL variant_explode)."""
-    return frontier.lateralJoin(frontier.sparkSession.tvf.variant_explode(F.col("node").outer()))
-
-
-def flatten_lectures(lines: DataFrame, *, value: str = "value", keys: list[str] | None = None,
-                     root: str = "ROOT", gate=index_gate) -> tuple[DataFrame, DataFrame]:
-    """B1: walk parsed lines (VARIANT column ``value``) -> (documents, quarantine).
+def flatten_lectures(lines: DataFrame, *, line: str = "line", keys: list[str] | None = None,
+                     root: str = "ROOT") -> tuple[DataFrame, DataFrame]:
+    """B1: walk JSON lines -> (documents, quarantine), at any depth.
 
     ``keys`` are carried through (e.g. line ordinal).  Documents have
-    ``keys + (walk_path, title, url, path, content)``.
-
-    Each round explodes every frontier node once: object members come back with
-    a ``key`` (child path ``path > key``), array elements without one, and
-    scalars yield nothing, so no per-node type test is needed.  An element of a
-    list is a lecture (gate) or is descended into with the list's path; when
-    such an element is itself a list (``key`` null again) it is skipped.
+    ``keys + (walk_path, title, url, path, content)``, the quarantine
+    ``keys + (walk_path, raw)``: lectures whose content is not text, and lines
+    that are not JSON (``walk_path`` null).  Both are narrow views of the
+    one-pass walk, so output partitions are those of the input.
     """
     keys = keys or []
-    frontier = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("node"),
-                            F.lit(False).alias("in_list"))
-    lect = lines.select(*keys, F.lit(root).alias("walk_path"), F.col(value).alias("lecture")).limit(0)
-    while True:  # one round per level, to whatever depth the lines reach
-        # one level of the tree, materialised once: both the lectures found at this
-        # level and the next frontier are read from it (no second explode)
-        parts = cut_lineage(_explode(frontier).drop("node"))
-        if parts.isEmpty():
-            break
-        elements = parts.where(F.col("key").isNull() & ~F.col("in_list"))
-        is_lec = gate(F.col("value"))
-        lect = lect.unionByName(elements.where(is_lec)
-                                .select(*keys, "walk_path", F.col("value").alias("lecture")))
-        # one projection over the level, so the number of partitions stays that of the input
-        member = F.col("key").isNotNull()
-        frontier = (parts.where(member | (~F.col("in_list") & ~is_lec))
-                    .select(*keys, F.when(member, F.concat_ws(" > ", "walk_path", "key")).otherwise(F.col("walk_path")).alias("walk_path"),
-                            F.col("value").alias("node"), (~member).alias("in_list")))
-    v = F.col("lecture")
-    content_ok = F.schema_of_variant(F.variant_get(v, "$.content", "variant")) == "STRING"
-    docs = lect.select(
-        *keys, "walk_path",
-        _with_default(v, "title", F.lit(NO_TITLE)).alias("title"),
-        _with_default(v, "lecture_url", F.lit(NO_URL)).alias("url"),
-        _with_default(v, "path", F.col("walk_path")).alias("path"),
-        _get_str(v, "content").alias("content"),
-        content_ok.alias("_ok"), F.to_json(v).alias("raw"))
-    return (docs.where("_ok").drop("_ok", "raw"),
-            docs.where(~F.col("_ok")).select(*keys, "walk_path", "raw"))
+    flat = flatten_lectures_ordered(lines, line=line, keys=keys, root=root)
+    return (flat.where("status = 'ok'").select(*keys, "walk_path", "title", "url", "path", "content"),
+            flat.where("status <> 'ok'").select(*keys, "walk_path", "raw"))
 
 
 def drop_placeholders(docs: DataFrame, placeholder: str) -> DataFrame:
@@ -205,13 +177,21 @@ def section_merge(docs: DataFrame, *, category: str = "category", path: str = "p
 
 # --------------------------------------------------------------------------- B1 ordered mode
 ORDERED_SCHEMA = ("item_no long, list_ord long, walk_path string, title string, url string, path string, "
-                  "content string, status string")
+                  "content string, status string, raw string")
+#: Characters of output held before rows are handed on.
+FLATTEN_BLOCK = 1 << 24
 
 
 def _as_text(v):
-    if v is None or isinstance(v, str):
-        return v
-    return json.dumps(v, ensure_ascii=False)
+    """Text of a JSON value; half of a surrogate pair, which UTF-8 cannot hold, becomes U+FFFD."""
+    if v is None:
+        return None
+    text = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+    try:
+        text.encode()
+    except UnicodeEncodeError:
+        text = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return text
 
 
 def _walk_line(obj, root: str | None, need_title: bool = False):
@@ -257,7 +237,8 @@ def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list
     starting at that category, needs ``title`` on lectures, and quarantines a
     line that is not an object.  ``status`` is ``ok``, ``quarantine`` (content
     not a string, or a non-object line in synthesis mode) or ``invalid`` (not
-    JSON; one row, other fields null).  Blank lines produce no rows.
+    JSON; one row, other fields null).  ``raw`` holds what was quarantined, as
+    JSON, or the invalid line.  Blank lines produce no rows.
     """
     if mode not in ("index", "synthesis"):
         raise ValueError("mode must be 'index' or 'synthesis'")
@@ -269,35 +250,42 @@ def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list
     synth = mode == "synthesis"
     empty = [None] * 7
 
+    def rows_of(text: str) -> list:
+        valid, obj = _parsed(text)
+        if not valid:
+            return [empty + ["invalid", text]]
+        if not synth:
+            walked = _walk_line(obj, root)
+        elif not isinstance(obj, dict):
+            return [empty + ["quarantine", text]]
+        elif not obj:
+            return []
+        else:
+            first = next(iter(obj))
+            walked = _walk_line(obj[first], str(first), need_title=True)
+        out = []
+        for i, (wpath, item, list_ord) in enumerate(walked):
+            content = item.get("content")
+            ok = isinstance(content, str)
+            out.append([i, list_ord, _as_text(wpath), _as_text(item.get("title", NO_TITLE)),
+                        _as_text(item.get("lecture_url", NO_URL)), _as_text(item.get("path", wpath)),
+                        _as_text(content) if ok else None, "ok" if ok else "quarantine",
+                        None if ok else _as_text(item)])
+        return out
+
     def run(batches):
+        rows, held = [], 0
         for pdf in batches:
-            rows = []
             for rec in pdf.itertuples(index=False):
-                kv, text = list(rec[:-1]), rec[-1]
-                if text is None or not text.strip():
-                    continue
-                try:
-                    obj = json.loads(text.strip())
-                except ValueError:
-                    rows.append(kv + empty + ["invalid"])
+                text = (rec[-1] or "").strip()
+                if not text:
                     continue
-                if synth:
-                    if not isinstance(obj, dict):
-                        rows.append(kv + empty + ["quarantine"])
-                        continue
-                    if not obj:
-                        continue
-                    first = next(iter(obj))
-                    walked = _walk_line(obj[first], str(first), need_title=True)
-                else:
-                    walked = _walk_line(obj, root)
-                for i, (wpath, item, list_ord) in enumerate(walked):
-                    content = item.get("content")
-                    rows.append(kv + [i, list_ord, wpath, _as_text(item.get("title", NO_TITLE)),
-                                      _as_text(item.get("lecture_url", NO_URL)),
-                                      _as_text(item.get("path", wpath)),
-                                      content if isinstance(content, str) else None,
-                                      "ok" if isinstance(content, str) else "quarantine"])
-            yield pd.DataFrame(rows, columns=names)
+                rows.extend(list(rec[:-1]) + r for r in rows_of(text))
+                held += len(text)
+                if held >= FLATTEN_BLOCK:
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
+                    rows, held = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return src.mapInPandas(run, schema=schema)

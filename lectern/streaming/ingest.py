@@ -21,14 +21,13 @@ from lectern.operators import nested as N
 
 
 def index_batch(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Batch body of the index build: classify -> flatten -> chunk -> strip diacritics (after chunking).
+    """Batch body of the index build: flatten -> chunk -> strip diacritics (after chunking).
 
     Returns (chunks, quarantine): quarantine holds (reason, raw) of lines that do not
     parse and of lectures whose content is not text."""
-    lines = N.classify_lines(lines)
-    docs, bad = N.flatten_lectures(lines.where(F.col("status") == "valid"))
-    quarantine = (lines.where(F.col("status") == "invalid").select(F.lit("invalid line").alias("reason"), F.col("line").alias("raw"))
-                  .unionByName(bad.select(F.lit("content is not text").alias("reason"), "raw")))
+    docs, bad = N.flatten_lectures(lines)
+    reason = F.when(F.col("walk_path").isNull(), F.lit("invalid line")).otherwise(F.lit("content is not text"))
+    quarantine = bad.select(reason.alias("reason"), "raw")
     chunks = CH.chunk_documents(docs.select("title", "url", "path", F.col("content").alias("text")),
                                 keep=["title", "url", "path"])
     return chunks.withColumn("page_content", strip_diacritics(F.col("chunk"))).drop("chunk"), quarantine

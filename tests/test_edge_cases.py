@@ -255,3 +255,30 @@ def test_w8_pairs_need_adjacent_turns(spark):
     assert pairs == [(1, "q1", "a1")]
     hist = {r.turn: (r.n_pairs, r.history_text) for r in C.history_window(conv).collect()}
     assert hist[1] == (0, "") and hist[3] == (1, "User: q1\nBot: a1") and hist[6][0] == 1
+
+
+def test_b1_one_pass_any_depth_and_lenient_lines(spark):
+    lec = '{"lecture_url":"u","content":"c"}'
+    deep = '{"k":' * 200 + f"[{lec}]" + "}" * 200
+    docs, quarantine, status = _flatten(spark, [deep, '{"A":[{"lecture_url":"u","content":"old","content":"new"}]}',
+                                                '{"x":NaN,"A":[%s]}' % lec, '{"A":[{"lecture_url":"u","content":"\\ud800x"}]}', "{"])
+    assert status == {0: "valid", 1: "valid", 2: "valid", 3: "valid", 4: "invalid"}
+    assert [(d["line_no"], d["content"]) for d in docs] == [(0, "c"), (1, "new"), (2, "c"), (3, "\ufffdx")]
+    assert docs[0]["walk_path"] == "ROOT" + " > k" * 200 and quarantine == []
+
+
+def test_b1_keeps_partitions_and_returns_invalid_lines(spark):
+    df = spark.createDataFrame([(i, '{"A":[{"lecture_url":"u","content":1}]}' if i else "nope") for i in range(4)],
+                               "line_no long, line string").repartition(3)
+    docs, quarantine = N.flatten_lectures(df, keys=["line_no"])
+    assert docs.rdd.getNumPartitions() == 3 and docs.count() == 0
+    assert [(r.line_no, r.raw) for r in quarantine.orderBy("line_no").collect()] == [
+        (0, "nope"), *[(i, '{"lecture_url": "u", "content": 1}') for i in (1, 2, 3)]]
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange") == 1  # the test's own repartition
+
+
+def test_b1_long_line(spark):
+    line = F.concat(F.lit('{"A":[{"lecture_url":"u","content":"'), F.repeat(F.lit("x"), 60_000_000), F.lit('"}]}'))
+    docs, _ = N.flatten_lectures(spark.range(1).select(line.alias("line")))
+    assert [r.n for r in docs.select(F.length("content").alias("n")).collect()] == [60_000_000]
