@@ -47,6 +47,7 @@ TEMPLATES = {
     ],
     "lgpl": [
         "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License.",
         "Released under the LGPL, version 3.",
         "SPDX-License-Identifier: LGPL-2.1-only",
     ],
@@ -98,6 +99,8 @@ FIT_PARAGRAPHS, FIT_WORDS = 2000, 60
 FIT_COPIES = 6
 #: Share of a template's 3-grams that confirms a prediction.
 CONFIRM = 0.6
+#: Words that name no family: the common ones but "mit", and these.
+GENERIC = {*COMMON, "license", "licensed"} - {"mit"}
 
 
 def tokens(text: Column) -> Column:
@@ -184,19 +187,76 @@ def _threes(words: list[str]) -> set[str]:
     return {" ".join(words[i:i + 3]) for i in range(len(words) - 2)} or {" ".join(words)}
 
 
+def _own(family: str) -> list[str]:
+    """3-grams of the family's templates that no other family has and that hold a naming word.
+
+    A header of a kindred licence ("GNU Lesser General ...") holds most 3-grams of the other's template but none of these.
+    """
+    others = {g for f, ts in TEMPLATES.items() if f != family for t in ts for g in _threes(_plain_words(t))}
+    mine = {g for t in TEMPLATES[family] for g in _threes(_plain_words(t))}
+    return sorted(g for g in mine - others if not all(w in GENERIC or w.isdigit() for w in g.split()))
+
+
 def _constant(value, kind: str) -> Column:
     """A folded literal of a nested type."""
     return F.from_json(F.lit(json.dumps(value)), kind)
 
 
+def _bound(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, also where a lambda inside uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _units(lines: Column) -> Column:
+    """(block, joined, paragraph, w): every visible line, and every block of several visible lines as one.
+
+    A block is a run of lines that hold a letter or digit (a line of comment marks alone ends it, and marks beside
+    words are no tokens); ``block`` and a joined ``paragraph`` are the index of its first line.
+    """
+    rows = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.regexp_replace(x, r"(?i)^\s*(?:dnl|rem)\s", "").alias("x")))
+    rows = F.transform(rows, lambda r: F.struct(r["at"].alias("at"), r["x"].rlike(r"[\p{L}\p{N}]").alias("shown"), tokens(r["x"]).alias("w")))
+
+    def split(r: Column) -> Column:
+        starts = F.filter(F.sequence(F.lit(0), F.size(r) - 1), lambda i: F.get(r, i)["shown"] & ~F.coalesce(F.get(r, i - 1)["shown"], F.lit(False)))
+        return _bound(starts, lambda s: F.transform(s, lambda at, k: F.filter(
+            F.slice(r, at + 1, F.coalesce(F.get(s, k + 1), F.size(r)) - at), lambda x: x["shown"])))
+
+    def units(b: Column) -> Column:
+        at = b[0]["at"]
+        single = F.transform(b, lambda r: F.struct(at.alias("block"), F.lit(False).alias("joined"), r["at"].alias("paragraph"), r["w"].alias("w")))
+        whole = F.struct(at.alias("block"), F.lit(True).alias("joined"), at.alias("paragraph"), F.flatten(b["w"]).alias("w"))
+        return F.when(F.size(b) > 1, F.concat(single, F.array(whole))).otherwise(single)
+    return F.flatten(F.transform(_bound(rows, split), units))
+
+
+def _chosen(entries: Column) -> Column:
+    """A block adds the families that none of its lines confirms, and then replaces its unconfirmed
+    lines; where nothing of a block was found by line, it counts as it was judged."""
+    def name(e: Column) -> Column:
+        return F.struct(e["block"].alias("block"), e["family"].alias("family"))
+
+    def choose(e: Column) -> Column:
+        by_line = F.array_distinct(F.transform(F.filter(e, lambda x: ~x["joined"] & x["confirmed"]), name))
+        seen = F.array_distinct(F.transform(F.filter(e, lambda x: ~x["joined"]), lambda x: x["block"]))
+        return _bound(F.struct(by_line.alias("by_line"), seen.alias("seen")), lambda k: _bound(
+            F.array_distinct(F.transform(F.filter(e, lambda x: x["joined"] & x["confirmed"] & ~F.array_contains(k["by_line"], name(x))), lambda x: x["block"])),
+            lambda new: F.filter(e, lambda x: F.when(x["joined"] & x["confirmed"], ~F.array_contains(k["by_line"], name(x)))
+                                 .when(x["joined"], ~F.array_contains(k["seen"], x["block"]))
+                                 .otherwise(x["confirmed"] | ~F.array_contains(new, x["block"])))))
+    return _bound(entries, choose)
+
+
 def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     """(doc_id, found): the paragraphs of every text that read like a licence notice.
 
     ``found`` is an array of (paragraph, family, score, likeness, confirmed).
-    A paragraph (a line) is scored by the classifier; the family is `unknown`
-    where the best family's probability is under the calibrated threshold and "none"
-    does not win; a prediction is confirmed when the paragraph holds at least
-    ``CONFIRM`` of the 3-grams of a template of that family.  Paragraphs
+    Paragraphs are the single lines and the blocks of consecutive non-blank
+    lines (a notice wrapped over lines); ``paragraph`` is the index of the
+    (first) line.  A paragraph is scored by the classifier.  Every family of
+    which it holds at least ``CONFIRM`` of a template's 3-grams, one that names
+    the family among them, is confirmed with an entry of its own.  Without
+    any, the entry has the likeliest family, `unknown` where its probability
+    is under the calibrated threshold and "none" does not win.  Paragraphs
     without any word of a feature have the bias alone, which is "none", so
     they are passed over.  Null and empty texts find nothing; ids may be null
     or repeated; texts are read whole; other columns are ignored.  No shuffle.
@@ -208,41 +268,53 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     weights = _constant([{"g": g, "w": w} for g, w in model.features.items()], "array<struct<g:string,w:array<double>>>")
     known = _constant(list(model.features), "array<string>")
     bias = _constant(model.bias, "array<double>")
-    names = _constant(model.classes, "array<string>")
-    forms = _constant([{"f": f, "t": sorted(_threes(_plain_words(t)))} for f, ts in TEMPLATES.items() for t in ts],
-                      "array<struct<f:string,t:array<string>>>")
+    cut = {f: [sorted(_threes(_plain_words(t))) for t in TEMPLATES[f]] for f in model.classes[1:]}
+    forms = _constant([{"f": f, "t": ts, "own": _own(f)} for f, ts in cut.items()], "array<struct<f:string,t:array<array<string>>,own:array<string>>>")
+    every = _constant(sorted({g for ts in cut.values() for t in ts for g in t}), "array<string>")
 
     # each step's values are bound by a transform of its own, so that no lambda computes them again per feature
+    def keep(p: Column) -> list[Column]:
+        return [p[c].alias(c) for c in ("block", "joined", "paragraph")]
+
     def bind(p: Column) -> Column:
-        threes = F.when(F.size(p["w"]) >= 3, _grams(p["w"], 3)).otherwise(F.array(F.array_join(p["w"], " ")))
+        threes = F.array_intersect(F.when(F.size(p["w"]) >= 3, _grams(p["w"], 3)).otherwise(F.array(F.array_join(p["w"], " "))), every)
         grams = F.array_intersect(F.concat(p["w"], _grams(p["w"], 2), _grams(p["w"], 3)), known)  # what no feature names weighs nothing
-        return F.struct(p["at"].alias("paragraph"), threes.alias("threes"), grams.alias("grams"))
+        return F.struct(*keep(p), threes.alias("threes"), grams.alias("grams"))
 
     def score(p: Column) -> Column:
         z = F.aggregate(F.filter(weights, lambda x: F.array_contains(p["grams"], x["g"])), bias,
                         lambda acc, x: F.zip_with(acc, x["w"], lambda a, b: a + b))
-        return F.struct(p["paragraph"].alias("paragraph"), p["threes"].alias("threes"), z.alias("z"))
+        return F.struct(*keep(p), p["threes"].alias("threes"), z.alias("z"))
 
     def soft(s: Column) -> Column:
         e = F.transform(s["z"], lambda v: F.exp(v - F.array_max(s["z"])))
         total = F.aggregate(e, F.lit(0.0), lambda a, b: a + b)
         prob = F.transform(e, lambda v: v / total)
-        return F.struct(s["paragraph"].alias("paragraph"), s["threes"].alias("threes"), prob.alias("prob"))
+        return F.struct(*keep(s), s["threes"].alias("threes"), prob.alias("prob"))
 
     def judge(s: Column) -> Column:
-        family = F.array_max(F.slice(s["prob"], 2, len(model.classes) - 1))
-        name = F.element_at(names, F.array_position(F.slice(s["prob"], 2, len(model.classes) - 1), family).cast("int") + 1)
-        like = F.array_max(F.transform(F.filter(forms, lambda t: t["f"] == name),
-                                       lambda t: F.size(F.array_intersect(t["t"], s["threes"])) / F.size(t["t"])))
-        sure = family >= model.threshold
-        return F.struct(s["paragraph"].alias("paragraph"), F.when(sure, name).otherwise(F.lit("unknown")).alias("family"),
-                        family.alias("score"), like.alias("likeness"), (sure & (like >= CONFIRM)).alias("confirmed"))
-    paras = F.transform(F.split("text", "\n"), lambda p, i: F.struct(i.alias("at"), tokens(p).alias("w")))
-    d = id_text(docs).select("doc_id", F.when(F.arrays_overlap(words, content), F.filter(paras, lambda p: F.arrays_overlap(p["w"], content))).alias("paras"))
+        each = F.transform(forms, lambda x, k: F.struct(
+            x["f"].alias("family"), F.get(s["prob"], k + 1).alias("score"),
+            F.array_max(F.transform(x["t"], lambda t: F.size(F.array_intersect(t, s["threes"])) / F.size(t))).alias("likeness"),
+            F.arrays_overlap(x["own"], s["threes"]).alias("own")))
+
+        def entry(x: Column, family: Column, confirmed: bool) -> Column:
+            return F.struct(*keep(s), family.alias("family"), x["score"].alias("score"), x["likeness"].alias("likeness"), F.lit(confirmed).alias("confirmed"))
+
+        def entries(e: Column) -> Column:
+            best = F.array_max(e["score"])
+            sure = F.filter(e, lambda x: (x["likeness"] >= CONFIRM) & x["own"])
+            first = F.filter(e, lambda x: x["score"] == best)[0]
+            return F.when(F.size(sure) > 0, F.transform(sure, lambda x: entry(x, x["family"], True))).otherwise(
+                F.array(entry(first, F.when(best >= model.threshold, first["family"]).otherwise(F.lit("unknown")), False)))
+        return _bound(each, entries)
+    d = id_text(docs).select("doc_id", F.when(F.arrays_overlap(words, content), F.filter(_units(F.split("text", "\n")), lambda p: F.arrays_overlap(p["w"], content))).alias("paras"))
     d = d.select("doc_id", F.when(F.size("paras") > 0, F.transform(F.transform("paras", bind), score)).alias("scored"))
     d = d.select("doc_id", F.transform("scored", soft).alias("scored"))
     d = d.select("doc_id", F.filter("scored", lambda s: s["prob"][0] < 0.5).alias("scored"))
-    return d.select("doc_id", F.coalesce(F.transform("scored", judge),
+    d = d.select("doc_id", _chosen(F.flatten(F.transform("scored", judge))).alias("found"))
+    fields = ("paragraph", "family", "score", "likeness", "confirmed")
+    return d.select("doc_id", F.coalesce(F.transform("found", lambda f: F.struct(*[f[c].alias(c) for c in fields])),
                                          F.expr("cast(array() as array<struct<paragraph:int,family:string,score:double,likeness:double,confirmed:boolean>>)")).alias("found"))
 
 
@@ -253,7 +325,7 @@ def scan(docs: DataFrame, model: LicenceModel) -> DataFrame:
     sure = F.filter("found", lambda f: f["confirmed"])
     return d.select("doc_id",
                     F.array_join(F.array_sort(F.array_distinct(F.transform(sure, lambda f: f["family"]))), ",").alias("licences"),
-                    F.size("found").cast("long").alias("n_notices"),
+                    F.size(F.array_distinct(F.transform("found", lambda f: f["paragraph"]))).cast("long").alias("n_notices"),
                     F.size(F.filter("found", lambda f: f["family"] == "unknown")).cast("long").alias("n_unknown"),
                     F.coalesce(F.array_max(F.transform("found", lambda f: f["score"])), F.lit(0.0)).alias("best_score"))
 

@@ -271,6 +271,22 @@ def test_op2_finds_every_planted_line(spark, licence_model):
     assert got == {r.doc_id for r in docs.where(F.lower("text").rlike("licen[cs]e|cc by")).collect()}
 
 
+def test_licences_wrapped_and_several(spark, docs, licence_model):
+    bsd = " * Copyright (c) 2020, A. Author\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions\n * are met:\n"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\n"
+    lgpl = gpl.replace("program", "library").replace("General", "Lesser General")
+    mit = "// Permission is hereby granted, free of charge, to any person obtaining\n// a copy of this software and associated\n// documentation files (the \"Software\"), to deal\n"
+    flat = " ".join(lgpl.replace("#", "").split())
+    rows = {1: (bsd, "bsd"), 2: (gpl, "gpl"), 3: (lgpl, "lgpl"), 4: (mit, "mit"), 5: (flat, "lgpl"), 6: (gpl.replace("program", "library").replace("GNU General", "GNU Affero General"), ""),
+            7: ("Licensed under the Apache License, Version 2.0. Released under the MIT License.", "apache-2.0,mit"),
+            8: ("Released under the MIT License.\n" + gpl, "gpl,mit"), 9: (lgpl.replace("\n", "\n#\n\n"), ""),
+            10: ("This library is licensed under the GNU Lesser General Public License, version 3.", "lgpl"), 11: (bsd + "\n\n" + mit, "bsd,mit"),
+            12: (gpl.replace("# ", "dnl "), "gpl"), 13: ("code\r\n" + mit.replace("\n", "\r\n"), "mit")}
+    got = {r.doc_id: r for r in licences.scan(docs([(i, t) for i, (t, _) in rows.items()]), licence_model).collect()}
+    assert {i: r.licences for i, r in got.items()} == {i: f for i, (_, f) in rows.items()}
+    assert [got[i].n_notices for i in (1, 2, 3, 4, 5, 7)] == [1] * 6 and got[8].n_notices >= 1 and got[11].n_notices == 2
+
+
 def test_syncmers_by_definition():
     rnd = random.Random(6)
     text = "".join(rnd.choice("abcdé𝄞 ") for _ in range(400))
