@@ -1,7 +1,7 @@
 """Personal data: regular expressions propose spans, checksums confirm them, context words score them.
 
 DataFrame functions only.  A kind's matches are the leftmost non-overlapping
-ones; their places come from the texts between them (the same expression
+ones (of `iban`, among those its checksum confirms); their places come from the texts between them (the same expression
 splits the text), so offsets are code points without any Python.
 
 The expressions are written without backtracking over long runs: a run of
@@ -18,6 +18,18 @@ from pyspark.sql import functions as F
 from lectern.llm.common import id_text
 
 _LOCAL = r"[A-Za-z0-9._%+-]"
+#: Length of an account number by country code (IBAN registry).
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG",
+    25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA",
+    30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+_LISTED = "|".join(" ".join(IBAN_LENGTHS.values()).split())
+#: What follows the first four characters: as much as the country's length, for other codes the whole run.
+_IBAN = "(?:" + "|".join([
+    *[rf"(?:{codes.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]){{{n - 4}}}+" for n, codes in IBAN_LENGTHS.items()],
+    rf"(?!{_LISTED})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]){{11,30}}+"]) + ")(?![A-Za-z0-9])"
 #: kind -> (cheap test that the text can hold one, expression), in the order of kinds.
 PATTERNS = {
     # [A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+
@@ -30,9 +42,12 @@ PATTERNS = {
     # \+[0-9][\x20().0-9-]+[0-9]
     "phone": (r"\+[0-9]", r"\+[0-9][\x20().0-9-]+[0-9]"),
     "iban": (r"[A-Z]{2}[0-9]{2}[\x20A-Z0-9]{11}",
-             r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])"),
+             rf"(?<![A-Za-z0-9])(?={_IBAN})[A-Z]{{2}}[0-9]{{2}}"),
     "ssn": (r"[0-9]{3}-[0-9]{2}-[0-9]{4}", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
 }
+#: Kinds whose expression takes the first characters only, so that a candidate which fails its checksum
+#: hides none that begins inside it; the value is what this expression finds from there on.
+VALUES = {"iban": (_IBAN, 2 * max(IBAN_LENGTHS) + 2)}
 BASE = ("email", "ip", "card", "phone")
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 #: kind -> (score of a confirmed match, score it gains from a context word nearby, the words).
@@ -97,7 +112,17 @@ def kind_spans(text: Column, kind: str) -> Column:
         start = acc["at"] + x["g"]
         return F.struct((start + F.length(x["h"])).cast("long").alias("at"),
                         F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), x["h"].alias("value")))).alias("out"))
-    placed = F.filter(F.aggregate(steps, zero, step)["out"], lambda s: _confirmed(kind, s["value"]))
+    places = F.aggregate(steps, zero, step)["out"]
+    if kind in VALUES:
+        whole, most = VALUES[kind]
+        places = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(
+            F.substr(text, (s["start"] + 1).cast("int"), F.lit(most)), "^" + whole, 0).alias("value")))
+    placed = F.filter(places, lambda s: _confirmed(kind, s["value"]))
+    if kind in VALUES:  # leftmost non-overlapping ones
+        none = F.expr("cast(array() as array<struct<start:bigint,value:string>>)")
+        placed = F.aggregate(placed, none, lambda acc, s: F.when(
+            F.coalesce(F.get(acc, F.size(acc) - 1)["start"] + F.length(F.get(acc, F.size(acc) - 1)["value"]) <= s["start"], F.lit(True)),
+            F.concat(acc, F.array(s))).otherwise(acc))
     low, gain, words = CONTEXT[kind]
     order = list(PATTERNS).index(kind)
 

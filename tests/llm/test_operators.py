@@ -67,6 +67,19 @@ def test_pii_checksums_context_and_redaction(spark, docs):
     assert {r.doc_id: r.text for r in pii.redact(docs(rows)).collect()}[4] == "mail me: [email]"
 
 
+def test_iban_followers_and_neighbours(spark, docs):
+    de, gb, be, no = "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32", "BE68 5390 0754 7034", "NO93 8601 1117 947"
+    after = ["", " BIC COBADEFF", " 2021", "\nBank", " Bank", " Please", " A", " 7", ". X", " XX12 3", " COBADEFFXXX 2021 EUR", " lower"]
+    rows = [(i, f"{x}{a}", [x]) for i, (x, a) in enumerate((x, a) for v in (de, gb, be, no) for x in (v, v.replace(" ", "")) for a in after)]
+    rows += [(200, f"{de} {gb} {be}", [de, gb, be]), (201, f"REF AB12 {de}", [de]), (202, f"BE12 {de} {no}", [de, no]), (203, f"DE12 {gb}", [gb]),
+             (204, de.replace(" ", "") + "BIC", []), (205, "DE88 3704 0044 0532 0130 00 Bank", []), (206, "DE89 3704 0044 0532 0130", []),
+             (207, "XX62 3704 0044 0532 013", []), (208, "𝄞 IBAN " + gb + " 𝄞", [gb])]
+    got = {r.doc_id: [(s.value, s.start, s.end) for s in r.pii if s.kind == "iban"] for r in pii.find_pii(docs([r[:2] for r in rows])).collect()}
+    assert got == {i: [(x, t.index(x), t.index(x) + len(x)) for x in want] for i, t, want in rows}
+    unlisted = "ZZ" + str(98 - int("37040044053201303535" + "00") % 97).zfill(2) + "370400440532013 0"  # 'ZZ' counts as 3535
+    assert [s.value for s in pii.find_pii(docs([(1, f"to {unlisted} now")])).first().pii if s.kind == "iban"] == [unlisted]
+
+
 def test_pii_long_and_odd_rows(spark, clash, docs):
     hard = [(20, "1 " * 60000), (21, "a." * 60000 + "@"), (22, "a@" + "b." * 30000 + "c"), (23, "+1" + " " * 50000), (24, "9" * 50000), *ODD]
     got = [(r.doc_id, base_of(r)) for r in pii.find_pii(clash(hard)).collect()]
