@@ -44,9 +44,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix of sources reads them (0, 1 or 2 times)."""
+    """Documents as often as the mix of sources reads them (0, 1 or 2 times), in slot order; the read
+    at a source's target ends there, and n_chars follows."""
     ship_package(spark)
-    return mixing.mix_documents(docs)
+    out = mixing.mix_documents(docs)
+    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

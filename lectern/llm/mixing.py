@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from lectern.llm.common import WORD, saved
 
+_SPACE = r"[\x20\x09-\x0D]"
+
 #: floor(2**32 / golden ratio): multiples of it modulo 2**32 are the golden-ratio points in exact integers.
 GOLDEN = 2654435769
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -131,6 +133,17 @@ class Mix:
             return self.blocks().select(F.col("rank").alias("slot"), "src", "doc_id", "key", "size", "first", "words")
         return self.blocks().join(self.slots, ["src", "rank"]).select("slot", "src", "doc_id", "key", "size", "first", "words")
 
+    def readings(self) -> DataFrame:
+        """(src, doc_id, size, slot, first, words): every read of a document, at the slot of the block in which it
+        begins (the first of its slots in ``plan``) and ``first`` words into it; the read that meets the target ends
+        there.  A document without words is read once where its place lies before the target."""
+        p = self.docs.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(self.passes - 1)))).where("size > 0 or pass = 0")
+        p = p.withColumn("from", F.col("start") + F.col("pass") * F.col("source_size")).where("`from` < take")
+        p = p.withColumn("rank", F.expr(f"`from` div {self.block}"))
+        placed = p.withColumn("slot", F.col("rank")) if self.slots is None else p.join(self.slots, ["src", "rank"])
+        return placed.select("src", "doc_id", "size", "slot", (F.col("from") % self.block).alias("first"),
+                             F.least("size", F.col("take") - F.col("from")).alias("words"))
+
 
 def mix_report(docs: DataFrame, **kw) -> DataFrame:
     """(doc_id, size, source_size, target, taken) of every row.
@@ -152,15 +165,30 @@ def mix_report(docs: DataFrame, **kw) -> DataFrame:
 
 
 def mix_documents(docs: DataFrame, **kw) -> DataFrame:
-    """Rows of ``docs`` as often as the mix starts to read them: once per pass in which the
-    document's first word lies before its source's target.  All columns stay as they are."""
+    """Rows of ``docs`` as often as the mix reads them, in the order of the slots at which it begins to.
+
+    The read at which a source meets its target ends there: ``text`` then holds
+    the words up to the target, so every source has its target's words, rounded
+    down.  The other columns stay as they are.  Rows that share id, source and
+    size are dealt their reads in turn.
+    """
     m = Mix(docs, **kw)
     row = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("source").cast("string").alias("__source"),
                       word_count(F.col("text")).alias("__size"), F.struct("*").alias("__row"))
-    reads = F.expr(f"aggregate(sequence(0, {m.passes - 1}), 0, (n, p) -> n + if(start + p * source_size < take and (size > 0 or p = 0), 1, 0))")
-    places = m.docs.join(F.broadcast(m.sources.select(F.col("src").alias("s"), F.col("source").alias("name"))), F.col("src") == F.col("s"))
-    times = (places.select(F.col("doc_id").alias("__i"), F.col("name").alias("__n"), F.col("size").alias("__z"), reads.alias("__reads"))
-             .groupBy("__i", "__n", "__z").agg(F.max("__reads").alias("__reads")))
-    on = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__n")) & (F.col("__size") == F.col("__z"))
-    j = row.join(times, on).where("__reads > 0").withColumn("__read", F.explode(F.expr("sequence(1, __reads)")))
-    return j.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
+    reads = m.readings().groupBy("src", "doc_id", "size").agg(F.sort_array(F.collect_list(F.struct("slot", "first", "words"))).alias("reads"))
+    times = m.docs.groupBy("src", "doc_id", "size").agg(F.count(F.lit(1)).alias("n"))
+    on = [reads["src"] == times["src"], reads["doc_id"].eqNullSafe(times["doc_id"]), reads["size"] == times["size"]]
+    names = F.broadcast(m.sources.select(F.col("src").alias("s"), F.col("source").alias("name")))  # one row per source
+    dealt = (reads.join(times, on).select(reads["src"], reads["doc_id"].alias("__i"), reads["size"].alias("__z"), F.col("n").alias("__n"), F.col("reads").alias("__reads"))
+             .join(names, F.col("src") == F.col("s")).select("__i", F.col("name").alias("__name"), "__z", "__n", "__reads"))
+    on = F.col("__id").eqNullSafe(F.col("__i")) & F.col("__source").eqNullSafe(F.col("__name")) & (F.col("__size") == F.col("__z"))
+    j = row.join(dealt, on)
+    one = j.where("__n = 1").select("__row", "__size", "__reads")
+    nth = F.row_number().over(Window.partitionBy("__id", "__source", "__size").orderBy(F.xxhash64("__row.text"))) - 1
+    turn = F.expr("filter(__reads, (x, i) -> i % __n = __nth)")
+    many = j.where("__n > 1").withColumn("__nth", nth).select("__row", "__size", turn.alias("__reads"))
+    out = one.unionByName(many).select("__row", "__size", F.explode("__reads").alias("__read"))
+    upto = F.concat(F.lit(rf"^(?:{_SPACE}*+{WORD}+){{"), F.col("__read.words").cast("string"), F.lit("}+"))
+    text = F.when(F.col("__read.words") < F.col("__size"), F.call_function("regexp_extract", F.col("__row.text"), upto, F.lit(0))).otherwise(F.col("__row.text"))
+    out = out.repartitionByRange("__read.slot", "__read.first").sortWithinPartitions("__read.slot", "__read.first")
+    return out.select(*[text.alias(c) if c == "text" else F.col("__row").getField(c).alias(c) for c in docs.columns])

@@ -228,6 +228,23 @@ def test_mix_schedule_follows_the_weights(spark, docs):
     assert sum(r.n == 20 for r in plan) >= len(plan) - 3  # equal-token blocks, but for each source's last
 
 
+def test_mix_stage_follows_the_plan(spark, docs):
+    rows = [(i, f" w{i}\n" * (20 + i % 7), "en", "ac"[i % 2]) for i in range(60)] + [(100 + i, "long " * 900, "en", "b") for i in range(3)]
+    table = docs(rows + [(0, " w0\n" * 20, "en", "a")] * 2)  # one row three times
+    out = corpus_pipeline.mix(spark, table, SF).collect()
+    m = mixing.Mix(table)
+    words = Counter()
+    for r in out:
+        words[r.source] += len(WS.findall(r.text))
+        assert r.n_chars == len(r.text)
+    assert words == {r.source: r["take"] for r in m.sources.collect()}
+    full = {d: t for d, t, *_ in rows}
+    assert all(full[r.doc_id].startswith(r.text) for r in out) and sum(r.text != full[r.doc_id] for r in out) <= 3
+    first = {r.doc_id: r.slot for r in m.plan().groupBy("doc_id").agg(F.min("slot").alias("slot")).collect()}
+    seen = list(dict.fromkeys(r.doc_id for r in out))
+    assert set(seen) == set(first) and [first[d] for d in seen] == sorted(first.values())
+
+
 def test_mix_odd_rows(spark, clash, docs):
     got = mixing.mix_report(clash(ODD)).collect()
     assert len(got) == len(ODD)
