@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (fingerprints, language, licences, linededup, minhash, mixing, packing, pii, tokenfile, vectors)
+from lectern.llm import (fingerprints, language, licences, linededup, minhash, mixing, packing, pii, resample,
+                         tokenfile, vectors)
 from lectern.llm.common import scratch_path
 from lectern.llm.oracles import SQL
 from lectern.session import read_table
@@ -95,4 +96,10 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(read_table(spark, sf_dir, "documents"))
 
 
+@query("op11_resample")
+def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return resample.draw(resample.score_documents(docs, read_table(spark, sf_dir, "benchmark")))
+
+
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
