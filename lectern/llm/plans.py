@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import (fingerprints, language, licences, linededup, minhash, mixing, packing, pii, resample,
-                         tokenfile, vectors)
+from lectern.llm import (fingerprints, language, licences, linededup, minhash, mixing, negatives, packing, pii,
+                         resample, tokenfile, vectors)
 from lectern.llm.common import scratch_path
 from lectern.llm.oracles import SQL
 from lectern.session import read_table
@@ -102,4 +102,12 @@ def op11_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.draw(resample.score_documents(docs, read_table(spark, sf_dir, "benchmark")))
 
 
+@query("op12_negatives")
+def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = read_table(spark, sf_dir, "embeddings").where(negatives.finite(F.col("embedding")))
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = v.select("vec_id", label.alias("label"), negatives.scaled(F.col("embedding")).alias("embedding"))
+    return negatives.mine_negatives(rows, rows.where(F.col("vec_id") % 50 == 0))
+
+
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
