@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import (fingerprints, language, licences, linededup, minhash, mixing, negatives, packing, pii,
-                         resample, tokenfile, vectors)
-from lectern.llm.common import scratch_path
+                         quality, resample, tokenfile, vectors)
+from lectern.llm.common import saved, scratch_path
 from lectern.llm.oracles import SQL
 from lectern.session import read_table
 
@@ -110,4 +110,12 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.mine_negatives(rows, rows.where(F.col("vec_id") % 50 == 0))
 
 
+@query("op13_quality")
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    scored = saved(quality.score_documents(docs).drop("text"), "quality")
+    return quality.judge(scored, saved(quality.bands(scored), "bands")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "low", "high")
+
+
 ORACLE = {name: SQL[name] for name in QUERIES if name in SQL}
