@@ -201,10 +201,10 @@ def estimate(docs: DataFrame, order: int = ORDER) -> DataFrame:
         g = counts[k].withColumn("ctx", F.substring("gram", 1, k - 1))
         tally = counts[k].groupBy(*model).agg(*[F.count_if(F.col("c") == i).cast("double").alias(f"t{i}") for i in (1, 2, 3, 4)],
                                               F.count(F.lit(1)).alias("kinds"))  # one row per language and half
-        y = F.col("t1") / (F.col("t1") + 2 * F.col("t2"))
+        y = F.try_divide(F.col("t1"), F.col("t1") + 2 * F.col("t2"))
         known = (F.col("t1") > 0) & (F.col("t2") > 0) & (F.col("t3") > 0) & (F.col("t4") > 0)
         for i in (1, 2, 3):
-            d = i - (i + 1) * y * F.col(f"t{i + 1}") / F.when(F.col(f"t{i}") > 0, F.col(f"t{i}"))
+            d = i - (i + 1) * y * F.try_divide(F.col(f"t{i + 1}"), F.col(f"t{i}"))
             tally = tally.withColumn(f"d{i}", F.when(known & (d > 0) & (d < i), d).otherwise(F.lit(i / 2)))
         w = Window.partitionBy(*model, "ctx")  # at most one row per character
         g = (g.join(tally, model)
@@ -397,7 +397,7 @@ def base_failed() -> Column:
 
 
 def per_char() -> Column:
-    return F.col("cost") / F.lit(float(UNIT)) / F.col("n_grams")
+    return F.try_divide(F.col("cost") / F.lit(float(UNIT)), F.col("n_grams"))
 
 
 def _median(rows: DataFrame, value: Column) -> DataFrame:
@@ -430,7 +430,7 @@ def judge(scored: DataFrame, by: DataFrame, below: float = BELOW, above: float =
     own = ("perplexity", "low", "high", "base_failed", "kept")
     j = scored.drop(*own).withColumn("__lang", language(F.col("lang"))).join(by.withColumnRenamed("lang", "__lang"), "__lang", "left")
     x = F.when(F.col("n_grams") > 0, per_char())
-    reach = F.sqrt(F.col("spread") * F.col("spread") + F.lit(SPREAD) / F.col("n_grams"))
+    reach = F.sqrt(F.col("spread") * F.col("spread") + F.try_divide(F.lit(SPREAD), F.col("n_grams")))
     within = F.coalesce((x >= F.col("middle") - below * reach) & (x <= F.col("middle") + above * reach), F.lit(True))
     return (j.withColumn("perplexity", F.exp(x)).withColumn("low", F.exp(F.col("middle") - below * reach)).withColumn("high", F.exp(F.col("middle") + above * reach))
             .withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & within).drop("__lang", "middle", "spread"))
