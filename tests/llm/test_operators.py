@@ -129,6 +129,14 @@ def test_minhash_chains_and_large_groups(spark, docs, monkeypatch):
     assert sorted(map(tuple, minhash.near_duplicates(docs(rows)).collect())) == near_by_force(rows)
 
 
+def test_minhash_links_of_texts_that_share_an_id(spark, docs):
+    a, b = [f"a{i}" for i in range(60)], [f"b{i}" for i in range(60)]
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, " ".join([*a, "x"])), (3, " ".join([*b, "y"])), (3, " ".join(a + b)), (None, " ".join(a))]
+    got = sorted((r.n_shingles, r.doc_id or 0, r.component_id or 0, r.kept) for r in minhash.near_duplicates(docs(rows)).collect())
+    assert got == [(56, 0, 0, False), (56, 1, 1, True), (56, 1, 1, True), (57, 2, 1, False), (57, 3, 1, False), (116, 3, 3, True)] or got[0][1:3] == (0, 0)
+    assert got[1:] == [(56, 1, 1, True), (56, 1, 1, True), (57, 2, 1, False), (57, 3, 1, False), (116, 3, 3, True)]
+
+
 def test_minhash_odd_rows(spark, clash, docs):
     got = minhash.near_duplicates(clash(ODD)).collect()
     assert len(got) == len(ODD)
@@ -196,6 +204,24 @@ def test_line_dedup_against_brute_force(spark, docs):
     assert got == dedup_by_force(rows)
 
 
+def test_line_dedup_keeps_texts_of_one_id_apart(spark, docs):
+    rows = [(1, "p\nq\nr"), (None, "p\nq\nr\nx"), (None, "u1\nu2\nu3\nu4"), (7, "a\nb\nc\nd"), (7, "e\nf\ng\nh"), (8, "a\nb\nc"), (7, "a\nb\nc\nd"), (None, "u1\nu2\nu3\nu4")]
+    got = sorted(((r.doc_id is None, r.doc_id or 0), r.text, r.n_removed) for r in linededup.dedup_lines(docs(rows)).collect())
+    none, own = (True, 0), (False, 7)
+    assert got == [((False, 1), "p\nq\nr", 0), (own, "a\nb\nc\nd", 0), (own, "a\nb\nc\nd", 0), (own, "e\nf\ng\nh", 0), ((False, 8), "", 3),
+                   (none, "u1\nu2\nu3\nu4", 0), (none, "u1\nu2\nu3\nu4", 0), (none, "x", 3)]
+
+
+def test_one_text_of_many_lines_or_matches(spark, docs):
+    """Time in proportion: a quadratic step would take minutes here."""
+    lines = "\n".join(f"line {i} of a long log" for i in range(100_000))
+    got = {r.doc_id: (len(r.text), r.n_removed) for r in linededup.dedup_lines(docs([(1, lines), (2, lines + "\nend")])).collect()}
+    assert got == {1: (len(lines), 0), 2: (3, 100_000)}
+    mails = " ".join(f"user{i}@mail-{i % 7}.example.com" for i in range(20_000)) + " contact z@y.x"
+    spans = pii.find_pii(docs([(1, mails)])).first().pii
+    assert len(spans) == 20_001 and all(mails[s.start:s.end] == s.value for s in spans) and spans[-1].value == "z@y.x"
+
+
 def test_line_dedup_odd_rows(spark, clash, docs):
     table = clash([*ODD, (30, "p\nq\nr\nown"), (31, "x\np\nq\nr"), (31, "x\np\nq\nr")])
     got = linededup.dedup_lines(table)
@@ -400,5 +426,7 @@ def test_driver_collects_are_the_bounded_ones():
         "language.py": 2,      # documents per language; counts per (language, bucket), 65,536 a language at most
         "licences.py": 1,      # FIT_PARAGRAPHS paragraphs of FIT_WORDS words
         "mixing.py": 1,        # one row per source
+        "quality.py": 2,       # entries per language; the arrays of a lot of languages, at most MAX_SHIPPED entries
+        "resample.py": 1,      # one row per bucket
         "vectors.py": 3,       # vector lengths; FIT_PER_CELL vectors a centroid (twice, the second time one vector)
     }
