@@ -20,7 +20,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, drop_saved, id_text, lots, saved
+from lectern.llm.common import components, drop_saved, id_text, lots, saved, wide_hash
+from lectern.session import ship_package
 
 WORDS = 5
 #: 36 bands of 5: a pair at similarity 0.75 meets with probability 1 - (1 - 0.75**5)**36 > 0.9999.
@@ -125,15 +126,21 @@ def _sign(words: int):
                     for i, sig in zip(at, superminhash([sets[i] for i in at])):
                         sigs[i] = sig.astype("<u4").tobytes()
                         digest[i] = hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest()
-                yield pa.RecordBatch.from_arrays([sub.column(0), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary())],
-                                                 ["doc_id", "n", "digest", "sig"])
+                yield pa.RecordBatch.from_arrays([sub.column(0), sub.column(2), sub.column(3), pa.array(sizes, pa.int64()), pa.array(digest, pa.binary()), pa.array(sigs, pa.binary())],
+                                                 ["doc_id", "t0", "t1", "n", "digest", "sig"])
     return sign
 
 
+def _hashed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, t0, t1) with 128 bits that stand for the text."""
+    return id_text(docs).select("doc_id", "text", *[h.alias(f"t{i}") for i, h in enumerate(wide_hash("text"))])
+
+
 def signatures(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, n, digest, sig): size of the shingle set, its 128-bit digest and its signature
+    """(doc_id, t0, t1, n, digest, sig): hash of the text, size of the shingle set, its 128-bit digest and its signature
     (both null for the empty set)."""
-    return id_text(docs).mapInArrow(_sign(words), "doc_id long, n long, digest binary, sig binary")
+    ship_package(docs.sparkSession)
+    return _hashed(docs).mapInArrow(_sign(words), "doc_id long, t0 long, t1 long, n long, digest binary, sig binary")
 
 
 def _likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -177,9 +184,8 @@ def _verify(words: int):
 
 
 def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, text) of the representatives in ``nodes``, from the rows whose id they are."""
-    d = id_text(docs)
-    return d.join(nodes, d["doc_id"] == nodes["node"]).select("node", "text").dropDuplicates(["node"])
+    """(node, text) of the representatives in ``nodes``, from the rows whose id and text they are."""
+    return _hashed(docs).join(nodes, ["doc_id", "t0", "t1"]).select("node", "text").dropDuplicates(["node"])
 
 
 def _star_links(pairs: DataFrame, sigs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
@@ -244,10 +250,11 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     sets of distinct ``words``-word shingles (A-Z lower-cased; a shorter text is one shingle).
 
     Null or wordless texts have the empty set and link with nothing; a null id
-    links with nothing and is kept; rows that share an id are one document; long
-    texts are read whole; only doc_id and text are read.
+    links with nothing and is kept; rows that share an id are rows of their own,
+    each with the links of its own text; long texts are read whole; only doc_id
+    and text are read.
 
-    1. Signatures and set digests, in place.  Equal sets collapse to their smallest id.
+    1. Signatures and set digests, in place.  Equal sets collapse to one node, whatever their ids.
     2. Bands give buckets of representatives.  Every member is paired with its
        bucket's smallest member: a linear number of pairs however large the bucket.
     3. Pairs that pass the signature screen are confirmed on the full sets.
@@ -258,19 +265,21 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
        already hang together cost nothing more.
     5. Components: union-find in partitions, then star contraction.
     """
+    ship_package(docs.sparkSession)
     sigs_all = saved(signatures(docs, words), "sigs")
     some = sigs_all.where("digest is not null and doc_id is not null")
     # one row per distinct set: equal sets are pre-aggregated where they lie
-    reps = saved(some.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "sig")).alias("x"))
-                 .select("digest", F.col("x.doc_id").alias("node"), "x.n", "x.sig"), "reps")
-    classes, sigs = reps.select("digest", "node"), reps.select("node", "n", "sig").dropDuplicates(["node"])
+    reps = saved(some.groupBy("digest").agg(F.min(F.struct("doc_id", "t0", "t1", "n", "sig")).alias("x"))
+                 .select("digest", "x.*").withColumn("node", F.monotonically_increasing_id()), "reps")  # numbered once, as written
+    sigs = reps.select("node", "n", "sig")
     band = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)),
                        lambda i: F.struct(i.alias("band"), F.substr(F.col("sig"), i * (4 * ROWS) + 1, F.lit(4 * ROWS)).alias("key")))
     rows = sigs.select("node", F.explode(band).alias("x")).select("node", F.xxhash64("x.band", "x.key").alias("bucket"))
     heads = (rows.groupBy("bucket").agg(F.min("node").alias("head"), F.count(F.lit(1)).alias("members")).where("members > 1"))
     members = saved(rows.join(heads, "bucket"), "buckets")
     star = members.where("node > head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    texts = saved(_texts(docs, members.select("node").distinct()), "texts")  # the one shuffle of texts
+    met = reps.join(members.select("node").distinct(), "node", "left_semi").select("doc_id", "t0", "t1", "node")
+    texts = saved(_texts(docs, met), "texts")  # the one shuffle of texts
     links = _star_links(star, sigs, texts, words)
     labels = components(links)
     # buckets of three and more whose members are not all in one component
@@ -292,7 +301,9 @@ def near_duplicates(docs: DataFrame, words: int = WORDS) -> DataFrame:
     drop_saved(sets)
     drop_saved(members)
     final = components(links.unionByName(links2))
-    label = classes.join(final, classes["node"] == final["node"], "left").select(F.col("digest"), F.coalesce("component", classes["node"]).alias("component"))
+    group = reps.join(final, "node", "left").select("digest", "doc_id", F.coalesce("component", "node").alias("group"))
+    lowest = group.groupBy("group").agg(F.min("doc_id").alias("component"))
+    label = group.join(lowest, "group").select("digest", "component")
     out = sigs_all.select("doc_id", "n", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")).join(label, "digest", "left")
     comp = F.coalesce("component", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), comp.alias("component_id"), F.col("doc_id").eqNullSafe(comp).alias("kept"))
