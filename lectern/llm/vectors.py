@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm.common import components, saved, union_find
+from lectern.llm.common import components, saved, union_find, wide_hash
 from lectern.session import ship_package
 
 #: Distinct vectors per cell aimed at, and most in one home tile and one lot of visitors.
@@ -126,7 +126,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cells: int | None =
     kept.  Vectors of different lengths never link.  Other columns are ignored.
 
     The centroids are fitted on at most ``FIT_PER_CELL * cells`` vectors (the lowest
-    hashes of the id); every vector is placed and compared.  The pruning
+    hashes of the vector); every vector is placed and compared.  The pruning
     is exact, so recall is 1; on vectors without any structure it prunes
     little, and the work then nears all blocked products.  Cells are
     dealt in tiles of 2,048 home vectors and lots of 8,192 visitors, and a
@@ -137,7 +137,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cells: int | None =
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding"))
     good = v.where(usable(F.col("embedding")))
     reps = saved(good.groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count(F.lit(1)).alias("copies"))
-                 .withColumn("node", F.xxhash64("embedding")), "vecs")
+                 .withColumn("node", F.monotonically_increasing_id()), "vecs")  # numbered once, as written
     dims = [r.d for r in reps.select(F.size("embedding").alias("d")).distinct().collect()]  # lengths: a handful
     found = None
     for d in dims:
@@ -152,8 +152,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, cells: int | None =
              .withColumn("label", F.coalesce("label", "node")))
     lowest = named.groupBy("label").agg(F.min("vec_id").alias("component_id"))
     named = saved(named.join(lowest, "label").select("embedding", "component_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "named")
-    key = F.when(usable(F.col("embedding")), F.xxhash64("embedding"))
-    out = (v.withColumn("key", key).join(named.select(F.xxhash64("embedding").alias("key"), "component_id", "n_links"), "key", "left"))
+    # 128 bits stand for a vector
+    keys = [F.when(usable(F.col("embedding")), h).alias(f"key{i}") for i, h in enumerate(wide_hash("embedding"))]
+    own = [h.alias(f"key{i}") for i, h in enumerate(wide_hash("embedding"))]
+    out = v.select("vec_id", *keys).join(named.select(*own, "component_id", "n_links"), ["key0", "key1"], "left")
     comp = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), comp.alias("component_id"),
                       F.coalesce(F.col("vec_id") == comp, F.lit(False)).alias("kept"))
@@ -163,7 +165,7 @@ def _meetings(spark: SparkSession, reps: DataFrame, threshold: float, cells: int
     """(node, links, root) over the distinct vectors of one length."""
     n = reps.count()
     k = cells or max(1, min(MAX_CELLS, round(n / CELL)))
-    order = F.pmod(F.xxhash64(F.lit(7), "node"), F.lit(1 << 30))
+    order = F.pmod(F.xxhash64(F.lit(7), "embedding"), F.lit(1 << 30))
     share = min(1.0, FIT_PER_CELL * k / n) * float(1 << 30)
     rows = reps.where(order < share * 1.05 + 1024).orderBy(order).limit(max(1, FIT_PER_CELL * k)).select("embedding").toPandas()
     sample = unit(np.stack(rows["embedding"].to_numpy())) if len(rows) else unit(np.stack(reps.limit(1).toPandas()["embedding"].to_numpy()))
