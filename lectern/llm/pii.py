@@ -12,6 +12,8 @@ loop.  Matches are the same as with the plain forms in the comments.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,44 +102,90 @@ def _confirmed(kind: str, value: Column) -> Column:
 _SPAN = "struct<start:bigint,ord:int,end:bigint,kind:string,value:string,score:double>"
 
 
+#: Items folded between two array copies, and characters of a block of text.
+RUN, BLOCK = 256, 1024
+
+
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: inside a lambda a plain expression would be computed for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _none(of: str) -> Column:
+    return F.expr(f"cast(array() as array<{of}>)")
+
+
+def _scan(items: Column, start: Column, of: str, step: Callable[[Column, Column], tuple[Column, Column]]) -> Column:
+    """What ``step(state, item) -> (next state, array of outputs)`` puts out along the array, with a long as state.
+
+    Items are folded in runs, and the runs' outputs are put together at the end: an array grows by at most RUN
+    items one by one, so time is in proportion to the items.
+    """
+    def one(acc: Column, x: Column) -> Column:
+        state, out = step(acc["state"], x)
+        return F.struct(state.cast("long").alias("state"), F.concat(acc["out"], out).alias("out"))
+
+    def run(acc: Column, own: Column) -> Column:
+        zero = F.struct(acc["state"].alias("state"), _none(of).alias("out"))
+        return _with(F.aggregate(own, zero, one), lambda r: F.struct(r["state"].alias("state"), F.concat(acc["runs"], F.array(r["out"])).alias("runs")))
+
+    def over(all_items: Column) -> Column:
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_items) - 1) / RUN).cast("int")), lambda i: F.slice(all_items, i * RUN + 1, RUN))
+        zero = F.struct(start.cast("long").alias("state"), _none(f"array<{of}>").alias("runs"))
+        return F.flatten(F.aggregate(runs, zero, run)["runs"])
+    return _with(items, lambda v: F.when(F.size(v) > 0, over(v)).otherwise(_none(of)))
+
+
+def _cut(blocks: Column, at: Column, length: Column | int) -> Column:
+    """``length`` characters (at most BLOCK) of the text from place ``at`` on, out of the two blocks that hold them."""
+    i = F.floor(at / BLOCK).cast("int")
+    two = F.concat(F.coalesce(F.get(blocks, i), F.lit("")), F.coalesce(F.get(blocks, i + 1), F.lit("")))
+    return F.substr(two, (at - i * BLOCK + 1).cast("int"), F.lit(length) if isinstance(length, int) else length.cast("int"))
+
+
 def kind_spans(text: Column, kind: str) -> Column:
-    """Confirmed, scored spans of one kind, as an array in order of place."""
+    """Confirmed, scored spans of one kind, as an array in order of place.
+
+    Time is in proportion to the text and its matches: places are running
+    sums, and what lies around a match is cut out of blocks of the text.
+    """
     gate, pattern = PATTERNS[kind]
-    hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    steps = F.zip_with(hits, F.slice(gaps, 1, F.size(gaps) - 1), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
-    zero = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<start:bigint,value:string>>)").alias("out"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["g"]
-        return F.struct((start + F.length(x["h"])).cast("long").alias("at"),
-                        F.concat(acc["out"], F.array(F.struct(start.cast("long").alias("start"), x["h"].alias("value")))).alias("out"))
-    places = F.aggregate(steps, zero, step)["out"]
-    if kind in VALUES:
-        whole, most = VALUES[kind]
-        places = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(
-            F.substr(text, (s["start"] + 1).cast("int"), F.lit(most)), "^" + whole, 0).alias("value")))
-    placed = F.filter(places, lambda s: _confirmed(kind, s["value"]))
-    if kind in VALUES:  # leftmost non-overlapping ones
-        none = F.expr("cast(array() as array<struct<start:bigint,value:string>>)")
-        placed = F.aggregate(placed, none, lambda acc, s: F.when(
-            F.coalesce(F.get(acc, F.size(acc) - 1)["start"] + F.length(F.get(acc, F.size(acc) - 1)["value"]) <= s["start"], F.lit(True)),
-            F.concat(acc, F.array(s))).otherwise(acc))
-    low, gain, words = CONTEXT[kind]
-    order = list(PATTERNS).index(kind)
-
-    def scored(s: Column) -> Column:
-        lo = F.greatest(s["start"] - NEAR, F.lit(0))
-        n = F.length(s["value"])
-        near = F.concat_ws(" ", F.substr(text, (lo + 1).cast("int"), (s["start"] - lo).cast("int")),
-                           F.substr(text, (s["start"] + n + 1).cast("int"), F.lit(NEAR)))
-        score = F.lit(low) + F.when(near.rlike(words), F.lit(gain)).otherwise(F.lit(0.0))
-        return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), (s["start"] + n).cast("long").alias("end"),
-                        F.lit(kind).alias("kind"), s["value"].alias("value"), score.alias("score"))
-    out = F.transform(placed, scored)
-    if kind not in BASE:
-        out = F.filter(out, lambda s: s["score"] >= MIN_SCORE)
-    return F.when(text.rlike(gate), out).otherwise(F.expr(f"cast(array() as array<{_SPAN}>)"))
+    place = "struct<start:bigint,value:string>"
+
+    def found(blocks: Column) -> Column:
+        hits = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        gaps = F.split(text, pattern, -1)
+        steps = F.zip_with(hits, _with(gaps, lambda g: F.slice(g, 1, F.size(g) - 1)), lambda h, g: F.struct(h.alias("h"), F.length(g).alias("g")))
+
+        def placed_at(at: Column, x: Column) -> tuple[Column, Column]:
+            start = (at + x["g"]).cast("long")
+            return start + F.length(x["h"]), F.array(F.struct(start.alias("start"), x["h"].alias("value")))
+        places = _scan(steps, F.lit(0), place, placed_at)
+        if kind in VALUES:
+            whole, most = VALUES[kind]
+            places = F.transform(places, lambda s: F.struct(s["start"].alias("start"), F.regexp_extract(_cut(blocks, s["start"], most), "^" + whole, 0).alias("value")))
+        placed = F.filter(places, lambda s: _confirmed(kind, s["value"]))
+        if kind in VALUES:  # leftmost non-overlapping ones
+            def apart(end: Column, s: Column) -> tuple[Column, Column]:
+                fits = end <= s["start"]
+                return F.when(fits, s["start"] + F.length(s["value"])).otherwise(end), F.when(fits, F.array(s)).otherwise(_none(place))
+            placed = _scan(placed, F.lit(0), place, apart)
+        low, gain, words = CONTEXT[kind]
+        order = list(PATTERNS).index(kind)
+
+        def scored(s: Column) -> Column:
+            lo = F.greatest(s["start"] - NEAR, F.lit(0))
+            n = F.length(s["value"])
+            near = F.concat_ws(" ", _cut(blocks, lo, s["start"] - lo), _cut(blocks, s["start"] + n, NEAR))
+            score = F.lit(low) + F.when(near.rlike(words), F.lit(gain)).otherwise(F.lit(0.0))
+            return F.struct(s["start"].alias("start"), F.lit(order).alias("ord"), (s["start"] + n).cast("long").alias("end"),
+                            F.lit(kind).alias("kind"), s["value"].alias("value"), score.alias("score"))
+        out = F.transform(placed, scored)
+        if kind not in BASE:
+            out = F.filter(out, lambda s: s["score"] >= MIN_SCORE)
+        return out
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.when(text.rlike(gate), _with(blocks, found)).otherwise(_none(_SPAN))
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
@@ -145,8 +193,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     (start, ord, end, kind, value, score); offsets are code points, end exclusive.
 
     Null and empty texts have none; null ids, repeated rows and repeated ids
-    are ordinary rows; long texts are read whole; other columns are ignored.
-    No shuffle: every row is scanned in place.
+    are ordinary rows; long texts are read whole, in time that grows with the text and its
+    matches; other columns are ignored.  No shuffle: every row is scanned in place.
     """
     d = id_text(docs)
     kinds = list(PATTERNS)
