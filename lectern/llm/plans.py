@@ -113,7 +113,7 @@ def op12_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_quality")
 def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    scored = saved(quality.score_documents(docs).drop("text"), "quality")
+    scored = saved(quality.score_documents(docs, keep=["doc_id", "lang"]), "quality")
     return quality.judge(scored, saved(quality.bands(scored), "bands")).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "perplexity", "low", "high")
 

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,7 +28,7 @@ from lectern.session import ship_package
 ORDER = 4
 #: Costs are kept as whole millionths of a nat, so that sums do not depend on their order.
 UNIT = 1_000_000
-#: Entries of the model (24 bytes each) that are broadcast at most; beyond, scoring joins.
+#: Entries of the model (16 bytes each) that are broadcast at a time.
 MAX_SHIPPED = 4_000_000
 #: A band reaches this many robust deviations below and above the language's median (sound texts with names, numbers
 #: or a second language lie far above it, none far below), and is used from so many documents on.
@@ -273,13 +274,29 @@ class Arrays:
 
 def shipped(model: DataFrame, order: int = ORDER) -> dict[tuple[str, int], Arrays]:
     """The arrays of every language and half; call it on a model of counted size."""
-    t = model.select("lang", "half", "k", "gram", "cost", "back").toArrow().combine_chunks()
-    langs, halves, grams = t.column("lang").to_pylist(), t.column("half").to_pylist(), t.column("gram").to_pylist()
-    k, cost, back = (t.column(c).to_numpy() for c in ("k", "cost", "back"))
-    rows: dict[tuple[str, int], list[int]] = {}
-    for i, key in enumerate(zip(langs, halves)):
-        rows.setdefault(key, []).append(i)
-    return {key: Arrays.build(k[i], [grams[j] for j in i], cost[i], back[i], order) for key, i in rows.items()}
+    t = model.select("lang", "half", "k", "gram", "cost", "back").toArrow()
+    out = {}
+    for key in t.group_by(["lang", "half"]).aggregate([]).to_pylist():
+        own = t.filter((pc.field("lang") == key["lang"]) & (pc.field("half") == key["half"]))
+        k, cost, back = (own.column(c).to_numpy() for c in ("k", "cost", "back"))
+        out[key["lang"], key["half"]] = Arrays.build(k, own.column("gram").to_pylist(), cost, back, order)
+    return out
+
+
+def _lots(model: DataFrame, most: int) -> tuple[list[list[str]], list[str]]:
+    """(lots of languages of at most ``most`` entries each, languages that have more alone)."""
+    sizes = sorted((r.lang, r.n) for r in model.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect())  # one row per language
+    lots, room, large = [[]], most, []
+    for lang, n in sizes:
+        if n > most:
+            large.append(lang)
+            continue
+        if n > room:
+            lots.append([])
+            room = most
+        lots[-1].append(lang)
+        room -= n
+    return lots, large
 
 
 # -- scores -----------------------------------------------------------------
@@ -309,39 +326,61 @@ def _measure(texts: list[str], langs: list[str], halves: list[int], arrays: dict
     return out
 
 
-def score_documents(docs: DataFrame, order: int = ORDER, max_shipped: int = MAX_SHIPPED) -> DataFrame:
-    """``docs`` with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cost and n_grams (columns of these
-    names are replaced): cost is that of the text under the model of the other half, over n_grams characters.
+_NAMES = [c.split()[0] for c in _STATS.split(", ")]
+_STRUCT = "struct<" + _STATS.replace(" long", ":long") + ">"
+
+
+def score_documents(docs: DataFrame, order: int = ORDER, max_shipped: int = MAX_SHIPPED, keep: list[str] | None = None) -> DataFrame:
+    """``docs`` (its columns ``keep``, default all) with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, cost
+    and n_grams (columns of these names are replaced): cost is that of the text under the model of the other half, over n_grams characters.
 
     Null texts are empty.  Empty and wordless texts, and texts whose language
     has no text in the other half, have no cost (0 over 0 characters).  Long texts are
     read whole; repeated rows are rows of their own; an empty table stays empty.
 
-    The model is counted first.  Up to ``max_shipped`` entries it is broadcast
-    as arrays, beyond that the n-grams of each text are joined with it.
+    The model is counted by language first.  Up to ``max_shipped`` entries it is
+    broadcast as arrays and texts are scored in place.  A larger one is
+    shipped in lots of languages, one pass over their documents each, written before
+    the next lot is sent; a language that is too large alone joins its texts' n-grams with the model.
     """
-    spark = docs.sparkSession
     model = estimate(docs, order)
-    small = model.count() <= max_shipped
-    shared = spark.sparkContext.broadcast(shipped(model, order) if small else None)
+    lots_, large = _lots(model, max_shipped)
+    keep = [c for c in keep or docs.columns if c not in _NAMES]
+    lang, parts = language(F.col("lang")), []
+    elsewhere = [x for lot in lots_[1:] for x in lot] + large
+    for i, lot in enumerate(lots_):
+        own = docs if not elsewhere else docs.where(lang.isin(lot)) if i else docs.where(~lang.isin(elsewhere))
+        shared = docs.sparkSession.sparkContext.broadcast(shipped(model.where(F.col("lang").isin(lot)), order))  # at most max_shipped entries
+        part = _in_place(own, shared, keep, order)
+        if elsewhere:
+            part = saved(part, "scored")
+            shared.unpersist()
+        parts.append(part)
+    if large:
+        parts.append(_joined(docs.where(lang.isin(large)), model.where(F.col("lang").isin(large)), keep, order))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
 
-    @F.pandas_udf("struct<" + _STATS.replace(" long", ":long") + ">")
+def _in_place(docs: DataFrame, shared, keep: list[str], order: int) -> DataFrame:
+    """Counts and costs of every row under the broadcast arrays (None: counts alone)."""
+    @F.pandas_udf(_STRUCT)
     def measure(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in _STATS.split(", ")]
+        arrays = shared.value if shared is not None else None
         for text, lang, h in batches:
             batch = pa.RecordBatch.from_arrays([pa.array(text, pa.string()), pa.array(lang, pa.string()), pa.array(h, pa.int32())], ["t", "l", "h"])
-            got = [_measure(*(sub.column(i).to_pylist() for i in range(3)), shared.value, order) for sub in lots(batch, 0, 1 << 14, 1 << 21)]
-            yield pd.DataFrame(dict(zip(names, np.concatenate(got, axis=1) if got else np.zeros((7, 0), np.int64))))
-    names = [c.split()[0] for c in _STATS.split(", ")]
-    keep = [F.col(f"`{c}`") for c in docs.columns if c not in names]
+            got = [_measure(*(sub.column(i).to_pylist() for i in range(3)), arrays, order) for sub in lots(batch, 0, 1 << 14, 1 << 21)]
+            yield pd.DataFrame(dict(zip(_NAMES, np.concatenate(got, axis=1) if got else np.zeros((7, 0), np.int64))))
     text = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(*keep, measure(text, language(F.col("lang")), half(text)).alias("__q"))
-    out = out.select(*keep, *[F.col(f"__q.{c}") for c in names])
-    return out if small else _joined(docs, out, model, keep, order)
+    cols = [F.col(f"`{c}`") for c in keep]
+    out = docs.select(*cols, measure(text, language(F.col("lang")), half(text)).alias("__q"))
+    return out.select(*cols, *[F.col(f"__q.{c}") for c in _NAMES])
 
 
-def _joined(docs: DataFrame, out: DataFrame, model: DataFrame, keep: list[Column], order: int) -> DataFrame:
-    """``out`` with costs from a join of the texts' n-grams with the model, for models too large to ship."""
+def _joined(docs: DataFrame, model: DataFrame, keep: list[str], order: int) -> DataFrame:
+    """Counts in place, and costs from a join of the texts' n-grams with the model, for a language too large to ship."""
     key = [h.alias(f"__h{i}") for i, h in enumerate(wide_hash(language(F.col("lang")), F.coalesce(F.col("text"), F.lit(""))))]
     texts = docs.where(F.col("text").isNotNull()).select(*key, language(F.col("lang")).alias("lang"), half(F.col("text")).alias("half"), "text").dropDuplicates(["__h0", "__h1"])
 
@@ -373,21 +412,11 @@ def _joined(docs: DataFrame, out: DataFrame, model: DataFrame, keep: list[Column
     done = done.unionByName(todo.select(*by, "gram", (F.col("sum") + F.col("unseen")).alias("price")))
     sums = (grams.join(done, [*by, "gram"]).groupBy("__h0", "__h1")
             .agg(F.sum(F.col("n") * F.col("price")).cast("long").alias("__cost"), F.sum("n").alias("__n")))
-    names = [c.split()[0] for c in _STATS.split(", ")][:5]
-    # the counts and the costs of a row meet again by the hash of its text
-    j = docs.select(F.struct("*").alias("__row"), *key).join(sums, ["__h0", "__h1"], "left")
-    flat = j.select(*[F.col(f"__row.`{c}`").alias(c) for c in docs.columns], "__cost", "__n")
-    text = F.coalesce(F.col("text"), F.lit(""))
-
-    @F.pandas_udf("struct<" + _STATS.replace(" long", ":long") + ">")
-    def plain_counts(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        full = [c.split()[0] for c in _STATS.split(", ")]
-        for batch in batches:
-            rows = pa.RecordBatch.from_arrays([pa.array(batch, pa.string())], ["t"])
-            got = [_measure(t := sub.column(0).to_pylist(), [""] * len(t), [0] * len(t), None, order) for sub in lots(rows, 0, 1 << 14, 1 << 21)]
-            yield pd.DataFrame(dict(zip(full, np.concatenate(got, axis=1) if got else np.zeros((7, 0), np.int64))))
-    q = flat.select(*keep, "__cost", "__n", plain_counts(text).alias("__q"))
-    return q.select(*keep, *[F.col(f"__q.{c}") for c in names], F.coalesce("__cost", F.lit(0)).alias("cost"), F.coalesce("__n", F.lit(0)).alias("n_grams"))
+    # the counts and the costs of a row meet by the hash of its text
+    own = _in_place(docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("__row"), "text", "lang", *key), None, ["__row", "__h0", "__h1"], order)
+    j = own.drop("cost", "n_grams").join(sums, ["__h0", "__h1"], "left")
+    return j.select(*[F.col(f"__row.`{c}`").alias(c) for c in keep], *_NAMES[:5],
+                    F.coalesce("__cost", F.lit(0)).alias("cost"), F.coalesce("__n", F.lit(0)).alias("n_grams"))
 
 
 # -- verdicts ---------------------------------------------------------------
@@ -401,8 +430,9 @@ def per_char() -> Column:
 
 
 def _median(rows: DataFrame, value: Column) -> DataFrame:
-    """(lang, m, n): the lower median of ``value`` in bins of BIN, exactly and without holding a language's rows."""
-    bins = rows.select("lang", F.floor(value / F.lit(BIN)).alias("b")).groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n"))
+    """(lang, m, n): the lower median of ``value`` in bins of BIN, exactly and without holding a language's rows: a
+    language's bins, written first, are at most the thousandths of a nat that its texts' costs take."""
+    bins = saved(rows.select("lang", F.floor(value / F.lit(BIN)).alias("b")).groupBy("lang", "b").agg(F.count(F.lit(1)).alias("n")), "bins")
     w = Window.partitionBy("lang")
     c = bins.withColumn("upto", F.sum("n").over(w.orderBy("b"))).withColumn("all", F.sum("n").over(w))
     return c.where(2 * F.col("upto") >= F.col("all")).groupBy("lang").agg((F.min("b") * F.lit(BIN)).alias("m"), F.first("all").alias("n"))
