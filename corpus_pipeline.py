@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import language, linededup, minhash, mixing, packing
-from lectern.llm.common import saved
+from lectern.llm.common import WORD, saved
 from lectern.llm.plans import crc32
 from lectern.session import ensure_checkpoint_dir, read_table, ship_package
 
@@ -45,9 +45,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix of sources reads them (0, 1 or 2 times), in slot order; the read
-    at a source's target ends there, and n_chars follows."""
+    at a source's target ends there, and n_chars follows.
+
+    A document without a word (among them those that the line stage emptied,
+    being copies in all their lines) has nothing to read and is left out.
+    """
     ship_package(spark)
-    out = mixing.mix_documents(docs)
+    out = mixing.mix_documents(docs.where(F.col("text").rlike(WORD)))
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
 
 
