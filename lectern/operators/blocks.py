@@ -17,6 +17,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Largest query side that is broadcast; bytes of a lot of queries and of a block of rows beyond it.
 LIMIT, LOT_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20, 32 << 20
@@ -57,6 +59,7 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
     times; the caller merges the tasks' survivors.  No rows on either side give no candidates.
     ``grid`` pins (lots, blocks) and takes the second path.
     """
+    types = to_arrow_schema(T._parse_datatype_string(schema))
     nq, q_bytes = _size(queries, vector)
     nr, r_bytes = _size(rows, vector)
     if q_bytes <= limit and grid is None:
@@ -69,7 +72,7 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
                     found = kernel(q, pa.Table.from_batches([batch.slice(lo, TILE_ROWS)]))
                     held = merge(found if held is None else pd.concat([held, found], ignore_index=True))
             if held is not None:
-                yield from pa.Table.from_pandas(held, preserve_index=False).to_batches(max_chunksize=1 << 16)
+                yield from pa.Table.from_pandas(held, types, preserve_index=False).to_batches(max_chunksize=1 << 16)
         if not nq:
             return rows.sparkSession.createDataFrame([], schema)
         return rows.coalesce(max(1, math.ceil(nr / LEAST_ROWS))).mapInArrow(in_place, schema)
@@ -85,5 +88,5 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
             found = kernel(left, right.slice(lo, TILE_ROWS))
             held = merge(found if held is None else pd.concat([held, found], ignore_index=True))
         held = merge(kernel(left, right)) if held is None else held  # an empty side: no candidates, but the right columns
-        return pa.Table.from_pandas(held, preserve_index=False)
+        return pa.Table.from_pandas(held, types, preserve_index=False)
     return q.groupBy("_lot", "_block").cogroup(x.groupBy("_lot", "_block")).applyInArrow(meet, schema)

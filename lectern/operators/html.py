@@ -1,15 +1,13 @@
 """Archived web pages -> links, section text, paragraphs, pagination walks.
 
 Pages are ``(page_id, url, html)``.  Extraction is regex-based over flat markup
-(JVM built-ins, no per-row Python).  The pagination walk follows ``next``
-pointers with pointer doubling: ``log2(longest chain)`` self-join rounds
+(JVM built-ins, no per-row Python; ``markup`` walks nested markup).  The pagination walk
+follows ``next`` pointers with pointer doubling: ``log2(longest chain)`` self-join rounds
 instead of one round per page, with a visited guard so cycles terminate.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -85,28 +83,25 @@ def walk_chains(nodes: DataFrame, starts: DataFrame, *, max_steps: int | None =
     """Follow ``next`` pointers from each start until none, a self link or a revisit.
 
     ``nodes``: (node, next); ``starts``: (chain, node).  Returns (chain, step,
-    node): every node reached, once, with its first step number.  Uses pointer
-    doubling: jump tables ``J_k(v) = next^(2^k)(v)`` built in ``K`` self-join
-    rounds, then each chain's prefix of ``2^K`` steps is expanded by halving.
-    ``2^K`` covers the node count, so a cycle is cut at its first revisit; each halving
-    round keeps the first step of a (chain, node), so a cycle never multiplies rows
-    (what follows a later visit also follows the first one, at lower steps).
+    node): every node reached, once, with its first step number, below ``max_steps`` if given.
+
+    Pointer doubling: with the table of jumps of 2^k steps, the nodes reached in
+    fewer than 2^k steps give those of fewer than 2^(k+1), and the table
+    joined with itself gives the next one, whose predecessor is dropped.  Rounds end when one
+    adds no node to any chain, so their number follows the longest walk, not the
+    archive.  Each round keeps the first step of a (chain, node), so a cycle never
+    multiplies rows (what follows a later visit also follows the first one, at lower steps).
     """
-    nxt = nodes.select("node", F.when(F.col("next") != F.col("node"), F.col("next")).alias("j"))
-    if max_steps is None:
-        max_steps = max(1, nodes.count())
-    K = max(0, math.ceil(math.log2(max_steps)))
-    jumps = [cut_lineage(nxt)]
-    for _k in range(K):
-        a, b = jumps[-1].alias("a"), jumps[-1].alias("b")
-        nj = (a.join(b, F.col("a.j") == F.col("b.node"), "left")
-              .select(F.col("a.node").alias("node"), F.col("b.j").alias("j")))
-        jumps.append(cut_lineage(nj))
-    seg = starts.select("chain", "node", F.lit(0).cast("long").alias("step"))
-    # expand segments of length 2^K down to single nodes
-    for k in range(K - 1, -1, -1):
-        jk = jumps[k].withColumnRenamed("node", "_n")
-        right = (seg.join(jk, seg["node"] == jk["_n"], "inner").where(F.col("j").isNotNull())
-                 .select("chain", F.col("j").alias("node"), (F.col("step") + F.lit(2 ** k)).alias("step")))
-        seg = cut_lineage(seg.unionByName(right).groupBy("chain", "node").agg(F.min("step").alias("step")))
-    return seg.where(F.col("step") < max_steps).select("chain", "node", "step")
+    jump = cut_lineage(nodes.select("node", F.when(F.col("next") != F.col("node"), F.col("next")).alias("j")).where("j is not null"))
+    seg = cut_lineage(starts.select("chain", "node", F.lit(0).cast("long").alias("step")))
+    reach, n = 1, seg.count()
+    while max_steps is None or reach < max_steps:
+        ahead = seg.join(jump, "node").select("chain", F.col("j").alias("node"), (F.col("step") + F.lit(reach)).alias("step"))
+        seg = cut_lineage(seg.unionByName(ahead).groupBy("chain", "node").agg(F.min("step").alias("step")))
+        now = seg.count()
+        if now == n:
+            break
+        n, reach = now, 2 * reach
+        further = jump.select(F.col("node").alias("j"), F.col("j").alias("_to"))
+        jump = cut_lineage(jump.join(further, "j").select("node", F.col("_to").alias("j")))
+    return seg.where(F.col("step") < max_steps) if max_steps else seg

@@ -1,21 +1,22 @@
 """Order-dependent helpers that stay bounded when one key holds a large share of rows.
 
-A window partitioned by a key sends all rows of that key to one task.  For
-integer ordinals (turn numbers, ids) both helpers below use two levels
-instead: rows are bucketed by ``(keys, ordinal // bucket_width)`` (bounded
-buckets), the order-dependent step runs inside each bucket, and a per-key
-window over one summary row per bucket (``1/bucket_width`` of the rows)
-stitches the buckets together.
+A window partitioned by a key sends all rows of that key to one task.  The
+helpers below use two levels instead: rows are bucketed, the order-dependent
+step runs inside each bucket, and a window over one summary row per bucket
+stitches the buckets together.  Within a key, buckets are ``ordinal //
+bucket_width`` (turn numbers); over a whole table they are ranges between
+quantiles of the ordinal, so sparse, hashed or skewed ids fill them evenly.
 """
 
 from __future__ import annotations
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.session import cut_lineage
 
-DEFAULT_BUCKET = 1 << 16
+DEFAULT_BUCKET, MOST_RANGES = 1 << 16, 4096
 _LOCAL_ROW = (1 << 33) - 1  # the row number inside a partition in monotonically_increasing_id
 
 
@@ -40,11 +41,34 @@ def rank_rows(df: DataFrame, *order: Column, out: str = "rank") -> tuple[DataFra
     return ranked.withColumn(out, F.col("_before") + F.col("_row") + 1).drop("_part", "_row", "_before"), total
 
 
+def range_buckets(df: DataFrame, order: str, *, out: str = "_bucket", rows: int = DEFAULT_BUCKET, most: int = MOST_RANGES) -> DataFrame:
+    """``df`` with a number of the range that ``order`` lies in, ascending from 0.
+
+    Ranges lie between quantiles and hold about ``rows`` rows (more where that
+    would take over ``most`` ranges).  Rows of one ordinal share a range; null ordinals have none (null).
+    """
+    place = F.col(order).cast("double")  # monotone: two longs that round to one double share a range
+    n = df.where(F.col(order).isNotNull()).count()
+    ranges = min(most, max(1, -(-n // rows)))
+    cuts = []
+    if ranges > 1:
+        cuts = df.agg(F.percentile_approx(place, [i / ranges for i in range(1, ranges)], 20 * ranges)).first()[0]
+    if not cuts:
+        return df.withColumn(out, F.when(F.col(order).isNotNull(), F.lit(0)))
+    splits = [-float("inf"), *sorted(set(cuts)), float("inf")]
+    placed = df.withColumn("_place", F.coalesce(place, F.lit(0.0)))
+    placed = Bucketizer(splits=splits, inputCol="_place", outputCol=out).transform(placed)
+    return placed.withColumn(out, F.when(F.col(order).isNotNull(), F.col(out).cast("int"))).drop("_place")
+
+
 def running_sum(df: DataFrame, *, order: str, value: str, out: str, keys: list[str] | None = None,
                 bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
-    """Exclusive running sum of ``value`` in ``order`` (per ``keys``), as a long column ``out``."""
+    """Exclusive running sum of ``value`` in ``order`` (per ``keys``), as a long column ``out``.
+
+    Rows with a null ``order`` are left out.  Without keys, ``df`` is read several times: pass a table or a checkpoint.
+    """
     keys = keys or []
-    b = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width))
+    b = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width)) if keys else range_buckets(df, order, rows=bucket_width)
     totals = b.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_btotal"))
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_boff", F.coalesce(F.sum("_btotal").over(wb), F.lit(0))).drop("_btotal")

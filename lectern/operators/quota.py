@@ -9,19 +9,25 @@ cap is ``orderBy().limit()`` (TakeOrderedAndProject), never an unpartitioned win
 
 The token budget is a greedy fold (accept when ``usage < budget`` and
 ``usage + est_in <= budget``; then ``usage += in + out``).  It is computed
-exactly in rounds: each round takes a distributed running sum over the
-remaining candidates, accepts the prefix before the first failing row, and
-drops candidates whose ``est_in`` exceeds the budget left.  Rounds end when the
-budget is spent or no candidate remains; each round only scans survivors.
+exactly over ranges of the order column (``ordered.range_buckets``): running
+sums inside each range, one summary row a range, and a walk over the summaries.
+A range whose rows all fit is accepted by its offset alone; one without
+a candidate small enough for what is left is passed over; the others, where the
+budget runs out or a candidate is skipped, are folded row by row, each in one
+task of a range's rows.  Later ranges are never read again.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.ordered import running_sum
-from lectern.session import cut_lineage
+from lectern.operators.ordered import range_buckets, running_sum
+from lectern.session import cut_lineage, ensure_checkpoint_dir
 from lectern.functions.fixed import MAX_PER_CATEGORY, MAX_PER_LIST, MAX_TOTAL, TOKEN_BUDGET
 
 
@@ -40,33 +46,54 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
                  bucket_width: int = 1 << 16) -> DataFrame:
     """Rows accepted by the greedy budget rule, with ``usage_after``.
 
-    ``order`` must be a unique long.  Output: accepted rows + ``usage_after``.
+    ``order`` must be a unique long (rows without one are left out).  Output: accepted rows + ``usage_after``.
+    Ranges hold about ``bucket_width`` rows.  The driver sees one row per range
+    and the accepted rows of the ranges that were folded; each of these accepts
+    at least one row, so the budget bounds their number.
     """
-    rest = cut_lineage(cands.where(F.col(est_in) <= budget))
-    used = 0
-    accepted: list[DataFrame] = []
-    while True:
+    spark = cands.sparkSession
+    slim = cut_lineage(cands.where((F.col(est_in) <= budget) & F.col(order).isNotNull())
+                       .select(F.col(order).alias("o"), F.col(est_in).cast("long").alias("e"), F.col(cost).cast("long").alias("c")))
+    w = Window.partitionBy("r").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    placed = range_buckets(slim, "o", out="r", rows=bucket_width).withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/budget-{uuid.uuid4().hex}"
+    placed.write.partitionBy("r").parquet(path)  # one folder a range: a fold reads its own range only
+    ranges = spark.read.schema(placed.schema).parquet(path)
+    stats = ranges.groupBy("r").agg(F.sum("c").alias("total"), F.max("before").alias("top"), F.max(F.col("before") + F.col("e")).alias("peak"),
+                                    F.min("e").alias("least")).orderBy("r").collect()  # at most ordered.MOST_RANGES rows
+    used, whole, folded = 0, [], []
+    for s in stats:
         left = budget - used
-        rs = running_sum(rest, order=order, value=cost, out="_prefix", bucket_width=bucket_width)
-        fails = (F.col("_prefix") + F.lit(used) >= F.lit(budget)) | \
-                (F.col("_prefix") + F.col(est_in) > F.lit(left))
-        first = rs.where(fails).agg(F.min(order).alias("f"), F.min_by("_prefix", order).alias("p")).first()
-        if first["f"] is None:          # every remaining row fits
-            accepted.append(rs.withColumn("usage_after", F.col("_prefix") + F.col(cost) + F.lit(used)))
-            break
-        f, p = first["f"], int(first["p"])
-        accepted.append(rs.where(F.col(order) < f)
-                        .withColumn("usage_after", F.col("_prefix") + F.col(cost) + F.lit(used)))
-        used += p
-        if used >= budget:
+        if left <= 0:
             break
-        left = budget - used
-        # an empty remainder ends the next round (no failing row, nothing to accept)
-        rest = cut_lineage(rest.where((F.col(order) > f) & (F.col(est_in) <= left)))
-    out = accepted[0]
-    for a in accepted[1:]:
-        out = out.unionByName(a)
-    return out.drop("_prefix").withColumn("usage_after", F.col("usage_after").cast("long"))
+        if s.least > left:
+            continue
+        if s.top < left and s.peak <= left:
+            whole.append((s.r, used))
+            used += s.total
+            continue
+        own = ranges.where((F.col("r") == s.r) & (F.col("e") <= left)).select("o", "e", "c").coalesce(1).sortWithinPartitions("o")
+        took = own.mapInArrow(_fold(used, budget), "o long, usage_after long").collect()
+        folded += [(r.o, r.usage_after) for r in took]
+        used = max((r.usage_after for r in took), default=used)
+    offsets = spark.createDataFrame(whole, "r int, offset long")
+    taken = ranges.join(F.broadcast(offsets), "r").select("o", (F.col("offset") + F.col("before") + F.col("c")).alias("usage_after"))
+    taken = taken.unionByName(spark.createDataFrame(folded, "o long, usage_after long"))
+    return cands.join(taken.withColumnRenamed("o", order), order).select(*[F.col(c) for c in cands.columns], "usage_after")
+
+
+def _fold(used: int, budget: int):
+    """The greedy rule over the rows (o, e, c) of one range, in order."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        usage = used
+        for batch in batches:
+            out = []
+            for o, e, c in zip(*(col.to_pylist() for col in batch.columns)):
+                if usage < budget and usage + e <= budget:
+                    usage += c
+                    out.append((o, usage))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.int64()) for i in (0, 1)], ["o", "usage_after"])
+    return run
 
 
 def strict_fold(cands: DataFrame, *, order: str, list_keys: list[str], category: str, est_in: str,

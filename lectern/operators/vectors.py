@@ -1,119 +1,145 @@
 """Vector retrieval: exact k-nearest neighbours, LSH candidates, offline embeddings.
 
-Exact kNN (``knn_join``) is a blocked nested-loop join expressed with
-DataFrame operators, with no cross join and no pair rows:
-
-1. both sides are hash-blocked on their id: ``qb`` for queries, ``xb`` for the index;
-2. every query row is replicated once per index block, and every index row once
-   per query block, so each ``(qb, xb)`` group meets exactly once;
-3. ``cogroup(...).applyInPandas`` computes the distances of one group as a numpy
-   matrix product and emits only that group's k nearest per query, ties broken by id
-   (the product screens with a tolerance scaled by the norms; direct sums decide);
-4. a ``row_number() <= k`` window per query merges the candidates, which
-   Catalyst plans as a ``WindowGroupLimit`` before the shuffle.
-
-Block sizes bound every group in memory (``q_block`` x ``x_block`` vectors),
-whatever the skew of ids, because blocks come from a hash of a unique id.
-Shuffle volume is ``|Q| * n_xblocks + |X| * n_qblocks`` vectors. With a small
-question set (``n_qblocks == 1``) the index is read once and not replicated.
+Exact kNN (``knn_join``) keeps the index where it lies: the question side is
+measured and broadcast, each task scores its rows in tiles with a matrix
+product and holds the k nearest of each question, and one window merges k rows
+a question and task.  A question side too large to ship meets the index in
+bounded (lot, block) groups instead (``blocks.scan_against``).  No pair rows, no cross join.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from lectern.functions.fixed import EMBED_BATCH
+from lectern.operators import blocks
 
-_CAND_SCHEMA = T.StructType([
-    T.StructField("qid", T.LongType()),
-    T.StructField("xid", T.LongType()),
-    T.StructField("distance", T.DoubleType()),
-])
+TILE_CELLS = 4_000_000   # distances held at once per task (32 MB of float64)
 
 
-TILE_CELLS = 8_000_000   # distances held at once per task (64 MB of float64)
+def whole_vector(vector: Column) -> Column:
+    """Not null and without null components."""
+    return vector.isNotNull() & ~F.coalesce(F.exists(vector, lambda v: v.isNull()), F.lit(True))
 
 
-def _local_topk(k: int, exclude_self: bool):
-    def fn(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
-        if len(qpdf) == 0 or len(xpdf) == 0:
-            return pd.DataFrame({"qid": pd.Series([], dtype="int64"),
-                                 "xid": pd.Series([], dtype="int64"),
-                                 "distance": pd.Series([], dtype="float64")})
-        qids = qpdf["qid"].to_numpy(dtype=np.int64)
-        xids = xpdf["xid"].to_numpy(dtype=np.int64)
-        Q = np.stack(qpdf["qv"].to_numpy()).astype(np.float64)
-        X = np.stack(xpdf["xv"].to_numpy()).astype(np.float64)
+def nearest(k: int, exclude_self: bool = False) -> blocks.Kernel:
+    """The k nearest rows (id, no, vec) of each question (id, vec) by squared distance, ties by (id, no).
+
+    Where the questions list ``cells`` and the rows have a ``cell``, a question meets the rows of its cells only.
+    The matrix product screens with a tolerance scaled by the norms; direct sums decide.
+    """
+    def fn(q: pa.Table, x: pa.Table) -> pd.DataFrame:
+        out = [_nearest(q, x, at, k, exclude_self) for at in _meetings(q, x)]
+        cols = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 4 + [np.zeros(0)]
+        return pd.DataFrame(dict(zip(("qid", "xid", "xno", "xcell", "distance"), cols)))
+    return fn
+
+
+def _meetings(q: pa.Table, x: pa.Table):
+    """(question rows, index rows) to compare: all, or those of each cell."""
+    if "cells" not in q.column_names:
+        yield np.arange(q.num_rows), np.arange(x.num_rows)
+        return
+    cells = x.column("cell").to_numpy()
+    probed = q.column("cells").combine_chunks()
+    owner, probed = np.repeat(np.arange(q.num_rows), probed.value_lengths().to_numpy()), probed.flatten().to_numpy()
+    for c in np.unique(cells):
+        own = owner[probed == c]
+        if len(own):
+            yield own, np.flatnonzero(cells == c)
+
+
+def _nearest(q: pa.Table, x: pa.Table, at: tuple[np.ndarray, np.ndarray], k: int, exclude_self: bool) -> tuple[np.ndarray, ...]:
+    q, x = q.take(at[0]), x.take(at[1])
+    qid, xid = q.column("id").to_numpy(), x.column("id").to_numpy()
+    xno, xcell = (x.column(c).to_numpy().astype(np.int64) if c in x.column_names else np.zeros(len(xid), np.int64) for c in ("no", "cell"))
+    sides = {m.shape[1]: (rows, m) for rows, m in blocks.by_length(x, "vec")}
+    out = []
+    for qrows, Q in blocks.by_length(q, "vec"):
+        if Q.shape[1] not in sides:
+            continue
+        xrows, X = sides[Q.shape[1]]
         xn = (X * X).sum(axis=1)
         far = np.sqrt(xn.max())
         unit = 8 * np.finfo(np.float64).eps * (X.shape[1] + 8)  # rounding of the product, in squared norms
-        tile = max(1, TILE_CELLS // max(1, len(X)))
-        out_q, out_x, out_d = [], [], []
+        tile = max(1, TILE_CELLS // len(X))
         for s in range(0, len(Q), tile):
-            Qt = Q[s:s + tile]
+            Qt, ids = Q[s:s + tile], qid[qrows[s:s + tile]]
             qn = (Qt * Qt).sum(axis=1)
             D = qn[:, None] + xn[None, :] - 2.0 * (Qt @ X.T)
             if exclude_self:
-                D[qids[s:s + tile][:, None] == xids[None, :]] = np.inf
+                D[ids[:, None] == xid[xrows][None, :]] = np.inf
             kk = min(k, D.shape[1])
             kth = np.partition(D, kk - 1, axis=1)[:, kk - 1]
             slack = unit * (np.sqrt(qn) + far) ** 2
             rows, cols = np.nonzero((D <= (kth + slack)[:, None]) & np.isfinite(D))
-            # exact distance of the survivors by a direct sum, in bounded lots; then exactly k a query
+            # exact distance of the survivors by a direct sum, in bounded lots; then exactly k a question
             dist = np.empty(len(rows))
             lot = max(1, TILE_CELLS // max(1, X.shape[1]))
             for lo in range(0, len(rows), lot):
                 diff = Qt[rows[lo:lo + lot]] - X[cols[lo:lo + lot]]
                 dist[lo:lo + lot] = (diff * diff).sum(axis=1)
-            order = np.lexsort((xids[cols], dist, rows))  # ``rows`` is ascending and stays so
+            i, n = xid[xrows[cols]], xno[xrows[cols]]
+            order = np.lexsort((n, i, dist, rows))  # ``rows`` is ascending and stays so
             best = order[np.arange(len(rows)) - np.searchsorted(rows, rows) < k]
-            out_q.append(qids[s + rows[best]])
-            out_x.append(xids[cols[best]])
-            out_d.append(dist[best])
-        return pd.DataFrame({"qid": np.concatenate(out_q), "xid": np.concatenate(out_x),
-                             "distance": np.concatenate(out_d)})
+            out.append((ids[rows[best]], i[best], n[best], xcell[xrows[cols[best]]], dist[best]))
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else (*[np.zeros(0, np.int64)] * 4, np.zeros(0))
+
+
+def closest(k: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """Keeps the k nearest candidates of each question."""
+    def merge(found: pd.DataFrame) -> pd.DataFrame:
+        found = found.sort_values(["qid", "distance", "xid", "xno"], kind="stable", ignore_index=True)
+        qid = found["qid"].to_numpy()
+        return found[np.arange(len(qid)) - np.searchsorted(qid, qid) < k]
+    return merge
+
+
+CANDIDATES = "qid long, xid long, xno long, xcell long, distance double"
+
+
+def _local_topk(k: int, exclude_self: bool):
+    """``nearest`` over pandas groups of (qid, qv) and (xid, xv)."""
+    def table(pdf: pd.DataFrame, key: str, vector: str) -> pa.Table:
+        return pa.table({"id": pa.array(pdf[key], pa.int64()), "vec": pa.array([np.asarray(v, np.float64) for v in pdf[vector]], pa.list_(pa.float64()))})
+
+    def fn(qpdf: pd.DataFrame, xpdf: pd.DataFrame) -> pd.DataFrame:
+        return nearest(k, exclude_self)(table(qpdf, "qid", "qv"), table(xpdf, "xid", "xv"))[["qid", "xid", "distance"]]
     return fn
 
 
+def ranked(candidates: DataFrame, k: int) -> DataFrame:
+    """(qid, rank, xid, xno, xcell, distance) of the k nearest candidates of each question, over all tasks."""
+    w = Window.partitionBy("qid").orderBy("distance", "xid", "xno")
+    return (candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .select("qid", F.col("rank").cast("long").alias("rank"), "xid", "xno", "xcell", "distance"))
+
+
 def knn_join(queries: DataFrame, index: DataFrame, k: int = 6, *,
              query_id: str = "query_id", index_id: str = "doc_id",
              query_vector: str = "embedding", index_vector: str = "embedding",
-             exclude_self: bool = False, q_block: int = 4096, x_block: int = 65536,
+             exclude_self: bool = False, limit: int = blocks.LIMIT,
              n_blocks: tuple[int, int] | None = None) -> DataFrame:
     """Exact k nearest neighbours by squared Euclidean distance.
 
     Returns ``(query_id, rank, neighbor_id, distance)`` with ``rank`` 1..k,
-    ties broken by neighbour id.  ``n_blocks`` may pin ``(query_blocks,
-    index_blocks)``; otherwise they are sized from row counts.
+    ties broken by neighbour id.  Vectors that are null or hold null
+    components take no part, vectors of different lengths are never neighbours, and rows
+    that repeat an id count each.  A question side of more than ``limit`` bytes is not broadcast;
+    ``n_blocks`` pins (question lots, index blocks) and takes that path whatever the size.
     """
-    q = queries.select(F.col(query_id).cast("long").alias("qid"),
-                       F.col(query_vector).alias("qv")).where(F.col("qv").isNotNull())
-    x = index.select(F.col(index_id).cast("long").alias("xid"),
-                     F.col(index_vector).alias("xv")).where(F.col("xv").isNotNull())
-    if n_blocks is None:
-        nq, nx = q.count(), x.count()
-        nqb = max(1, math.ceil(nq / q_block))
-        # at least a few index blocks so the distance work spreads over tasks
-        nxb = max(1, math.ceil(nx / x_block), min(64, math.ceil(nx / 2048)))
-    else:
-        nqb, nxb = n_blocks
-    q = (q.withColumn("qb", F.pmod(F.xxhash64("qid"), F.lit(nqb)).cast("int"))
-          .withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(nxb - 1)))))
-    x = (x.withColumn("xb", F.pmod(F.xxhash64("xid"), F.lit(nxb)).cast("int"))
-          .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(nqb - 1)))))
-    cand = (q.groupBy("qb", "xb").cogroup(x.groupBy("qb", "xb"))
-             .applyInPandas(_local_topk(k, exclude_self), schema=_CAND_SCHEMA))
-    w = Window.partitionBy("qid").orderBy("distance", "xid")
-    return (cand.withColumn("rank", F.row_number().over(w))
-                .where(F.col("rank") <= k)
-                .select(F.col("qid").alias(query_id), F.col("rank").cast("long").alias("rank"),
-                        F.col("xid").alias("neighbor_id"), F.col("distance")))
+    def side(df: DataFrame, key: str, vector: str) -> DataFrame:
+        d = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("vec")).where(F.col("id").isNotNull() & whole_vector(F.col("vec")))
+        return d.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    cand = blocks.scan_against(side(index, index_id, index_vector), side(queries, query_id, query_vector),
+                               nearest(k, exclude_self), closest(k), CANDIDATES, limit=limit, grid=n_blocks)
+    return ranked(cand, k).select(F.col("qid").alias(query_id), "rank", F.col("xid").alias("neighbor_id"), "distance")
 
 
 def knn_graph(vectors: DataFrame, k: int = 6, *, id_col: str = "vec_id",
@@ -204,9 +230,6 @@ def knn_lsh(queries: DataFrame, index: DataFrame, k: int = 6, *, query_id: str =
           .withColumn("xb", F.explode(F.sequence(F.lit(0), F.col("_xs") - 1))))
     gk = [*keys, "qb", "xb"]
     cand = (qh.select(*gk, "qid", "qv").groupBy(*gk).cogroup(xh.select(*gk, "xid", "xv").groupBy(*gk))
-            .applyInPandas(_local_topk(k, exclude_self), schema=_CAND_SCHEMA)
-            .dropDuplicates(["qid", "xid"]))
-    w = Window.partitionBy("qid").orderBy("distance", "xid")
-    return (cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-            .select(F.col("qid").alias(query_id), F.col("rank").cast("long").alias("rank"),
-                    F.col("xid").alias("neighbor_id"), "distance"))
+            .applyInPandas(_local_topk(k, exclude_self), "qid long, xid long, distance double")
+            .dropDuplicates(["qid", "xid"]).withColumns({"xno": F.lit(0), "xcell": F.lit(0)}))
+    return ranked(cand, k).select(F.col("qid").alias(query_id), "rank", F.col("xid").alias("neighbor_id"), "distance")
