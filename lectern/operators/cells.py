@@ -112,7 +112,7 @@ def committed(spark: SparkSession, path: str) -> list[str]:
 def write_index(chunks: DataFrame, path: str, *, batch: str, overwrite: bool = False, cells: int | None = None) -> int:
     """Write rows (doc_id, chunk_no, vec, further columns) as one batch; the number of rows written.
 
-    The first write, and every ``overwrite``, fits the centroids; an append keeps
+    The first write with vectors, and every ``overwrite``, fits the centroids; an append keeps
     them and adds files to its cells, without looking for rows it has seen.  A batch that
     the manifest already names is skipped (a replayed micro-batch); one whose
     write broke off is written again into its own folder.  Rows without a
@@ -124,17 +124,15 @@ def write_index(chunks: DataFrame, path: str, *, batch: str, overwrite: bool = F
     if batch in visible:
         return 0
     rows = chunks.where(whole_vector(F.col("vec"))).withColumn("vec", F.col("vec").cast("array<double>"))
-    if overwrite or not visible:
+    base = batch if overwrite or not visible else visible[0]
+    centroids = None if base == batch else _read(spark, f"{path}/centroids/batch={base}")
+    if centroids is None:  # a new index, or one whose writes so far had no vectors
         rows = cut_lineage(rows)
-        sample = rows.select("vec")
-        n = sample.count()
+        n = rows.count()
         if n:
             k = min(MAX_CELLS, cells or max(2, math.ceil(n / CELL_ROWS)))
-            fit_centroids(sample, k).write.mode("overwrite").parquet(f"{path}/centroids/batch={batch}")
-        base = batch
-    else:
-        base = visible[0]
-    centroids = _read(spark, f"{path}/centroids/batch={base}")
+            fit_centroids(rows.select("vec"), k).write.mode("overwrite").parquet(f"{path}/centroids/batch={base}")
+            centroids = _read(spark, f"{path}/centroids/batch={base}")
     if centroids is None:
         placed = rows.withColumn("cell", F.lit(0)).where("false")
     else:
@@ -164,7 +162,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
 
 
 def centroids_of(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/centroids/batch={committed(spark, path)[0]}")
+    """(cell, vec) of the index; no rows while it holds no vectors."""
+    found = _read(spark, f"{path}/centroids/batch={committed(spark, path)[0]}")
+    return found if found is not None else spark.createDataFrame([], "cell int, vec array<double>")
 
 
 def cell_sizes(spark: SparkSession, path: str) -> DataFrame:
@@ -184,6 +184,9 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 6, *,
     q = questions.select(F.col("id").cast("long").alias("id"), F.col("vec").cast("array<double>").alias("vec")).where(F.col("id").isNotNull() & whole_vector(F.col("vec")))
     centroids = centroids_of(spark, path)
     n = centroids.count()
+    if not n:
+        index = read_index(spark, path).drop("vec", "gap", "batch")
+        return spark.createDataFrame([], "id long, rank long, distance double").join(index.where("false"))
     first = min(n, probes or max(1, math.ceil(FIRST_SHARE * n)))
     q = cut_lineage(_with_cells(q, centroids, n if probes is None else first))
     index = read_index(spark, path).where(F.col("doc_id").isNotNull() & F.col("chunk_no").isNotNull())

@@ -62,13 +62,16 @@ def range_buckets(df: DataFrame, order: str, *, out: str = "_bucket", rows: int
 
 
 def running_sum(df: DataFrame, *, order: str, value: str, out: str, keys: list[str] | None = None,
-                bucket_width: int = DEFAULT_BUCKET) -> DataFrame:
+                bucket_width: int = DEFAULT_BUCKET, sparse: bool | None = None) -> DataFrame:
     """Exclusive running sum of ``value`` in ``order`` (per ``keys``), as a long column ``out``.
 
-    Rows with a null ``order`` are left out.  Without keys, ``df`` is read several times: pass a table or a checkpoint.
+    Rows with a null ``order`` are left out.  ``sparse`` (always so without
+    keys) buckets by quantile ranges of the whole table's ``order``, whatever
+    its values; ``df`` is then read several times: pass a table or a checkpoint.
     """
     keys = keys or []
-    b = df.withColumn("_bucket", F.floor(F.col(order) / bucket_width)) if keys else range_buckets(df, order, rows=bucket_width)
+    ranges = not keys if sparse is None else sparse
+    b = range_buckets(df, order, rows=bucket_width) if ranges else df.withColumn("_bucket", F.floor(F.col(order) / bucket_width))
     totals = b.groupBy(*keys, "_bucket").agg(F.sum(value).alias("_btotal"))
     wb = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("_boff", F.coalesce(F.sum("_btotal").over(wb), F.lit(0))).drop("_btotal")

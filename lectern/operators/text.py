@@ -54,7 +54,8 @@ def parse_completion(df: DataFrame, raw: str = "raw") -> DataFrame:
     """B18 + B19: fence cleanup (character-set strip), JSON parse, answer length gate.
 
     Adds ``payload`` (cleaned text), ``question``, ``answer``, ``confidence``
-    (string, "N/A" when absent) and ``status`` in {ok, invalid_json, not_object,
+    (string, "N/A" when absent), ``references`` (a list; a single text is a list
+    of one, elements that are no text are given as JSON, anything else is empty) and ``status`` in {ok, invalid_json, not_object,
     answer_not_text, short_answer, missing_question}; ``answer`` is null unless it is a JSON
     string (Q19).  Rows are kept: ``ok`` ones become records, the others are the quarantine.
     """
@@ -73,9 +74,26 @@ def parse_completion(df: DataFrame, raw: str = "raw") -> DataFrame:
               .withColumn("question", F.try_variant_get(v, "$.question", "string"))
               .withColumn("answer", ans)
               .withColumn("confidence", F.coalesce(F.try_variant_get(v, "$.confidence", "string"), F.lit("N/A")))
+              .withColumn("references", _references(v))
               .withColumn("status", status))
 
 
+def _references(v: Column) -> Column:
+    kind = F.schema_of_variant(F.try_variant_get(v, "$.references", "variant"))
+    one = F.array(F.try_variant_get(v, "$.references", "string"))
+    many = F.try_variant_get(v, "$.references", "array<string>")
+    return F.coalesce(F.when(kind == "STRING", one).when(kind.startswith("ARRAY"), many), F.array().cast("array<string>"))
+
+
+def completion_records(parsed: DataFrame, *, category: Column, question_type: Column, sources: Column,
+                       input_tokens: str = "input_tokens", output_tokens: str = "output_tokens") -> DataFrame:
+    """B17 + B18: QA records of the ``ok`` rows of ``parse_completion``, with their references and the call's token usage."""
+    return parsed.where(F.col("status") == "ok").select(
+        category.alias("category_or_path"), question_type.alias("question_type"), "question", "answer", "confidence",
+        F.col("references").alias("references_from_llm"), sources.alias("source_lectures"),
+        F.struct(F.col(input_tokens).cast("long").alias("input_tokens"), F.col(output_tokens).cast("long").alias("output_tokens")).alias("token_usage"))
+
+
 def min_answer_length(df: DataFrame, answer: str = "answer", n: int = MIN_ANSWER_LENGTH) -> DataFrame:
     """Keep answers of at least ``n`` code points."""
     return df.where(F.length(F.coalesce(F.col(answer), F.lit(""))) >= n)

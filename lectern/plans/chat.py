@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lectern.functions import templates as TPL
 from lectern.operators import chat as C
 from lectern.operators import prompts as P
+from lectern.operators import transcript as TR
 from lectern.plans.registry import Tables, register
 from lectern.plans.retrieval import _fill_sql
 
@@ -95,3 +96,27 @@ def history_with_context(spark, sf):
     per_turn = (C.user_turns(t.conversations).select("conv_id", "turn").join(src, "conv_id", "inner"))
     h = C.history_with_context(t.conversations, per_turn)
     return h.select("conv_id", "turn", F.col("n_entries").cast("long").alias("n_entries"), "history_text")
+
+
+@register("transcript_segments", f"""
+WITH e AS (SELECT conv_id, turn, entry, coalesce(sum(length(entry) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start
+           FROM (SELECT conv_id, turn, 'User: ' || question || chr(10) || 'Bot: ' || answer AS entry FROM {USER_TURNS_SQL} WHERE role = 'user' AND answer IS NOT NULL))
+SELECT conv_id, (start // 1500)::BIGINT AS seg_no, min(start)::BIGINT AS start, md5(string_agg(entry, chr(10) ORDER BY turn)) AS text_md5 FROM e GROUP BY conv_id, start // 1500
+""")
+def transcript_segments(spark, sf):
+    """W7 in linear space: every pair once, in segments of bounded size."""
+    s = TR.transcript_segments(TR.turn_offsets(Tables(spark, sf).conversations), limit=1500)
+    return s.select("conv_id", "seg_no", "start", F.md5("text").alias("text_md5"))
+
+
+@register("history_on_demand", f"""
+SELECT conv_id, turn, n_pairs, history_chars, length(history_text) AS prefix, md5(history_text) AS text_md5
+FROM {HISTORY_SQL} WHERE (conv_id + turn) % 3 <> 1
+""")
+def history_on_demand(spark, sf):
+    """W7 of the turns that are asked for, as prefixes of their transcripts."""
+    o = TR.turn_offsets(Tables(spark, sf).conversations)
+    wanted = o.where((F.col("conv_id") + F.col("turn")) % 3 != 1)
+    h = TR.histories(wanted, TR.transcript_segments(o, limit=1500))
+    return (wanted.select("conv_id", "turn", "n_pairs", "history_chars", "prefix").join(h, ["conv_id", "turn"])
+            .select("conv_id", "turn", "n_pairs", "history_chars", "prefix", F.md5("history_text").alias("text_md5")))

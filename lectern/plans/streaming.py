@@ -6,14 +6,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from lectern.functions.text import PY_SPACE_CLASS
+from lectern.operators import cells as X
 from lectern.operators import html as H
+from lectern.operators.embed import term_embedder
 from lectern.plans.chat import HISTORY_SQL
+from lectern.plans.chunks import INDEX_CTES
 from lectern.plans.html import NONBLANK_LINKS_SQL, pages_clean
 from lectern.plans.io import scratch
 from lectern.plans.nested import nested_lines
 from lectern.plans.registry import Tables, register
 from lectern.plans.sqlparts import LECTURES, q, strip
 from lectern.streaming import ingest as S
+from lectern.streaming import stateful as T
 
 
 def _run(query):
@@ -66,3 +70,44 @@ def stream_dedup(spark, sf):
     _run(S.start_url_dedup(spark, base + "/src", base + "/out", base + "/ckpt",
                            "page_id long, link_no long, href string"))
     return spark.read.parquet(base + "/out").select("href")
+
+
+@register("stream_history_any_order", f"SELECT conv_id, turn, n_pairs, history_chars FROM {HISTORY_SQL}")
+def stream_history_any_order(spark, sf):
+    """S2 with the turns of every conversation dealt over three micro-batches, later ones first."""
+    base = scratch(spark, "stream-any-order")
+    conv = Tables(spark, sf).conversations
+    part = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
+    for i in (2, 0, 1):
+        conv.where(part == i).coalesce(1).write.mode("append").json(base + "/src")
+    _run(T.start_history_any_order(spark, base + "/src", base + "/out", base + "/ckpt", "conv_id long, turn long, role string, text string", files_per_batch=1))
+    return spark.read.parquet(base + "/out").select("conv_id", "turn", "n_pairs", "history_chars")
+
+
+@register("stream_dedup_bounded", f"SELECT DISTINCT href FROM {NONBLANK_LINKS_SQL}")
+def stream_dedup_bounded(spark, sf):
+    """S3 with a watermark and the table of addresses seen; pages far apart in time hold the same addresses."""
+    base = scratch(spark, "stream-bounded")
+    links = H.link_rows(pages_clean(Tables(spark, sf))).select("page_id", "href", F.timestamp_seconds(F.col("page_id") * 86400).alias("seen_at"))
+    half = F.expr("percentile_approx(page_id, 0.5)")
+    middle = links.agg(half).first()[0] or 0
+    links.where(F.col("page_id") <= middle).coalesce(1).write.json(base + "/src")
+    links.where(F.col("page_id") > middle).coalesce(1).write.mode("append").json(base + "/src")
+    _run(T.start_url_dedup_bounded(spark, base + "/src", base + "/out", base + "/ckpt", "page_id long, href string, seen_at timestamp", files_per_batch=1))
+    return T.seen_links(spark, base + "/out", "page_id long, href string, seen_at timestamp").select("href")
+
+
+@register("stream_index", f"""
+WITH RECURSIVE {INDEX_CTES}
+SELECT url, title, category || ' > ' || section AS path, chunk_no, md5(text) AS text_md5, len(list_filter(vec, lambda x: x > 0)) AS n_places
+FROM entry JOIN entry_vec USING (doc_id, chunk_no) JOIN {LECTURES} l USING (doc_id)
+""")
+def stream_index(spark, sf):
+    """S1 + K7: nested JSONL streamed into the cell index in two micro-batches, with vectors."""
+    base = scratch(spark, "stream-index")
+    lines = nested_lines(Tables(spark, sf))
+    for odd in (0, 1):
+        lines.where(F.pmod(F.xxhash64("category", "section"), F.lit(2)) == odd).select("line").coalesce(1).write.mode("append").text(base + "/src")
+    _run(T.start_index_ingest(spark, base + "/src", base + "/index", base + "/ckpt", term_embedder(), cells=8, files_per_batch=1))
+    rows = X.read_index(spark, base + "/index")
+    return rows.select("url", "title", "path", "chunk_no", F.md5("text").alias("text_md5"), F.size(F.filter("vec", lambda x: x > 0)).alias("n_places"))
