@@ -24,6 +24,9 @@ CONTENT_NOT_FOUND = "Lecture content not found."
 # Nested lectures: root of the walk path, path separator, metadata defaults.
 ROOT_PATH = "ROOT"
 PATH_SEPARATOR = " > "
+LECTURE_FIELDS = ["lecture_title", "lecture_url", "content", "path", "title"]
+SECTION_TITLE = "\nTitle: "
+SECTION_URL = "\nURL: "
 NO_TITLE = "NoTitle"
 NO_URL = "NoURL"
 
@@ -47,6 +50,15 @@ CHUNK_SIZE = 8096
 CHUNK_OVERLAP = 200
 EMBED_BATCH = 100
 
+# Evaluation report: headings and labels of a dataset's text block.
+REPORT_TITLE = "=== Evaluation for %s ==="
+REPORT_COUNTS = ("Total samples", "Correct", "Incorrect", "Unknown")
+REPORT_ACCURACY = "Accuracy"
+REPORT_CORRECT = "Some correct examples:"
+REPORT_INCORRECT = "Some incorrect examples:"
+REPORT_RULE = "-------------------"
+REPORT_EXAMPLE = "Q: %s\nReference: %s\nModel: %s\n"
+
 # Retrieval, evaluation report, harvest.
 NEIGHBOURS = 6
 EXAMPLES_PER_LABEL = 3

@@ -13,17 +13,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.text import grade_label
-from lectern.functions.fixed import EXAMPLES_PER_LABEL
+from lectern.functions.fixed import (EXAMPLES_PER_LABEL, REPORT_ACCURACY, REPORT_CORRECT, REPORT_COUNTS, REPORT_EXAMPLE,
+                                     REPORT_INCORRECT, REPORT_RULE, REPORT_TITLE)
 
 SCORES = ("CORRECT", "INCORRECT", "UNKNOWN")
-# Closing advice lines of each dataset report (our own wording).
-SUGGESTIONS = [
-    "Suggestions:",
-    "------------",
-    "- Retrieve more or better-chunked passages.",
-    "- Tighten the prompts so that answers cite the passages they use.",
-    "- Review the incorrect examples above for missing context.\n",
-]
 
 
 def with_score(df: DataFrame, reply: str = "grader_reply", out: str = "model_score") -> DataFrame:
@@ -73,6 +66,13 @@ def label_examples(scored: DataFrame, n: int = EXAMPLES_PER_LABEL, *, dataset: s
     return scored.withColumn("example_no", F.row_number().over(w)).where(F.col("example_no") <= n)
 
 
+def what_to_read(total: Column, incorrect: Column, unknown: Column) -> Column:
+    """Closing lines of a report, from its counts: what has no grade, and what is graded incorrect."""
+    return F.concat_ws("\n", F.when(unknown > 0, F.format_string("Without a grade: %d of %d rows; their replies name neither label.", unknown, total)),
+                       F.when(incorrect > 0, F.format_string("Graded incorrect: %d of %d rows; the first are listed above.", incorrect, total)),
+                       F.when((unknown == 0) & (incorrect == 0), F.format_string("All %d rows are graded correct.", total)))
+
+
 def dataset_report(scored: DataFrame, *, dataset: str = "dataset", score: str = "model_score",
                    order: str = "row_id", question: str = "question", answer: str = "answer",
                    model_answer: str = "model_answer") -> DataFrame:
@@ -80,7 +80,7 @@ def dataset_report(scored: DataFrame, *, dataset: str = "dataset", score: str =
     summ = dataset_summary(scored, dataset, score)
     ex = (label_examples(scored.where(F.col(score).isin("CORRECT", "INCORRECT")), dataset=dataset,
                          score=score, order=order)
-          .withColumn("block", F.format_string("Q: %s\nReference: %s\nModel: %s\n",
+          .withColumn("block", F.format_string(REPORT_EXAMPLE,
                                                F.coalesce(F.col(question), F.lit("")),
                                                F.coalesce(F.col(answer), F.lit("")),
                                                F.coalesce(F.col(model_answer), F.lit("")))))
@@ -91,17 +91,13 @@ def dataset_report(scored: DataFrame, *, dataset: str = "dataset", score: str =
                           f"WITHIN GROUP (ORDER BY {order})").alias("bad_blocks")))
     j = summ.join(blocks, dataset, "left")
     lines = [
-        F.format_string("=== Evaluation for %s ===", F.col(dataset)),
-        F.format_string("Total samples: %d", F.col("total")),
-        F.format_string("Correct: %d", F.col("correct")),
-        F.format_string("Incorrect: %d", F.col("incorrect")),
-        F.format_string("Unknown: %d", F.col("unknown")),
-        F.concat(F.lit("Accuracy: "), percent_text(F.col("correct"), F.col("total")), F.lit("\n")),
-        F.lit("Some correct examples:"), F.lit("-------------------"),
-        F.coalesce(F.col("ok_blocks"), F.lit("")),
-        F.lit("Some incorrect examples:"), F.lit("-------------------"),
-        F.coalesce(F.col("bad_blocks"), F.lit("")),
-    ] + [F.lit(x) for x in SUGGESTIONS]
+        F.format_string(REPORT_TITLE, F.col(dataset)),
+        *[F.format_string(f"{name}: %d", F.col(c)) for name, c in zip(REPORT_COUNTS, ("total", "correct", "incorrect", "unknown"))],
+        F.concat(F.lit(f"{REPORT_ACCURACY}: "), percent_text(F.col("correct"), F.col("total")), F.lit("\n")),
+        F.lit(REPORT_CORRECT), F.lit(REPORT_RULE), F.coalesce(F.col("ok_blocks"), F.lit("")),
+        F.lit(REPORT_INCORRECT), F.lit(REPORT_RULE), F.coalesce(F.col("bad_blocks"), F.lit("")),
+        what_to_read(F.col("total"), F.col("incorrect"), F.col("unknown")), F.lit(""),
+    ]
     return j.select(dataset, "total", "correct", "accuracy",
                     F.concat_ws("\n", *lines).alias("report"))
 

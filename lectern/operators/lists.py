@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.nested import LECTURE_FIELDS
+from lectern.functions.fixed import LECTURE_FIELDS, SECTION_TITLE, SECTION_URL
 from lectern.operators.ordered import running_sum
 
 #: Bytes of a segment of text, and of a nested line.
@@ -39,7 +39,7 @@ def number_lists(lectures: DataFrame, *, order: str = "doc_id") -> DataFrame:
 
 def lecture_piece():
     """Text of one lecture in its section's text (G1)."""
-    return F.concat(F.lit("\nTitle: "), F.col("title"), F.lit("\nURL: "), F.col("url"), F.lit("\n"), F.col("content"), F.lit("\n"))
+    return F.concat(F.lit(SECTION_TITLE), F.col("title"), F.lit(SECTION_URL), F.col("url"), F.lit("\n"), F.col("content"), F.lit("\n"))
 
 
 def section_segments(numbered: DataFrame, *, order: str = "doc_id", limit: int = SEGMENT_BYTES) -> DataFrame:

@@ -23,9 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lectern.functions.text import py_strip
-from lectern.functions.fixed import NO_TITLE, NO_URL
-
-LECTURE_FIELDS = ["lecture_title", "lecture_url", "content", "path", "title"]
+from lectern.functions.fixed import LECTURE_FIELDS, NO_TITLE, NO_URL, SECTION_TITLE, SECTION_URL
 
 
 # --------------------------------------------------------------------------- A1
@@ -156,7 +154,7 @@ def section_text(lectures: DataFrame, *, list_keys: list[str], order: str = "doc
     """G1 + G2 per list: ``"\\nTitle: t\\nURL: u\\ncontent\\n"`` concatenated in list order,
     and the sorted distinct ``"title (url)"`` references.  Lists are bounded units
     (one list of one line), never a whole category."""
-    piece = F.concat(F.lit("\nTitle: "), F.col("title"), F.lit("\nURL: "), F.col("url"),
+    piece = F.concat(F.lit(SECTION_TITLE), F.col("title"), F.lit(SECTION_URL), F.col("url"),
                      F.lit("\n"), F.col("content"), F.lit("\n"))
     ref = F.concat(F.col("title"), F.lit(" ("), F.col("url"), F.lit(")"))
     return (lectures.withColumn("_piece", piece).withColumn("_ref", ref)

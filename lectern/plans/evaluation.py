@@ -76,7 +76,9 @@ def label_examples(spark, sf):
 
 
 def _report_sql() -> str:
-    sugg = " || chr(10) || ".join(q(x) for x in E.SUGGESTIONS)
+    closing = """concat_ws(chr(10), CASE WHEN s.unknown > 0 THEN 'Without a grade: ' || s.unknown || ' of ' || s.total || ' rows; their replies name neither label.' END,
+                  CASE WHEN s.incorrect > 0 THEN 'Graded incorrect: ' || s.incorrect || ' of ' || s.total || ' rows; the first are listed above.' END,
+                  CASE WHEN s.unknown = 0 AND s.incorrect = 0 THEN 'All ' || s.total || ' rows are graded correct.' END) || chr(10)"""
     blk = "printf('Q: %s\nReference: %s\nModel: %s\n', coalesce(question, ''), coalesce(answer, ''), coalesce(model_answer, ''))"
     bp = "CASE WHEN total > 0 THEN floor((correct * 20000 + total) / (total * 2)) ELSE 0 END::BIGINT"
     return f"""
@@ -95,7 +97,7 @@ SELECT s.dataset, s.total, s.correct, round(s.accuracy, 6) AS accuracy,
        'Accuracy: ' || printf('%d.%02d%%', s.bp // 100, s.bp % 100) || chr(10) || chr(10) ||
        'Some correct examples:' || chr(10) || '-------------------' || chr(10) || coalesce(b.ok_blocks, '') || chr(10) ||
        'Some incorrect examples:' || chr(10) || '-------------------' || chr(10) || coalesce(b.bad_blocks, '') || chr(10) ||
-       {sugg} AS report
+       {closing} AS report
 FROM s LEFT JOIN b ON b.dataset = s.dataset
 """
 
