@@ -1,8 +1,9 @@
 """Licence scan: a trained paragraph classifier over word n-grams, confirmed by template comparison.
 
 Fitting uses Spark ML (CountVectorizer and multinomial logistic regression) on
-the phrases below, ordinary sentences about licences, and a bounded sample of
-corpus paragraphs as the class "none".  Scanning uses DataFrame functions only.
+the phrases below (licence texts, headers, and names in usual short notices),
+notices of other licences as the class "unknown", and ordinary sentences about
+licences with a bounded sample of corpus paragraphs as the class "none".  Scanning uses DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -71,7 +72,81 @@ TEMPLATES = {
         "This is free and unencumbered software released into the public domain.",
     ],
 }
-#: Sentences that name licences, permission or copyright without being a notice of a known family.
+#: Further families, and more of the wording of the others (parts of the licence texts themselves).
+for _family, _texts in {
+    "apache-2.0": [
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
+        "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
+    ],
+    "mit": [
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    ],
+    "bsd": [
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    ],
+    "gpl": [
+        "You should have received a copy of the GNU General Public License along with this program.",
+    ],
+    "lgpl": [
+        "You should have received a copy of the GNU Lesser General Public License along with this library.",
+    ],
+    "mpl": [
+        "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    ],
+    "isc": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    ],
+    "epl": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "boost": [
+        "Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)",
+    ],
+    "artistic": [
+        "You may redistribute it and/or modify it under the terms of the Artistic License 2.0.",
+    ],
+    "zlib": [
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions.",
+    ],
+}.items():
+    TEMPLATES.setdefault(_family, []).extend(_texts)
+#: How the families are called in short notices.
+NAMES = {
+    "apache-2.0": ["Apache 2.0", "Apache License 2.0", "Apache-2.0", "Apache License, Version 2.0", "Apache Software License"],
+    "mit": ["MIT", "MIT License", "Expat License", "MIT/X11 License"],
+    "bsd": ["BSD", "BSD License", "BSD-style license", "3-clause BSD", "BSD-2-Clause", "BSD 3-Clause License", "New BSD License"],
+    "gpl": ["GPLv2", "GPLv3", "GPL v3", "GNU GPL", "GNU General Public License", "GPL-2.0", "GPL 3.0"],
+    "lgpl": ["LGPLv2.1", "LGPLv3", "LGPL v3", "GNU LGPL", "GNU Lesser General Public License", "LGPL-2.1"],
+    "mpl": ["MPL 2.0", "MPL-2.0", "Mozilla Public License 2.0", "Mozilla Public License"],
+    "cc-by-nc": ["CC BY-NC 4.0", "CC BY-NC-SA 4.0", "CC BY-NC-ND 3.0", "Creative Commons Attribution-NonCommercial"],
+    "cc-by": ["CC BY 4.0", "CC BY 3.0", "CC BY-SA 4.0", "Creative Commons Attribution 4.0", "Creative Commons Attribution-ShareAlike"],
+    "public-domain": ["CC0", "CC0 1.0", "CC0 1.0 Universal", "the Unlicense"],
+    "isc": ["ISC", "ISC License"],
+    "epl": ["EPL 2.0", "EPL-1.0", "Eclipse Public License"],
+    "boost": ["Boost Software License", "Boost License", "BSL-1.0"],
+    "artistic": ["Artistic License", "Artistic License 2.0", "Artistic-2.0"],
+    "zlib": ["zlib license", "zlib/libpng license"],
+}
+#: Short notices that a name is put into.
+FRAMES = ["Licensed under {}.", "Licensed under the {} license.", "License: {}", "Released under {}.", "Released under the {} license.",
+          "Distributed under the {}.", "{} licensed", "This file is covered by the {}; see LICENSE for details."]
+#: Names of licences that are no family here: put into the same frames, the examples of the class "unknown".
+OTHER_NAMES = ["Acme Community License", "custom license", "vendor agreement", "Open Software License 3.0", "European Union Public Licence", "Affero General Public License",
+               "Business Source License 1.1", "Server Side Public License", "Elastic License 2.0", "proprietary terms", "commercial license agreement", "Academic Free License",
+               "SIL Open Font License", "WTFPL", "Microsoft Reciprocal License", "Q Public License", "Sleepycat License", "end user license agreement"]
+UNKNOWN = "unknown"
+#: Notices of no family here that fit no frame.
+OTHER_NOTICES = [
+    "This document is licensed under a custom license.",
+    "Licensed under the proprietary terms of the vendor agreement.",
+    "Use of this software is governed by the license agreement that came with it.",
+    "This font software is licensed under the SIL Open Font License, Version 1.1.",
+    "You may use these files for evaluation only, as your license agreement allows.",
+    "This program is subject to the terms of the GNU Affero General Public License, version 3.",
+]
+#: Sentences that name licences, permission or copyright without being a notice.
 NOT_NOTICES = [
     "You need a license to drive a truck in this state.",
     "The license plate was found near the river.",
@@ -86,19 +161,40 @@ NOT_NOTICES = [
     "The fishing vessel is licensed under the laws of Panama.",
     "Licensed under the proprietary terms of the vendor agreement.",
     "This document is licensed under a custom license.",
+    "She studied at the MIT media lab in Cambridge.",
+    "The Apache people lived in the south west.",
+    "Her driving license was suspended for a year.",
+    "The artistic director of the theatre resigned.",
+    "The band got a boost from the radio.",
+    "An eclipse of the sun is seen by the public.",
+    "The mozilla browser was released in 2002.",
+    "The pharmacy is licensed by the board of health.",
+    "The nature of the attribution is disputed by scholars.",
+    "The commons voted against the bill.",
+    "A gnu is a large animal of the plains.",
+    "Permission is required to copy the exhibits of the museum.",
+    "The council granted a liquor license to the hotel.",
+    "The zip code is printed on the form.",
+    "Proof of purchase and your license number are required.",
+    "The general public is invited to the lesser hall.",
+    "The files were distributed to all members of the committee.",
 ]
 #: Words of ordinary texts ("mit" is also German): an n-gram of nothing else is no feature, and none
 #: of them alone opens a paragraph.
 COMMON = ("a an and any are as at available be been binary by can charge clause code conditions copy distributed "
-          "files following for form forms free from general granted has have hereby in into is it its later library "
-          "may met mit modify no not of on only or person program project provided public released shared source "
+          "covered details file files following for form forms free from general granted has have hereby in into is it its later library "
+          "may met mit modify no not of on only or person program project provided public released see shared source "
           "subject terms text that the this to under use v version was were will with without work you your").split()
-#: Paragraphs of the corpus read when fitting (lowest hashes of their document's id), and their largest length in words.
-FIT_PARAGRAPHS, FIT_WORDS = 2000, 60
+#: Paragraphs of the corpus read when fitting (lowest hashes; whole ones, of at most so many words).
+FIT_PARAGRAPHS, FIT_WORDS = 2000, 120
 #: Copies of each phrase when fitting, with words around them taken from corpus paragraphs.
-FIT_COPIES = 6
+FIT_COPIES = 3
 #: Share of a template's 3-grams that confirms a prediction.
 CONFIRM = 0.6
+#: What the share of a short notice counts: its name alone, inside another sentence, confirms nothing.
+SHORT = 0.75
+#: Weight of all examples of "none" against all others, and share of the held-back ones that may pass for a known family.
+NONE_WEIGHT, FALSE_KNOWN = 0.4, 0.01
 #: Words that name no family: the common ones but "mit", and these.
 GENERIC = {*COMMON, "license", "licensed"} - {"mit"}
 
@@ -129,49 +225,68 @@ class LicenceModel:
 
     @classmethod
     def fit(cls, docs: DataFrame) -> LicenceModel:
-        """Fit on the templates, on ``NOT_NOTICES`` and on at most ``FIT_PARAGRAPHS`` corpus paragraphs.
+        """Fit on the phrases of all families, on notices of other licences ("unknown"), on ``NOT_NOTICES`` and on at
+        most ``FIT_PARAGRAPHS`` corpus paragraphs ("none").
 
-        Corpus paragraphs that hold most of a template's 3-grams are left out
-        of "none".  Every second example is held back from the fit: the
-        threshold for a known family is the higher of 0.5 and the highest family probability
-        among the held-back examples of "none", so what resembles no family stays unknown.
+        Corpus paragraphs that hold most of a template's 3-grams are left out of "none".  Every third sentence of
+        "none" and "unknown" is held back whole: no copy of it is fitted.  The threshold for a
+        known family is calibrated on them: the share FALSE_KNOWN of them gives some family a
+        higher probability (0.5 at least, 0.95 at most), so what resembles no family stays unknown.
         """
         spark = docs.sparkSession
         order = F.xxhash64(F.lit(11), "doc_id")
         # only hashes low enough to be among the lowest go to the sort, so its size does not grow with the corpus
         low = -float(1 << 63) + float(1 << 64) * min(1.0, 4 * FIT_PARAGRAPHS / max(docs.count(), 1))
-        paras = (id_text(docs).where(order <= F.lit(low)).where("text != ''").select("doc_id", "text")
-                 .orderBy(order, F.xxhash64("text")).limit(FIT_PARAGRAPHS))
-        paras = (paras.select(F.explode(F.slice(F.split("text", "\n"), 1, 3)).alias("p")).select(tokens(F.col("p")).alias("w"))
-                 .where("size(w) > 0").select(F.slice("w", 1, FIT_WORDS).alias("w")).limit(FIT_PARAGRAPHS))
+        paras = (id_text(docs).where(order <= F.lit(low)).where("text != ''").select(order.alias("o"), F.explode(F.split("text", "\n")).alias("p"))
+                 .select("o", tokens(F.col("p")).alias("w")).where((F.size("w") > 0) & (F.size("w") <= FIT_WORDS))
+                 .orderBy(F.xxhash64("o", "w")).limit(FIT_PARAGRAPHS).select("w"))
         around = [list(r.w) for r in paras.collect()]
-        own = {f: [_plain_words(t) for t in ts] for f, ts in TEMPLATES.items()}
+        own = phrases()
         known = [_threes(t) for ts in own.values() for t in ts]
-        rows = [(NONE, w, i % 2) for i, w in enumerate(x for x in around if not any(len(_threes(x) & k) >= CONFIRM * len(k) for k in known if k))]
-        rows += [(NONE, _plain_words(t), (i + j) % 2) for i, t in enumerate(NOT_NOTICES) for j in range(FIT_COPIES)]
-        for f, ts in own.items():
-            for t in ts:
-                for j in range(FIT_COPIES):
-                    extra = around[(len(rows) * 7 + j) % len(around)] if around else []
-                    rows.append((f, [*extra[:j], *t, *extra[j:2 * j]], j % 2))
-        classes = [NONE, *TEMPLATES]
+        none = [w for w in around if not any(len(_threes(w) & k) >= CONFIRM * len(k) for k in known if k)]
+        plain = [_plain_words(t) for t in NOT_NOTICES if t not in OTHER_NOTICES]
+        other = [_plain_words(t) for t in OTHER_NOTICES] + [_plain_words(f.format(n)) for n in OTHER_NAMES for f in FRAMES]
+
+        def copies(t: list[str], n: int, seed: int) -> list[list[str]]:
+            """``t`` alone, then among words of corpus paragraphs."""
+            got = [t]
+            for j in range(1, n):
+                extra = around[(seed * 7 + j) % len(around)] if around else []
+                got.append([*extra[:j], *t, *extra[j:2 * j]])
+            return got
+        rows = [(NONE, w, int(i % 3 == 2)) for i, w in enumerate(none)]
+        rows += [(NONE, c, int(i % 3 == 2)) for i, t in enumerate(plain) for c in copies(t, 2 * FIT_COPIES, i)]
+        rows += [(UNKNOWN, c, int(i % 3 == 2)) for i, t in enumerate(other) for c in copies(t, FIT_COPIES, i)]
+        rows += [(f, c, 0) for f, ts in own.items() for i, t in enumerate(ts) for c in copies(t, FIT_COPIES, i)]
+        classes = [NONE, *own, UNKNOWN]
         frame = spark.createDataFrame([(classes.index(c), w, side) for c, w, side in rows], "label int, w array<string>, side int")
         frame = frame.select("label", "side", ngrams(F.col("w")).alias("grams")).checkpoint()
-        # features are n-grams of the templates themselves: corpus words placed around a copy must not become
+        # features are n-grams of the phrases themselves: corpus words placed around a copy must not become
         # features, or a frequent one ("en") would send most of a corpus through the classifier
-        counts = CountVectorizerModel.from_vocabulary(_vocabulary(own), inputCol="grams", outputCol="x")
+        counts = CountVectorizerModel.from_vocabulary(_vocabulary({**own, UNKNOWN: other}), inputCol="grams", outputCol="x")
         counts.setBinary(True)
         x = counts.transform(frame)
-        lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.002, elasticNetParam=0.2, maxIter=60)
-        weight = F.when(F.col("label") == 0, 1.0).otherwise(3.0)
+        lr = LogisticRegression(featuresCol="x", labelCol="label", family="multinomial", regParam=0.0005, elasticNetParam=0.1, maxIter=80)
+        n_none = sum(c == NONE and not side for c, _, side in rows)
+        weight = F.when(F.col("label") == 0, NONE_WEIGHT * len(rows) / max(1, n_none)).otherwise(1.0)  # so that "none" wins without features
         model = lr.setWeightCol("weight").fit(x.where("side = 0").withColumn("weight", weight))
-        probs = model.transform(x.where("side = 1")).where("label = 0").select(vector_to_array("probability").alias("p"))
-        worst = probs.agg(F.max(F.array_max(F.slice("p", 2, len(classes) - 1)))).first()[0] or 0.0
+        held = model.transform(x.where("side = 1")).select(vector_to_array("probability").alias("p"))
+        worst = held.agg(F.percentile(F.array_max(F.slice("p", 2, len(own))), 1 - FALSE_KNOWN)).first()[0] or 0.0  # held back: a bounded sample
         coef = model.coefficientMatrix.toArray()
         features = {g: [round(float(v), 6) for v in coef[:, i]] for i, g in enumerate(counts.vocabulary) if abs(coef[:, i]).max() > 1e-6}
         return cls(classes, features, [float(b) for b in model.interceptVector], max(0.5, min(worst, 0.95)))
 
 
+def short_notices(family: str) -> list[list[str]]:
+    """Words of the family's names in all frames."""
+    return [_plain_words(x.format(n)) for n in NAMES.get(family, ()) for x in FRAMES]
+
+
+def phrases() -> dict[str, list[list[str]]]:
+    """Words of every family's templates and short notices."""
+    return {f: [_plain_words(t) for t in ts] + short_notices(f) for f, ts in TEMPLATES.items()}
+
+
 def _plain_words(text: str) -> list[str]:
     import re
     return [w for w in re.split("[^a-z0-9]+", text.lower()) if w]
@@ -192,8 +307,9 @@ def _own(family: str) -> list[str]:
 
     A header of a kindred licence ("GNU Lesser General ...") holds most 3-grams of the other's template but none of these.
     """
-    others = {g for f, ts in TEMPLATES.items() if f != family for t in ts for g in _threes(_plain_words(t))}
-    mine = {g for t in TEMPLATES[family] for g in _threes(_plain_words(t))}
+    own = phrases()
+    others = {g for f, ts in own.items() if f != family for t in ts for g in _threes(t)}
+    mine = {g for t in own[family] for g in _threes(t)}
     return sorted(g for g in mine - others if not all(w in GENERIC or w.isdigit() for w in g.split()))
 
 
@@ -268,9 +384,11 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
     weights = _constant([{"g": g, "w": w} for g, w in model.features.items()], "array<struct<g:string,w:array<double>>>")
     known = _constant(list(model.features), "array<string>")
     bias = _constant(model.bias, "array<double>")
-    cut = {f: [sorted(_threes(_plain_words(t))) for t in TEMPLATES[f]] for f in model.classes[1:]}
-    forms = _constant([{"f": f, "t": ts, "own": _own(f)} for f, ts in cut.items()], "array<struct<f:string,t:array<array<string>>,own:array<string>>>")
-    every = _constant(sorted({g for ts in cut.values() for t in ts for g in t}), "array<string>")
+    cut = {f: [sorted(_threes(_plain_words(t))) for t in ts] for f, ts in TEMPLATES.items()}
+    short = {f: [sorted(_threes(t)) for t in short_notices(f)] for f in TEMPLATES}
+    forms = _constant([{"f": f, "t": cut[f], "s": short[f], "own": _own(f)} for f in TEMPLATES],
+                      "array<struct<f:string,t:array<array<string>>,s:array<array<string>>,own:array<string>>>")
+    every = _constant(sorted({g for ts in (*cut.values(), *short.values()) for t in ts for g in t}), "array<string>")
 
     # each step's values are bound by a transform of its own, so that no lambda computes them again per feature
     def keep(p: Column) -> list[Column]:
@@ -293,9 +411,10 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
         return F.struct(*keep(s), s["threes"].alias("threes"), prob.alias("prob"))
 
     def judge(s: Column) -> Column:
+        def most(ts: Column) -> Column:
+            return F.coalesce(F.array_max(F.transform(ts, lambda t: F.size(F.array_intersect(t, s["threes"])) / F.size(t))), F.lit(0.0))
         each = F.transform(forms, lambda x, k: F.struct(
-            x["f"].alias("family"), F.get(s["prob"], k + 1).alias("score"),
-            F.array_max(F.transform(x["t"], lambda t: F.size(F.array_intersect(t, s["threes"])) / F.size(t))).alias("likeness"),
+            x["f"].alias("family"), F.get(s["prob"], k + 1).alias("score"), F.greatest(most(x["t"]), SHORT * most(x["s"])).alias("likeness"),
             F.arrays_overlap(x["own"], s["threes"]).alias("own")))
 
         def entry(x: Column, family: Column, confirmed: bool) -> Column:
@@ -306,7 +425,7 @@ def scan_paragraphs(docs: DataFrame, model: LicenceModel) -> DataFrame:
             sure = F.filter(e, lambda x: (x["likeness"] >= CONFIRM) & x["own"])
             first = F.filter(e, lambda x: x["score"] == best)[0]
             return F.when(F.size(sure) > 0, F.transform(sure, lambda x: entry(x, x["family"], True))).otherwise(
-                F.array(entry(first, F.when(best >= model.threshold, first["family"]).otherwise(F.lit("unknown")), False)))
+                F.array(entry(first, F.when(best >= model.threshold, first["family"]).otherwise(F.lit(UNKNOWN)), False)))
         return _bound(each, entries)
     d = id_text(docs).select("doc_id", F.when(F.arrays_overlap(words, content), F.filter(_units(F.split("text", "\n")), lambda p: F.arrays_overlap(p["w"], content))).alias("paras"))
     d = d.select("doc_id", F.when(F.size("paras") > 0, F.transform(F.transform("paras", bind), score)).alias("scored"))
