@@ -56,7 +56,7 @@ class Shingler:
         self.words, self.cache = words, _WordHashes()
 
     def __call__(self, text: str) -> np.ndarray:
-        if len(self.cache) > 500_000:
+        if len(self.cache) > 200_000:
             self.cache.clear()
         tokens = text.encode("utf-8", "surrogatepass").lower().split()
         h = np.fromiter(map(self.cache.__getitem__, tokens), np.uint64, len(tokens))
@@ -117,7 +117,7 @@ def _sign(words: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(words)
         for batch in batches:
-            for sub in lots(batch, 1, 2048, 1 << 24):
+            for sub in lots(batch, 1, 1024, 1 << 22):
                 sets = [shingle(t) for t in sub.column(1).to_pylist()]
                 sizes = np.array([len(s) for s in sets])
                 sigs = [None] * len(sets)
