@@ -21,6 +21,7 @@ from lectern.operators import evaluate as E
 from lectern.operators import prompts as P
 from lectern.operators.provider import Provider, call_provider
 from lectern.operators.text import refusal_label
+from lectern.session import summary_rows
 
 #: Bytes of stated lines that are broadcast at a time.
 LINES_SHIPPED = 16 << 20
@@ -88,7 +89,7 @@ def holding_documents(lines: DataFrame, docs: DataFrame, *, key: str, limit: int
     out = None
     for lot in range(lots):
         own = wanted.where(F.pmod(F.xxhash64("key", "line"), F.lit(lots)) == lot)
-        shared = docs.sparkSession.sparkContext.broadcast([(r.line, r.key) for r in own.collect()])  # at most about `limit` bytes
+        shared = docs.sparkSession.sparkContext.broadcast([(r.line, r.key) for r in summary_rows(own, limit)])  # at most about `limit` bytes
 
         def find(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             import ahocorasick

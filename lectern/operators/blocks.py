@@ -82,11 +82,15 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
     q = queries.withColumn("_lot", own(lots)).withColumn("_block", every(blocks))
     x = rows.withColumn("_block", own(blocks)).withColumn("_lot", every(lots))
 
-    def meet(left: pa.Table, right: pa.Table) -> pa.Table:
-        held = None
-        for lo in range(0, right.num_rows, TILE_ROWS) if left.num_rows else ():
-            found = kernel(left, right.slice(lo, TILE_ROWS))
-            held = merge(found if held is None else pd.concat([held, found], ignore_index=True))
-        held = merge(kernel(left, right)) if held is None else held  # an empty side: no candidates, but the right columns
-        return pa.Table.from_pandas(held, types, preserve_index=False)
-    return q.groupBy("_lot", "_block").cogroup(x.groupBy("_lot", "_block")).applyInArrow(meet, schema)
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        a, b = _table(left, sides[0]), _table(right, sides[1])
+        held = merge(kernel(a, b.slice(0, TILE_ROWS)))
+        for lo in range(TILE_ROWS, b.num_rows, TILE_ROWS):
+            held = merge(pd.concat([held, kernel(a, b.slice(lo, TILE_ROWS))], ignore_index=True))
+        return held
+    sides = to_arrow_schema(queries.schema), to_arrow_schema(rows.schema)
+    return q.groupBy("_lot", "_block").cogroup(x.groupBy("_lot", "_block")).applyInPandas(meet, schema)
+
+
+def _table(group: pd.DataFrame, schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_pandas(group[schema.names], schema, preserve_index=False)

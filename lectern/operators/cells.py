@@ -34,10 +34,12 @@ from pyspark.sql import types as T
 
 from lectern.operators import blocks
 from lectern.operators.vectors import CANDIDATES, closest, nearest, ranked, whole_vector
-from lectern.session import cut_lineage
+from lectern.session import cut_lineage, summary_rows
 
 #: Rows aimed at in a cell, most cells (their centroids are broadcast), rows of the fit per cell.
 CELL_ROWS, MAX_CELLS, FIT_PER_CELL = 4096, 16_384, 64
+#: Most visible writes; ``compact`` makes one of them.
+MAX_WRITES = 100_000
 #: Share of the cells that an exact search probes before it bounds the others.
 FIRST_SHARE = 0.1
 
@@ -99,7 +101,7 @@ _MANIFEST = "seq long, batch string, replaces boolean, n_rows long, columns stri
 def manifest(spark: SparkSession, path: str) -> list[Row]:
     """The visible writes in order: the last one that replaced the index, and those after it."""
     m = _read(spark, f"{path}/manifest", _MANIFEST)
-    rows = sorted(m.collect(), key=lambda r: r.seq) if m is not None else []  # one row per write
+    rows = sorted(summary_rows(m, MAX_WRITES), key=lambda r: r.seq) if m is not None else []
     first = max((i for i, r in enumerate(rows) if r.replaces), default=0)
     return rows[first:]
 
@@ -198,13 +200,13 @@ def search(spark: SparkSession, path: str, questions: DataFrame, k: int = 6, *,
         found = found.unionByName(_score(index, more, k, limit))
     top = cut_lineage(ranked(found, k).select(F.col("qid").alias("id"), "rank", "distance", F.col("xid").alias("doc_id"), F.col("xno").alias("chunk_no"),
                                               F.col("xcell").cast("int").alias("cell")))
-    held = [r.cell for r in top.select("cell").distinct().collect()]  # at most MAX_CELLS: texts are read from the winners' cells only
+    held = [r.cell for r in summary_rows(top.select("cell").distinct(), MAX_CELLS)]  # texts are read from the winners' cells only
     return top.join(index.drop("vec", "gap", "batch").where(F.col("cell").isin(held)), ["cell", "doc_id", "chunk_no"])
 
 
 def _score(index: DataFrame, q: DataFrame, k: int, limit: int) -> DataFrame:
     """Candidates of the questions (id, vec, cells) among the rows of their cells."""
-    probed = [r.c for r in q.select(F.explode("cells").alias("c")).distinct().collect()]  # at most MAX_CELLS
+    probed = [r.c for r in summary_rows(q.select(F.explode("cells").alias("c")).distinct(), MAX_CELLS)]
     rows = index.where(F.col("cell").isin(probed)).select(
         F.col("doc_id").cast("long").alias("id"), F.col("chunk_no").cast("long").alias("no"), "vec", F.col("cell").cast("int").alias("cell"))
     return blocks.scan_against(rows, q, nearest(k), closest(k), CANDIDATES, limit=limit)
@@ -212,7 +214,7 @@ def _score(index: DataFrame, q: DataFrame, k: int, limit: int) -> DataFrame:
 
 def _open_cells(spark: SparkSession, path: str, q: DataFrame, first: int) -> DataFrame:
     """The questions with the cells behind their ``first`` ones that may hold a row nearer than ``worst`` (null: any row)."""
-    radii = {r.cell: r.radius for r in cell_sizes(spark, path).collect()}  # at most MAX_CELLS
+    radii = {r.cell: r.radius for r in summary_rows(cell_sizes(spark, path), MAX_CELLS)}
     shared = spark.sparkContext.broadcast(radii)
 
     @F.pandas_udf("array<int>")

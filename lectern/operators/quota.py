@@ -26,11 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.operators.ordered import range_buckets, running_sum
-from lectern.session import cut_lineage, ensure_checkpoint_dir
+from lectern.operators.ordered import MOST_RANGES, range_buckets, running_sum
+from lectern.session import cut_lineage, ensure_checkpoint_dir, summary_rows
 from lectern.functions.fixed import MAX_PER_CATEGORY, MAX_PER_LIST, MAX_TOTAL, TOKEN_BUDGET
 
 
+#: Rows that one folded range may accept (a range holds fewer unless the table has over MOST_RANGES times as many).
+MOST_FOLDED = 1 << 24
+
+
 def apply_quotas(cands: DataFrame, *, list_keys: list[str], category: str, order: str,
                  per_list: int = MAX_PER_LIST, per_category: int = MAX_PER_CATEGORY,
                  total: int = MAX_TOTAL) -> DataFrame:
@@ -59,8 +63,8 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/budget-{uuid.uuid4().hex}"
     placed.write.partitionBy("r").parquet(path)  # one folder a range: a fold reads its own range only
     ranges = spark.read.schema(placed.schema).parquet(path)
-    stats = ranges.groupBy("r").agg(F.sum("c").alias("total"), F.max("before").alias("top"), F.max(F.col("before") + F.col("e")).alias("peak"),
-                                    F.min("e").alias("least")).orderBy("r").collect()  # at most ordered.MOST_RANGES rows
+    stats = ranges.groupBy("r").agg(F.sum("c").alias("total"), F.max("before").alias("top"), F.max(F.col("before") + F.col("e")).alias("peak"), F.min("e").alias("least"))
+    stats = sorted(summary_rows(stats, MOST_RANGES), key=lambda s: s.r)
     used, whole, folded = 0, [], []
     for s in stats:
         left = budget - used
@@ -73,7 +77,7 @@ def token_budget(cands: DataFrame, *, order: str, est_in: str, cost: str, budget
             used += s.total
             continue
         own = ranges.where((F.col("r") == s.r) & (F.col("e") <= left)).select("o", "e", "c").coalesce(1).sortWithinPartitions("o")
-        took = own.mapInArrow(_fold(used, budget), "o long, usage_after long").collect()
+        took = summary_rows(own.mapInArrow(_fold(used, budget), "o long, usage_after long"), MOST_FOLDED)
         folded += [(r.o, r.usage_after) for r in took]
         used = max((r.usage_after for r in took), default=used)
     offsets = spark.createDataFrame(whole, "r int, offset long")

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 from lectern.functions.fixed import EMBED_BATCH
 from lectern.operators import blocks
 
+#: Questions and rows of a block of the kNN graph.
+Q_BLOCK, X_BLOCK = 4096, 65536
 TILE_CELLS = 4_000_000   # distances held at once per task (32 MB of float64)
 
 
@@ -144,7 +146,14 @@ def knn_join(queries: DataFrame, index: DataFrame, k: int = 6, *,
 
 def knn_graph(vectors: DataFrame, k: int = 6, *, id_col: str = "vec_id",
               vector: str = "embedding", **kw) -> DataFrame:
-    """k nearest other vectors for every vector of a table (self excluded)."""
+    """k nearest other vectors for every vector of a table (self excluded).
+
+    Here the questions are the table itself, so both sides are dealt in blocks that meet in groups of bounded
+    size; vectors are replicated once per block of the other side.
+    """
+    if "n_blocks" not in kw:
+        n = vectors.count()
+        kw["n_blocks"] = (max(1, -(-n // Q_BLOCK)), max(1, -(-n // X_BLOCK), min(64, -(-n // 2048))))
     return knn_join(vectors, vectors, k, query_id=id_col, index_id=id_col,
                     query_vector=vector, index_vector=vector, exclude_self=True, **kw)
 

@@ -12,7 +12,8 @@ import os
 import re
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(master: str | None = None, app: str = "lectern",
@@ -102,5 +103,16 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def summary_rows(df: DataFrame, most: int) -> list[Row]:
+    """The rows of a summary table as one aggregated row; more than ``most`` of them raise.
+
+    For tables whose size the caller bounds (one row per cell, range, write): nothing that grows with the data is read this way.
+    """
+    rows = df.limit(most + 1).agg(F.collect_list(F.struct(*[F.col(f"`{c}`") for c in df.columns]))).first()[0]
+    if len(rows) > most:
+        raise ValueError(f"a summary of more than {most} rows")
+    return rows
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
