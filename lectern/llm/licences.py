@@ -179,12 +179,14 @@ NOT_NOTICES = [
     "The general public is invited to the lesser hall.",
     "The files were distributed to all members of the committee.",
 ]
-#: Words of ordinary texts ("mit" is also German): an n-gram of nothing else is no feature, and none
+#: Words of ordinary texts ("mit" is also German, "nd" and "sa" are syllables): an n-gram of nothing else is no feature, and none
 #: of them alone opens a paragraph.
-COMMON = ("a an and any are as at available be been binary by can charge clause code conditions copy distributed "
-          "covered details file files following for form forms free from general granted has have hereby in into is it its later library "
-          "may met mit modify no not of on only or person program project provided public released see shared source "
-          "subject terms text that the this to under use v version was were will with without work you your").split()
+COMMON = ("a above all along also an and any anyone appear are as at available be been binary both but by can charge clause code "
+          "conditions copy covered details distributed each either file files following for form forms free from general granted has have "
+          "her here his hereby how i if in into is it its later library may met mit modify must nc nd neither no nor not of on one "
+          "only or other our out own person program project provided public released sa see shared she so some source subject such "
+          "terms text than that the their them then there these they this those to too under up use v version was we were what when "
+          "where which who will with without work would you your").split()
 #: Paragraphs of the corpus read when fitting (lowest hashes; whole ones, of at most so many words).
 FIT_PARAGRAPHS, FIT_WORDS = 2000, 120
 #: Copies of each phrase when fitting, with words around them taken from corpus paragraphs.
