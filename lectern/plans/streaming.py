@@ -86,15 +86,15 @@ def stream_history_any_order(spark, sf):
 
 @register("stream_dedup_bounded", f"SELECT DISTINCT href FROM {NONBLANK_LINKS_SQL}")
 def stream_dedup_bounded(spark, sf):
-    """S3 with a watermark and the table of addresses seen; pages far apart in time hold the same addresses."""
+    """S3 with state that is dropped after each of two micro-batches, and the table of addresses seen."""
     base = scratch(spark, "stream-bounded")
-    links = H.link_rows(pages_clean(Tables(spark, sf))).select("page_id", "href", F.timestamp_seconds(F.col("page_id") * 86400).alias("seen_at"))
+    links = H.link_rows(pages_clean(Tables(spark, sf))).select("page_id", "href")
     half = F.expr("percentile_approx(page_id, 0.5)")
     middle = links.agg(half).first()[0] or 0
     links.where(F.col("page_id") <= middle).coalesce(1).write.json(base + "/src")
     links.where(F.col("page_id") > middle).coalesce(1).write.mode("append").json(base + "/src")
-    _run(T.start_url_dedup_bounded(spark, base + "/src", base + "/out", base + "/ckpt", "page_id long, href string, seen_at timestamp", files_per_batch=1))
-    return T.seen_links(spark, base + "/out", "page_id long, href string, seen_at timestamp").select("href")
+    _run(T.start_url_dedup_bounded(spark, base + "/src", base + "/out", base + "/ckpt", "page_id long, href string", delay="0 seconds", files_per_batch=1))
+    return T.seen_links(spark, base + "/out", "page_id long, href string").select("href")
 
 
 @register("stream_index", f"""

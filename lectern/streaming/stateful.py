@@ -117,17 +117,18 @@ def seen_links(spark: SparkSession, sink_dir: str, schema, but: str | None = Non
 
 
 def start_url_dedup_bounded(spark: SparkSession, source_dir: str, sink_dir: str, checkpoint: str, schema: str, *, key: str = "href",
-                            event_time: str = "seen_at", delay: str = "1 hour", files_per_batch: int | None = None):
+                            delay: str = "1 hour", files_per_batch: int | None = None):
     """S3 with bounded state: the first sighting of each address, for good.
 
-    The state store holds addresses until the watermark has passed them by
-    ``delay``; what comes back later is found in the table written so far, by an anti-join on
-    the key alone.  A batch's folder is replaced when the batch is run again, and it never meets itself.
+    The watermark follows the time of arrival, so no row is ever late and dropped.  The state store holds
+    addresses until it has passed them by ``delay``; what comes back later is found in
+    the table written so far, by an anti-join on the key alone.  A batch's folder is replaced when the batch is run
+    again, and it never meets itself.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    links = reader.json(source_dir).withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
+    links = reader.json(source_dir).withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay).dropDuplicatesWithinWatermark([key]).drop("_arrived")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         own = f"batch={batch_id:08d}"
