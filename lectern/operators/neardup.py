@@ -3,76 +3,150 @@
 Similarity is ``1 - lev(lower a, lower b) / max(len a, len b)``; a pair is a
 near duplicate when it is strictly above ``threshold`` (0.85).
 
-Candidate generation is exact (no pair with ratio > threshold is missed):
-
-* length filter: the lower-cased lengths differ by at most the edit budget;
-* q-gram prefix filter (count filtering, Gravano et al. VLDB 2001; prefix
-  filtering, Chaudhuri et al. ICDE 2006): ``lev <= tau`` leaves at least
-  ``|G| - q*tau`` of a string's q-grams (as a bag) intact, so two such strings
-  share a token among the first ``q*tau + 1`` of their tokens in one global
-  order (rarest first).  ``tau`` is bounded per string from its own length;
-* strings too short for that bound (``|G| <= q*tau``) are paired by length
-  bucket with every string of compatible length.
-
-Candidates are screened with a character-count lower bound (each edit removes
-at most one surplus character on each side) and verified with the thresholded
-built-in ``levenshtein`` and the exact ratio expression.  Identical texts are collapsed first, so a text that
-appears many times costs one group, and expanded back at the end.
+Candidate generation is exact (no pair with ratio > threshold is missed) and
+writes no pair that fails its bounds:
+
+* length bands: partners differ in lower-cased length by less than 15 % of the
+  longer one, so their log-length bands are the same or at most BANDS apart.  A
+  band is cut into lots of bounded rows and bytes, and each two lots within reach meet
+  in one group (each text is shipped once per lot within its reach);
+* count bound (Gravano et al. VLDB 2001): ``lev <= tau`` leaves at least
+  ``max |G| - q*tau`` q-grams (as a bag) in common.  Within a group the bags are rows of
+  hashed counts of (gram, k-th occurrence) and one matrix product, tile by tile, bounds
+  the common grams of all pairs from above: hashing can only raise the count.
+
+The pairs left are verified with the thresholded built-in ``levenshtein`` and
+the exact ratio expression.  Identical texts are collapsed first, so a text that
+appears many times costs one row, and expanded back at the end.  The comparisons
+still grow with the square of the distinct texts (exact all pairs); rows shuffled and
+memory do not.
 """
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lectern.functions.text import NEAR_DUP_RATIO
-from lectern.session import cut_lineage
-
-Q = 3
-
-
-def _tau_max(n):
-    """Largest edit distance any partner of a string of length ``n`` may have."""
-    t = 1.0 - NEAR_DUP_RATIO
-    return F.ceil(F.lit(t) * n / F.lit(NEAR_DUP_RATIO)).cast("int")
-
-
-HIST_BINS = 64
-
-
-def _histogram_batch(texts: pd.Series) -> pd.Series:
-    out = []
-    for t in texts:
-        cps = np.frombuffer(t.encode("utf-32-le"), dtype=np.uint32) if t else np.zeros(0, np.uint32)
-        out.append(np.bincount(cps % HIST_BINS, minlength=HIST_BINS).astype(np.int32))
-    return pd.Series(out)
-
-
-_histogram_udf = None
-
-
-def _char_histogram(low):
-    """Character counts binned by code point mod HIST_BINS (Arrow-batched numpy)."""
-    global _histogram_udf
-    if _histogram_udf is None:
-        _histogram_udf = F.pandas_udf(_histogram_batch, "array<int>")
-    return _histogram_udf(low)
-
-
-def _histogram_lower_bound(ha, hb):
-    """Edit-distance lower bound from character counts: every edit removes at most
-    one surplus character on each side, so lev >= max(surplus of a, surplus of b)."""
-    pos = F.aggregate(F.zip_with(ha, hb, lambda x, y: F.greatest(x - y, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    neg = F.aggregate(F.zip_with(ha, hb, lambda x, y: F.greatest(y - x, F.lit(0))), F.lit(0), lambda s, x: s + x)
-    return F.greatest(pos, neg)
-
-
-def _len_bucket(nl):
-    """Log-length bucket of width ln(1/ratio)."""
-    import math
-    return F.floor(F.log(F.greatest(nl, F.lit(1)).cast("double")) / F.lit(math.log(1.0 / NEAR_DUP_RATIO))).cast("int")
+from lectern.session import cut_lineage, summary_rows
+
+#: Bands of log-length per ln(1 / ratio): partners are at most that many bands apart.
+BANDS = 4
+#: Most texts and characters of a lot; texts of a tile of the matrix product and its most cells.
+LOT_ROWS, LOT_CHARS = 4096, 4 << 20
+TILE_ROWS, TILE_CELLS = 1024, 8 << 20
+#: Comparisons that are worth a task of their own.
+TASK_PAIRS = 4_000_000
+
+
+def _band(nl):
+    """Log-length band of width ln(1 / ratio) / BANDS."""
+    return F.floor(F.log(nl.cast("double")) / F.lit(math.log(1.0 / NEAR_DUP_RATIO) / BANDS)).cast("int")
+
+
+def _tau(n: np.ndarray) -> np.ndarray:
+    """Largest distance with ratio > 0.85 where the longer text has ``n`` characters: 20 * d < 3 * n."""
+    return (3 * n - 1) // 20
+
+
+def _gram_columns(lows: list[str], q: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(offsets, column of each bag token (gram, k-th occurrence)) of the texts; ``width`` is a power of two."""
+    cps = [np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32) for t in lows]
+    n = np.array([len(c) for c in cps], np.int64)
+    flat = np.concatenate(cps).astype(np.uint64)
+    ng = np.maximum(n - (q - 1), 0)
+    ends = np.cumsum(ng)
+    owner = np.repeat(np.arange(len(lows)), ng)
+    at = (np.cumsum(n) - n)[owner] + np.arange(len(owner)) - (ends - ng)[owner]
+    gram = np.zeros(len(at), np.uint64)
+    for i in range(q):
+        gram = (gram << np.uint64(16)) ^ (gram >> np.uint64(48)) ^ flat[at + i]
+        gram *= np.uint64(0x9E3779B97F4A7C15)
+    order = np.lexsort((gram, owner))
+    gram = gram[order]  # ``owner`` is ascending and stays so
+    place = np.arange(len(gram))
+    first = np.r_[True, (gram[1:] != gram[:-1]) | (owner[1:] != owner[:-1])][:len(gram)]
+    k = place - np.maximum.accumulate(np.where(first, place, 0))
+    token = gram + k.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    token = (token ^ (token >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return np.r_[0, ends], ((token >> np.uint64(32)) & np.uint64(width - 1)).astype(np.int64)
+
+
+def _bags(offsets: np.ndarray, columns: np.ndarray, lo: int, hi: int, width: int) -> np.ndarray:
+    """Token counts of the texts ``lo`` to ``hi``, a row each."""
+    out = np.zeros((hi - lo, width), np.float32)
+    cells = columns[offsets[lo]:offsets[hi]] + width * np.repeat(np.arange(hi - lo), np.diff(offsets[lo:hi + 1]))
+    np.add.at(out.reshape(-1), cells, np.float32(1))
+    return out
+
+
+def _close(lows: list[str], n: np.ndarray, nl: np.ndarray, left: np.ndarray, right: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of text numbers, of ``left`` with ``right`` or (None) among ``left``, that may be near duplicates."""
+    least, most = int(nl.min()), int(nl.max())
+    q = 4 if least >= 24 else 2 if least >= 8 else 1
+    width = min(1 << 16, max(512, 1 << (12 * most - 1).bit_length()))
+    offsets, columns = _gram_columns(lows, q, width)
+    ng, tau = np.maximum(nl - (q - 1), 0), _tau(n)
+    rows = max(1, min(TILE_ROWS, TILE_CELLS // width))
+
+    def sides(numbers):
+        return [(lo, numbers[lo:lo + rows]) for lo in range(0, len(numbers), rows)]
+    for lo, a in sides(left):
+        A = _bags(offsets, columns, a[0], a[-1] + 1, width)
+        for at, b in sides(left if right is None else right):
+            if right is None and at < lo:
+                continue
+            B = A if right is None and at == lo else _bags(offsets, columns, b[0], b[-1] + 1, width)
+            reach = np.maximum(tau[a][:, None], tau[b][None, :])
+            near = (A @ B.T) >= np.maximum(ng[a][:, None], ng[b][None, :]) - q * reach
+            near &= np.abs(nl[a][:, None] - nl[b][None, :]) <= reach
+            if right is None and at == lo:
+                near = np.triu(near, 1)
+            i, j = np.nonzero(near)
+            yield a[i], b[j]
+
+
+def _close_in_group(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Candidate pairs (ta, tb) of two lots that meet (or of one lot with itself: all rows are ``first``)."""
+    group = pa.Table.from_batches(batches)
+    group = group.sort_by([("first", "descending")])  # the first lot's texts lie before the other's
+    n, nl = (group.column(c).to_numpy().astype(np.int64) for c in ("n", "nl"))
+    split = int(np.count_nonzero(group.column("first").to_numpy()))
+    numbers, tid = np.arange(group.num_rows), group.column("tid").combine_chunks()
+    alone = bool(group.column("alone")[0].as_py())
+    if split and (alone or split < len(numbers)):
+        for i, j in _close(group.column("low").to_pylist(), n, nl, numbers[:split], None if alone else numbers[split:]):
+            if len(i):
+                yield pa.RecordBatch.from_arrays([tid.take(pa.array(i)), tid.take(pa.array(j))], ["ta", "tb"])
+
+
+def _candidates(texts: DataFrame) -> DataFrame:
+    """(ta, tb), ta < tb: pairs of texts (tid, low, n, nl) that pass the length and the count bound, each once."""
+    spark = texts.sparkSession
+    t = texts.where(F.col("tid").isNotNull()).select("tid", "low", "n", "nl", _band(F.col("nl")).alias("band"))
+    sizes = {r.band: r for r in summary_rows(t.groupBy("band").agg(F.count(F.lit(1)).alias("rows"), F.sum("nl").alias("chars")), 1024)}
+    lots = {b: max(math.ceil(r.rows / LOT_ROWS), math.ceil(r.chars / LOT_CHARS)) for b, r in sizes.items()}
+    near = {b: [o for o in range(b - BANDS, b + BANDS + 1) if o in lots] for b in lots}
+    pairs = sum(sizes[b].rows * sizes[o].rows for b in lots for o in near[b]) // 2
+    groups = sum(lots[b] * lots[o] for b in lots for o in near[b])
+    n_parts = max(8, min(groups, 16 * spark.sparkContext.defaultParallelism, pairs // TASK_PAIRS))
+    around = spark.createDataFrame([(b, lots[b], [(o, lots[o]) for o in near[b]]) for b in lots],
+                                   "band int, lots int, others array<struct<band: int, lots: int>>")  # at most 1,024 rows
+    own = F.struct(F.col("band"), F.pmod(F.xxhash64("tid"), F.col("lots")).cast("int").alias("lot"))
+    every = F.flatten(F.transform("others", lambda o: F.transform(
+        F.sequence(F.lit(0), o["lots"] - 1), lambda lot: F.struct(o["band"].alias("band"), lot.alias("lot")))))
+    met = (t.join(F.broadcast(around), "band").select("tid", "low", "n", "nl", own.alias("own"), every.alias("every"))
+           .select("tid", "low", "n", "nl", "own", F.explode("every").alias("other"))
+           .select("tid", "low", "n", "nl", F.least("own", "other").alias("a"), F.greatest("own", "other").alias("b"),
+                   (F.col("own") <= F.col("other")).alias("first"), (F.col("own") == F.col("other")).alias("alone")))
+    kind = texts.schema["tid"].dataType.simpleString()
+    found = met.repartition(n_parts, "a", "b").groupBy("a", "b").applyInArrow(_close_in_group, f"ta {kind}, tb {kind}")
+    return found.select(F.least("ta", "tb").alias("ta"), F.greatest("ta", "tb").alias("tb"))
 
 
 def exact_copies(df: DataFrame, *, id_col: str = "id", text_col: str = "text") -> DataFrame:
@@ -87,7 +161,7 @@ def exact_copies(df: DataFrame, *, id_col: str = "id", text_col: str = "text") -
 
 
 def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "text",
-                         threshold: float = NEAR_DUP_RATIO, q: int = Q, expand: bool = False) -> DataFrame:
+                         threshold: float = NEAR_DUP_RATIO, expand: bool = False) -> DataFrame:
     """Pairs (id_a < id_b) of distinct texts with similarity ratio > threshold.
 
     Returns (id_a, id_b, distance, ratio) with each text represented by its
@@ -104,51 +178,12 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
     texts = (rows.groupBy("text").agg(F.min("id").alias("tid"))
              .withColumn("low", F.lower("text"))
              .withColumn("n", F.length("text"))
-             .withColumn("nl", F.length("low"))
-             .withColumn("tau", _tau_max(F.greatest(F.col("n"), F.col("nl"))))
-             .withColumn("ng", F.greatest(F.col("nl") - F.lit(q - 1), F.lit(0)))
-             .withColumn("short", F.col("ng") <= F.col("tau") * q)
-             .withColumn("hist", _char_histogram(F.col("low"))))
-    texts = cut_lineage(texts)     # read by six branches below: materialise once
-    # --- q-gram bag tokens (gram, k-th occurrence)
-    grams = (texts.where(~F.col("short"))
-             .select("tid", F.explode(F.transform(F.sequence(F.lit(1), F.col("ng")),
-                                                  lambda i: F.substr(F.col("low"), i, F.lit(q)))).alias("g"))
-             .groupBy("tid", "g").count()
-             .select("tid", "g", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("k")))
-    freq = grams.groupBy("g", "k").agg(F.count(F.lit(1)).alias("df"))
-    toks = grams.join(freq, ["g", "k"])
-    plen = texts.where(~F.col("short")).select("tid", "nl", "n", (F.col("tau") * q + 1).alias("plen"))
-    w = Window.partitionBy("tid").orderBy("df", "g", "k")
-    prefix = (toks.join(plen, "tid")
-              .withColumn("r", F.row_number().over(w))
-              .where(F.col("r") <= F.col("plen"))
-              .select("tid", "g", "k", "nl", "n", _len_bucket(F.col("nl")).alias("lb")))
-    prefix = cut_lineage(prefix)   # both sides of the posting-list join
-    # partners differ in lower-cased length by less than 15 % of the longer one, so their
-    # log-length buckets are equal or adjacent: the bucket joins the posting-list key
-    a = prefix.select(F.col("tid").alias("ta"), "g", "k", F.col("nl").alias("nla"), F.col("n").alias("na"),
-                      F.explode(F.array(F.col("lb") - 1, F.col("lb"), F.col("lb") + 1)).alias("lb"))
-    b = prefix.select(F.col("tid").alias("tb"), "g", "k", F.col("nl").alias("nlb"), F.col("n").alias("nb"), "lb")
-    cand_long = (a.join(b, ["g", "k", "lb"])
-                 .where((F.col("ta") < F.col("tb")) &
-                        (F.abs(F.col("nla") - F.col("nlb")) <
-                         F.lit(1.0 - threshold) * F.greatest("na", "nb", "nla", "nlb")))
-                 .select("ta", "tb").distinct())
-    # --- short strings: pair with every string of a compatible length (equi-join on length)
-    lens = texts.select("tid", "nl", "short", "tau")
-    sa = (lens.where(F.col("short"))
-          .select(F.col("tid").alias("sa"), F.explode(F.sequence(F.greatest(F.col("nl") - F.col("tau"), F.lit(0)),
-                                                                 F.col("nl") + F.col("tau"))).alias("plen")))
-    sb = lens.select(F.col("tid").alias("sb"), F.col("nl").alias("plen"))
-    cand_short = (sa.join(sb, "plen").where(F.col("sa") != F.col("sb"))
-                  .select(F.least("sa", "sb").alias("ta"), F.greatest("sa", "sb").alias("tb")))
-    cand = cand_long.unionByName(cand_short).distinct()
+             .withColumn("nl", F.length("low")))
+    texts = cut_lineage(texts)     # read by the branches below: materialise once
+    cand = _candidates(texts)
     # --- verify
-    ta = texts.select(F.col("tid").alias("ta"), F.col("low").alias("la"), F.col("n").alias("na"),
-                      F.col("nl").alias("nla"), F.col("hist").alias("ha"))
-    tb = texts.select(F.col("tid").alias("tb"), F.col("low").alias("lb"), F.col("n").alias("nb"),
-                      F.col("nl").alias("nlb"), F.col("hist").alias("hb"))
+    ta = texts.select(F.col("tid").alias("ta"), F.col("low").alias("la"), F.col("n").alias("na"), F.col("nl").alias("nla"))
+    tb = texts.select(F.col("tid").alias("tb"), F.col("low").alias("lb"), F.col("n").alias("nb"), F.col("nl").alias("nlb"))
     # verification is CPU-bound and its rows are small: spread it over every core explicitly
     # (size-based coalescing would pack it into a few tasks)
     n_parts = max(8, 4 * df.sparkSession.sparkContext.defaultParallelism)
@@ -156,7 +191,6 @@ def near_duplicate_pairs(df: DataFrame, *, id_col: str = "id", text_col: str = "
     m = F.greatest("na", "nb")
     bound = F.greatest(F.ceil(F.lit(1.0 - threshold) * m).cast("int"), F.lit(0))
     v = (v.withColumn("bound", bound).where(F.abs(F.col("nla") - F.col("nlb")) <= F.col("bound"))
-          .where(_histogram_lower_bound(F.col("ha"), F.col("hb")) <= F.col("bound"))
           .withColumn("distance", F.expr("levenshtein(la, lb, bound)"))
           .where(F.col("distance") >= 0)
           .withColumn("ratio", F.lit(1.0) - F.col("distance") / m)

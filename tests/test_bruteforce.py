@@ -2,6 +2,7 @@
 brute force on small fixtures derived by fixed rules."""
 
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -210,3 +211,54 @@ def test_strict_fold_equals_sequential_loop(spark):
                              budget=budget, per_list=caps[0], per_category=caps[1], total=caps[2],
                              dup_pairs=dp if use_dups else None)
         assert sorted((r.o, r.usage_after) for r in got.collect()) == want, (budget, caps, use_dups)
+
+
+def _syllable_texts(n, seed=5):
+    """Texts of a few syllables, alike in their grams as invented prose is, some with a near copy."""
+    rnd = random.Random(seed)
+    syllables = "the er on an re ha st th ou in at or nd es tion ble ing ly wh ea".split()
+    out = []
+    while len(out) < n:
+        t = " ".join("".join(rnd.choice(syllables) for _ in range(rnd.randint(1, 4))) for _ in range(rnd.randint(2, 40)))
+        out.append(t)
+        if rnd.random() < 0.1:
+            k = rnd.randrange(len(t))
+            out.append(t[:k] + "xyz" + t[k + rnd.randrange(3):])
+    return out[:n]
+
+
+def test_near_duplicate_candidates_are_few(spark):
+    """Texts that share their common grams are no candidates (posting lists of grams paired nearly all of like length)."""
+    texts = sorted(set(_syllable_texts(800)))
+    df = spark.createDataFrame([(i, t, len(t), len(t)) for i, t in enumerate(texts)], "tid long, low string, n int, nl int")
+    cand = {(r.ta, r.tb) for r in ND._candidates(df).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))
+            if abs(len(texts[i]) - len(texts[j])) < 0.15 * max(len(texts[i]), len(texts[j]))}
+    bags = [Counter(t) for t in texts]
+    near = {(i, j) for i, j in want if (bags[i] - bags[j]).total() <= 4 and ratio(texts[i], texts[j]) > 0.85}
+    assert len(want) > 20_000 and len(near) > 30
+    assert near <= cand <= want
+    assert len(cand) < 3 * len(near)
+
+
+def test_near_duplicate_pairs_over_many_lots(spark, monkeypatch):
+    monkeypatch.setattr(ND, "LOT_ROWS", 7)
+    qs = _questions(seed=3, n=60) + _syllable_texts(40)
+    df = spark.createDataFrame(list(enumerate(qs)), "id long, text string")
+    got = sorted((r.id_a, r.id_b) for r in ND.near_duplicate_pairs(df, expand=True).collect())
+    assert got == [(i, j) for i in range(len(qs)) for j in range(i + 1, len(qs))
+                   if (r := ratio(qs[i], qs[j])) is not None and r > 0.85]
+
+
+def test_close_texts_over_many_tiles(monkeypatch):
+    texts = [t.lower() for t in _questions(seed=5, n=60) + _syllable_texts(60)]
+    texts = [t for t in texts if t]
+    n = np.array([len(t) for t in texts])
+    whole = {(int(x), int(y)) for i, j in ND._close(texts, n, n, np.arange(len(texts)), None) for x, y in zip(i, j)}
+    monkeypatch.setattr(ND, "TILE_ROWS", 11)
+    tiles = [(int(x), int(y)) for i, j in ND._close(texts, n, n, np.arange(len(texts)), None) for x, y in zip(i, j)]
+    cut = len(texts) // 2
+    sides = [(a, None) for a in (np.arange(cut), np.arange(cut, len(texts)))] + [(np.arange(cut), np.arange(cut, len(texts)))]
+    parts = [(int(x), int(y)) for a, b in sides for i, j in ND._close(texts, n, n, a, b) for x, y in zip(i, j)]
+    assert sorted(tiles) == sorted(parts) == sorted(whole)
+    assert {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if ratio(texts[i], texts[j]) > 0.85} <= whole
