@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,6 +43,20 @@ def by_length(table: pa.Table, column: str) -> Iterator[tuple[np.ndarray, np.nda
             yield at, flat[begin[at][:, None] + np.arange(d)]
 
 
+def text_slices(batch: pa.RecordBatch, column: int, *, rows: int = 512, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of at most ``rows`` rows and about ``size`` bytes of text in ``column`` (one row at least).
+
+    Spark's batches hold up to 10,000 rows or 64 MB; as Python objects, with what is made of them, only a slice is held.
+    """
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        end = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def _size(df: DataFrame, vector: str) -> tuple[int, int]:
     """(rows, bytes) of a table of doubles, by one aggregation."""
     r = df.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size(vector), F.lit(0)))).first()

@@ -1,5 +1,5 @@
 """Markdown-aware character chunking (size 8096, overlap 200), as a narrow
-``mapInPandas`` over documents; metadata columns are copied onto every chunk.
+``mapInArrow`` over documents, a bounded slice of a batch at a time; metadata columns are copied onto every chunk.
 
 Contract (our own; the unit is characters):
 
@@ -23,13 +23,15 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.text import PY_SPACE_CLASS, is_blank
 from lectern.functions.fixed import CHUNK_OVERLAP, CHUNK_SIZE
+from lectern.operators.blocks import text_slices
 
 
 SEPARATORS = [r"\n#{1,6} ", r"```\n", r"\n\*\*\*+\n", r"\n---+\n", r"\n___+\n", r"\n\n", r"\n", r" "]
@@ -92,31 +94,27 @@ def chunk_documents(docs: DataFrame, *, text: str = "text", keep: list[str] | No
     schema = T.StructType(fields + [
         T.StructField("chunk_no", T.LongType()), T.StructField("start", T.LongType()),
         T.StructField("end", T.LongType()), T.StructField("chunk", T.StringType())])
-    names = [f.name for f in fields]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = {n: [] for n in names}
-            cno, st, en, ch = [], [], [], []
-            for rec in pdf.itertuples(index=False):
-                t = rec[len(names)]
-                if t is None:
-                    continue
-                for i, (a, b) in enumerate(split_spans(t, size, overlap)):
-                    for j, n in enumerate(names):
-                        rows[n].append(rec[j])
-                    cno.append(i)
-                    st.append(a)
-                    en.append(b)
-                    ch.append(t[a:b])
-            out = pd.DataFrame(rows)
-            out["chunk_no"] = pd.Series(cno, dtype="int64")
-            out["start"] = pd.Series(st, dtype="int64")
-            out["end"] = pd.Series(en, dtype="int64")
-            out["chunk"] = pd.Series(ch, dtype="object")
-            yield out[names + ["chunk_no", "start", "end", "chunk"]]
-
-    return src.mapInPandas(run, schema=schema)
+    types = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in text_slices(batch, len(fields)):
+                row, cno, st, en, ch = [], [], [], [], []
+                for at, t in enumerate(some.column(len(fields)).to_pylist()):
+                    if t is None:
+                        continue
+                    for i, (a, b) in enumerate(split_spans(t, size, overlap)):
+                        row.append(at)
+                        cno.append(i)
+                        st.append(a)
+                        en.append(b)
+                        ch.append(t[a:b])
+                if row:
+                    kept = [some.column(j).take(pa.array(row, pa.int64())) for j in range(len(fields))]
+                    made = [pa.array(v, pa.int64()) for v in (cno, st, en)] + [pa.array(ch, pa.string())]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept + made, types)], schema=types)
+
+    return src.mapInArrow(run, schema=schema)
 
 
 def chunk_invariants(docs: DataFrame, chunks: DataFrame, *, key: str = "doc_id", text: str = "text",

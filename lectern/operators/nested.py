@@ -16,14 +16,18 @@ rules of the standard JSON parser.  Rules (see README, "nested lectures"):
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.functions.text import py_strip
 from lectern.functions.fixed import LECTURE_FIELDS, NO_TITLE, NO_URL, SECTION_TITLE, SECTION_URL
+from lectern.operators.blocks import text_slices
 
 
 # --------------------------------------------------------------------------- A1
@@ -176,8 +180,8 @@ def section_merge(docs: DataFrame, *, category: str = "category", path: str = "p
 # --------------------------------------------------------------------------- B1 ordered mode
 ORDERED_SCHEMA = ("item_no long, list_ord long, walk_path string, title string, url string, path string, "
                   "content string, status string, raw string")
-#: Characters of output held before rows are handed on.
-FLATTEN_BLOCK = 1 << 24
+#: Bytes of lines that are parsed before their rows are handed on (one line at least).
+FLATTEN_BLOCK = 1 << 22
 
 
 def _as_text(v):
@@ -244,7 +248,7 @@ def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list
     src = lines.select(*keys, F.col(line).alias("_line"))
     key_fields = [f for f in src.schema.fields if f.name != "_line"]
     schema = T.StructType(key_fields + list(T._parse_datatype_string(ORDERED_SCHEMA).fields))
-    names = [f.name for f in schema.fields]
+    types = to_arrow_schema(schema)
     synth = mode == "synthesis"
     empty = [None] * 7
 
@@ -271,19 +275,19 @@ def flatten_lectures_ordered(lines: DataFrame, *, line: str = "line", keys: list
                         None if ok else _as_text(item)])
         return out
 
-    def run(batches):
-        rows, held = [], 0
-        for pdf in batches:
-            for rec in pdf.itertuples(index=False):
-                text = (rec[-1] or "").strip()
-                if not text:
-                    continue
-                rows.extend(list(rec[:-1]) + r for r in rows_of(text))
-                held += len(text)
-                if held >= FLATTEN_BLOCK:
-                    yield pd.DataFrame(rows, columns=names, dtype=object)
-                    rows, held = [], 0
-        if rows:
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    return src.mapInPandas(run, schema=schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for some in text_slices(batch, len(keys), size=FLATTEN_BLOCK):
+                at, rows = [], []
+                for i, text in enumerate(some.column(len(keys)).to_pylist()):
+                    text = (text or "").strip()
+                    if text:
+                        found = rows_of(text)
+                        rows.extend(found)
+                        at.extend([i] * len(found))
+                if rows:
+                    kept = [some.column(j).take(pa.array(at, pa.int64())) for j in range(len(keys))]
+                    made = [pa.array(c, f.type) for c, f in zip(zip(*rows), list(types)[len(keys):])]
+                    yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(kept + made, types)], schema=types)
+
+    return src.mapInArrow(run, schema=schema)
