@@ -78,16 +78,22 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
     nq, q_bytes = _size(queries, vector)
     nr, r_bytes = _size(rows, vector)
     if q_bytes <= limit and grid is None:
+        step = max(1, nq * lot_bytes // max(1, q_bytes))  # queries of a lot
         shared = rows.sparkSession.sparkContext.broadcast(queries.toArrow())  # measured above
 
         def in_place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            q, held = shared.value, None
+            q = shared.value
+            parts = [q.slice(lo, step) for lo in range(0, q.num_rows, step)]
+            held: list[pd.DataFrame | None] = [None] * len(parts)
             for batch in batches:
                 for lo in range(0, batch.num_rows, TILE_ROWS):
-                    found = kernel(q, pa.Table.from_batches([batch.slice(lo, TILE_ROWS)]))
-                    held = merge(found if held is None else pd.concat([held, found], ignore_index=True))
-            if held is not None:
-                yield from pa.Table.from_pandas(held, types, preserve_index=False).to_batches(max_chunksize=1 << 16)
+                    tile = pa.Table.from_batches([batch.slice(lo, TILE_ROWS)])
+                    for i, part in enumerate(parts):  # so that only a part's candidates are sorted at a time
+                        found = kernel(part, tile)
+                        held[i] = merge(found if held[i] is None else pd.concat([held[i], found], ignore_index=True))
+            for best in held:
+                if best is not None:
+                    yield from pa.Table.from_pandas(best, types, preserve_index=False).to_batches(max_chunksize=1 << 16)
         if not nq:
             return rows.sparkSession.createDataFrame([], schema)
         return rows.coalesce(max(1, math.ceil(nr / LEAST_ROWS))).mapInArrow(in_place, schema)

@@ -22,7 +22,7 @@ from lectern.operators import blocks
 
 #: Questions and rows of a block of the kNN graph.
 Q_BLOCK, X_BLOCK = 4096, 65536
-TILE_CELLS = 4_000_000   # distances held at once per task (32 MB of float64)
+TILE_CELLS = 1_000_000   # distances held at once per task (8 MB of float64)
 
 
 def whole_vector(vector: Column) -> Column:
@@ -74,7 +74,10 @@ def _nearest(q: pa.Table, x: pa.Table, at: tuple[np.ndarray, np.ndarray], k: int
         for s in range(0, len(Q), tile):
             Qt, ids = Q[s:s + tile], qid[qrows[s:s + tile]]
             qn = (Qt * Qt).sum(axis=1)
-            D = qn[:, None] + xn[None, :] - 2.0 * (Qt @ X.T)
+            D = Qt @ X.T
+            D *= -2.0
+            D += qn[:, None]
+            D += xn[None, :]
             if exclude_self:
                 D[ids[:, None] == xid[xrows][None, :]] = np.inf
             kk = min(k, D.shape[1])

@@ -109,3 +109,40 @@ def test_embedding_runs_in_batches_of_the_provider(spark):
     assert sizes.value == 10 and len(out) == 950
     assert all(abs(sum(x * x for x in r.vec) - 1) < 1e-2 and len(r.vec) == 16 for r in out)
     assert embed(spark.createDataFrame([(1, None), (2, "..")], "id long, text string"), term_embedder(4)).collect()[0].vec == [0.0] * 4
+
+
+def test_text_slices_bound_rows_and_bytes():
+    import pyarrow as pa
+
+    from lectern.operators.blocks import text_slices
+    texts = ["é" * 10, None, "x" * 900, "", "y" * 40, *["z" * 15] * 20, None]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(len(texts))), "t": texts})
+    parts = list(text_slices(batch, 1, rows=8, size=100))
+    assert [x for p in parts for x in p.column(1).to_pylist()] == texts
+    assert all(p.num_rows == 1 or sum(len((x or "").encode()) for x in p.column(1).to_pylist()) <= 100 for p in parts)
+    assert max(p.num_rows for p in parts) <= 8
+
+
+def test_broadcast_queries_meet_rows_in_lots(spark):
+    """Many broadcast questions: candidates are merged lot by lot, never for all questions at once."""
+    import numpy as np
+
+    from lectern.operators import blocks
+    from lectern.operators.vectors import CANDIDATES, closest, nearest, ranked
+    rng = np.random.default_rng(3)
+    side = lambda n: spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.integers(0, 9, (n, 4)).astype(float))], "id long, vec array<double>")
+    q, x = side(90).localCheckpoint(), side(500).localCheckpoint()
+    most = spark.sparkContext.accumulator(0)
+
+    def watched(k):
+        kernel = nearest(k)
+
+        def fn(a, b):
+            most.add(a.num_rows > 21)
+            return kernel(a, b)
+        return fn
+    got = blocks.scan_against(x, q, watched(5), closest(5), CANDIDATES, lot_bytes=2048)
+    rows = sorted(map(tuple, ranked(got, 5).collect()))
+    whole = blocks.scan_against(x, q, nearest(5), closest(5), CANDIDATES, grid=(1, 1))
+    assert rows == sorted(map(tuple, ranked(whole, 5).collect())) and len(rows) == 450
+    assert most.value == 0
