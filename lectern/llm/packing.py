@@ -44,7 +44,7 @@ def _cutter(path: str, max_len: int, end_id: int):
         seen = np.zeros(max_len.bit_length(), np.int64)  # pieces so far per level
         end = np.array([end_id], enc.dtype).tobytes()
         for batch in batches:
-            for sub in lots(batch, 1):
+            for sub in lots(batch, 1, size=1 << 20):
                 ids = [x + end for x in enc.encode_many(sub.column(1).to_pylist())]
                 sizes = np.array([len(x) for x in ids]) // enc.dtype.itemsize
                 docs, lengths = cut_lengths(sizes, max_len)

@@ -20,7 +20,7 @@ from array import array
 import numpy as np
 
 #: Entries kept in each cache of a Python worker; a full cache restarts empty (memory only, never results).
-MAX_WORDS = 1_000_000
+MAX_WORDS = 500_000
 
 _PLAIN = re.compile(r"( ?[A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\-./:;<=>?@\[\\\]^`{|}~]*)")
 
