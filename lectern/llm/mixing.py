@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from lectern.llm.common import WORD, saved
 
 _SPACE = r"[\x20\x09-\x0D]"
+_SPACES = " \t\n\v\f\r"
 
 #: floor(2**32 / golden ratio): multiples of it modulo 2**32 are the golden-ratio points in exact integers.
 GOLDEN = 2654435769
@@ -26,7 +27,9 @@ CHUNK = 1 << 16
 
 
 def word_count(text: Column) -> Column:
-    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    """Words of a text (null: 0), counted where each has become one letter: ``regexp_count`` holds all words of a text as an array."""
+    letters = F.regexp_replace(F.rtrim(text, F.lit(_SPACES)), rf"{_SPACE}*+{WORD}+", "x")
+    return F.coalesce(F.length(letters), F.lit(0)).cast("long")
 
 
 def targets(sizes: list[tuple[str | None, int]], share: float, passes: float) -> list[float]:

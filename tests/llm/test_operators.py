@@ -281,6 +281,14 @@ def test_mix_odd_rows(spark, clash, docs):
     assert mixing.targets([("a", 0), ("b", 10)], 1.5, 2) == [0.0, 15.0]
 
 
+def test_mix_counts_words_without_an_array_of_them(spark, docs):
+    texts = [None, "", " \t\n\v\f\r ", "one", " a\u00a0b c\n", "\x1cx \x1f", "𝄞é ß\r\n$1 \\ x", "w " * 3000, "a" + " " * 200_000 + "b" + " " * 200_000]
+    got = docs(list(enumerate(texts))).select("text", mixing.word_count(F.col("text")).alias("n"))
+    assert [r.n for r in got.collect()] == [len(WS.findall(t or "")) for t in texts]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_count" not in plan and "regexp_extract_all" not in plan
+
+
 # -- language, licences, fingerprints ---------------------------------------
 
 def test_language_accuracy_on_held_out(spark):
