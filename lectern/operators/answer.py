@@ -21,7 +21,7 @@ from lectern.operators import evaluate as E
 from lectern.operators import prompts as P
 from lectern.operators.provider import Provider, call_provider
 from lectern.operators.text import refusal_label
-from lectern.session import summary_rows
+from lectern.session import cut_lineage, summary_rows
 
 #: Bytes of stated lines that are broadcast at a time.
 LINES_SHIPPED = 16 << 20
@@ -63,6 +63,7 @@ def evaluate(questions: DataFrame, retrieved: DataFrame, answerer: Provider, gra
     Answers that hold the refusal sentence are INCORRECT where there is a
     reference; the others go to the grader.
     """
+    retrieved = cut_lineage(retrieved)  # at most k rows a question, read for the context, the sources and each prompt
     sources = (retrieved.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", F.struct("title", "url", "path").alias("s")))).alias("x"))
                .select(key, F.col("x.s").alias("model_sources")))  # at most k a question
     told = P.stuff_context(retrieved, key=key).join(P.source_list(retrieved, key=key), key).join(sources, key)

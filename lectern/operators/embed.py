@@ -13,10 +13,8 @@ from pyspark.sql import types as T
 from lectern.functions.fixed import EMBED_BATCH
 from lectern.operators.provider import Provider, call_provider
 
-_TERM = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
-_FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-#: Terms whose place is remembered by a worker; a full memory restarts empty.
-_REMEMBERED = 200_000
+#: Over the UTF-8 bytes of a text: all bytes of other scripts are beyond ASCII.  ``bytes.lower`` folds A-Z only.
+_TERM = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 GRAIN = 4096
 
 
@@ -24,21 +22,14 @@ def term_embedder(dims: int = 256, *, text: str = "text") -> Provider:
     """Offline provider: ``vec`` = L2-normed counts of the text's pairs of neighbouring words (A-Z folded; ASCII letters,
     digits and all other scripts), each at md5(pair) modulo ``dims``; zeros for texts of fewer than two words.  Components are
     rounded to 1/GRAIN, so distances are exact sums and equal ones tie on every engine."""
-    places: dict[str, int] = {}
-
-    def place(term: str) -> int:
-        if term not in places:
-            if len(places) >= _REMEMBERED:
-                places.clear()
-            places[term] = int(hashlib.md5(term.encode()).hexdigest()[:8], 16) % dims
-        return places[term]
+    def places(words: list[bytes]) -> np.ndarray:
+        digests = b"".join([hashlib.md5(a + b" " + b).digest() for a, b in zip(words, words[1:])])
+        return np.frombuffer(digests, ">u4")[::4] % dims
 
     def provider(batch: pd.DataFrame) -> pd.DataFrame:
         vecs = []
         for t in batch[text]:
-            words = _TERM.findall(t.translate(_FOLD)) if t is not None else []
-            terms = [f"{a} {b}" for a, b in zip(words, words[1:])]
-            n = np.bincount([place(w) for w in terms], minlength=dims).astype(np.float64) if terms else np.zeros(dims)
+            n = np.bincount(places(_TERM.findall(t.encode().lower()) if t is not None else []), minlength=dims).astype(np.float64)
             norm = np.sqrt((n * n).sum())
             vecs.append(np.floor(n / norm * GRAIN + 0.5) / GRAIN if norm else n)
         out = batch.copy()

@@ -23,9 +23,9 @@ from lectern.sources.evalset import load_eval_dataset
 CELLS = 16
 
 
-def chunk_vectors(t: Tables) -> DataFrame:
-    """(doc_id, title, url, path, chunk_no, text, vec) of all chunks of all documents."""
-    lec = lecture_view(t.documents).select("doc_id", "title", "url", "path", "content")
+def chunk_vectors(documents: DataFrame) -> DataFrame:
+    """(doc_id, title, url, path, chunk_no, text, vec) of all chunks of all ``documents``."""
+    lec = lecture_view(documents).select("doc_id", "title", "url", "path", "content")
     chunks = CH.chunk_documents(lec, text="content", keep=["doc_id", "title", "url", "path"])
     rows = chunks.select("doc_id", "title", "url", "path", "chunk_no", strip_diacritics("chunk").alias("text"))
     return embed(rows, term_embedder())
@@ -34,9 +34,9 @@ def chunk_vectors(t: Tables) -> DataFrame:
 def build(spark, sf) -> str:
     """An index in two writes: documents with even ids, then the others appended to the same cells."""
     path = scratch(spark, "cells")
-    rows = chunk_vectors(Tables(spark, sf))
-    X.write_index(rows.where("doc_id % 2 = 0"), path, batch="first", cells=CELLS)
-    X.write_index(rows.where("doc_id % 2 <> 0"), path, batch="second")
+    docs = Tables(spark, sf).documents  # divided here: a filter on the chunks would be applied behind the embedding of them all
+    X.write_index(chunk_vectors(docs.where("doc_id % 2 = 0")), path, batch="first", cells=CELLS)
+    X.write_index(chunk_vectors(docs.where("doc_id % 2 <> 0")), path, batch="second")
     return path
 
 

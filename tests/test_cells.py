@@ -146,3 +146,51 @@ def test_broadcast_queries_meet_rows_in_lots(spark):
     whole = blocks.scan_against(x, q, nearest(5), closest(5), CANDIDATES, grid=(1, 1))
     assert rows == sorted(map(tuple, ranked(whole, 5).collect())) and len(rows) == 450
     assert most.value == 0
+
+
+def test_offline_embedder_remembers_no_pairs():
+    import hashlib
+    import re
+
+    import pandas as pd
+    texts = ["The THE the", "É é ß İ Ω1 a-b_c d", "", "one", None, "x\x00y \x7f 日本 語"]
+    provider = term_embedder(32)
+    got = provider(pd.DataFrame({"text": texts}))["vec"]
+    fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    for t, vec in zip(texts, got):
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(fold))
+        want = np.zeros(32)
+        for a, b in zip(words, words[1:]):
+            want[int(hashlib.md5(f"{a} {b}".encode()).hexdigest()[:8], 16) % 32] += 1
+        norm = np.sqrt((want * want).sum())
+        assert vec.tolist() == (np.floor(want / norm * 4096 + 0.5) / 4096 if norm else want).tolist()
+
+    def held(fn):
+        cells = [c.cell_contents for c in fn.__closure__ or ()]
+        return [c for c in cells if isinstance(c, dict)] + [d for c in cells if callable(c) and getattr(c, "__closure__", None) for d in held(c)]
+    assert held(provider) == []
+
+
+def test_index_build_embeds_each_document_once(spark, monkeypatch):
+    from lectern.plans import chunks as C
+    plans = []
+    monkeypatch.setattr(C.X, "write_index", lambda rows, *a, **kw: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()))
+    C.build(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 2
+    for plan in plans:  # the half is chosen below both Python steps
+        assert "% 2" not in plan.split("MapInArrow")[0] and "% 2" in plan.split("MapInArrow")[1]
+
+
+def test_evaluation_reads_the_retrieved_rows_once(spark):
+    from lectern.operators import answer as A
+    read = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    q = spark.createDataFrame([(i, f"one two {i}.", "a.") for i in range(7)], "item_id long, question string, answer string")
+    schema = "item_id long, rank long, content string, title string, url string, path string"
+    got = spark.createDataFrame([(i, r, f"one two {i}. x", "t", f"u{r}", "p") for i in range(6) for r in (1, 2)], schema).mapInPandas(seen, schema)
+    out = A.evaluate(q, got, A.matching_sentence, A.same_words).collect()
+    assert len(out) == 7 and read.value == 12
