@@ -3,6 +3,7 @@ runs the stream to completion with ``availableNow`` and returns the sink's conte
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
 from lectern.functions.text import PY_SPACE_CLASS
@@ -26,6 +27,17 @@ def _run(query):
         raise RuntimeError(str(query.exception()))
 
 
+def _deal(parts, write, src) -> int:
+    """Writes ``parts`` below ``src`` one after the other, each by as many tasks as it has; the number of files of a
+    micro-batch that takes as much as the largest part.  Streams read files in the order of their times."""
+    files, most = 0, 1
+    for part in parts:
+        write(part.write.mode("append"), src)
+        n = len(part.sparkSession.read.text(src).inputFiles())
+        files, most = n, max(most, n - files)
+    return most
+
+
 @register("stream_ingest", f"""
 SELECT url, title, category || ' > ' || section AS path,
        length(regexp_replace(content, {q(PY_SPACE_CLASS + "+\\z")}, '', 'g')) AS n_chars
@@ -78,9 +90,8 @@ def stream_history_any_order(spark, sf):
     base = scratch(spark, "stream-any-order")
     conv = Tables(spark, sf).conversations
     part = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(3))
-    for i in (2, 0, 1):
-        conv.where(part == i).coalesce(1).write.mode("append").json(base + "/src")
-    _run(T.start_history_any_order(spark, base + "/src", base + "/out", base + "/ckpt", "conv_id long, turn long, role string, text string", files_per_batch=1))
+    files = _deal([conv.where(part == i) for i in (2, 0, 1)], DataFrameWriter.json, base + "/src")
+    _run(T.start_history_any_order(spark, base + "/src", base + "/out", base + "/ckpt", "conv_id long, turn long, role string, text string", files_per_batch=files))
     return spark.read.parquet(base + "/out").select("conv_id", "turn", "n_pairs", "history_chars")
 
 
@@ -91,9 +102,8 @@ def stream_dedup_bounded(spark, sf):
     links = H.link_rows(pages_clean(Tables(spark, sf))).select("page_id", "href")
     half = F.expr("percentile_approx(page_id, 0.5)")
     middle = links.agg(half).first()[0] or 0
-    links.where(F.col("page_id") <= middle).coalesce(1).write.json(base + "/src")
-    links.where(F.col("page_id") > middle).coalesce(1).write.mode("append").json(base + "/src")
-    _run(T.start_url_dedup_bounded(spark, base + "/src", base + "/out", base + "/ckpt", "page_id long, href string", delay="0 seconds", files_per_batch=1))
+    files = _deal([links.where(F.col("page_id") <= middle), links.where(F.col("page_id") > middle)], DataFrameWriter.json, base + "/src")
+    _run(T.start_url_dedup_bounded(spark, base + "/src", base + "/out", base + "/ckpt", "page_id long, href string", delay="0 seconds", files_per_batch=files))
     return T.seen_links(spark, base + "/out", "page_id long, href string").select("href")
 
 
@@ -106,8 +116,8 @@ def stream_index(spark, sf):
     """S1 + K7: nested JSONL streamed into the cell index in two micro-batches, with vectors."""
     base = scratch(spark, "stream-index")
     lines = nested_lines(Tables(spark, sf))
-    for odd in (0, 1):
-        lines.where(F.pmod(F.xxhash64("category", "section"), F.lit(2)) == odd).select("line").coalesce(1).write.mode("append").text(base + "/src")
-    _run(T.start_index_ingest(spark, base + "/src", base + "/index", base + "/ckpt", term_embedder(), cells=8, files_per_batch=1))
+    half = F.pmod(F.xxhash64("category", "section"), F.lit(2))
+    files = _deal([lines.where(half == odd).select("line") for odd in (0, 1)], DataFrameWriter.text, base + "/src")
+    _run(T.start_index_ingest(spark, base + "/src", base + "/index", base + "/ckpt", term_embedder(), cells=8, files_per_batch=files))
     rows = X.read_index(spark, base + "/index")
     return rows.select("url", "title", "path", "chunk_no", F.md5("text").alias("text_md5"), F.size(F.filter("vec", lambda x: x > 0)).alias("n_places"))

@@ -108,3 +108,19 @@ def test_index_that_starts_empty(spark):
     assert X.search(spark, path, q, 2).count() == 0
     assert X.write_index(spark.createDataFrame([(i, 0, "t", [float(i), 1.0]) for i in range(5)], schema), path, batch="b") == 5
     assert [r.doc_id for r in X.search(spark, path, q, 2).orderBy("rank").collect()] == [1, 0]
+
+
+def test_stream_input_is_dealt_over_files(spark):
+    """Each part of a stream's input is written by as many tasks as it has; the parts are still micro-batches of their own number."""
+    from pyspark.sql import DataFrameWriter
+
+    from lectern.plans.streaming import _deal
+    base = scratch(spark, "deal")
+    part = lambda lo, hi, n: spark.range(lo, hi, 1, n).select(F.col("id").cast("string").alias("line"))
+    files = _deal([part(0, 30, 3), part(30, 50, 2)], DataFrameWriter.text, base + "/src")
+    assert files == 3 and len(spark.read.text(base + "/src").inputFiles()) == 5
+    met = []
+    stream = spark.readStream.format("text").option("maxFilesPerTrigger", files).load(base + "/src")
+    run = stream.writeStream.foreachBatch(lambda b, i: met.append(sorted(int(r.value) for r in b.collect())))
+    run.option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start().awaitTermination()
+    assert met == [list(range(30)), list(range(30, 50))]
