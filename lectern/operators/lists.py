@@ -33,7 +33,7 @@ def number_lists(lectures: DataFrame, *, order: str = "doc_id") -> DataFrame:
     in_line = Window.partitionBy("category").orderBy("_first", "section")
     lists = lists.withColumn("list_ord", F.row_number().over(in_line) - 1).join(lines, F.col("category").eqNullSafe(F.col("_c")))
     lists = lists.select(F.col("category").alias("_c"), F.col("section").alias("_s"), F.col("line_no").cast("long").alias("line_no"), F.col("list_ord").cast("long").alias("list_ord"))
-    placed = lectures.join(lists, F.col("category").eqNullSafe(F.col("_c")) & F.col("section").eqNullSafe(F.col("_s"))).drop("_c", "_s")
+    placed = lectures.join(F.broadcast(lists), F.col("category").eqNullSafe(F.col("_c")) & F.col("section").eqNullSafe(F.col("_s"))).drop("_c", "_s")
     return running_sum(placed.withColumn("_one", F.lit(1)), keys=["line_no", "list_ord"], order=order, value="_one", out="item_no", sparse=True).drop("_one")
 
 
@@ -86,9 +86,10 @@ def category_lines(numbered: DataFrame, *, order: str = "doc_id", limit: int = L
     per = lec.groupBy("line_no", "list_ord").agg(F.sum("_bytes").alias("_all"))
     w = Window.partitionBy("line_no").orderBy("list_ord").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("_base", F.coalesce(F.sum("_all").over(w), F.lit(0))).drop("_all")  # one row per list
-    lec = running_sum(lec, keys=["line_no", "list_ord"], order="item_no", value="_bytes", out="_before", sparse=True).join(per, ["line_no", "list_ord"])
+    lec = running_sum(lec, keys=["line_no", "list_ord"], order="item_no", value="_bytes", out="_before", sparse=True).join(F.broadcast(per), ["line_no", "list_ord"])
     lec = lec.withColumn("part_no", F.floor((F.col("_base") + F.col("_before")) / limit).cast("long"))
-    lists = (lec.groupBy("category", "section", "line_no", "part_no", "list_ord")
+    lists = (lec.repartition("category", "line_no", "part_no")  # for both groupings: texts are shuffled once
+             .groupBy("category", "section", "line_no", "part_no", "list_ord")
              .agg(F.transform(F.array_sort(F.collect_list(F.struct("item_no", "_lec"))), lambda x: x["_lec"]).alias("_items")))  # at most `limit` bytes
     lines = lists.groupBy("category", "line_no", "part_no").agg(F.array_sort(F.collect_list(F.struct("list_ord", "section", "_items"))).alias("_lists"))
     body = F.map_from_entries(F.transform("_lists", lambda x: F.struct(x["section"], x["_items"])))

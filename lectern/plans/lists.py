@@ -106,10 +106,11 @@ def nest_category_lines(spark, sf):
         K.write_lines(lines.where(F.col("line_no") % 2 == odd).select(keep), out, mode="append")
     back = spark.read.text(out).select(F.split("value", "\t", 3).alias("v")).select(F.col("v")[0].cast("long").alias("line_no"), F.col("v")[1].cast("long").alias("part_no"), F.col("v")[2].alias("line"))
     docs = N.flatten_lectures_ordered(back, keys=["line_no", "part_no"]).where("status = 'ok'")
+    docs = docs.select("line_no", "part_no", "list_ord", "path", "title", "url", F.md5("content").alias("content_md5"))
     lists = docs.groupBy("line_no", "path").agg(F.min(F.struct("part_no", "list_ord")).alias("at"))
     from pyspark.sql import Window
     lists = lists.withColumn("list_ord", (F.row_number().over(Window.partitionBy("line_no").orderBy("at")) - 1).cast("long")).drop("at")
-    return docs.drop("list_ord").join(lists, ["line_no", "path"]).select("title", "url", "path", F.md5("content").alias("content_md5"), "line_no", "list_ord")
+    return docs.drop("list_ord").join(lists, ["line_no", "path"]).select("title", "url", "path", "content_md5", "line_no", "list_ord")
 
 
 @register("section_merge_lists", f"""

@@ -1,5 +1,7 @@
 """Input lists, transcripts, and the streams with bounded or unordered input, with failures in the middle."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -124,3 +126,12 @@ def test_stream_input_is_dealt_over_files(spark):
     run = stream.writeStream.foreachBatch(lambda b, i: met.append(sorted(int(r.value) for r in b.collect())))
     run.option("checkpointLocation", base + "/ckpt").trigger(availableNow=True).start().awaitTermination()
     assert met == [list(range(30)), list(range(30, 50))]
+
+
+def test_category_lines_shuffle_texts_once_for_both_groupings(spark):
+    rows = [(i, "ab"[i % 2], f"s{i % 3}", f"content {i}") for i in range(40)]
+    plan = L.category_lines(L.number_lists(lectures(spark, rows)), limit=200)._jdf.queryExecution().executedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "Exchange hashpartitioning(category" in x and "line_no" in x]
+    assert len(dealt) == 1 and "part_no" in dealt[0] and "section" not in dealt[0].split("hashpartitioning")[1]
+    texts = plan.split("Exchange hashpartitioning(category")[1]
+    assert not re.search(r"SortMergeJoin \[coalesce\(category[^\]]*section", texts) and "BroadcastHashJoin [line_no" in texts
