@@ -27,10 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from lectern.operators import blocks
 from lectern.operators.vectors import CANDIDATES, closest, nearest, ranked, whole_vector
@@ -42,6 +44,8 @@ CELL_ROWS, MAX_CELLS, FIT_PER_CELL = 4096, 16_384, 64
 MAX_WRITES = 100_000
 #: Share of the cells that an exact search probes before it bounds the others.
 FIRST_SHARE = 0.1
+#: Most rows, and distances from centroids, that are held at once where rows are placed in cells.
+PLACED_ROWS, PLACED_GAPS = 1024, 1 << 22
 
 
 def fit_centroids(vectors: DataFrame, cells: int, *, vector: str = "vec", seed: int = 7) -> DataFrame:
@@ -56,8 +60,9 @@ def fit_centroids(vectors: DataFrame, cells: int, *, vector: str = "vec", seed:
     if share < 1 and some.isEmpty():  # few distinct vectors, all beyond the share
         some = cut_lineage(vectors.limit(rows).select(features))
     model = KMeans(k=max(2, cells), seed=seed, maxIter=10, initSteps=2).fit(some)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]  # at most MAX_CELLS
-    return vectors.sparkSession.createDataFrame(rows, "cell int, vec array<double>")
+    centers = [[float(x) for x in c] for c in model.clusterCenters()]  # at most MAX_CELLS
+    table = pa.table({"cell": pa.array(range(len(centers)), pa.int32()), "vec": pa.array(centers, pa.list_(pa.float64()))})
+    return vectors.sparkSession.createDataFrame(table)  # from Arrow: no Python worker reads it
 
 
 def _distances(m: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -71,21 +76,27 @@ def _with_cells(df: DataFrame, centroids: DataFrame, probes: int) -> DataFrame:
     table = centroids.orderBy("cell").toArrow()  # at most MAX_CELLS rows
     shared = df.sparkSession.sparkContext.broadcast(np.stack(table.column("vec").to_pylist()).astype(np.float64))
 
-    @F.pandas_udf("struct<cells:array<int>,gaps:array<double>>")
-    def near(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    own = [i for i, c in enumerate(df.columns) if c not in ("cells", "gaps")]
+    schema = T.StructType([df.schema.fields[i] for i in own] + [T.StructField("cells", T.ArrayType(T.IntegerType())), T.StructField("gaps", T.ArrayType(T.DoubleType()))])
+    types, vec = to_arrow_schema(schema), df.columns.index("vec")
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = shared.value
+        step = max(1, min(PLACED_ROWS, PLACED_GAPS // len(c)))
         for batch in batches:
-            cells, gaps = [[]] * len(batch), [[]] * len(batch)
-            rows = [i for i, v in enumerate(batch) if v is not None and len(v) == c.shape[1]]
-            for lo in range(0, len(rows), 1024):
-                some = rows[lo:lo + 1024]
-                d = _distances(np.stack([np.asarray(batch.iat[j], np.float64) for j in some]), c)
+            for lo in range(0, batch.num_rows, step):  # a slice of a batch is held as matrices, not the batch
+                some = batch.slice(lo, step)
+                length = some.column(vec).value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+                at = np.flatnonzero(length == c.shape[1])
+                flat = some.column(vec).take(pa.array(at, pa.int64())).flatten().to_numpy(zero_copy_only=False)
+                d = _distances(np.asarray(flat, np.float64).reshape(len(at), c.shape[1]), c)
                 order = d.argmin(axis=1)[:, None] if probes == 1 else np.argsort(d, axis=1, kind="stable")[:, :probes]
-                for i, own, gap in zip(some, order.astype(np.int32), np.take_along_axis(d, order, axis=1)):
-                    cells[i], gaps[i] = own, gap
-            yield pd.DataFrame({"cells": cells, "gaps": gaps})
-    cols = [F.col(f"`{c}`") for c in df.columns if c not in ("cells", "gaps")]
-    return df.select(*cols, near(F.col("vec")).alias("_near")).select(*cols, F.col("_near.cells"), F.col("_near.gaps"))
+                ends = np.zeros(some.num_rows + 1, np.int32)
+                ends[1:] = np.cumsum(np.where(length == c.shape[1], order.shape[1], 0))
+                made = [pa.ListArray.from_arrays(ends, v.ravel()) for v in (order.astype(np.int32), np.take_along_axis(d, order, axis=1))]
+                cols = [some.column(i) for i in own] + made
+                yield pa.RecordBatch.from_arrays([x.cast(f.type) for x, f in zip(cols, types)], schema=types)
+    return df.mapInArrow(near, schema)
 
 
 def _read(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
@@ -150,7 +161,8 @@ def write_index(chunks: DataFrame, path: str, *, batch: str, overwrite: bool = F
     n = spark.read.schema(sizes.schema).parquet(f"{path}/cells/batch={batch}").agg(F.sum("n")).first()[0] or 0
     m = _read(spark, f"{path}/manifest", _MANIFEST)
     seq = 1 + ((m.agg(F.max("seq")).first()[0] if m is not None else None) or 0)
-    spark.createDataFrame([(seq, batch, bool(overwrite or not visible), n, placed.schema.json())], _MANIFEST).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
+    entry = pa.table(dict(zip(("seq", "batch", "replaces", "n_rows", "columns"), ([seq], [batch], [bool(overwrite or not visible)], [n], [placed.schema.json()]))))
+    spark.createDataFrame(entry).coalesce(1).write.mode("append").parquet(f"{path}/manifest")
     return n
 
 
