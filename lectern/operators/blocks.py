@@ -25,6 +25,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 LIMIT, LOT_BYTES, BLOCK_BYTES = 64 << 20, 8 << 20, 32 << 20
 #: Rows scored at a time, and the fewest that are worth a task of their own.
 TILE_ROWS, LEAST_ROWS = 8192, 1024
+#: Most partitions that the groups are dealt over.
+MOST_PARTS = 4096
 
 Kernel = Callable[[pa.Table, pa.Table], pd.DataFrame]
 
@@ -57,7 +59,7 @@ def text_slices(batch: pa.RecordBatch, column: int, *, rows: int = 512, size: in
         at = end
 
 
-def _size(df: DataFrame, vector: str) -> tuple[int, int]:
+def size_of(df: DataFrame, vector: str) -> tuple[int, int]:
     """(rows, bytes) of a table of doubles, by one aggregation."""
     r = df.agg(F.count(F.lit(1)), F.sum(F.greatest(F.size(vector), F.lit(0)))).first()
     return r[0], 8 * (r[1] or 0) + 64 * r[0]
@@ -65,18 +67,18 @@ def _size(df: DataFrame, vector: str) -> tuple[int, int]:
 
 def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Callable[[pd.DataFrame], pd.DataFrame], schema: str, *,
                  vector: str = "vec", key: str = "id", limit: int = LIMIT, lot_bytes: int = LOT_BYTES, block_bytes: int = BLOCK_BYTES,
-                 grid: tuple[int, int] | None = None) -> DataFrame:
+                 grid: tuple[int, int] | None = None, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Candidates of all ``queries`` among all ``rows``: what ``merge`` leaves of ``kernel(queries, rows)`` per task.
 
-    Both sides have a long ``key`` and a non-null array of doubles ``vector``; further
+    Both sides have a long ``key`` and a non-null array of doubles or floats ``vector``; further
     columns go to the kernel as they are.  ``merge`` drops candidates that lose
     against others of the same query and may be applied any number of
     times; the caller merges the tasks' survivors.  No rows on either side give no candidates.
-    ``grid`` pins (lots, blocks) and takes the second path.
+    ``grid`` pins (lots, blocks) and takes the second path.  ``kernel`` meets at most ``tile_rows`` rows at a time.
     """
     types = to_arrow_schema(T._parse_datatype_string(schema))
-    nq, q_bytes = _size(queries, vector)
-    nr, r_bytes = _size(rows, vector)
+    nq, q_bytes = size_of(queries, vector)
+    nr, r_bytes = size_of(rows, vector)
     if q_bytes <= limit and grid is None:
         step = max(1, nq * lot_bytes // max(1, q_bytes))  # queries of a lot
         shared = rows.sparkSession.sparkContext.broadcast(queries.toArrow())  # measured above
@@ -86,8 +88,8 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
             parts = [q.slice(lo, step) for lo in range(0, q.num_rows, step)]
             held: list[pd.DataFrame | None] = [None] * len(parts)
             for batch in batches:
-                for lo in range(0, batch.num_rows, TILE_ROWS):
-                    tile = pa.Table.from_batches([batch.slice(lo, TILE_ROWS)])
+                for lo in range(0, batch.num_rows, tile_rows):
+                    tile = pa.Table.from_batches([batch.slice(lo, tile_rows)])
                     for i, part in enumerate(parts):  # so that only a part's candidates are sorted at a time
                         found = kernel(part, tile)
                         held[i] = merge(found if held[i] is None else pd.concat([held[i], found], ignore_index=True))
@@ -105,11 +107,13 @@ def scan_against(rows: DataFrame, queries: DataFrame, kernel: Kernel, merge: Cal
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         a, b = _table(left, sides[0]), _table(right, sides[1])
-        held = merge(kernel(a, b.slice(0, TILE_ROWS)))
-        for lo in range(TILE_ROWS, b.num_rows, TILE_ROWS):
-            held = merge(pd.concat([held, kernel(a, b.slice(lo, TILE_ROWS))], ignore_index=True))
+        held = merge(kernel(a, b.slice(0, tile_rows)))
+        for lo in range(tile_rows, b.num_rows, tile_rows):
+            held = merge(pd.concat([held, kernel(a, b.slice(lo, tile_rows))], ignore_index=True))
         return held
     sides = to_arrow_schema(queries.schema), to_arrow_schema(rows.schema)
+    parts = min(MOST_PARTS, 4 * lots * blocks)  # mostly one group a task
+    q, x = q.repartition(parts, "_lot", "_block"), x.repartition(parts, "_lot", "_block")
     return q.groupBy("_lot", "_block").cogroup(x.groupBy("_lot", "_block")).applyInPandas(meet, schema)
 
 
