@@ -5,25 +5,35 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lectern.llm.common import lots
 from lectern.session import ship_package
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled documents read per language when fitting (chosen by a hash of the id; whole texts).
 TRAIN_DOCS_PER_LANG = 4000
-#: Characters scored at a time.
-SLICE = 1 << 20
+#: Characters counted or scored at a time; their arrays take about 80 bytes a character.
+SLICE = 1 << 17
+#: Rows, and bytes of text, that Python holds as strings at a time (one row at least).
+LOT_ROWS, LOT_BYTES = 4096, 1 << 20
+
+
+def _lowered(text: str) -> str:
+    return text.replace("\0", " ").lower()
 
 
 def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(buckets[order, position], start of each text) of the lower-cased texts, ends marked by a
     separator; n-grams that touch a separator fall into the extra bucket BUCKETS."""
-    joined = "\0".join(t.replace("\0", " ").lower() for t in texts) + "\0"
+    return _buckets("\0".join(map(_lowered, texts)) + "\0")
+
+
+def _buckets(joined: str) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
     starts = np.concatenate([[0], np.flatnonzero(c == 0)[:-1] + 1])
     out = np.full((len(ORDERS), len(c)), BUCKETS, np.int32)
@@ -40,28 +50,36 @@ def gram_buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return out, starts
 
 
-def _slices(texts: list[str]) -> Iterator[list[int]]:
+def _slices(texts: list[str]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """(rows, buckets, starts) of about SLICE characters at a time.  A longer text comes in several
+    parts; each n-gram belongs to the part it starts in, so all are there once."""
     rows, held = [], 0
     for i, t in enumerate(texts):
-        rows.append(i)
-        held += len(t)
-        if held >= SLICE:
-            yield rows
+        if len(t) > SLICE:
+            low = _lowered(t)
+            for at in range(0, len(low), SLICE):
+                buckets, _ = _buckets(low[at:at + SLICE + max(ORDERS) - 1] + "\0")
+                yield [i], buckets[:, :SLICE], np.zeros(1, np.int64)
+            continue
+        if rows and held + len(t) >= SLICE:
+            yield rows, *gram_buckets([texts[j] for j in rows])
             rows, held = [], 0
+        rows.append(i)
+        held += len(t) + 1
     if rows:
-        yield rows
+        yield rows, *gram_buckets([texts[j] for j in rows])
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """n-gram counts per language of a partition: at most BUCKETS rows a language."""
     counts: dict[str, np.ndarray] = {}
     for batch in batches:
-        langs, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang in set(langs):
-            own = [t for t, x in zip(texts, langs) if x == lang]
-            for rows in _slices(own):
-                got = np.bincount(gram_buckets([own[i] for i in rows])[0].ravel(), minlength=BUCKETS + 1)[:BUCKETS]
-                counts[lang] = counts.get(lang, 0) + got
+        for lot in lots(batch, 1, LOT_ROWS, LOT_BYTES):
+            langs, texts = lot.column(0).to_pylist(), lot.column(1).to_pylist()
+            for lang in set(langs):
+                for _, buckets, _ in _slices([t for t, x in zip(texts, langs) if x == lang]):
+                    got = np.bincount(buckets.ravel(), minlength=BUCKETS + 1)[:BUCKETS]
+                    counts[lang] = counts.get(lang, 0) + got
     for lang, got in counts.items():
         at = np.flatnonzero(got)
         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(got[at].astype(np.int64))],
@@ -110,19 +128,15 @@ class LanguageModel:
         with the evidence of a long text counted as that of 50 n-grams."""
         if not self.langs:
             return ["und"] * len(texts), np.zeros(len(texts))
-        best, score = np.zeros(len(texts), int), np.zeros(len(texts))
-        for rows in _slices(texts):
-            buckets, starts = gram_buckets([texts[i] for i in rows])
-            total = np.zeros((len(rows), len(self.langs)))
-            grams = np.zeros(len(rows))
+        total, grams = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts))
+        for rows, buckets, starts in _slices(texts):
             for order in buckets:
-                total += np.add.reduceat(self.logp[order], starts, axis=0, dtype=np.float64)
-                grams += np.add.reduceat(order < BUCKETS, starts, dtype=np.int64)
-            total += self.prior
-            z = total * np.minimum(1.0, 50.0 / np.maximum(grams, 1))[:, None]
-            z = np.exp(z - z.max(axis=1, keepdims=True))
-            best[rows], score[rows] = total.argmax(axis=1), (z / z.sum(axis=1, keepdims=True)).max(axis=1)
-        return [self.langs[i] for i in best], score
+                total[rows] += np.add.reduceat(self.logp[order], starts, axis=0, dtype=np.float64)
+                grams[rows] += np.add.reduceat(order < BUCKETS, starts, dtype=np.int64)
+        total += self.prior
+        z = total * np.minimum(1.0, 50.0 / np.maximum(grams, 1))[:, None]
+        z = np.exp(z - z.max(axis=1, keepdims=True))
+        return [self.langs[i] for i in total.argmax(axis=1)], (z / z.sum(axis=1, keepdims=True)).max(axis=1)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
@@ -132,21 +146,26 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
     has no letter (so also where it is empty), else a learned language; ties
     go to the first language in order.  Every row and column stays; long texts
     are read whole; an empty table gives an empty table.  No shuffle: the model
-    (65,537 floats a language) is broadcast and texts are scored in place.
+    (65,537 floats a language) is broadcast and texts are scored in place; of
+    Spark's batch, Python holds a lot of texts as strings.
     """
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.logp, model.prior))
 
-    @F.pandas_udf("struct<lang_pred:string,score:double>")
-    def predict(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = LanguageModel(*shared.value)
-        for text, letter in batches:
-            lang, score = np.full(len(text), "und", object), np.zeros(len(text))
-            own = np.flatnonzero(letter.to_numpy(bool))
-            if len(own):
-                lang[own], score[own] = m.predict([text.iat[i] for i in own])
-            yield pd.DataFrame({"lang_pred": lang, "score": score})
-    letter = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
+        for batch in batches:
+            lang, score = np.full(len(batch), "und", object), np.zeros(len(batch))
+            at = 0
+            for lot in lots(pa.RecordBatch.from_arrays([batch], ["text"]), 0, LOT_ROWS, LOT_BYTES):
+                text = lot.column(0)
+                own = at + np.flatnonzero(pc.is_valid(text).to_numpy(zero_copy_only=False))
+                if len(own):
+                    lang[own], score[own] = m.predict(text.drop_null().to_pylist())
+                at += len(text)
+            yield pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score)], ["lang_pred", "score"])
+    text = F.when(F.col("text").rlike(r"\p{L}"), F.col("text"))
     keep = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*[F.col(f"`{c}`") for c in keep], predict(F.coalesce("text", F.lit("")), letter).alias("__pred"))
+    out = docs.select(*[F.col(f"`{c}`") for c in keep], predict(text).alias("__pred"))
     return out.select(*[F.col(f"`{c}`") for c in keep], F.col("__pred.lang_pred").alias("lang_pred"), F.col("__pred.score").alias("score"))

@@ -136,3 +136,25 @@ def test_naive_bayes_against_counters(spark, docs):
             assert got[i].lang_pred == max(total, key=total.get)
         assert math.isclose(got[i].score, max(weights.values()) / sum(weights.values()), rel_tol=1e-3)
     assert np.mean([r.score for r in got.values()]) > 0.5
+
+
+def test_language_memory_is_bounded():
+    """Arrays hold a slice at a time, of many texts and of one long text, whose parts hold each n-gram once."""
+    import tracemalloc
+    rng = np.random.default_rng(5)
+    logp = rng.standard_normal((language.BUCKETS + 1, 4)).astype(np.float32)
+    logp[language.BUCKETS] = 0
+    model = language.LanguageModel(["a", "b", "c", "d"], logp, np.zeros(4))
+    many = ["".join(map(chr, rng.integers(97, 123, 2000))) for _ in range(600)]
+    long = "".join(many)
+    for texts in (many, [long]):
+        tracemalloc.start()
+        model.predict(texts)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 24e6, peak
+    for text in (long[:300_001], "Q" * (1 << 17), "\u0130" * (1 << 17) + "z", "ab", ""):
+        whole = language.gram_buckets([text])[0]
+        parts = np.concatenate([b.ravel() for _, b, _ in language._slices([text])])
+        n = language.BUCKETS
+        assert (np.bincount(whole.ravel(), minlength=n + 1)[:n] == np.bincount(parts, minlength=n + 1)[:n]).all()
